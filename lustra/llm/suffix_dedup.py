@@ -232,22 +232,21 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names=_CUT)
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 200, seed: int = 50, hot: int = 16384, with_text: bool = True) -> DataFrame:
-    """Remove every byte that lies in a ``window``-byte string starting in more than one place.
+_NO_ID = -(1 << 63)
 
-    Returns one row per input row: ``id_col``, n_bytes, n_removed, n_spans (maximal removed runs),
-    kept_sha256 and kept (the remaining bytes; null unless ``with_text``).
 
-    Defined cases: a null or empty text has no bytes and keeps none; a text shorter than the window
-    is kept whole; repeated rows are copies of each other and lose all their windows; null and
-    repeated ids are allowed, as rows are told apart by id and text; an empty table gives an empty
-    result; other columns are ignored.
-    """
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> list:
+    """Columns that tell rows apart, id and text hash, and the text's bytes."""
+    text = F.col(f"`{text_col}`")
+    return [F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NO_ID)).alias("_id"), F.shiftright(F.xxhash64(text), 32).cast("int").alias("_h"), text.cast("binary").alias("_text")]
+
+
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 200, seed: int = 50, hot: int = 16384) -> DataFrame:
+    """_id, _h and _spans: the byte ranges (start, end) of each row that has repeated windows, in no
+    order and overlapping."""
     if not 0 < window - seed < 255 or seed < 8:
         raise ValueError("window - seed must be 1..254 and seed at least 8")
-    keyed = docs.select(
-        F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(1 << 63))).alias("_id"), F.shiftright(F.xxhash64(f"`{text_col}`"), 32).cast("int").alias("_h"), F.col(f"`{text_col}`").cast("binary").alias("_text")
-    )
+    keyed = docs.select(*_keyed(docs, id_col, text_col))
     seeds = keyed.mapInArrow(_seeds(window, seed), "g long, c long, _id long, _h int, loc long")
     shared = written(seeds.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g"), "seeds")
     runs = written(seeds.join(shared, "g"), "runs")
@@ -268,8 +267,49 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         context = context.filter("w is null")
     ordered = context.drop("w").repartition("g").sortWithinPartitions("g")
     spans = spans.unionByName(ordered.mapInArrow(_repeats(window, seed), "_id long, _h int, start long, end long"))
+    return spans.groupBy("_id", "_h").agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
+
 
-    spans = spans.groupBy("_id", "_h").agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
-    cut = keyed.join(spans, ["_id", "_h"], "left").select("_id", "_h", "_text", "_spans")
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 200, seed: int = 50, hot: int = 16384, with_text: bool = True) -> DataFrame:
+    """Remove every byte that lies in a ``window``-byte string starting in more than one place.
+
+    Returns one row per input row: ``id_col``, n_bytes, n_removed, n_spans (maximal removed runs),
+    kept_sha256 and kept (the remaining bytes; null unless ``with_text``).
+
+    Defined cases: a null or empty text has no bytes and keeps none; a text shorter than the window
+    is kept whole; repeated rows are copies of each other and lose all their windows; null and
+    repeated ids are allowed, as rows are told apart by id and text; an empty table gives an empty
+    result; other columns are ignored.
+    """
+    spans = repeated_spans(docs, id_col, text_col, window, seed, hot)
+    cut = docs.select(*_keyed(docs, id_col, text_col)).join(spans, ["_id", "_h"], "left").select("_id", "_h", "_text", "_spans")
     out = cut.mapInArrow(_cut(with_text), "_id long, _h int, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    return out.withColumn(id_col, F.when(F.col("_id") != -(1 << 63), F.col("_id"))).select(id_col, *_CUT[2:])
+    return out.withColumn(id_col, F.when(F.col("_id") != _NO_ID, F.col("_id"))).select(id_col, *_CUT[2:])
+
+
+def _cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1000):
+            part = batch.slice(at, 1000)
+            texts = []
+            for data, spans in zip(part.column(part.num_columns - 2), part.column(part.num_columns - 1)):
+                data, spans = data.as_py(), spans.as_py()
+                if data is not None and spans:
+                    kept, end = [], 0
+                    for a, b in sorted((x["start"], x["end"]) for x in spans):
+                        kept.append(data[end : max(a, end)])
+                        end = max(end, b)
+                    data = b"".join([*kept, data[end:]])
+                texts.append(None if data is None else data.decode("utf-8", "ignore"))
+            yield pa.RecordBatch.from_arrays([*part.columns[:-2], pa.array(texts, pa.string())], names=[*part.schema.names[:-2], "_kept"])
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with the repeated bytes of each text removed, and the pieces of characters that a
+    cut leaves over; nulls stay null.  Cases as in :func:`suffix_dedup`."""
+    spans = repeated_spans(docs, id_col, text_col, **options)
+    rest = [c for c in docs.columns if c != text_col]
+    cut = docs.select(*[F.col(f"`{c}`") for c in rest], *_keyed(docs, id_col, text_col)).join(spans, ["_id", "_h"], "left")
+    cut = cut.select(*[F.col(f"`{c}`") for c in rest], "_text", "_spans")
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest), "_kept string"])
+    return cut.mapInArrow(_cut_texts, schema).withColumnRenamed("_kept", text_col).select(*[F.col(f"`{c}`") for c in docs.columns])
