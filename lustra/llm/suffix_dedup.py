@@ -259,8 +259,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     need = states.join(mixed, "g").groupBy("at._id", "at._h").agg(F.collect_list(F.struct("g", "at.loc", "hot")).alias("_need"))
     context = keyed.join(need, ["_id", "_h"]).select("_id", "_h", "_text", "_need").mapInArrow(_contexts(window, seed), "g long, _id long, _h int, loc long, left binary, right binary, w long")
+    context = written(context, "context")
     if mixed.filter("hot").head(1):
-        context = written(context, "hot")
         each = context.filter("w is not null")
         twice = written(each.groupBy("w").agg(F.count("*").alias("n")).filter("n > 1").select("w"), "windows")
         spans = spans.unionByName(each.join(twice, "w").select("_id", "_h", F.col("loc").alias("start"), (F.col("loc") + window).alias("end")))
