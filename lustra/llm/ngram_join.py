@@ -6,14 +6,14 @@ the result gives each document the least id that links lead to.  Equal sets coun
 1. Bound against everything else: of a set with n shingles, take those of least hash,
    n - ceil(0.8 n) + K(n) of them.  Linked sets share K or more of these, so a set whose short list
    has fewer than K shingles in common with all others together has no link and is done.
-2. Groups: the remaining sets are parted by their least shared shingle, in blocks of bounded size,
-   and each block is split into groups of linked sets.  Blocks of one shingle are then merged
-   through one representative for each group, level by level.
-3. Matrix: for each group, the union of its sets' short lists.  A set has to share K shingles with
-   a group's union before the group is opened; the K - 1 shingles found in most groups don't open
-   one by themselves.
-4. Opened groups are compared member by member, again in bounded blocks, and the links found
-   connect groups to components.
+2. Groups: the remaining sets are parted by their least shared shingle; a set whose shingles lie
+   mostly in one larger group goes there instead.  Groups are dealt to blocks of bounded size, the
+   sets of a block are compared, and linked sets become one component.  Within a group components
+   are merged through one representative each, level by level.
+3. Matrix: for each block, the union of its sets' short lists.  A set has to share K shingles with
+   a block's union before the block is opened; the K - 1 shingles found in most blocks don't open
+   one by themselves, and shingles of one component only don't count.
+4. Opened blocks are compared member by member, and the links found connect components.
 
 Every bound is a necessary condition, so no link is lost; nothing is sampled or capped.
 """
@@ -33,7 +33,7 @@ from .scratch import written
 from .textkit import Rolling, mix, shingle_set
 
 #: Most sets in a block that is compared in one task.
-BLOCK = 128
+BLOCK = 256
 
 
 def _need(n: str) -> str:
@@ -155,13 +155,14 @@ def _block_groups(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _open(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """Links between queries and the members of one block of a group, as pairs of groups."""
-    if not len(left) or not len(right):
-        return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-    columns = _Columns([np.frombuffer(t, dtype=np.uint64) for t in left.tokens])
-    target = int(left.grp.iloc[0])
-    found = {int(q.own) for q in right.itertuples() if len(columns.likely(np.frombuffer(q.tokens, dtype=np.uint64)))}
-    return pd.DataFrame({"a": sorted(found), "b": [target] * len(found)}, dtype="int64")
+    """Links between queries and the members of a block, as pairs of components."""
+    found: set[tuple[int, int]] = set()
+    if len(left) and len(right):
+        columns = _Columns([np.frombuffer(t, dtype=np.uint64) for t in left.tokens])
+        theirs = left.comp.to_numpy()
+        for own, tokens in zip(right.own.tolist(), right.tokens):
+            found.update((own, c) for c in set(theirs[columns.likely(np.frombuffer(tokens, dtype=np.uint64))].tolist()) if c != own)
+    return pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -212,7 +213,7 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         able = posts.groupBy("sid").agg(F.count("*").alias("c"), F.first("n").alias("n")).filter(f"c >= {_need(_least_partner('n'))}").select("sid")
         posts = written(posts.join(written(able, "able"), "sid").select("tok", "sid", "n"), "posts")
 
-    least = posts.groupBy("sid").agg(F.min("tok").alias("tok"), F.first("n").alias("n"))
+    least = _groups(posts)
     heads = rows.join(least.select("sid"), "sid").groupBy("sid").agg(F.min(F.struct("_id", "_h")).alias("at"))
     named = written(heads.select("sid", F.col("at._id").alias("_id"), F.col("at._h").alias("_h")), "heads")
     texts = keyed.join(named, keyed["_id"].eqNullSafe(named["_id"]) & (keyed["_h"] == named["_h"])).select("sid", "_text")
@@ -241,20 +242,14 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         if level.count() >= large.agg(F.sum("m")).first()[0]:
             break  # nothing merges any more; the matrix decides the rest
 
-    # Only shingles that several groups have, and sets with enough of them, can link across groups.
-    posts = written(posts.join(group, "sid"), "posts")
-    for _ in range(2):
-        spread = posts.groupBy("tok", "grp").agg(F.lit(1).alias("one")).groupBy("tok").agg(F.count("*").alias("g")).filter("g > 1")
-        posts = posts.drop("g").join(written(spread, "spread"), "tok")
-        able = posts.groupBy("sid").agg(F.count("*").alias("c"), F.first("n").alias("n")).filter(f"c >= {_need(_least_partner('n'))}").select("sid")
-        posts = written(posts.join(written(able, "able"), "sid").select("tok", "sid", "n", "grp", "g"), "posts")
-    joined = None
-    if posts.head(1):
-        joined = _across(posts, group, sets, block)
+    place = sets.select("sid", "tok").join(written(sets.groupBy("tok").agg(F.ceil(F.count("*") / block).alias("mb")), "sizes"), "tok")
+    place = place.select("sid", F.xxhash64("tok", F.pmod(F.xxhash64("sid"), F.col("mb"))).alias("blk"))
+    posts = _active(posts, written(group.join(place, "sid"), "places"))
+    joined = _across(posts, sets, block) if posts.head(1) else None
+    if joined is not None:
+        group = written(group.join(joined, group["grp"] == joined["node"], "left").select("sid", F.coalesce("root", "grp").alias("grp")), "group")
 
     # Names: the least id of each set, of each group, of each component.
-    if joined is not None:
-        group = group.join(joined, group["grp"] == joined["node"], "left").select("sid", F.coalesce("root", "grp").alias("grp"))
     sizes = rows.filter("n > 0").groupBy("sid").agg(F.min("_id").alias("low"))
     whole = sizes.join(group, "sid", "left").select("sid", F.coalesce("grp", "sid").alias("grp"), F.col("grp").isNotNull().alias("g"), "low")
     least_of = whole.filter("g").groupBy("grp").agg(F.min("low").alias("least"))
@@ -264,33 +259,54 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return out.select(F.col("_id").alias(id_col), "_h", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_id")).alias("component_id"))
 
 
-def _across(posts: DataFrame, group: DataFrame, sets: DataFrame, block: int) -> DataFrame | None:
-    """Components of groups, by sets that may be linked to other groups."""
-    weight = written(group.groupBy("grp").agg(F.count("*").alias("size")), "sizes")
-    posts = written(posts.join(weight, "grp"), "posts")
-    matrix = written(posts.groupBy("tok", "grp").agg(F.first("size").alias("gsize")), "matrix")
+def _groups(posts: DataFrame) -> DataFrame:
+    """sid, tok (the group), n: by the least shared shingle, or by the larger group that holds at
+    least half of a set's shared shingles."""
+    own = written(posts.groupBy("sid").agg(F.min("tok").alias("own"), F.first("n").alias("n"), F.count("*").alias("c")), "own")
+    sizes = written(own.groupBy("own").agg(F.count("*").alias("size")), "sizes")
+    held = posts.select("sid", "tok").join(own.select("sid", "own"), "sid").join(sizes, "own")
+    largest = written(held.groupBy("tok").agg(F.max(F.struct("size", "own")).alias("top")).select("tok", F.col("top.own").alias("to"), F.col("top.size").alias("tsize")), "largest")
+    votes = posts.select("sid", "tok").join(largest, "tok").groupBy("sid", "to").agg(F.count("*").alias("v"), F.first("tsize").alias("tsize"))
+    best = votes.groupBy("sid").agg(F.max(F.struct("v", "tsize", "to")).alias("best"))
+    chosen = own.join(sizes, "own").join(best, "sid")
+    moves = (F.col("best.tsize") > F.col("size")) & (2 * F.col("best.v") >= F.col("c"))
+    return written(chosen.select("sid", F.when(moves, F.col("best.to")).otherwise(F.col("own")).alias("tok"), "n"), "grouped")
+
+
+def _active(posts: DataFrame, places: DataFrame) -> DataFrame:
+    """Shingles that several components have, of sets that have enough of them to be linked across
+    components: tok, sid, n, grp (the component), blk and g (blocks with the shingle)."""
+    posts = posts.join(places, "sid")
+    for _ in range(2):
+        posts = written(posts.select("tok", "sid", "n", "grp", "blk"), "posts")
+        spread = posts.groupBy("tok").agg(F.min("grp").alias("x"), F.max("grp").alias("y"), F.approx_count_distinct("blk").alias("g")).filter("x < y").select("tok", "g")
+        posts = posts.join(written(spread, "spread"), "tok")
+        able = posts.groupBy("sid").agg(F.count("*").alias("c"), F.first("n").alias("n")).filter(f"c >= {_need(_least_partner('n'))}").select("sid")
+        posts = posts.join(written(able, "able"), "sid")
+    return written(posts, "posts")
+
+
+def _across(posts: DataFrame, sets: DataFrame, block: int) -> DataFrame | None:
+    """Components of components, by all sets that may be linked to another block."""
+    matrix = written(posts.select("tok", "blk").distinct(), "matrix")
     need = _need(_least_partner("n"))
-    # By falling spread the first K - 1 of a set's shingles needn't open a group.
+    # By falling spread the first K - 1 of a set's shingles needn't open a block.
     rank = F.row_number().over(Window.partitionBy("sid").orderBy(F.desc("g"), "tok"))
-    asks = posts.withColumn("r", rank).filter(f"r >= {need}").select("sid", "n", "tok", F.col("grp").alias("own"), F.col("size").alias("osize"))
-    # The smaller group asks the larger one.
-    found = asks.join(matrix, "tok").filter("grp <> own and (osize < gsize or osize = gsize and own < grp)")
-    opened = written(found.groupBy("sid", "own", "grp").agg(F.first("n").alias("n")), "opened")
-    # The full bound: shared shingles of the short list with the group's union.
-    every = posts.select("sid", "tok").join(opened, "sid").join(matrix.select("tok", "grp"), ["tok", "grp"])
-    able = every.groupBy("sid", "own", "grp").agg(F.count("*").alias("c"), F.first("n").alias("n")).filter(f"c >= {need}").select("sid", "own", "grp")
+    asks = posts.withColumn("r", rank).filter(f"r >= {need}").select("sid", "n", "tok", "grp", F.col("blk").alias("own"))
+    # Of two blocks the one of lower number asks.
+    found = asks.join(matrix, "tok").filter("own < blk")
+    opened = written(found.groupBy("sid", "blk").agg(F.first("n").alias("n"), F.first("grp").alias("grp")), "opened")
+    # The full bound: shared shingles of the short list with the block's union.
+    every = posts.select("sid", "tok").join(opened, "sid").join(matrix, ["tok", "blk"])
+    able = every.groupBy("sid", "blk").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("grp").alias("own")).filter(f"c >= {need}").select("sid", "blk", "own")
     able = written(able, "queries")
     if not able.head(1):
         return None
-    full = sets.select("sid", "tokens")
-    asked = able.groupBy("grp").agg(F.count("*").alias("q"))
-    targets = posts.select("sid", "grp").distinct().join(asked, "grp")
-    inside = written(targets.groupBy("grp").agg(F.count("*").alias("m"), F.first("q").alias("q")), "targets")
-    parts = inside.select("grp", F.ceil(F.col("m") / block).alias("mb"), F.ceil(F.col("q") / block).alias("qb"))
-    member = posts.select("sid", "grp").distinct().join(parts, "grp").join(full, "sid")
-    member = member.withColumn("mk", F.pmod(F.xxhash64("sid"), F.col("mb"))).withColumn("qk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("qb") - 1)))
-    asking = able.join(parts, "grp").join(full, "sid")
-    asking = asking.withColumn("qk", F.pmod(F.xxhash64("sid"), F.col("qb"))).withColumn("mk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("mb") - 1)))
-    left = member.select("grp", "mk", "qk", "tokens").toDF("grp", "mk", "qk", "tokens").groupBy("grp", "mk", "qk")
-    right = asking.select("grp", "mk", "qk", "own", "tokens").toDF("grp", "mk", "qk", "own", "tokens").groupBy("grp", "mk", "qk")
-    return components(left.cogroup(right).applyInPandas(_open, "a long, b long").distinct(), "links")
+    parts = written(able.groupBy("blk").agg(F.ceil(F.count("*") / block).alias("qb")), "asked")
+    inside = posts.select("sid", "blk", "grp").distinct().join(parts, "blk").join(sets.select("sid", "tokens"), "sid")
+    inside = inside.withColumn("qk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("qb") - 1)))
+    asking = able.join(parts, "blk").join(sets.select("sid", "tokens"), "sid").withColumn("qk", F.pmod(F.xxhash64("sid"), F.col("qb")))
+    left = inside.select("blk", "qk", "grp", "tokens").toDF("blk", "qk", "comp", "tokens").groupBy("blk", "qk")
+    right = asking.select("blk", "qk", "own", "tokens").toDF("blk", "qk", "own", "tokens").groupBy("blk", "qk")
+    found = written(left.cogroup(right).applyInPandas(_open, "a long, b long").distinct(), "found")
+    return components(found, "links") if found.head(1) else None
