@@ -10,7 +10,8 @@ the result gives each document the least id that links lead to.  Equal sets coun
    mostly in one larger group goes there instead.  Groups are dealt to blocks of bounded size, the
    sets of a block are compared, and linked sets become one component.  Within a group components
    are merged through one representative each, level by level.
-3. Matrix: for each block, the union of its sets' short lists.  A set has to share K shingles with
+3. Matrix: for each block, the union of its sets' short lists, and bounds of its sets' sizes and of
+   the partner's size that their shared shingles allow.  A set has to share K shingles with
    a block's union before the block is opened; the K - 1 shingles found in most blocks don't open
    one by themselves, and shingles of one component only don't count.
 4. Opened blocks are compared member by member, and the links found connect components.
@@ -52,7 +53,7 @@ def _sid(tokens: np.ndarray) -> int:
     return int(Rolling(mix(both)).windows(3).view(np.int64)[0])
 
 
-def _signatures(with_list: bool, width: int):
+def _signatures(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
@@ -64,7 +65,7 @@ def _signatures(with_list: bool, width: int):
                 n = len(tokens)
                 sid = _sid(tokens)
                 short = None
-                if with_list and n and sid not in seen:
+                if n and sid not in seen:
                     seen.add(sid)
                     if len(seen) > 500_000:
                         seen.clear()
@@ -86,9 +87,9 @@ def _full_sets(width: int):
         for batch in batches:
             out, held = [], 0
             for sid, text in zip(batch.column(0), batch.column(1)):
-                out.append((sid.as_py(), shingle_set(text.as_py() or b"", width).tobytes()))
+                out.append((sid.as_py(), shingle_set(text.as_py() or b"", width).view(np.int64)))
                 held += len(out[-1][1])
-                if held > 4 << 20:
+                if held > 500_000:
                     yield _set_batch(out)
                     out, held = [], 0
             if out:
@@ -98,7 +99,11 @@ def _full_sets(width: int):
 
 
 def _set_batch(out: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["sid", "tokens"])
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.list_(pa.int64()))], names=["sid", "tokens"])
+
+
+def _tokens(x) -> np.ndarray:
+    return np.asarray(x, dtype=np.int64).view(np.uint64)
 
 
 class _Columns:
@@ -128,7 +133,7 @@ def _block_groups(pdf: pd.DataFrame) -> pd.DataFrame:
     """Linked groups of one block: each row's group, named by its least sid, and the row with most
     links as the group's representative."""
     pdf = pdf.sort_values("sid").reset_index(drop=True)
-    sets = [np.frombuffer(t, dtype=np.uint64) for t in pdf.tokens]
+    sets = [_tokens(t) for t in pdf.tokens]
     root = list(range(len(sets)))
 
     def find(k: int) -> int:
@@ -158,10 +163,10 @@ def _open(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     """Links between queries and the members of a block, as pairs of components."""
     found: set[tuple[int, int]] = set()
     if len(left) and len(right):
-        columns = _Columns([np.frombuffer(t, dtype=np.uint64) for t in left.tokens])
+        columns = _Columns([_tokens(t) for t in left.tokens])
         theirs = left.comp.to_numpy()
         for own, tokens in zip(right.own.tolist(), right.tokens):
-            found.update((own, c) for c in set(theirs[columns.likely(np.frombuffer(tokens, dtype=np.uint64))].tolist()) if c != own)
+            found.update((own, c) for c in set(theirs[columns.likely(_tokens(tokens))].tolist()) if c != own)
     return pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
 
 
@@ -201,8 +206,8 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     keyed = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").cast("binary").alias("_text"), F.shiftright(F.xxhash64(f"`{text_col}`"), 32).cast("int").alias("_h"))
     fields = "_id long, _h int, sid long, n long, short array<long>"
-    signed = keyed.mapInArrow(_signatures(True, width), fields)
-    rows = written(keyed.mapInArrow(_signatures(False, width), fields).drop("short"), "rows")
+    signed = written(keyed.mapInArrow(_signatures(width), fields), "signed")
+    rows = signed.drop("short")
     short = signed.filter("short is not null").select("sid", "n", F.explode("short").alias("tok"))
     shared = written(short.groupBy("tok").agg(F.count("*").alias("c")).filter("c > 1").select("tok"), "tokens")
     posts = written(short.join(shared, "tok").groupBy("tok", "sid").agg(F.first("n").alias("n")), "posts")
@@ -218,7 +223,7 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     named = written(heads.select("sid", F.col("at._id").alias("_id"), F.col("at._h").alias("_h")), "heads")
     texts = keyed.join(named, keyed["_id"].eqNullSafe(named["_id"]) & (keyed["_h"] == named["_h"])).select("sid", "_text")
     # A row that is repeated brings its set once for each copy.
-    sets = texts.mapInArrow(_full_sets(width), "sid long, tokens binary").join(least, "sid").dropDuplicates(["sid"])
+    sets = texts.mapInArrow(_full_sets(width), "sid long, tokens array<long>").join(least, "sid").dropDuplicates(["sid"])
     sets = written(sets.select("sid", "tok", "n", "tokens"), "sets")
     level, group = sets, None
     while True:
@@ -242,8 +247,15 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         if level.count() >= large.agg(F.sum("m")).first()[0]:
             break  # nothing merges any more; the matrix decides the rest
 
-    place = sets.select("sid", "tok").join(written(sets.groupBy("tok").agg(F.ceil(F.count("*") / block).alias("mb")), "sizes"), "tok")
-    place = place.select("sid", F.xxhash64("tok", F.pmod(F.xxhash64("sid"), F.col("mb"))).alias("blk"))
+    # Shingles that no other set has can't be shared: with n - u of its n shingles a set reaches
+    # partners of at most 2.25 (n - u) - n shingles, as 0.8 asks for 4/9 of both sizes in common.
+    alone = sets.select("sid", F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("c"), F.min("sid").alias("sid")).filter("c = 1").groupBy("sid").agg(F.count("*").alias("u"))
+    reach = written(sets.select("sid", "tok", "n").join(alone, "sid", "left").select("sid", "tok", "n", ((9 * (F.col("n") - F.coalesce("u", F.lit(0)))) / 4 - F.col("n")).alias("reach")), "reach")
+    # Blocks hold sets of one group and of like size.
+    kind = [F.col("tok"), F.floor(F.log("n") * 20).alias("step")]
+    sizes = written(reach.groupBy(*kind).agg(F.ceil(F.count("*") / block).alias("mb")), "sizes")
+    place = reach.withColumn("step", kind[1]).join(sizes, ["tok", "step"])
+    place = place.select("sid", "reach", F.xxhash64("tok", "step", F.pmod(F.xxhash64("sid"), F.col("mb"))).alias("blk"))
     posts = _active(posts, written(group.join(place, "sid"), "places"))
     joined = _across(posts, sets, block) if posts.head(1) else None
     if joined is not None:
@@ -275,10 +287,10 @@ def _groups(posts: DataFrame) -> DataFrame:
 
 def _active(posts: DataFrame, places: DataFrame) -> DataFrame:
     """Shingles that several components have, of sets that have enough of them to be linked across
-    components: tok, sid, n, grp (the component), blk and g (blocks with the shingle)."""
+    components: tok, sid, n, grp (the component), blk, reach and g (blocks with the shingle)."""
     posts = posts.join(places, "sid")
     for _ in range(2):
-        posts = written(posts.select("tok", "sid", "n", "grp", "blk"), "posts")
+        posts = written(posts.select("tok", "sid", "n", "grp", "blk", "reach").filter("reach >= n * 0.8"), "posts")
         spread = posts.groupBy("tok").agg(F.min("grp").alias("x"), F.max("grp").alias("y"), F.approx_count_distinct("blk").alias("g")).filter("x < y").select("tok", "g")
         posts = posts.join(written(spread, "spread"), "tok")
         able = posts.groupBy("sid").agg(F.count("*").alias("c"), F.first("n").alias("n")).filter(f"c >= {_need(_least_partner('n'))}").select("sid")
@@ -288,16 +300,17 @@ def _active(posts: DataFrame, places: DataFrame) -> DataFrame:
 
 def _across(posts: DataFrame, sets: DataFrame, block: int) -> DataFrame | None:
     """Components of components, by all sets that may be linked to another block."""
-    matrix = written(posts.select("tok", "blk").distinct(), "matrix")
+    spans = posts.groupBy("blk").agg(F.min("n").alias("bmin"), F.max("n").alias("bmax"), F.max("reach").alias("breach"))
+    matrix = written(posts.select("tok", "blk").distinct().join(written(spans, "spans"), "blk"), "matrix")
     need = _need(_least_partner("n"))
     # By falling spread the first K - 1 of a set's shingles needn't open a block.
     rank = F.row_number().over(Window.partitionBy("sid").orderBy(F.desc("g"), "tok"))
-    asks = posts.withColumn("r", rank).filter(f"r >= {need}").select("sid", "n", "tok", "grp", F.col("blk").alias("own"))
-    # Of two blocks the one of lower number asks.
-    found = asks.join(matrix, "tok").filter("own < blk")
+    asks = posts.withColumn("r", rank).filter(f"r >= {need}").select("sid", "n", "tok", "grp", "reach", F.col("blk").alias("own"))
+    # Of two blocks the one of lower number asks (and each asks itself), if sizes and reach of both allow for a link.
+    found = asks.join(matrix, "tok").filter("own <= blk and bmin <= reach and n <= breach and 5 * bmax >= 4 * n and 5 * n >= 4 * bmin")
     opened = written(found.groupBy("sid", "blk").agg(F.first("n").alias("n"), F.first("grp").alias("grp")), "opened")
     # The full bound: shared shingles of the short list with the block's union.
-    every = posts.select("sid", "tok").join(opened, "sid").join(matrix, ["tok", "blk"])
+    every = posts.select("sid", "tok").join(opened, "sid").join(matrix.select("tok", "blk"), ["tok", "blk"])
     able = every.groupBy("sid", "blk").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("grp").alias("own")).filter(f"c >= {need}").select("sid", "blk", "own")
     able = written(able, "queries")
     if not able.head(1):
