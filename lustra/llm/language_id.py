@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Families of languages, by ISO 639-1 code.  Any other code is a family of its own.
 FAMILIES = {
@@ -166,8 +167,7 @@ def _predict(shared):
                     has = bool(t) and _LETTER.search(t) is not None
                     langs.append(a if has else "und")
                     scores.append(min(1.0, max(0.0, s)) if has else 0.0)
-            keep = [k for k in batch.schema.names if k != "_text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("_rest"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["_rest", "lang_pred", "score"])
 
     return run
 
@@ -182,6 +182,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep:
     """
     spark = docs.sparkSession
     keep = [c for c in (keep or docs.columns) if c not in ("lang_pred", "score")]
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("_text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text"), "lang_pred string, score double"])
-    return rows.mapInArrow(_predict(spark.sparkContext.broadcast(model)), schema)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_rest"), F.col(f"`{text_col}`").alias("_text"))
+    schema = T.StructType([rows.schema["_rest"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    out = rows.mapInArrow(_predict(spark.sparkContext.broadcast(model)), schema)
+    return out.select(*[F.col(f"_rest.`{c}`").alias(c) for c in keep], "lang_pred", "score")

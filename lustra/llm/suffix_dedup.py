@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .scratch import written
 from .suffix_array import suffix_array
@@ -308,8 +309,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``docs`` with the repeated bytes of each text removed, and the pieces of characters that a
     cut leaves over; nulls stay null.  Cases as in :func:`suffix_dedup`."""
     spans = repeated_spans(docs, id_col, text_col, **options)
-    rest = [c for c in docs.columns if c != text_col]
-    cut = docs.select(*[F.col(f"`{c}`") for c in rest], *_keyed(docs, id_col, text_col)).join(spans, ["_id", "_h"], "left")
-    cut = cut.select(*[F.col(f"`{c}`") for c in rest], "_text", "_spans")
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest), "_kept string"])
-    return cut.mapInArrow(_cut_texts, schema).withColumnRenamed("_kept", text_col).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("_rest")
+    cut = docs.select(rest, *_keyed(docs, id_col, text_col)).join(spans, ["_id", "_h"], "left").select("_rest", "_text", "_spans")
+    out = cut.mapInArrow(_cut_texts, T.StructType([cut.schema["_rest"], T.StructField("_kept", T.StringType())]))
+    return out.select(*[(F.col("_kept") if c == text_col else F.col(f"_rest.`{c}`")).alias(c) for c in docs.columns])
