@@ -117,12 +117,18 @@ class Tokens:
         return np.split(ids, cuts[:-1])
 
 
+@lru_cache(1)
+def _tokens(path: str) -> Tokens:
+    """Kept by a worker over its tasks."""
+    return Tokens(path)
+
+
 def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, end_id: int = 2) -> DataFrame:
     """Tokenised documents, cut where they are longer than a sequence; the first piece may be
     shorter.  Rows: doc_id, piece, start, length, ids_crc32."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens(path)
+        tokens = _tokens(path)
 
         def rows(keys: list, texts: list[str]) -> pa.RecordBatch:
             out: list[list] = [[], [], [], [], []]
