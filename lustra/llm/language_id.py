@@ -53,7 +53,7 @@ def _features(texts: list[bytes], dims: int = DIMS) -> np.ndarray:
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: float = 20.0, steps: int = 300) -> np.ndarray:
     """Linear machine with squared hinge loss, by accelerated gradient descent; bias last."""
-    x = np.hstack([x, np.ones((len(x), 1), dtype=np.float32)])
+    x = np.hstack([x, np.ones((len(x), 1), dtype=np.float32)]).astype(np.float64)
     cost = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
     w = np.zeros(x.shape[1])
     z, t = w.copy(), 1.0
