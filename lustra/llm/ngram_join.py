@@ -21,6 +21,7 @@ Every bound is a necessary condition, so no link is lost; nothing is sampled or
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .scratch import written
-from .textkit import Rolling, mix, shingle_set
+from .textkit import shingle_sets
 
 #: Most sets in a block that is compared in one task.
 BLOCK = 256
@@ -47,10 +48,8 @@ def _least_partner(n: str) -> str:
 
 
 def _sid(tokens: np.ndarray) -> int:
-    if not len(tokens):
-        return 0
-    both = np.array([np.add.reduce(mix(tokens)), np.bitwise_xor.reduce(mix(~tokens)), len(tokens)], dtype=np.uint64)
-    return int(Rolling(mix(both)).windows(3).view(np.int64)[0])
+    """A 64-bit name of a set; 0: the empty set."""
+    return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True) if len(tokens) else 0
 
 
 def _signatures(width: int):
@@ -60,8 +59,7 @@ def _signatures(width: int):
             ids, texts = batch.column(0), batch.column(1)
             hashes = batch.column(2)
             at, out, held = 0, [], 0
-            for k, text in enumerate(texts):
-                tokens = shingle_set(text.as_py() or b"", width)
+            for k, tokens in enumerate(shingle_sets([t or b"" for t in texts.to_pylist()], width)):
                 n = len(tokens)
                 sid = _sid(tokens)
                 short = None
@@ -86,9 +84,11 @@ def _full_sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, held = [], 0
-            for sid, text in zip(batch.column(0), batch.column(1)):
-                out.append((sid.as_py(), shingle_set(text.as_py() or b"", width).view(np.int64)))
-                held += len(out[-1][1])
+            for sid, tokens in zip(batch.column(0).to_pylist(), shingle_sets([t or b"" for t in batch.column(1).to_pylist()], width)):
+                if _sid(tokens) != sid:
+                    continue  # another text of the same id and text hash
+                out.append((sid, tokens.view(np.int64)))
+                held += len(tokens)
                 if held > 500_000:
                     yield _set_batch(out)
                     out, held = [], 0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 _U = np.uint64
@@ -68,15 +70,20 @@ def sliding(a: np.ndarray, width: int, op) -> np.ndarray:
     return op(a[:-rest], a[rest:]) if rest else a
 
 
+def _edges(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words in an array of bytes."""
+    inside = np.zeros(len(x) + 2, dtype=np.int8)
+    inside[1:-1] = ~SPACE[x]
+    edge = np.diff(inside)
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
 def words(data: bytes) -> np.ndarray:
     """Hash of each word ``[^\\x20\\x09-\\x0D]+`` with A-Z lowered, in order."""
     x = np.frombuffer(data, dtype=np.uint8)
     if not len(x):
         return np.zeros(0, dtype=np.uint64)
-    inside = np.zeros(len(x) + 2, dtype=np.int8)
-    inside[1:-1] = ~SPACE[x]
-    edge = np.diff(inside)
-    return Rolling(FOLDED[x]).slices(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1))
+    return Rolling(FOLDED[x]).slices(*_edges(x))
 
 
 def shingles(word: np.ndarray, width: int = 5) -> np.ndarray:
@@ -92,6 +99,37 @@ def shingles(word: np.ndarray, width: int = 5) -> np.ndarray:
     return mix(h)
 
 
+def _distinct(h: np.ndarray) -> np.ndarray:
+    h = np.sort(h)
+    new = np.ones(len(h), dtype=bool)
+    np.not_equal(h[1:], h[:-1], out=new[1:])
+    return h[new]
+
+
 def shingle_set(data: bytes, width: int = 5) -> np.ndarray:
     """Sorted distinct shingle hashes of a text."""
-    return np.unique(shingles(words(data), width))
+    return _distinct(shingles(words(data), width))
+
+
+def shingle_sets(texts: list[bytes], width: int = 5, chunk: int = 1 << 16) -> Iterator[np.ndarray]:
+    """:func:`shingle_set` of each text; neighbouring texts of ``chunk`` bytes together are hashed
+    in one pass."""
+    at = 0
+    while at < len(texts):
+        stop, size = at + 1, len(texts[at])
+        while stop < len(texts) and size + len(texts[stop]) < chunk:
+            size += len(texts[stop]) + 1
+            stop += 1
+        x = np.frombuffer(b" ".join(texts[at:stop]), dtype=np.uint8)
+        if len(x):
+            start, end = _edges(x)
+            word = Rolling(FOLDED[x]).slices(start, end)
+        else:
+            start = word = np.zeros(0, dtype=np.uint64)
+        every = shingles(word, width) if len(word) >= width else word
+        bound = np.searchsorted(start, np.cumsum([len(t) + 1 for t in texts[at:stop]])).tolist()
+        first = 0
+        for last in bound:
+            yield _distinct(every[first : last - width + 1] if last - first >= width else shingles(word[first:last], width))
+            first = last
+        at = stop
