@@ -115,6 +115,14 @@ class _Columns:
         row = np.repeat(np.arange(len(sets)), self.size)
         order = np.argsort(flat, kind="stable")
         self.token, self.row = flat[order], row[order]
+        self.left = len(sets)
+
+    def forget(self, gone: np.ndarray) -> None:
+        """Leave out the given rows, once they are half of those that remain."""
+        stay = len(gone) - int(gone.sum())
+        if 2 * stay <= self.left:
+            keep = ~gone[self.row]
+            self.token, self.row, self.left = self.token[keep], self.row[keep], stay
 
     def likely(self, tokens: np.ndarray) -> np.ndarray:
         """Rows with a likeness of at least 0.8 to the given sorted set."""
@@ -130,33 +138,30 @@ class _Columns:
 
 
 def _block_groups(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Linked groups of one block: each row's group, named by its least sid, and the row with most
-    links as the group's representative."""
+    """Linked groups of one block: each row's group, named by its least sid, and as the group's
+    representative the row through which most of the group was reached.
+
+    A search from set to set; each one is compared with those not reached yet only.
+    """
     pdf = pdf.sort_values("sid").reset_index(drop=True)
     sets = [_tokens(t) for t in pdf.tokens]
-    root = list(range(len(sets)))
-
-    def find(k: int) -> int:
-        while root[k] != k:
-            root[k] = root[root[k]]
-            k = root[k]
-        return k
-
+    top = np.full(len(sets), -1, dtype=np.int64)
+    lead = np.zeros(len(sets), dtype=bool)
     columns = _Columns(sets)
-    degree = np.zeros(len(sets), dtype=np.int64)
-    for k, s in enumerate(sets):
-        near = columns.likely(s)
-        degree[k] = len(near)
-        for j in near.tolist():
-            a, b = find(k), find(j)
-            if a != b:
-                root[max(a, b)] = min(a, b)
-    top = np.array([find(k) for k in range(len(sets))])
-    first = np.lexsort((np.arange(len(sets)), -degree, top))
-    lead = first[np.r_[True, top[first][1:] != top[first][:-1]]]
-    out = pd.DataFrame({"sid": pdf.sid, "grp": pdf.sid.to_numpy()[top], "head": False})
-    out.loc[lead, "head"] = True
-    return out
+    for seed in range(len(sets)):
+        if top[seed] >= 0:
+            continue
+        top[seed] = seed
+        reached, best = [seed], (-1, 0)
+        for k in reached:
+            near = columns.likely(sets[k])
+            near = near[top[near] < 0]
+            top[near] = seed
+            reached += near.tolist()
+            best = max(best, (len(near), -k))
+            columns.forget(top >= 0)
+        lead[-best[1]] = True
+    return pd.DataFrame({"sid": pdf.sid, "grp": pdf.sid.to_numpy()[top], "head": lead})
 
 
 def _open(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
