@@ -215,11 +215,11 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = signed.drop("short")
     short = signed.filter("short is not null").select("sid", "n", F.explode("short").alias("tok"))
     shared = written(short.groupBy("tok").agg(F.count("*").alias("c")).filter("c > 1").select("tok"), "tokens")
-    posts = written(short.join(shared, "tok").groupBy("tok", "sid").agg(F.first("n").alias("n")), "posts")
+    posts = written(short.join(shared.hint("shuffle_hash"), "tok").groupBy("tok", "sid").agg(F.first("n").alias("n")), "posts")
 
     for _ in range(2):
         common = written(posts.groupBy("tok").agg(F.count("*").alias("c")).filter("c > 1").select("tok"), "tokens")
-        posts = posts.join(common, "tok")
+        posts = posts.join(common.hint("shuffle_hash"), "tok")
         able = posts.groupBy("sid").agg(F.count("*").alias("c"), F.first("n").alias("n")).filter(f"c >= {_need(_least_partner('n'))}").select("sid")
         posts = written(posts.join(written(able, "able"), "sid").select("tok", "sid", "n"), "posts")
 
