@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .scratch import written
+from .scratch import discard, written
 from .textkit import shingle_sets
 
 #: Most sets in a block that is compared in one task.
@@ -212,16 +212,20 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     keyed = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").cast("binary").alias("_text"), F.shiftright(F.xxhash64(f"`{text_col}`"), 32).cast("int").alias("_h"))
     fields = "_id long, _h int, sid long, n long, short array<long>"
     signed = written(keyed.mapInArrow(_signatures(width), fields), "signed")
-    rows = signed.drop("short")
+    rows = written(signed.drop("short"), "rows")
     short = signed.filter("short is not null").select("sid", "n", F.explode("short").alias("tok"))
     shared = written(short.groupBy("tok").agg(F.count("*").alias("c")).filter("c > 1").select("tok"), "tokens")
     posts = written(short.join(shared.hint("shuffle_hash"), "tok").groupBy("tok", "sid").agg(F.first("n").alias("n")), "posts")
+    discard(signed, shared)
 
     for _ in range(2):
         common = written(posts.groupBy("tok").agg(F.count("*").alias("c")).filter("c > 1").select("tok"), "tokens")
-        posts = posts.join(common.hint("shuffle_hash"), "tok")
-        able = posts.groupBy("sid").agg(F.count("*").alias("c"), F.first("n").alias("n")).filter(f"c >= {_need(_least_partner('n'))}").select("sid")
-        posts = written(posts.join(written(able, "able"), "sid").select("tok", "sid", "n"), "posts")
+        joined = posts.join(common.hint("shuffle_hash"), "tok")
+        able = joined.groupBy("sid").agg(F.count("*").alias("c"), F.first("n").alias("n")).filter(f"c >= {_need(_least_partner('n'))}").select("sid")
+        able = written(able, "able")
+        kept = written(joined.join(able, "sid").select("tok", "sid", "n"), "posts")
+        discard(posts, common, able)
+        posts = kept
 
     least = _groups(posts)
     heads = rows.join(least.select("sid"), "sid").groupBy("sid").agg(F.min(F.struct("_id", "_h")).alias("at"))
@@ -230,6 +234,7 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # A row that is repeated brings its set once for each copy.
     sets = texts.mapInArrow(_full_sets(width), "sid long, tokens array<long>").join(least, "sid").dropDuplicates(["sid"])
     sets = written(sets.select("sid", "tok", "n", "tokens"), "sets")
+    discard(least, named)
     level, group = sets, None
     while True:
         counts = written(level.groupBy("tok").agg(F.count("*").alias("m")), "blocks")
@@ -238,19 +243,25 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         solved = written(blocked.groupBy("tok", "salt").applyInPandas(_block_groups, "sid long, grp long, head boolean"), "groups")
         pairs = solved.select("sid", "grp")
         if group is None:
-            group = pairs
+            group = written(pairs, "group")
         else:
             # The heads' groups carry over to all they stand for.
             up = heads_of.join(pairs, "sid").select(F.col("grp0").alias("grp"), F.col("grp").alias("up"))
-            group = group.join(up, "grp", "left").select("sid", F.coalesce("up", "grp").alias("grp"))
-        group = written(group, "group")
+            joined = written(group.join(up, "grp", "left").select("sid", F.coalesce("up", "grp").alias("grp")), "group")
+            discard(group, heads_of)
+            group = joined
         large = counts.filter(F.col("m") > block)
         if not large.head(1):
             break
-        level = written(level.join(solved.filter("head").select("sid"), "sid").join(large.select("tok"), "tok"), "level")
+        narrowed = written(level.join(solved.filter("head").select("sid"), "sid").join(large.select("tok"), "tok"), "level")
+        if level is not sets:
+            discard(level)
+        level = narrowed
         heads_of = written(level.select("sid").join(group, "sid").select("sid", F.col("grp").alias("grp0")), "tops")
         if level.count() >= large.agg(F.sum("m")).first()[0]:
             break  # nothing merges any more; the matrix decides the rest
+    if level is not sets:
+        discard(level)
 
     # Shingles that no other set has can't be shared: with n - u of its n shingles a set reaches
     # partners of at most 2.25 (n - u) - n shingles, as 0.8 asks for 4/9 of both sizes in common.
@@ -261,7 +272,10 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     sizes = written(reach.groupBy(*kind).agg(F.ceil(F.count("*") / block).alias("mb")), "sizes")
     place = reach.withColumn("step", kind[1]).join(sizes, ["tok", "step"])
     place = place.select("sid", "reach", F.xxhash64("tok", "step", F.pmod(F.xxhash64("sid"), F.col("mb"))).alias("blk"))
-    posts = _active(posts, written(group.join(place, "sid"), "places"))
+    places = written(group.join(place, "sid"), "places")
+    active = _active(posts, places)
+    discard(posts, places, reach)
+    posts = active
     joined = _across(posts, sets, block) if posts.head(1) else None
     if joined is not None:
         group = written(group.join(joined, group["grp"] == joined["node"], "left").select("sid", F.coalesce("root", "grp").alias("grp")), "group")
@@ -287,20 +301,26 @@ def _groups(posts: DataFrame) -> DataFrame:
     best = votes.groupBy("sid").agg(F.max(F.struct("v", "tsize", "to")).alias("best"))
     chosen = own.join(sizes, "own").join(best, "sid")
     moves = (F.col("best.tsize") > F.col("size")) & (2 * F.col("best.v") >= F.col("c"))
-    return written(chosen.select("sid", F.when(moves, F.col("best.to")).otherwise(F.col("own")).alias("tok"), "n"), "grouped")
+    grouped = written(chosen.select("sid", F.when(moves, F.col("best.to")).otherwise(F.col("own")).alias("tok"), "n"), "grouped")
+    discard(own, sizes, largest)
+    return grouped
 
 
 def _active(posts: DataFrame, places: DataFrame) -> DataFrame:
     """Shingles that several components have, of sets that have enough of them to be linked across
     components: tok, sid, n, grp (the component), blk, reach and g (blocks with the shingle)."""
-    posts = posts.join(places, "sid")
+    near = posts.join(places, "sid").filter("reach >= n * 0.8")
+    last = written(near.select("tok", "sid", "n", "grp", "blk", "reach"), "posts")
     for _ in range(2):
-        posts = written(posts.select("tok", "sid", "n", "grp", "blk", "reach").filter("reach >= n * 0.8"), "posts")
-        spread = posts.groupBy("tok").agg(F.min("grp").alias("x"), F.max("grp").alias("y"), F.approx_count_distinct("blk").alias("g")).filter("x < y").select("tok", "g")
-        posts = posts.join(written(spread, "spread"), "tok")
-        able = posts.groupBy("sid").agg(F.count("*").alias("c"), F.first("n").alias("n")).filter(f"c >= {_need(_least_partner('n'))}").select("sid")
-        posts = posts.join(written(able, "able"), "sid")
-    return written(posts, "posts")
+        spread = last.groupBy("tok").agg(F.min("grp").alias("x"), F.max("grp").alias("y"), F.approx_count_distinct("blk").alias("g")).filter("x < y").select("tok", "g")
+        spread = written(spread, "spread")
+        joined = last.drop("g").join(spread, "tok")
+        able = joined.groupBy("sid").agg(F.count("*").alias("c"), F.first("n").alias("n")).filter(f"c >= {_need(_least_partner('n'))}").select("sid")
+        able = written(able, "able")
+        kept = written(joined.join(able, "sid"), "posts")
+        discard(last, spread, able)
+        last = kept
+    return last
 
 
 def _across(posts: DataFrame, sets: DataFrame, block: int) -> DataFrame | None:
