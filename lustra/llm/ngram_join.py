@@ -84,10 +84,11 @@ def _full_sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, held = [], 0
-            for sid, tokens in zip(batch.column(0).to_pylist(), shingle_sets([t or b"" for t in batch.column(1).to_pylist()], width)):
+            of = zip(*(batch.column(k).to_pylist() for k in range(3)))
+            for (sid, tok, n), tokens in zip(of, shingle_sets([t or b"" for t in batch.column(3).to_pylist()], width)):
                 if _sid(tokens) != sid:
                     continue  # another text of the same id and text hash
-                out.append((sid, tokens.view(np.int64)))
+                out.append((sid, tok, n, tokens.view(np.int64)))
                 held += len(tokens)
                 if held > 500_000:
                     yield _set_batch(out)
@@ -99,7 +100,8 @@ def _full_sets(width: int):
 
 
 def _set_batch(out: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.list_(pa.int64()))], names=["sid", "tokens"])
+    kinds = {"sid": pa.int64(), "tok": pa.int64(), "n": pa.int64(), "tokens": pa.list_(pa.int64())}
+    return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out), kinds.values())], names=list(kinds))
 
 
 def _tokens(x) -> np.ndarray:
@@ -228,12 +230,11 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         posts = kept
 
     least = _groups(posts)
-    heads = rows.join(least.select("sid"), "sid").groupBy("sid").agg(F.min(F.struct("_id", "_h")).alias("at"))
-    named = written(heads.select("sid", F.col("at._id").alias("_id"), F.col("at._h").alias("_h")), "heads")
-    texts = keyed.join(named, keyed["_id"].eqNullSafe(named["_id"]) & (keyed["_h"] == named["_h"])).select("sid", "_text")
+    heads = rows.select("sid", "_id", "_h").join(least, "sid").groupBy("sid", "tok", "n").agg(F.min(F.struct("_id", "_h")).alias("at"))
+    named = written(heads.select("sid", "tok", "n", F.col("at._id").alias("_id"), F.col("at._h").alias("_h")), "heads")
+    texts = keyed.join(named, keyed["_id"].eqNullSafe(named["_id"]) & (keyed["_h"] == named["_h"])).select("sid", "tok", "n", "_text")
     # A row that is repeated brings its set once for each copy.
-    sets = texts.mapInArrow(_full_sets(width), "sid long, tokens array<long>").join(least, "sid").dropDuplicates(["sid"])
-    sets = written(sets.select("sid", "tok", "n", "tokens"), "sets")
+    sets = written(texts.mapInArrow(_full_sets(width), "sid long, tok long, n long, tokens array<long>").dropDuplicates(["sid"]), "sets")
     discard(least, named)
     level, group = sets, None
     while True:
