@@ -233,9 +233,10 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     heads = rows.select("sid", "_id", "_h").join(least, "sid").groupBy("sid", "tok", "n").agg(F.min(F.struct("_id", "_h")).alias("at"))
     named = written(heads.select("sid", "tok", "n", F.col("at._id").alias("_id"), F.col("at._h").alias("_h")), "heads")
     texts = keyed.join(named, keyed["_id"].eqNullSafe(named["_id"]) & (keyed["_h"] == named["_h"])).select("sid", "tok", "n", "_text")
+    texts = written(texts, "texts")
     # A row that is repeated brings its set once for each copy.
     sets = written(texts.mapInArrow(_full_sets(width), "sid long, tok long, n long, tokens array<long>").dropDuplicates(["sid"]), "sets")
-    discard(least, named)
+    discard(least, named, texts)
     level, group = sets, None
     while True:
         counts = written(level.groupBy("tok").agg(F.count("*").alias("m")), "blocks")
