@@ -34,11 +34,12 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     scratch.release(spark)
     linked = ngram_join.linked_components(docs)
     wordless = F.col("n_shingles") == 0
-    chosen = linked.groupBy("component_id", F.when(wordless, F.struct("doc_id", "_h")).alias("own")).agg(F.min(F.struct("doc_id", "_h")).alias("keep"))
-    chosen = scratch.written(chosen.select(F.col("keep.doc_id").alias("_id"), F.col("keep._h").alias("_hash")).distinct(), "keep")
-    hashed = docs.withColumn("_h", F.shiftright(F.xxhash64("text"), 32).cast("int"))
+    chosen = linked.groupBy("_comp", F.when(wordless, F.struct("doc_id", "_h")).alias("own")).agg(F.min(F.struct("doc_id", "_h")).alias("keep"))
+    chosen = scratch.written(chosen.select(F.col("keep.doc_id").alias("_id"), F.col("keep._h").alias("_hash"), F.col("own").isNotNull().alias("_own")).distinct(), "keep")
+    hashed = docs.withColumn("_h", F.xxhash64("text"))
     kept = hashed.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")))
-    return kept.dropDuplicates(["doc_id", "_h"]).select(*docs.columns)
+    whole = F.when(F.col("_own"), F.to_json(F.struct(*docs.columns), {"ignoreNullFields": "false"}))
+    return kept.withColumn("_whole", whole).dropDuplicates(["doc_id", "_h", "_whole"]).select(*docs.columns)
 
 
 def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

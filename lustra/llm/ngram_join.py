@@ -204,15 +204,18 @@ def components(edges: DataFrame, name: str) -> DataFrame:
 
 
 def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, block: int = BLOCK) -> DataFrame:
-    """One row per input row: ``id_col``, _h (32-bit hash of the text), n_shingles, component_id.
+    """One row per input row: ``id_col``, _h (64-bit hash of the text), n_shingles, component_id, _comp.
+
+    component_id is the least id of the component, so null and repeated ids may give several
+    components one name; _comp tells them apart.  It is null for rows without shingles.
 
     Defined cases: texts that are null, empty or without words have no shingles, and are their own
     component even if repeated; with fewer than ``width`` words the whole sequence is the one
     shingle; equal sets are linked whatever their ids; null ids count for nothing as component ids;
     repeated rows are kept; an empty table stays empty; other columns are dropped.
     """
-    keyed = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").cast("binary").alias("_text"), F.shiftright(F.xxhash64(f"`{text_col}`"), 32).cast("int").alias("_h"))
-    fields = "_id long, _h int, sid long, n long, short array<long>"
+    keyed = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").cast("binary").alias("_text"), F.xxhash64(f"`{text_col}`").alias("_h"))
+    fields = "_id long, _h long, sid long, n long, short array<long>"
     signed = written(keyed.mapInArrow(_signatures(width), fields), "signed")
     rows = written(signed.drop("short"), "rows")
     short = signed.filter("short is not null").select("sid", "n", F.explode("short").alias("tok"))
@@ -286,10 +289,10 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     sizes = rows.filter("n > 0").groupBy("sid").agg(F.min("_id").alias("low"))
     whole = sizes.join(group, "sid", "left").select("sid", F.coalesce("grp", "sid").alias("grp"), F.col("grp").isNotNull().alias("g"), "low")
     least_of = whole.filter("g").groupBy("grp").agg(F.min("low").alias("least"))
-    label = whole.join(written(least_of, "least"), "grp", "left").select("sid", F.when(F.col("g"), F.col("least")).otherwise(F.col("low")).alias("component_id"))
+    label = whole.join(written(least_of, "least"), "grp", "left").select("sid", F.when(F.col("g"), F.col("least")).otherwise(F.col("low")).alias("component_id"), F.col("grp").alias("_comp"))
     label = written(label, "labels")
     out = rows.join(label, "sid", "left")
-    return out.select(F.col("_id").alias(id_col), "_h", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_id")).alias("component_id"))
+    return out.select(F.col("_id").alias(id_col), "_h", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_id")).alias("component_id"), "_comp")
 
 
 def _groups(posts: DataFrame) -> DataFrame:

@@ -64,7 +64,7 @@ def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.linked_components(table(spark, sf_dir, "documents")).drop("_h")
+    return ngram_join.linked_components(table(spark, sf_dir, "documents")).drop("_h", "_comp")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

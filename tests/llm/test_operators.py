@@ -335,3 +335,26 @@ def test_pipeline(spark, tmp_path, docs):
             assert after.count() == len(before)
         now = after
     assert now.groupBy("sequence_id").sum("length").filter("`sum(length)` > 1024").count() == 0
+
+
+def test_near_duplicates_of_odd_ids(spark):
+    import corpus_pipeline
+
+    r = random.Random(3)
+    text = lambda: " ".join(str(r.randrange(10**6)) for _ in range(60))
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [(None, a), (None, b), (None, b + " end"), (None, c), (7, d), (9, d + " end"), (7, e), (12, e + " end"), (None, None), (None, ""), (8, None), (8, "")]
+    rows = [(i, t, "en", "s", None) for i, t in rows] + [(None, "", "en", "other", None), (None, "", "en", "other", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = texts_of(corpus_pipeline.near_duplicate_stage(spark, df, ""))
+    assert len(kept) == 10 and kept.count((None, "")) == 2 and {(None, a), (None, c), (7, d), (7, e), (None, None), (None, ""), (8, None), (8, "")} < set(kept)
+    comp = {(x["doc_id"], x["_h"]): x["_comp"] for x in ngram_join.linked_components(df).collect()}
+    assert len({x for x in comp.values() if x is not None}) == 5
+
+
+def test_near_duplicates_of_many_null_ids(spark):
+    import corpus_pipeline
+
+    # Among so many texts some pairs agree in 32 bits of their hashes.
+    df = spark.range(200_000).selectExpr("CAST(NULL AS long) AS doc_id", "concat('t', id) AS text", "'en' AS lang", "'s' AS source", "0L AS n_chars")
+    assert corpus_pipeline.near_duplicate_stage(spark, df, "").count() == 200_000
