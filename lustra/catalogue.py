@@ -227,11 +227,28 @@ def issue_ratios(spark: SparkSession, sf: str) -> DataFrame:
     return _long(spark, messy(spark, sf, "messy_orders").agg(*aggs), _TEXTS)
 
 
-@_query()
+def _d_issues(c: str) -> str:
+    v = rf"regexp_replace({c}, '^\s+|\s+$', '', 'g')"
+    truthy, falsy = (f"lower({v}) IN ({', '.join(repr(w) for w in ws)})" for ws in (tpl.TRUE_WORDS, tpl.FALSE_WORDS))
+    say = lambda cond, issue: f"CASE WHEN {cond} THEN '{issue}' END"
+    found = [
+        say("currency_symbol_ratio > 0", "currency_string"),
+        say("n <= 2 AND every AND yes AND no", "inconsistent_boolean"),
+        say("n < 20 AND nv > nl", "inconsistent_casing"),
+        say("date_like_ratio > 0.1", "mixed_date_format"),
+        say("needs_trim_ratio > 0", "needs_trim"),
+        say("null_variant_ratio > 0", "null_variant"),
+        say("date_like_ratio <= 0.1 AND numeric_like_ratio > 0.1", "numeric_as_string"),
+        say("percent_sign_ratio > 0 OR mixed_percent_format > 0", "percentage_string"),
+    ]
+    return f"""SELECT column_name, concat_ws(',', {', '.join(found)}) AS issues FROM ({_d_facts(c)}),
+      (SELECT count(DISTINCT {c}) AS n, count(DISTINCT {v}) AS nv, count(DISTINCT lower({v})) AS nl, bool_and({truthy} OR {falsy}) AS every, bool_or({truthy}) AS yes, bool_or({falsy}) AS no FROM messy_orders)"""
+
+
+@_query(duck("messy_orders") + " UNION ALL ".join(_d_issues(c) for c in _TEXTS))
 def detect_issues(spark: SparkSession, sf: str) -> DataFrame:
-    df = sample.baseline(messy(spark, sf, "messy_orders"), "order_id", 1000)
-    got = df.agg(*[F.struct(*[v.alias(n) for n, v in profile.issue_facts(F.col(c)).items()]).alias(f"f{k}") for k, c in enumerate(_TEXTS)]).first()
-    rows = [(c, ",".join(sorted(profile.issues_of(got[f"f{k}"].asDict(), "string", got[f"f{k}"]["exact"])))) for k, c in enumerate(_TEXTS)]
+    facts = profile.whole_facts(messy(spark, sf, "messy_orders"), _TEXTS)
+    rows = [(c, ",".join(sorted(profile.issues_of(facts[c], "string", facts[c]["exact"])))) for c in _TEXTS]
     return _frame(spark, rows, "column_name string, issues string")
 
 
@@ -270,8 +287,11 @@ def id_signature(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query("SELECT 'signup_date' AS column_name, 'ambiguous' AS signature")
 def date_signature(spark: SparkSession, sf: str) -> DataFrame:
-    df = sample.baseline(messy(spark, sf, "messy_customer").select("customer_id", "signup_date"), "customer_id", 1000)
-    c = profile.enrich(profile.full_table(df, "c"), df).column("signup_date")
+    df = messy(spark, sf, "messy_customer").select("signup_date")
+    facts = profile.whole_facts(df, df.columns)["signup_date"]
+    c = ColumnProfile("signup_date", df.schema["signup_date"].dataType.simpleString(), 0.0)
+    c.issues = profile.issues_of(facts, c.declared_type, facts["exact"])
+    c.signature = profile.signature_of(c, facts)
     return _frame(spark, [(c.name, c.signature)], "column_name string, signature string")
 
 

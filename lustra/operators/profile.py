@@ -103,6 +103,21 @@ def issue_facts(raw: Column) -> dict[str, Column]:
     }
 
 
+def whole_facts(df: DataFrame, columns: list[str]) -> dict[str, dict]:
+    """The facts of each column over all rows, but for the symbols.  Distinct values are counted by
+    shuffle, and nothing keeps a set of them."""
+    facts_of = {c: {n: v for n, v in issue_facts(F.col(tpl.quoted(c))).items() if n not in _SETS} for c in columns}
+    got = df.agg(*[F.struct(*[v.alias(n) for n, v in facts_of[c].items()]).alias(f"f{k}") for k, c in enumerate(columns)]).first()
+    texts = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(tpl.quoted(c)).cast("string").alias("text")) for c in columns])).alias("x")
+    texts = df.select(texts).select("x.*").filter("text is not null").distinct()
+    v = stripped(F.col("text"))
+    counts = texts.groupBy("name").agg(F.count("*").alias("exact"), F.count_distinct(v).alias("distinct_values"), F.count_distinct(F.lower(v)).alias("distinct_folded"))
+    sizes = {r["name"]: {n: r[n] for n in _SETS if n != "symbols"} for r in counts.collect()}
+    return {c: got[f"f{k}"].asDict() | sizes.get(c, {"exact": 0, "distinct_values": 0, "distinct_folded": 0}) for k, c in enumerate(columns)}
+
+
+#: Facts that keep sets of values.
+_SETS = ("exact", "distinct_values", "distinct_folded", "symbols")
 RATIOS = ("currency_symbol_ratio", "percent_sign_ratio", "null_variant_ratio", "needs_trim_ratio", "mixed_percent_format", "date_like_ratio", "numeric_like_ratio")
 
 

@@ -1,5 +1,7 @@
 """Planning, guarding, previewing and loading."""
 
+import hashlib
+
 import pytest
 from lustra.config import Settings
 from lustra.functions import templates as tpl
@@ -197,3 +199,33 @@ def test_stream_and_merge(spark, tmp_path):
     old = spark.createDataFrame([(1, 1, None), (2, 1, None)], "id int, at int, gone int")
     new = spark.createDataFrame([(1, 2, None), (2, 2, 1)], "id int, at int, gone int")
     assert [r["id"] for r in incremental.merged(old, new, "id", "at", "gone").collect()] == [1]
+
+
+def test_issues_of_rare_values(spark, tmp_path):
+    import compare
+    import pandas as pd
+    from lustra import catalogue
+
+    day = pd.Timestamp("1995-01-02")
+    orders = pd.DataFrame({"o_orderkey": range(8000), "o_custkey": 1, "o_totalprice": 10.5, "o_orderdate": day, "o_orderpriority": "5-LOW"})
+    last = max(range(0, 8000, 4), key=lambda k: hashlib.md5(str(k).encode()).hexdigest())
+    orders.loc[last, "o_orderpriority"] = "\u20ac 5%"
+    orders.to_parquet(tmp_path / "orders.parquet", coerce_timestamps="us")
+    got = dict(map(tuple, catalogue.queries()["detect_issues"](spark, str(tmp_path)).collect()))
+    assert got["priority"] == "currency_string,inconsistent_casing,needs_trim,null_variant,percentage_string"
+    con = compare.duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet'")
+    assert got == dict(con.execute(catalogue.oracle_sql()["detect_issues"]).fetchall())
+
+
+def test_date_signature_of_all_rows(spark, tmp_path):
+    import pandas as pd
+    from lustra import catalogue
+
+    # The first thousand keys by hash have no date, all others have one.
+    at = lambda k: hashlib.md5(str(k).encode()).hexdigest()
+    dateless = sorted((k for k in range(-6000, 0) if -k % 12 > 1), key=at)[:1000]
+    dated = [k for k in range(1, 9000) if at(k) > at(dateless[-1])][:2000]
+    assert len(dated) == 2000
+    pd.DataFrame({"c_custkey": dateless + dated, "c_name": "x", "c_acctbal": 1.0, "c_nationkey": 1, "c_mktsegment": "a"}).to_parquet(tmp_path / "customer.parquet")
+    assert [tuple(r) for r in catalogue.queries()["date_signature"](spark, str(tmp_path)).collect()] == [("signup_date", "ambiguous")]
