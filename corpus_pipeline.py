@@ -17,15 +17,19 @@ from lustra.llm import language_id, mixing, ngram_join, packing, scratch, suffix
 
 #: The stages can't be said in SQL; tests compare them with brute force.
 ORACLE_SQL = None
+#: From this score on a prediction overrules the document's own language.
+SURE = 0.6
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a language: null texts and texts without a letter.  Documents that
-    had no language get the predicted one; the others keep theirs."""
+    have no language, or another one than a prediction with a score of ``SURE`` or more, get the
+    predicted one; the others keep theirs."""
     scratch.release(spark)
     model = language_id.train(docs)
     known = language_id.identify(docs, model).filter("lang_pred <> 'und'")
-    return known.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    keeps = F.col("lang").isNotNull() & (F.col("score") < SURE)
+    return known.withColumn("lang", F.when(keeps, F.col("lang")).otherwise(F.col("lang_pred"))).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

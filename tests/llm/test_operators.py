@@ -358,3 +358,15 @@ def test_near_duplicates_of_many_null_ids(spark):
     # Among so many texts some pairs agree in 32 bits of their hashes.
     df = spark.range(200_000).selectExpr("CAST(NULL AS long) AS doc_id", "concat('t', id) AS text", "'en' AS lang", "'s' AS source", "0L AS n_chars")
     assert corpus_pipeline.near_duplicate_stage(spark, df, "").count() == 200_000
+
+
+def test_language_stage_mends_labels(spark):
+    import corpus_pipeline
+
+    all_docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    wrong = "doc_id % 20 = 3 AND lang <> 'en'"
+    mixed = all_docs.selectExpr("doc_id", "text", f"CASE WHEN {wrong} THEN 'en' WHEN doc_id % 20 <> 4 THEN lang END AS lang", "source", "n_chars", "lang AS truth")
+    out = corpus_pipeline.language_stage(spark, mixed, "")
+    assert out.columns == mixed.columns and out.filter("lang is null").count() == 0
+    assert out.filter(f"{wrong.replace('lang', 'truth')} AND lang = truth").count() > 0.9 * mixed.filter(wrong.replace("lang", "truth")).count()
+    assert out.filter("lang <> truth").count() < 0.01 * out.count()
