@@ -10,7 +10,7 @@ from __future__ import annotations
 import uuid
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lustra.llm import language_id, mixing, ngram_join, packing, scratch, suffix_dedup
@@ -21,15 +21,21 @@ ORACLE_SQL = None
 SURE = 0.6
 
 
+def _packed(docs: DataFrame) -> Column:
+    """All columns in one, so that none can clash with a stage's own."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a language: null texts and texts without a letter.  Documents that
     have no language, or another one than a prediction with a score of ``SURE`` or more, get the
     predicted one; the others keep theirs."""
     scratch.release(spark)
     model = language_id.train(docs)
-    known = language_id.identify(docs, model).filter("lang_pred <> 'und'")
-    keeps = F.col("lang").isNotNull() & (F.col("score") < SURE)
-    return known.withColumn("lang", F.when(keeps, F.col("lang")).otherwise(F.col("lang_pred"))).select(*docs.columns)
+    known = language_id.identify(docs.select(_packed(docs), "text"), model, keep=["_row"]).filter("lang_pred <> 'und'")
+    keeps = F.col("_row.lang").isNotNull() & (F.col("score") < SURE)
+    lang = F.when(keeps, F.col("_row.lang")).otherwise(F.col("lang_pred"))
+    return known.select(*[(lang if c == "lang" else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,10 +46,11 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     wordless = F.col("n_shingles") == 0
     chosen = linked.groupBy("_comp", F.when(wordless, F.struct("doc_id", "_h")).alias("own")).agg(F.min(F.struct("doc_id", "_h")).alias("keep"))
     chosen = scratch.written(chosen.select(F.col("keep.doc_id").alias("_id"), F.col("keep._h").alias("_hash"), F.col("own").isNotNull().alias("_own")).distinct(), "keep")
-    hashed = docs.withColumn("_h", F.xxhash64("text"))
-    kept = hashed.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")))
-    whole = F.when(F.col("_own"), F.to_json(F.struct(*docs.columns), {"ignoreNullFields": "false"}))
-    return kept.withColumn("_whole", whole).dropDuplicates(["doc_id", "_h", "_whole"]).select(*docs.columns)
+    hashed = docs.select(_packed(docs), F.xxhash64("text").alias("_h"))
+    kept = hashed.join(chosen, F.col("_row.doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")))
+    whole = F.when(F.col("_own"), F.to_json("_row", {"ignoreNullFields": "false"}))
+    kept = kept.withColumn("_whole", whole).dropDuplicates(["_id", "_h", "_whole"])
+    return kept.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
 def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +58,7 @@ def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     documents stay; characters cut in two are dropped with the passage."""
     scratch.release(spark)
     rest = suffix_dedup.deduplicated(docs)
-    return rest.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return rest.withColumn("n_chars", F.length("text").cast("long")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -74,8 +74,13 @@ def mix(docs: DataFrame, size: Column | None = None, id_col: str = "doc_id", tex
     return joined.withColumn("_copies", copies).withColumnRenamed("source_size", "_source_size").withColumnRenamed("target", "_target").drop("_source")
 
 
-def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each row as many times as it is taken, with the columns of ``docs``."""
-    rows = mix(docs, **options)
+def mixed_rows(docs: DataFrame, size: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The mix itself: each row as many times as it is taken, with the columns of ``docs``, whatever
+    their names."""
+    own = {id_col: "_i", text_col: "_t", source_col: "_o"}
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in own]).alias("_rest")
+    given = [] if size is None else [size.alias("_given")]
+    packed = docs.select(rest, *[F.col(f"`{c}`").alias(k) for c, k in own.items()], *given)
+    rows = mix(packed, None if size is None else F.col("_given"), own[id_col], own[text_col], own[source_col], **options)
     rows = rows.filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.select(*[F.col(own[c] if c in own else f"_rest.`{c}`").alias(c) for c in docs.columns])

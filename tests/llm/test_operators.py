@@ -370,3 +370,19 @@ def test_language_stage_mends_labels(spark):
     assert out.columns == mixed.columns and out.filter("lang is null").count() == 0
     assert out.filter(f"{wrong.replace('lang', 'truth')} AND lang = truth").count() > 0.9 * mixed.filter(wrong.replace("lang", "truth")).count()
     assert out.filter("lang <> truth").count() < 0.01 * out.count()
+
+
+def test_pipeline_with_clashing_columns(spark, tmp_path):
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    names = "_id _h _hash _own _whole _row lang_pred score target source_size _size _source_size _target _copies _copy _source _s _rest _text _kept a.b".split()
+    extra = F.to_json(F.struct("doc_id", "source"))
+    now = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars", *[extra.alias(c) for c in names])
+    columns = now.columns
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, now, "").write.parquet(str(tmp_path / f"out{k}"))
+        now = spark.read.parquet(str(tmp_path / f"out{k}"))
+        if k < 4:
+            assert now.columns == columns and now.count() > 0
+            assert all(now.filter(~F.col(f"`{c}`").eqNullSafe(extra)).count() == 0 for c in names)
