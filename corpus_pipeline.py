@@ -1,8 +1,7 @@
 """A corpus pipeline in five stages.
 
 Each stage takes (spark, docs, sf_dir), works on every row that the stage before it kept and returns
-a DataFrame; all but the last return the columns of ``documents``.  A stage may delete the
-intermediate tables of the stage before, whose result has been written by then.
+a DataFrame; all but the last return the columns of ``documents``.
 """
 
 from __future__ import annotations
@@ -30,7 +29,6 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Drop documents without a language: null texts and texts without a letter.  Documents that
     have no language, or another one than a prediction with a score of ``SURE`` or more, get the
     predicted one; the others keep theirs."""
-    scratch.release(spark)
     model = language_id.train(docs)
     known = language_id.identify(docs.select(_packed(docs), "text"), model, keep=["_row"]).filter("lang_pred <> 'und'")
     keeps = F.col("_row.lang").isNotNull() & (F.col("score") < SURE)
@@ -41,13 +39,12 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of linked documents keep the one of least id (then of least text hash).
     Documents without words are linked with nothing and stay; of rows repeated in full one stays."""
-    scratch.release(spark)
     linked = ngram_join.linked_components(docs)
     wordless = F.col("n_shingles") == 0
     chosen = linked.groupBy("_comp", F.when(wordless, F.struct("doc_id", "_h")).alias("own")).agg(F.min(F.struct("doc_id", "_h")).alias("keep"))
     chosen = scratch.written(chosen.select(F.col("keep.doc_id").alias("_id"), F.col("keep._h").alias("_hash"), F.col("own").isNotNull().alias("_own")).distinct(), "keep")
-    hashed = docs.select(_packed(docs), F.xxhash64("text").alias("_h"))
-    kept = hashed.join(chosen, F.col("_row.doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")))
+    hashed = docs.select(_packed(docs), F.unhex(F.md5(F.col("text").cast("binary"))).alias("_h"))
+    kept = hashed.join(chosen, F.col("_row.doc_id").eqNullSafe(F.col("_id")) & F.col("_h").eqNullSafe(F.col("_hash")))
     whole = F.when(F.col("_own"), F.to_json("_row", {"ignoreNullFields": "false"}))
     kept = kept.withColumn("_whole", whole).dropDuplicates(["_id", "_h", "_whole"])
     return kept.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
@@ -56,20 +53,17 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Remove every byte of passages of 200 bytes or more that start in more than one place.  All
     documents stay; characters cut in two are dropped with the passage."""
-    scratch.release(spark)
     rest = suffix_dedup.deduplicated(docs)
     return rest.withColumn("n_chars", F.length("text").cast("long")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as its source's target asks for."""
-    scratch.release(spark)
     return mixing.mixed_rows(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces and their places in sequences of 1024."""
-    scratch.release(spark)
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -86,7 +80,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on ``documents``; each result but the last is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = f"{scratch.folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")
+        if before:
+            scratch.remove(spark, f"{base}/{before}")
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)

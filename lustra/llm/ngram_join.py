@@ -5,11 +5,11 @@ the result gives each document the least id that links lead to.  Equal sets coun
 
 1. Bound against everything else: of a set with n shingles, take those of least hash,
    n - ceil(0.8 n) + K(n) of them.  Linked sets share K or more of these, so a set whose short list
-   has fewer than K shingles in common with all others together has no link and is done.
-2. Groups: the remaining sets are parted by their least shared shingle; a set whose shingles lie
-   mostly in one larger group goes there instead.  Groups are dealt to blocks of bounded size, the
-   sets of a block are compared, and linked sets become one component.  Within a group components
-   are merged through one representative each, level by level.
+   has fewer than K shingles in common with all others together has no link and is done.  So is a
+   set of which more than a fifth of all shingles are in no other remaining set.
+2. Groups: the remaining sets are parted by their least shared shingle.  Groups are dealt to blocks
+   of bounded size, the sets of a block are compared, and linked sets become one component.  Within
+   a group components are merged through one representative each, level by level.
 3. Matrix: for each block, the union of its sets' short lists, and bounds of its sets' sizes and of
    the partner's size that their shared shingles allow.  A set has to share K shingles with
    a block's union before the block is opened; the K - 1 shingles found in most blocks don't open
@@ -29,7 +29,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .scratch import discard, written
 from .textkit import shingle_sets
@@ -80,15 +79,18 @@ def _signatures(width: int):
     return run
 
 
+_SETS = "sid long, tok long, n long, tokens array<long>, parts long"
+
+
 def _full_sets(width: int):
+    """Rows (sid, tok, n, text, parts) with the text's whole set in the text's place."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, held = [], 0
-            of = zip(*(batch.column(k).to_pylist() for k in range(3)))
-            for (sid, tok, n), tokens in zip(of, shingle_sets([t or b"" for t in batch.column(3).to_pylist()], width)):
-                if _sid(tokens) != sid:
-                    continue  # another text of the same id and text hash
-                out.append((sid, tok, n, tokens.view(np.int64)))
+            sid, tok, n, texts, parts = (x.to_pylist() for x in batch.columns)
+            for *row, tokens in zip(sid, tok, n, parts, shingle_sets(texts, width)):
+                out.append((*row, tokens.view(np.int64)))
                 held += len(tokens)
                 if held > 500_000:
                     yield _set_batch(out)
@@ -100,8 +102,8 @@ def _full_sets(width: int):
 
 
 def _set_batch(out: list[tuple]) -> pa.RecordBatch:
-    kinds = {"sid": pa.int64(), "tok": pa.int64(), "n": pa.int64(), "tokens": pa.list_(pa.int64())}
-    return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out), kinds.values())], names=list(kinds))
+    sid, tok, n, parts, tokens = zip(*out)
+    return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (sid, tok, n)), pa.array(tokens, pa.list_(pa.int64())), pa.array(parts, pa.int64())], names=["sid", "tok", "n", "tokens", "parts"])
 
 
 def _tokens(x) -> np.ndarray:
@@ -141,7 +143,8 @@ class _Columns:
 
 def _block_groups(pdf: pd.DataFrame) -> pd.DataFrame:
     """Linked groups of one block: each row's group, named by its least sid, and as the group's
-    representative the row through which most of the group was reached.
+    representative the row through which most of the group was reached.  Representatives of groups
+    that are dealt to several blocks keep their shingles for the next level.
 
     A search from set to set; each one is compared with those not reached yet only.
     """
@@ -163,15 +166,17 @@ def _block_groups(pdf: pd.DataFrame) -> pd.DataFrame:
             best = max(best, (len(near), -k))
             columns.forget(top >= 0)
         lead[-best[1]] = True
-    return pd.DataFrame({"sid": pdf.sid, "grp": pdf.sid.to_numpy()[top], "head": lead})
+    more = lead & (pdf.parts.to_numpy() > 1)
+    return pd.DataFrame({"sid": pdf.sid, "grp": pdf.sid.to_numpy()[top], "tok": pdf.tok, "tokens": [t if m else None for t, m in zip(pdf.tokens, more)]})
 
 
-def _open(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """Links between queries and the members of a block, as pairs of components."""
+def _open(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links between questions and the members of a block, as pairs of components."""
+    left, right = pdf[pdf.inside], pdf[~pdf.inside]
     found: set[tuple[int, int]] = set()
     if len(left) and len(right):
         columns = _Columns([_tokens(t) for t in left.tokens])
-        theirs = left.comp.to_numpy()
+        theirs = left.own.to_numpy()
         for own, tokens in zip(right.own.tolist(), right.tokens):
             found.update((own, c) for c in set(theirs[columns.likely(_tokens(tokens))].tolist()) if c != own)
     return pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
@@ -192,19 +197,23 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         hooks = across.filter("rb < ra").groupBy("ra").agg(F.min("rb").alias("lower"))
         hooks = written(hooks, name)
         if not hooks.head(1):
+            discard(both, hooks)
             return label
         # Roots that hook form chains; follow them to the end.
         while True:
             up = hooks.select(F.col("ra").alias("lower"), F.col("lower").alias("next"))
             jumped = written(hooks.join(up, "lower", "left").select("ra", F.coalesce("next", "lower").alias("lower"), F.col("next").isNotNull().alias("moved")), name)
-            hooks = jumped.select("ra", "lower")
+            discard(hooks)
+            hooks = jumped
             if not jumped.filter("moved").head(1):
                 break
-        label = written(label.join(hooks, label["root"] == hooks["ra"], "left").select("node", F.coalesce("lower", "root").alias("root")), name)
+        shorter = written(label.join(hooks.drop("moved"), label["root"] == hooks["ra"], "left").select("node", F.coalesce("lower", "root").alias("root")), name)
+        discard(label, hooks)
+        label = shorter
 
 
 def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, block: int = BLOCK) -> DataFrame:
-    """One row per input row: ``id_col``, _h (64-bit hash of the text), n_shingles, component_id, _comp.
+    """One row per input row: ``id_col``, _h (128-bit hash of the text), n_shingles, component_id, _comp.
 
     component_id is the least id of the component, so null and repeated ids may give several
     components one name; _comp tells them apart.  It is null for rows without shingles.
@@ -214,142 +223,147 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     shingle; equal sets are linked whatever their ids; null ids count for nothing as component ids;
     repeated rows are kept; an empty table stays empty; other columns are dropped.
     """
-    keyed = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").cast("binary").alias("_text"), F.xxhash64(f"`{text_col}`").alias("_h"))
-    fields = "_id long, _h long, sid long, n long, short array<long>"
+    keyed = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").cast("binary").alias("_text"), F.unhex(F.md5(F.col(f"`{text_col}`").cast("binary"))).alias("_h"))
+    rows, able = _candidates(keyed, width)
+    texts = _texts(keyed, able)
+    near = _reachable(able, texts, width)
+    discard(able)
+    # Groups by the least shared shingle, each dealt to as many blocks as it needs.
+    own = near.select("sid", "n", F.array_min("toks").alias("tok"))
+    parts = own.groupBy("tok").agg(F.ceil(F.count("*") / block).alias("parts"))
+    dealt = written(own.join(parts, "tok"), "dealt")
+    sets = texts.select("sid", "_text").join(dealt.select("sid", "tok", "n", "parts"), "sid").select("sid", "tok", "n", "_text", "parts")
+    sets = written(sets.mapInArrow(_full_sets(width), _SETS), "sets")
+    discard(texts)
+    group = _grouped(sets, block)
+
+    # Blocks of the matrix hold sets of one group and of like size.
+    kind = [F.col("tok"), F.floor(F.log("n") * 20).alias("step")]
+    sizes = dealt.groupBy(*kind).agg(F.ceil(F.count("*") / block).alias("mb"))
+    place = dealt.select("sid", *kind).join(sizes, ["tok", "step"])
+    place = place.select("sid", F.xxhash64("tok", "step", F.pmod(F.xxhash64("sid"), F.col("mb"))).alias("blk"))
+    placed = written(near.join(group, "sid").join(place, "sid").select("sid", "n", "reach", "grp", "blk", "toks"), "placed")
+    discard(near, dealt)
+    joined = _across(placed, sets, block)
+    discard(placed, sets)
+    if joined is not None:
+        merged = written(group.join(joined, group["grp"] == joined["node"], "left").select("sid", F.coalesce("root", "grp").alias("grp")), "group")
+        discard(group, joined)
+        group = merged
+
+    # Names: the least id of each set, of each component; a set that is linked with none has its own.
+    whole = rows.filter("n > 0").groupBy("sid").agg(F.min("_id").alias("low")).join(group, "sid", "left").select("sid", F.coalesce("grp", "sid").alias("grp"), F.col("grp").isNotNull().alias("g"), "low")
+    least_of = written(whole.filter("g").groupBy("grp").agg(F.min("low").alias("least")), "least")
+    label = whole.join(least_of, "grp", "left").select("sid", F.when(F.col("g"), F.col("least")).otherwise(F.col("low")).alias("component_id"), F.col("grp").alias("_comp"))
+    label = written(label, "labels")
+    discard(group, least_of)
+    out = rows.join(label, "sid", "left")
+    return out.select(F.col("_id").alias(id_col), "_h", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_id")).alias("component_id"), "_comp")
+
+
+def _candidates(keyed: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """All rows (_id, _h, sid, n), and the sets that share enough of their short list with others:
+    sid, n, toks (the shared shingles) and one row of each, _id and _h."""
+    fields = "_id long, _h binary, sid long, n long, short array<long>"
     signed = written(keyed.mapInArrow(_signatures(width), fields), "signed")
     rows = written(signed.drop("short"), "rows")
-    short = signed.filter("short is not null").select("sid", "n", F.explode("short").alias("tok"))
+    short = signed.filter("short is not null").select("sid", F.explode("short").alias("tok"))
     shared = written(short.groupBy("tok").agg(F.count("*").alias("c")).filter("c > 1").select("tok"), "tokens")
-    posts = written(short.join(shared.hint("shuffle_hash"), "tok").groupBy("tok", "sid").agg(F.first("n").alias("n")), "posts")
+    # A set that several tasks met comes several times; within a task it is sent once.
+    lists = short.join(shared.hint("shuffle_hash"), "tok").groupBy("sid").agg(F.collect_set("tok").alias("toks"))
+    heads = rows.filter("n > 0").groupBy("sid").agg(F.first("n").alias("n"), F.min(F.struct("_id", "_h")).alias("at"))
+    able = lists.join(heads, "sid").filter(f"size(toks) >= {_need(_least_partner('n'))}").select("sid", "n", "toks", "at._id", "at._h")
+    able = written(able, "able")
     discard(signed, shared)
+    return rows, able
+
+
+def _texts(keyed: DataFrame, able: DataFrame) -> DataFrame:
+    """sid, n, _text of one row of each set.  Both sides are dealt by row, so that repeated rows
+    lie together and the first one stands for all."""
+    same = ["_i", "_null", "_h"]
+    row = [F.coalesce("_id", F.lit(0)).alias("_i"), F.col("_id").isNull().alias("_null"), "_h"]
+    found = keyed.select(*row, "_text").hint("merge").join(able.select(*row, "sid", "n"), same)
+    return written(found.dropDuplicates(same).select("sid", "n", "_text"), "texts")
+
+
+def _reachable(able: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """Sets of ``able`` that may have a partner: sid, n, toks, reach (the most shingles of a partner).
 
-    for _ in range(2):
-        common = written(posts.groupBy("tok").agg(F.count("*").alias("c")).filter("c > 1").select("tok"), "tokens")
-        joined = posts.join(common.hint("shuffle_hash"), "tok")
-        able = joined.groupBy("sid").agg(F.count("*").alias("c"), F.first("n").alias("n")).filter(f"c >= {_need(_least_partner('n'))}").select("sid")
-        able = written(able, "able")
-        kept = written(joined.join(able, "sid").select("tok", "sid", "n"), "posts")
-        discard(posts, common, able)
-        posts = kept
-
-    least = _groups(posts)
-    heads = rows.select("sid", "_id", "_h").join(least, "sid").groupBy("sid", "tok", "n").agg(F.min(F.struct("_id", "_h")).alias("at"))
-    named = written(heads.select("sid", "tok", "n", F.col("at._id").alias("_id"), F.col("at._h").alias("_h")), "heads")
-    texts = keyed.join(named, keyed["_id"].eqNullSafe(named["_id"]) & (keyed["_h"] == named["_h"])).select("sid", "tok", "n", "_text")
-    texts = written(texts, "texts")
-    # A row that is repeated brings its set once for each copy.
-    sets = written(texts.mapInArrow(_full_sets(width), "sid long, tok long, n long, tokens array<long>").dropDuplicates(["sid"]), "sets")
-    discard(least, named, texts)
-    level, group = sets, None
+    Shingles that no other of these sets has can't be shared: with n - u of its n shingles a set
+    reaches partners of at most 2.25 (n - u) - n shingles, as 0.8 asks for 4/9 of both sizes in
+    common, and a partner has at least 0.8 n."""
+    sets = texts.select("sid", F.lit(0).cast("long").alias("tok"), "n", "_text", F.lit(1).cast("long").alias("parts")).mapInArrow(_full_sets(width), _SETS)
+    alone = sets.select("sid", F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("c"), F.min("sid").alias("sid")).filter("c = 1").groupBy("sid").agg(F.count("*").alias("u"))
+    reach = (9 * (F.col("n") - F.coalesce("u", F.lit(0)))) / 4 - F.col("n")
+    near = able.select("sid", "n", "toks").join(alone, "sid", "left").select("sid", "n", "toks", reach.alias("reach"))
+    return written(near.filter("reach >= n * 0.8"), "near")
+
+
+def _grouped(sets: DataFrame, block: int) -> DataFrame:
+    """sid, grp: sets of one block that are linked.  Groups of several blocks are merged through
+    their representatives, level by level, until nothing merges; the matrix decides the rest."""
+    level, group, before = sets, None, None
     while True:
-        counts = written(level.groupBy("tok").agg(F.count("*").alias("m")), "blocks")
-        salt = F.pmod(F.xxhash64("sid"), F.ceil(F.col("m") / block))
-        blocked = level.join(counts, "tok").withColumn("salt", salt)
-        solved = written(blocked.groupBy("tok", "salt").applyInPandas(_block_groups, "sid long, grp long, head boolean"), "groups")
+        salted = level.withColumn("salt", F.pmod(F.xxhash64("sid"), F.col("parts")))
+        solved = written(salted.groupBy("tok", "salt").applyInPandas(_block_groups, "sid long, grp long, tok long, tokens array<long>"), "solved")
         pairs = solved.select("sid", "grp")
         if group is None:
             group = written(pairs, "group")
         else:
-            # The heads' groups carry over to all they stand for.
-            up = heads_of.join(pairs, "sid").select(F.col("grp0").alias("grp"), F.col("grp").alias("up"))
+            # The groups of representatives carry over to all they stand for.
+            up = level.select("sid", "grp0").join(pairs, "sid").select(F.col("grp0").alias("grp"), F.col("grp").alias("up"))
             joined = written(group.join(up, "grp", "left").select("sid", F.coalesce("up", "grp").alias("grp")), "group")
-            discard(group, heads_of)
+            discard(group, level)
             group = joined
-        large = counts.filter(F.col("m") > block)
-        if not large.head(1):
-            break
-        narrowed = written(level.join(solved.filter("head").select("sid"), "sid").join(large.select("tok"), "tok"), "level")
-        if level is not sets:
-            discard(level)
-        level = narrowed
-        heads_of = written(level.select("sid").join(group, "sid").select("sid", F.col("grp").alias("grp0")), "tops")
-        if level.count() >= large.agg(F.sum("m")).first()[0]:
-            break  # nothing merges any more; the matrix decides the rest
-    if level is not sets:
-        discard(level)
-
-    # Shingles that no other set has can't be shared: with n - u of its n shingles a set reaches
-    # partners of at most 2.25 (n - u) - n shingles, as 0.8 asks for 4/9 of both sizes in common.
-    alone = sets.select("sid", F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("c"), F.min("sid").alias("sid")).filter("c = 1").groupBy("sid").agg(F.count("*").alias("u"))
-    reach = written(sets.select("sid", "tok", "n").join(alone, "sid", "left").select("sid", "tok", "n", ((9 * (F.col("n") - F.coalesce("u", F.lit(0)))) / 4 - F.col("n")).alias("reach")), "reach")
-    # Blocks hold sets of one group and of like size.
-    kind = [F.col("tok"), F.floor(F.log("n") * 20).alias("step")]
-    sizes = written(reach.groupBy(*kind).agg(F.ceil(F.count("*") / block).alias("mb")), "sizes")
-    place = reach.withColumn("step", kind[1]).join(sizes, ["tok", "step"])
-    place = place.select("sid", "reach", F.xxhash64("tok", "step", F.pmod(F.xxhash64("sid"), F.col("mb"))).alias("blk"))
-    places = written(group.join(place, "sid"), "places")
-    active = _active(posts, places)
-    discard(posts, places, reach)
-    posts = active
-    joined = _across(posts, sets, block) if posts.head(1) else None
-    if joined is not None:
-        group = written(group.join(joined, group["grp"] == joined["node"], "left").select("sid", F.coalesce("root", "grp").alias("grp")), "group")
-
-    # Names: the least id of each set, of each group, of each component.
-    sizes = rows.filter("n > 0").groupBy("sid").agg(F.min("_id").alias("low"))
-    whole = sizes.join(group, "sid", "left").select("sid", F.coalesce("grp", "sid").alias("grp"), F.col("grp").isNotNull().alias("g"), "low")
-    least_of = whole.filter("g").groupBy("grp").agg(F.min("low").alias("least"))
-    label = whole.join(written(least_of, "least"), "grp", "left").select("sid", F.when(F.col("g"), F.col("least")).otherwise(F.col("low")).alias("component_id"), F.col("grp").alias("_comp"))
-    label = written(label, "labels")
-    out = rows.join(label, "sid", "left")
-    return out.select(F.col("_id").alias(id_col), "_h", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_id")).alias("component_id"), "_comp")
-
-
-def _groups(posts: DataFrame) -> DataFrame:
-    """sid, tok (the group), n: by the least shared shingle, or by the larger group that holds at
-    least half of a set's shared shingles."""
-    own = written(posts.groupBy("sid").agg(F.min("tok").alias("own"), F.first("n").alias("n"), F.count("*").alias("c")), "own")
-    sizes = written(own.groupBy("own").agg(F.count("*").alias("size")), "sizes")
-    held = posts.select("sid", "tok").join(own.select("sid", "own"), "sid").join(sizes, "own")
-    largest = written(held.groupBy("tok").agg(F.max(F.struct("size", "own")).alias("top")).select("tok", F.col("top.own").alias("to"), F.col("top.size").alias("tsize")), "largest")
-    votes = posts.select("sid", "tok").join(largest, "tok").groupBy("sid", "to").agg(F.count("*").alias("v"), F.first("tsize").alias("tsize"))
-    best = votes.groupBy("sid").agg(F.max(F.struct("v", "tsize", "to")).alias("best"))
-    chosen = own.join(sizes, "own").join(best, "sid")
-    moves = (F.col("best.tsize") > F.col("size")) & (2 * F.col("best.v") >= F.col("c"))
-    grouped = written(chosen.select("sid", F.when(moves, F.col("best.to")).otherwise(F.col("own")).alias("tok"), "n"), "grouped")
-    discard(own, sizes, largest)
-    return grouped
-
-
-def _active(posts: DataFrame, places: DataFrame) -> DataFrame:
-    """Shingles that several components have, of sets that have enough of them to be linked across
-    components: tok, sid, n, grp (the component), blk, reach and g (blocks with the shingle)."""
-    near = posts.join(places, "sid").filter("reach >= n * 0.8")
-    last = written(near.select("tok", "sid", "n", "grp", "blk", "reach"), "posts")
-    for _ in range(2):
-        spread = last.groupBy("tok").agg(F.min("grp").alias("x"), F.max("grp").alias("y"), F.approx_count_distinct("blk").alias("g")).filter("x < y").select("tok", "g")
-        spread = written(spread, "spread")
-        joined = last.drop("g").join(spread, "tok")
-        able = joined.groupBy("sid").agg(F.count("*").alias("c"), F.first("n").alias("n")).filter(f"c >= {_need(_least_partner('n'))}").select("sid")
-        able = written(able, "able")
-        kept = written(joined.join(able, "sid"), "posts")
-        discard(last, spread, able)
-        last = kept
-    return last
-
-
-def _across(posts: DataFrame, sets: DataFrame, block: int) -> DataFrame | None:
+        heads = solved.filter("tokens is not null")
+        parts = heads.groupBy("tok").agg(F.ceil(F.count("*") / block).alias("parts"))
+        left = heads.join(group.select("sid", F.col("grp").alias("grp0")), "sid").select("sid", "tok", "tokens", "grp0").join(parts, "tok")
+        left = written(left.select("sid", "tok", "tokens", "grp0", "parts"), "level")
+        discard(solved)
+        count = left.count()
+        if not count or count == before:
+            discard(left)
+            return group
+        level, before = left, count
+
+
+def _across(placed: DataFrame, sets: DataFrame, block: int) -> DataFrame | None:
     """Components of components, by all sets that may be linked to another block."""
-    spans = posts.groupBy("blk").agg(F.min("n").alias("bmin"), F.max("n").alias("bmax"), F.max("reach").alias("breach"))
-    matrix = written(posts.select("tok", "blk").distinct().join(written(spans, "spans"), "blk"), "matrix")
     need = _need(_least_partner("n"))
+    # Shingles that several components have; sets that have enough of them.
+    each = placed.select("sid", "grp", F.explode("toks").alias("tok"))
+    spread = each.groupBy("tok").agg(F.min("grp").alias("x"), F.max("grp").alias("y"), F.count("*").alias("g")).filter("x < y").select("tok", "g")
+    spread = written(spread, "spread")
+    lists = each.join(spread, "tok").groupBy("sid").agg(F.collect_list(F.struct((-F.col("g")).alias("g"), "tok")).alias("toks"))
+    active = placed.drop("toks").join(lists, "sid").filter(f"size(toks) >= {need}")
     # By falling spread the first K - 1 of a set's shingles needn't open a block.
-    rank = F.row_number().over(Window.partitionBy("sid").orderBy(F.desc("g"), "tok"))
-    asks = posts.withColumn("r", rank).filter(f"r >= {need}").select("sid", "n", "tok", "grp", "reach", F.col("blk").alias("own"))
+    active = written(active.withColumn("toks", F.array_sort("toks")["tok"]), "active")
+    discard(spread)
+    if not active.head(1):
+        return None
+    spans = active.groupBy("blk").agg(F.min("n").alias("bmin"), F.max("n").alias("bmax"), F.max("reach").alias("breach"))
+    matrix = written(active.select(F.explode("toks").alias("tok"), "blk").distinct().join(spans, "blk"), "matrix")
+    opening = F.expr(f"slice(toks, cast({need} as int), size(toks))")
+    asks = active.select("sid", "n", "grp", "reach", F.col("blk").alias("own"), F.explode(opening).alias("tok"))
     # Of two blocks the one of lower number asks (and each asks itself), if sizes and reach of both allow for a link.
     found = asks.join(matrix, "tok").filter("own <= blk and bmin <= reach and n <= breach and 5 * bmax >= 4 * n and 5 * n >= 4 * bmin")
-    opened = written(found.groupBy("sid", "blk").agg(F.first("n").alias("n"), F.first("grp").alias("grp")), "opened")
+    opened = written(found.groupBy("sid", "blk").agg(F.first("n").alias("n"), F.first("grp").alias("own")), "opened")
     # The full bound: shared shingles of the short list with the block's union.
-    every = posts.select("sid", "tok").join(opened, "sid").join(matrix.select("tok", "blk"), ["tok", "blk"])
-    able = every.groupBy("sid", "blk").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("grp").alias("own")).filter(f"c >= {need}").select("sid", "blk", "own")
-    able = written(able, "queries")
-    if not able.head(1):
+    every = opened.join(active.select("sid", "toks"), "sid").select("sid", "blk", "n", "own", F.explode("toks").alias("tok")).join(matrix.select("tok", "blk"), ["tok", "blk"])
+    asked = every.groupBy("sid", "blk").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("own").alias("own")).filter(f"c >= {need}").select("sid", "blk", "own")
+    asked = written(asked, "asked")
+    discard(matrix, opened)
+    if not asked.head(1):
+        discard(active, asked)
         return None
-    parts = written(able.groupBy("blk").agg(F.ceil(F.count("*") / block).alias("qb")), "asked")
-    inside = posts.select("sid", "blk", "grp").distinct().join(parts, "blk").join(sets.select("sid", "tokens"), "sid")
-    inside = inside.withColumn("qk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("qb") - 1)))
-    asking = able.join(parts, "blk").join(sets.select("sid", "tokens"), "sid").withColumn("qk", F.pmod(F.xxhash64("sid"), F.col("qb")))
-    left = inside.select("blk", "qk", "grp", "tokens").toDF("blk", "qk", "comp", "tokens").groupBy("blk", "qk")
-    right = asking.select("blk", "qk", "own", "tokens").toDF("blk", "qk", "own", "tokens").groupBy("blk", "qk")
-    found = written(left.cogroup(right).applyInPandas(_open, "a long, b long").distinct(), "found")
-    return components(found, "links") if found.head(1) else None
+    # A block is compared with up to `block` questions in one task; it is sent to as many tasks as its questions need.
+    parts = written(asked.groupBy("blk").agg(F.ceil(F.count("*") / block).alias("qb")), "parts")
+    inside = active.select("sid", "blk", F.col("grp").alias("own")).join(parts, "blk").withColumn("qk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("qb") - 1))).select("sid", "blk", "qk", "own", F.lit(True).alias("inside"))
+    asking = asked.join(parts, "blk").select("sid", "blk", F.pmod(F.xxhash64("sid"), F.col("qb")).alias("qk"), "own", F.lit(False).alias("inside"))
+    both = inside.union(asking).join(sets.select("sid", "tokens"), "sid")
+    found = written(both.groupBy("blk", "qk").applyInPandas(_open, "a long, b long").distinct(), "found")
+    discard(active, asked, parts)
+    joined = components(found, "links") if found.head(1) else None
+    discard(found)
+    return joined

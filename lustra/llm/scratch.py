@@ -1,7 +1,12 @@
 """Tables written to cut lineage, and global ranks.
 
-Everything goes to the folder that the cluster names in ``spark.checkpoint.dir``.  A folder of
-our own is used only where that setting is absent (tests, a single machine).
+Everything goes to a folder of this process in the one that the cluster names in
+``spark.checkpoint.dir``.  A temporary folder is used only where that setting is absent and the
+master is local (tests, a single machine).
+
+A table belongs to the call that wrote it: the call deletes with :func:`discard` what its result
+doesn't read, and nothing else deletes tables.  What a lazy result still reads stays until the
+session's JVM ends, and is deleted then.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ from pyspark.sql.window import Window
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: list[str] = []
-_written: list[str] = []
+_folders: dict[str, str] = {}
 _path_of: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
@@ -28,53 +33,65 @@ def _remove_own() -> None:
         shutil.rmtree(path, ignore_errors=True)
 
 
-def folder(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables."""
+def _shared_folder(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if shared:
         return shared.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="lustra-"))
     return _own[0]
 
 
+def _hadoop(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def folder(spark: SparkSession) -> str:
+    """This session's folder for intermediate tables; it goes when the session's JVM ends."""
+    key = f"{spark.sparkContext.applicationId}|{_shared_folder(spark)}"
+    if key not in _folders:
+        path = f"{_shared_folder(spark)}/lustra-{uuid.uuid4().hex}"
+        files, where = _hadoop(spark, path)
+        files.mkdirs(where)
+        files.deleteOnExit(where)
+        _folders[key] = path
+    return _folders[key]
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: a cut in the lineage that
     outlives any executor.  The shuffle files of the write are deleted with its end, as nothing
     reads them any more."""
     spark = df.sparkSession
-    path = f"{folder(spark)}/lustra-{name}-{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEANUP)
     spark.conf.set(_CLEANUP, "true")
     try:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
-    _written.append(path)
     table = spark.read.schema(df.schema).parquet(path)
     _path_of[table] = path
     return table
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, if it is there."""
+    files, where = _hadoop(spark, path)
+    files.delete(where, True)
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete tables that :func:`written` returned.  Only once everything that reads them has been
-    written itself."""
+    """Delete tables that :func:`written` returned; a second time is of no effect.  Only once
+    everything that reads them has been written itself."""
     for table in tables:
-        path = _path_of.pop(table)
-        _written.remove(path)
-        _delete(table.sparkSession, path)
-
-
-def release(spark: SparkSession) -> None:
-    """Delete the tables that :func:`written` has made so far.  Only for callers that have stored
-    every result built on them, such as the pipeline between two stages."""
-    while _written:
-        _delete(spark, _written.pop())
+        path = _path_of.pop(table, None)
+        if path is not None:
+            remove(table.sparkSession, path)
 
 
 def ranked(df: DataFrame, order: list[Column], name: str, into: str = "rank") -> DataFrame:
