@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import written
+from .scratch import discard, written
 from .suffix_array import suffix_array
 from .textkit import BYTE, Rolling, mix, sliding
 
@@ -82,7 +82,7 @@ def _contexts(window: int, seed: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["g", "_id", "_h", "loc", "left", "right", "w"]
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64()]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64()]
         rows: list[tuple] = []
         held = 0
 
@@ -178,7 +178,7 @@ def _repeats(window: int, seed: int):
         hit = np.flatnonzero(most >= 0)
         at = start + offset
         return pa.RecordBatch.from_arrays(
-            [pa.array([ids[k] for k in hit], pa.int64()), pa.array([hashes[k] for k in hit], pa.int32()), pa.array((at - most)[hit]), pa.array((at - least)[hit] + window)],
+            [pa.array([ids[k] for k in hit], pa.int64()), pa.array([hashes[k] for k in hit], pa.int64()), pa.array((at - most)[hit]), pa.array((at - least)[hit] + window)],
             names=["_id", "_h", "start", "end"],
         )
 
@@ -201,8 +201,8 @@ def _cut(with_text: bool):
         for batch in batches:
             out: list[tuple] = []
             held = 0
-            for i, h, data, spans in zip(*(batch.column(k) for k in range(4))):
-                i, h, data, spans = i.as_py(), h.as_py(), data.as_py() or b"", spans.as_py() or []
+            for i, data, spans in zip(*batch.columns):
+                i, data, spans = i.as_py(), data.as_py() or b"", spans.as_py() or []
                 kept, at, gone, runs, end = [], 0, 0, 0, -1
                 for a, b in sorted((x["start"], x["end"]) for x in spans):
                     if a > end:
@@ -214,7 +214,7 @@ def _cut(with_text: bool):
                         gone += b - end
                         end = at = b
                 kept = b"".join([*kept, data[at:]])
-                out.append((i, h, len(data), gone, runs, hashlib.sha256(kept).hexdigest(), kept if with_text else None))
+                out.append((i, len(data), gone, runs, hashlib.sha256(kept).hexdigest(), kept if with_text else None))
                 held += len(kept) if with_text else 100
                 if held > 8 << 20:
                     yield _rows(out)
@@ -225,21 +225,18 @@ def _cut(with_text: bool):
     return run
 
 
-_CUT = ["_id", "_h", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+_CUT = ["_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
 
 
 def _rows(out: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names=_CUT)
 
 
-_NO_ID = -(1 << 63)
-
-
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> list:
-    """Columns that tell rows apart, id and text hash, and the text's bytes."""
+    """Columns that tell rows apart, 128 bits of two hashes of id and text, and the text's bytes."""
     text = F.col(f"`{text_col}`")
-    return [F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NO_ID)).alias("_id"), F.shiftright(F.xxhash64(text), 32).cast("int").alias("_h"), text.cast("binary").alias("_text")]
+    return [F.xxhash64(F.lit(7), F.col(f"`{id_col}`").cast("long"), text).alias("_id"), F.xxhash64(text).alias("_h"), text.cast("binary").alias("_text")]
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 200, seed: int = 50, hot: int = 16384) -> DataFrame:
@@ -248,7 +245,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if not 0 < window - seed < 255 or seed < 8:
         raise ValueError("window - seed must be 1..254 and seed at least 8")
     keyed = docs.select(*_keyed(docs, id_col, text_col))
-    seeds = keyed.mapInArrow(_seeds(window, seed), "g long, c long, _id long, _h int, loc long")
+    seeds = keyed.mapInArrow(_seeds(window, seed), "g long, c long, _id long, _h long, loc long")
     shared = written(seeds.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g"), "seeds")
     runs = written(seeds.join(shared, "g"), "runs")
     states = written(runs.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("_id", "_h", "loc")).alias("at")), "contexts")
@@ -259,16 +256,19 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = runs.join(states.filter("n > 1").select("g", "c"), ["g", "c"]).select("_id", "_h", start.alias("start"), (start + span - 1 + window).alias("end"))
 
     need = states.join(mixed, "g").groupBy("at._id", "at._h").agg(F.collect_list(F.struct("g", "at.loc", "hot")).alias("_need"))
-    context = keyed.join(need, ["_id", "_h"]).select("_id", "_h", "_text", "_need").mapInArrow(_contexts(window, seed), "g long, _id long, _h int, loc long, left binary, right binary, w long")
-    context = written(context, "context")
+    context = keyed.join(need, ["_id", "_h"]).select("_id", "_h", "_text", "_need").mapInArrow(_contexts(window, seed), "g long, _id long, _h long, loc long, left binary, right binary, w long")
+    context = context_table = written(context, "context")
+    twice = None
     if mixed.filter("hot").head(1):
         each = context.filter("w is not null")
         twice = written(each.groupBy("w").agg(F.count("*").alias("n")).filter("n > 1").select("w"), "windows")
         spans = spans.unionByName(each.join(twice, "w").select("_id", "_h", F.col("loc").alias("start"), (F.col("loc") + window).alias("end")))
         context = context.filter("w is null")
     ordered = context.drop("w").repartition("g").sortWithinPartitions("g")
-    spans = spans.unionByName(ordered.mapInArrow(_repeats(window, seed), "_id long, _h int, start long, end long"))
-    return spans.groupBy("_id", "_h").agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
+    spans = spans.unionByName(ordered.mapInArrow(_repeats(window, seed), "_id long, _h long, start long, end long"))
+    found = written(spans.groupBy("_id", "_h").agg(F.collect_list(F.struct("start", "end")).alias("_spans")), "spans")
+    discard(shared, runs, states, mixed, context_table, *([twice] if twice is not None else []))
+    return found
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 200, seed: int = 50, hot: int = 16384, with_text: bool = True) -> DataFrame:
@@ -283,9 +283,10 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     result; other columns are ignored.
     """
     spans = repeated_spans(docs, id_col, text_col, window, seed, hot)
-    cut = docs.select(*_keyed(docs, id_col, text_col)).join(spans, ["_id", "_h"], "left").select("_id", "_h", "_text", "_spans")
-    out = cut.mapInArrow(_cut(with_text), "_id long, _h int, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    return out.withColumn(id_col, F.when(F.col("_id") != _NO_ID, F.col("_id"))).select(id_col, *_CUT[2:])
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("_own"), *_keyed(docs, id_col, text_col))
+    cut = rows.join(spans, ["_id", "_h"], "left").select("_own", "_text", "_spans")
+    out = cut.mapInArrow(_cut(with_text), "_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return out.withColumnRenamed("_id", id_col)
 
 
 def _cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
