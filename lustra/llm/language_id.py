@@ -128,25 +128,30 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([langs[at : at + 64], pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "x"])
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 256) -> Model | None:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 256, languages: int = 64) -> Model | None:
     """Fit on rows with an id, a text and a language; None if there are none.
 
     Each language's ids fall into ``per_language`` hash slots and the least hash in each is taken,
-    with partial aggregation; so the sample, and all that the driver gets, is bounded by
-    ``per_language`` vectors for each language.
+    with partial aggregation.  Of all labels the ``languages`` most frequent ones (ties by code) are
+    learned.  So the sample, and all that the driver gets, is bounded by ``per_language`` vectors of
+    16 KB for each of ``languages`` labels, 268 MB by default, however many rows and labels there are.
+    Rows without id, text or language are not learned from; repeated rows count once.
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").alias("t"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
     rows = rows.filter("i is not null and t is not null and lang is not null and length(t) > 0")
     hashed = F.xxhash64(F.col("i").cast("string"), F.lit(11))
+    # Bounded by `languages` rows.
+    learned = rows.groupBy("lang").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "lang").limit(languages).select("lang")
+    rows = rows.join(F.broadcast(learned), "lang")
     picks = rows.groupBy("lang", F.pmod(hashed, F.lit(per_language)).alias("slot")).agg(F.min(F.struct(hashed.alias("h"), "i")).alias("pick"))
     picked = rows.join(F.broadcast(picks.select(F.col("pick.i").alias("i"))), "i", "left_semi").groupBy("lang", "i").agg(F.min("t").alias("t"))
     got = picked.select("lang", "t").mapInArrow(_vectors, "lang string, x binary").collect()
     if not got:
         return None
     got.sort(key=lambda r: (r["lang"], bytes(r["x"])))
-    languages = sorted({r["lang"] for r in got})
+    names = sorted({r["lang"] for r in got})
     x = np.stack([np.frombuffer(r["x"], dtype=np.float32) for r in got])
-    return Model(languages, x, np.array([languages.index(r["lang"]) for r in got]))
+    return Model(names, x, np.array([names.index(r["lang"]) for r in got]))
 
 
 def _predict(shared):
