@@ -1,6 +1,11 @@
 """Threshold-scaled sketches: of each text, every shingle hash below a fixed fraction of the hash
 range.  Sketches of different sizes stay comparable, merge by union and estimate containment and
 resemblance.
+
+A short text may have few hashes so low, or none.  So a sketch also has the ``LEAST`` least hashes
+of its text, wherever they lie: texts of up to as many shingles are kept whole.  Both parts follow
+from the union of two sketches, so merging stays exact: the sketch of two texts' shingles together
+is :func:`merge` of their sketches.  Two sketches are compared below the threshold that both cover.
 """
 
 from __future__ import annotations
@@ -11,20 +16,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .textkit import shingle_set
 
 FRACTION = 8
+LEAST = 16
+_ALL = np.uint64((1 << 64) - 1)
+
+
+def _limit(fraction: int) -> np.uint64:
+    return np.uint64((1 << 64) // fraction)
+
+
+def _thinned(h: np.ndarray, fraction: int) -> np.ndarray:
+    return h[: max(LEAST, int(np.searchsorted(h, _limit(fraction))))]
 
 
 def sketch(data: bytes, fraction: int = FRACTION, width: int = 5) -> np.ndarray:
-    """Sorted shingle hashes below 2**64 / fraction.  A text with shingles, but none so low, is
-    represented by its least hash alone; a text without words by nothing."""
-    h = shingle_set(data, width)
-    low = h[: np.searchsorted(h, np.uint64((1 << 64) // fraction))]
-    return low if len(low) or not len(h) else h[:1]
+    """Sorted shingle hashes below 2**64 / fraction, and the ``LEAST`` least ones in any case; a text
+    without words has none."""
+    return _thinned(shingle_set(data, width), fraction)
 
 
 def encode(s: np.ndarray) -> str:
@@ -35,22 +48,34 @@ def decode(text: str) -> np.ndarray:
     return np.frombuffer(base64.b64decode(text), dtype=">u8").astype(np.uint64)
 
 
-def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def merge(a: np.ndarray, b: np.ndarray, fraction: int = FRACTION) -> np.ndarray:
     """Sketch of both texts' shingles together."""
-    return np.union1d(a, b)
+    return _thinned(np.union1d(a, b), fraction)
+
+
+def _comparable(a: np.ndarray, b: np.ndarray, fraction: int) -> tuple[np.ndarray, np.ndarray]:
+    """The parts of two sketches up to the hash to which both know all of their text's."""
+    covered = min(_ALL if len(x) < LEAST else max(_limit(fraction) - np.uint64(1), x[LEAST - 1]) for x in (a, b))
+    return tuple(x[: np.searchsorted(x, covered, side="right")] for x in (a, b))
 
 
-def resemblance(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated Jaccard likeness; 1 for two empty sketches, 0 for one."""
+def resemblance(a: np.ndarray, b: np.ndarray, fraction: int = FRACTION) -> float:
+    """Estimated Jaccard likeness; 1 for two texts without words, 0 for one.  Exact if both texts
+    have fewer than ``LEAST`` shingles."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
+    a, b = _comparable(a, b, fraction)
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both)
+    return both / max(1, len(a) + len(b) - both)
 
 
-def containment(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated share of a's shingles that b has; 1 for an empty a."""
-    return len(np.intersect1d(a, b, assume_unique=True)) / len(a) if len(a) else 1.0
+def containment(a: np.ndarray, b: np.ndarray, fraction: int = FRACTION) -> float:
+    """Estimated share of a's shingles that b has; 1 for an a without words, 0 if none of a's can be
+    compared."""
+    if not len(a):
+        return 1.0
+    a, b = _comparable(a, b, fraction)
+    return len(np.intersect1d(a, b, assume_unique=True)) / max(1, len(a))
 
 
 def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fraction: int = FRACTION) -> DataFrame:
@@ -91,7 +116,7 @@ def _neighbours(fraction: int):
                     half = n // 2
                     edited = last[2][: n - half] + text[:half]
                     e = sketch(edited.encode("utf-8", "replace"), fraction)
-                    row = (last[1], n, hashlib.sha256(edited.encode("utf-8", "replace")).hexdigest(), encode(last[3]), encode(e), resemblance(last[3], e), resemblance(last[3], now[3]), containment(last[3], e))
+                    row = (last[1], n, hashlib.sha256(edited.encode("utf-8", "replace")).hexdigest(), encode(last[3]), encode(e), resemblance(last[3], e, fraction), resemblance(last[3], now[3], fraction), containment(last[3], e, fraction))
                     out.append(row)
                     held += len(row[3]) + len(row[4])
                     if held > 4 << 20 or len(out) >= 5000:
@@ -108,6 +133,19 @@ def _neighbours(fraction: int):
 _PAIRS = ["i", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "contained_edited"]
 
 
+#: Most ranges that ids are cut into; the driver holds one number for each.
+MOST_RANGES = 100_000
+
+
+def _position(value: Column, cuts: list[int]) -> Column:
+    """How many of the ascending ``cuts`` are at most ``value`` (0 for null), by bisection."""
+    if not cuts:
+        return F.lit(0).cast("long")
+    table = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>")
+    steps = F.array(*[F.lit(1 << k).cast("long") for k in range(len(cuts).bit_length() - 1, -1, -1)])
+    return F.aggregate(steps, F.lit(0).cast("long"), lambda at, step: F.when(F.coalesce(F.get(table, (at + step - 1).cast("int")) <= value, F.lit(False)), at + step).otherwise(at))
+
+
 def neighbour_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fraction: int = FRACTION, rows_per_range: int = 2000) -> DataFrame:
     """Fingerprints of each text and of its edited text: the last floor(n_chars / 2) code points
     give way to the first as many of the next document by ascending id (after the last: the first).
@@ -124,22 +162,13 @@ def neighbour_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: st
     schema = "i long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, contained_edited double"
     spark = docs.sparkSession
     total = rows.count()
-    ranges = max(1, min(10_000, total // rows_per_range))
+    # A task streams its range in order, so a range's length costs time only, not memory.
+    ranges = max(1, min(MOST_RANGES, total // rows_per_range))
     cuts: list[int] = []
     if ranges > 1:
         found = rows.agg(F.percentile_approx("i", [k / ranges for k in range(1, ranges)], 10 * ranges).alias("q")).first()["q"]
         cuts = sorted(set(found or []))
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = np.array(cuts, dtype=np.int64)
-        for batch in batches:
-            i = batch.column(0)
-            part = np.searchsorted(at, i.fill_null(-(1 << 63)).to_numpy(), side="right").astype(np.int64)
-            if i.null_count:
-                part[i.is_null().to_numpy(zero_copy_only=False)] = 0
-            yield pa.RecordBatch.from_arrays([pa.array(part), *batch.columns], names=["part", *batch.schema.names])
-
-    placed = rows.mapInArrow(place, "part long, i long, t string, h long")
+    placed = rows.select(_position(F.col("i"), cuts).alias("part"), "i", "t", "h")
     firsts = placed.groupBy("part").agg(F.min(F.struct(F.col("i").isNotNull().alias("has"), "i", "h")).alias("first")).orderBy("part").collect()
     if not firsts:
         return spark.createDataFrame([], schema).withColumnRenamed("i", id_col)
@@ -148,5 +177,5 @@ def neighbour_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: st
     lent = placed.join(F.broadcast(lend), F.col("i").eqNullSafe(F.col("li")) & (F.col("h") == F.col("lh")))
     lent = lent.select(F.col("lender").alias("part"), "i", F.lit(True).alias("borrowed"), "t", "h")
     every = placed.select("part", "i", F.lit(False).alias("borrowed"), "t", "h").unionByName(lent)
-    every = every.repartition(F.col("part")).sortWithinPartitions("part", "borrowed", F.col("i").asc_nulls_first(), "h", "t")
+    every = every.repartition(ranges, F.col("part")).sortWithinPartitions("part", "borrowed", F.col("i").asc_nulls_first(), "h", "t")
     return every.select("part", "i", "borrowed", "t").mapInArrow(_neighbours(fraction), schema).withColumnRenamed("i", id_col)
