@@ -1,7 +1,8 @@
 """Media columns: signature sniffing.
 
-One Aho-Corasick automaton finds the magic bytes of all formats in a single pass; a validator for
-each format then confirms structure and length.  The result corrects declared types and carves
+One Aho-Corasick automaton finds the magic bytes and end marks of all formats in a single pass; a
+validator for each format then confirms structure and length.  End marks are looked up by bisection,
+so many magics without an end cost no repeated search.  The result corrects declared types and carves
 media embedded in other bytes.  Also a lossless container for arbitrary bytes: a RIFF/WAVE file of
 8-bit mono samples.
 """
@@ -11,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import ahocorasick
@@ -36,9 +38,35 @@ SIGNATURES = [
     (b"MThd", 0, "audio/midi"),
     (b"ftyp", 4, "video/mp4"),
 ]
-
-
-def _riff(b: bytes, at: int) -> tuple[str, int] | None:
+# Bytes that end a format.
+END_MARKS = {"pdf": b"%%EOF", "zip": b"PK\x05\x06", "jpeg": b"\xff\xd9"}
+# kbit/s of MPEG audio layer III by index, version 1 and versions 2 and 2.5; sample rates of version 1.
+MP3_RATES = ((0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320), (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160))
+MP3_SAMPLES = (44100, 48000, 32000)
+
+
+class Marks:
+    """Where end marks are in a value, and what was found so far (starts are checked from the last to
+    the first)."""
+
+    def __init__(self, data: bytes, ends: dict[str, list[int]], pdfs: list[int]):
+        self.ends, self.pdfs = ends, pdfs
+        self.next_gzip: dict[int, int] = {}
+        # The start of the archive that each end record stands for.
+        self.zips: dict[int, int] = {}
+        for end in ends.get("zip", []):
+            if end + 22 <= len(data):
+                size, start, note = struct.unpack_from("<IIH", data, end + 12)
+                if end + 22 + note <= len(data) and (size or not start):
+                    self.zips[end - size - start] = end + 22 + note
+
+    def first(self, kind: str, at: int) -> int | None:
+        ends = self.ends.get(kind, [])
+        k = bisect_left(ends, at)
+        return ends[k] if k < len(ends) else None
+
+
+def _riff(b: bytes, at: int, marks: Marks) -> tuple[str, int] | None:
     if at + 12 > len(b):
         return None
     size = struct.unpack_from("<I", b, at + 4)[0] + 8
@@ -55,7 +83,7 @@ def _riff(b: bytes, at: int) -> tuple[str, int] | None:
     return kind, size
 
 
-def _png(b: bytes, at: int) -> tuple[str, int] | None:
+def _png(b: bytes, at: int, marks: Marks) -> tuple[str, int] | None:
     p, first = at + 8, True
     while p + 12 <= len(b):
         size, kind = struct.unpack_from(">I4s", b, p)
@@ -70,7 +98,7 @@ def _png(b: bytes, at: int) -> tuple[str, int] | None:
     return None
 
 
-def _gif(b: bytes, at: int) -> tuple[str, int] | None:
+def _gif(b: bytes, at: int, marks: Marks) -> tuple[str, int] | None:
     if at + 13 > len(b):
         return None
     p = at + 13 + (3 * (2 << (b[at + 10] & 7)) if b[at + 10] & 128 else 0)
@@ -90,18 +118,18 @@ def _gif(b: bytes, at: int) -> tuple[str, int] | None:
     return None
 
 
-def _jpeg(b: bytes, at: int) -> tuple[str, int] | None:
+def _jpeg(b: bytes, at: int, marks: Marks) -> tuple[str, int] | None:
     p = at + 2
     while p + 4 <= len(b) and b[p] == 0xFF:
         mark = b[p + 1]
         p += 2 + struct.unpack_from(">H", b, p + 2)[0]
         if mark == 0xDA:
-            end = b.find(b"\xff\xd9", p)
-            return ("image/jpeg", end + 2 - at) if end >= 0 else None
+            end = marks.first("jpeg", p)
+            return ("image/jpeg", end + 2 - at) if end is not None else None
     return None
 
 
-def _bmp(b: bytes, at: int) -> tuple[str, int] | None:
+def _bmp(b: bytes, at: int, marks: Marks) -> tuple[str, int] | None:
     if at + 30 > len(b):
         return None
     size, zero, data, head = struct.unpack_from("<IIII", b, at + 2)
@@ -109,25 +137,35 @@ def _bmp(b: bytes, at: int) -> tuple[str, int] | None:
     return ("image/bmp", size) if ok else None
 
 
-def _pdf(b: bytes, at: int) -> tuple[str, int] | None:
-    end = b.find(b"%%EOF", at)
-    return ("application/pdf", end + 5 - at) if end >= 0 and b[at + 5 : at + 6].isdigit() else None
+def _pdf(b: bytes, at: int, marks: Marks) -> tuple[str, int] | None:
+    """Up to the last end mark before the next document: updates are appended with marks of their own."""
+    ends, k = marks.ends.get("pdf", []), bisect_right(marks.pdfs, at)
+    stop = marks.pdfs[k] if k < len(marks.pdfs) else len(b)
+    last = bisect_left(ends, stop) - 1
+    if last < 0 or ends[last] < at or not b[at + 5 : at + 6].isdigit():
+        return None
+    return "application/pdf", ends[last] + 5 - at
 
 
-def _zip(b: bytes, at: int) -> tuple[str, int] | None:
-    end = b.find(b"PK\x05\x06", at)
-    if end < 0 or end + 22 > len(b):
-        return None
-    size, start, note = struct.unpack_from("<IIH", b, end + 12)
-    return ("application/zip", end + 22 + note - at) if at + start + size == end and end + 22 + note <= len(b) else None
+def _zip(b: bytes, at: int, marks: Marks) -> tuple[str, int] | None:
+    end = marks.zips.get(at)
+    return ("application/zip", end - at) if end is not None else None
 
 
-def _flac(b: bytes, at: int) -> tuple[str, int] | None:
-    ok = at + 42 <= len(b) and b[at + 4] & 127 == 0 and int.from_bytes(b[at + 5 : at + 8], "big") == 34
-    return ("audio/flac", len(b) - at) if ok else None
+def _flac(b: bytes, at: int, marks: Marks) -> tuple[str, int] | None:
+    """The format states no length, so only a whole value is confirmed: metadata blocks up to the
+    last, then a frame."""
+    if at or len(b) < 42 or b[4] & 127 or int.from_bytes(b[5:8], "big") != 34:
+        return None
+    p, last = 4, False
+    while not last and p + 4 <= len(b):
+        last = b[p] >= 128
+        p += 4 + int.from_bytes(b[p + 1 : p + 4], "big")
+    ok = last and p + 2 <= len(b) and b[p] == 0xFF and b[p + 1] & 0xFE == 0xF8
+    return ("audio/flac", len(b)) if ok else None
 
 
-def _ogg(b: bytes, at: int) -> tuple[str, int] | None:
+def _ogg(b: bytes, at: int, marks: Marks) -> tuple[str, int] | None:
     p = at
     while p + 27 <= len(b) and b[p : p + 5] == b"OggS\0":
         table = b[p + 27 : p + 27 + b[p + 26]]
@@ -140,15 +178,25 @@ def _ogg(b: bytes, at: int) -> tuple[str, int] | None:
     return None
 
 
-def _id3(b: bytes, at: int) -> tuple[str, int] | None:
+def _id3(b: bytes, at: int, marks: Marks) -> tuple[str, int] | None:
+    """The tag, then layer III frames one after the other; their headers give their lengths."""
     if at + 12 > len(b) or any(x & 128 for x in b[at + 6 : at + 10]) or b[at + 3] not in (2, 3, 4):
         return None
-    tag = 10 + sum(x << s for x, s in zip(b[at + 6 : at + 10], (21, 14, 7, 0)))
-    ok = at + tag + 2 <= len(b) and b[at + tag] == 0xFF and b[at + tag + 1] >= 0xE0
-    return ("audio/mpeg", len(b) - at) if ok else None
+    p = first = at + 10 + sum(x << s for x, s in zip(b[at + 6 : at + 10], (21, 14, 7, 0)))
+    while p + 4 <= len(b) and b[p] == 0xFF and b[p + 1] & 0xE6 == 0xE2:
+        version, rate, sample = b[p + 1] >> 3 & 3, b[p + 2] >> 4, b[p + 2] >> 2 & 3
+        if version == 1 or rate in (0, 15) or sample == 3:
+            break
+        hertz = MP3_SAMPLES[sample] >> (0 if version == 3 else 1 if version == 2 else 2)
+        size = (144 if version == 3 else 72) * 1000 * MP3_RATES[version != 3][rate] // hertz + (b[p + 2] >> 1 & 1)
+        if p + size > len(b):
+            break
+        p += size
+    return ("audio/mpeg", p - at) if p > first else None
 
 
-def _gzip(b: bytes, at: int) -> tuple[str, int] | None:
+def _gzip(b: bytes, at: int, marks: Marks) -> tuple[str, int] | None:
+    """One member, and the members that follow it at once."""
     d = zlib.decompressobj(31)
     try:
         rest = memoryview(b)[at:]
@@ -156,13 +204,17 @@ def _gzip(b: bytes, at: int) -> tuple[str, int] | None:
             d.decompress(rest[:65536], 1 << 20)
             while d.unconsumed_tail and not d.eof:
                 d.decompress(d.unconsumed_tail, 1 << 20)
-            used, rest = rest[:65536], rest[65536:]
+            rest = rest[65536:]
     except zlib.error:
         return None
-    return ("application/gzip", len(b) - at - len(rest) - len(d.unused_data)) if d.eof else None
+    if not d.eof:
+        return None
+    end = len(b) - len(rest) - len(d.unused_data)
+    marks.next_gzip[at] = marks.next_gzip.get(end, end)
+    return "application/gzip", marks.next_gzip[at] - at
 
 
-def _midi(b: bytes, at: int) -> tuple[str, int] | None:
+def _midi(b: bytes, at: int, marks: Marks) -> tuple[str, int] | None:
     if at + 14 > len(b) or struct.unpack_from(">I", b, at + 4)[0] != 6:
         return None
     p = at + 14
@@ -173,7 +225,7 @@ def _midi(b: bytes, at: int) -> tuple[str, int] | None:
     return ("audio/midi", p - at) if p <= len(b) else None
 
 
-def _mp4(b: bytes, at: int) -> tuple[str, int] | None:
+def _mp4(b: bytes, at: int, marks: Marks) -> tuple[str, int] | None:
     p, boxes = at, set()
     while p + 8 <= len(b):
         size, kind = struct.unpack_from(">I4s", b, p)
@@ -194,17 +246,27 @@ def automaton() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
     for magic, offset, kind in SIGNATURES:
         a.add_word(magic.decode("latin-1"), (len(magic), offset, kind))
+    for kind, mark in END_MARKS.items():
+        a.add_word(mark.decode("latin-1"), (len(mark), 0, kind))
     a.make_automaton()
     return a
 
 
 def sniff(data: bytes, finder: ahocorasick.Automaton) -> list[tuple[int, int, str]]:
     """Confirmed media as (start, length, type), outermost first, none inside another of its start
-    byte.  The whole value is scanned."""
-    found = []
+    byte.  The whole value is scanned, once."""
+    starts: list[tuple[int, str]] = []
+    ends: dict[str, list[int]] = {}
     for end, (size, offset, kind) in finder.iter(data.decode("latin-1")):
         start = end + 1 - size - offset
-        if start >= 0 and (got := _CHECKS[kind](data, start)):
+        if kind in END_MARKS:
+            ends.setdefault(kind, []).append(start)
+        elif start >= 0:
+            starts.append((start, kind))
+    marks = Marks(data, ends, [a for a, kind in starts if kind == "application/pdf"])
+    found = []
+    for start, kind in reversed(starts):
+        if got := _CHECKS[kind](data, start, marks):
             found.append((start, got[1], got[0]))
     return sorted(found, key=lambda x: (x[0], -x[1]))
 
