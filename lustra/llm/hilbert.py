@@ -89,17 +89,17 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         (F.octet_length(blank) + 1).cast("long").alias("size"),
         F.crc32(blank).alias("text_crc32"),
         F.xxhash64(blank).alias("_text"),
-        F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("_lang") if "lang" in docs.columns else F.lit("").alias("_lang"),
-        F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_source") if "source" in docs.columns else F.lit("").alias("_source"),
+        *[(F.concat(F.lit("="), F.col(c).cast("string")) if c in docs.columns else F.lit(None)).cast("string").alias(f"_{c}") for c in ("lang", "source")],
     )
-    groups = written(rows.groupBy("size", "_text").agg(F.min("_lang").alias("_lang"), F.min("_source").alias("_source")), "groups")
+    groups = written(rows.groupBy("size", "_text").agg(*[F.coalesce(F.min(c), F.lit("")).alias(c) for c in ("_lang", "_source")]), "groups")
     rows = rows.drop("_lang", "_source").join(groups, ["size", "_text"])
     dims = [
-        F.least(F.lit(63), F.floor(F.log2("size") * 3)).cast("long"),
-        F.pmod(F.xxhash64("_lang"), F.lit(64)),
-        F.pmod(F.xxhash64("_source"), F.lit(64)),
+        # A text has less than 2**31 bytes.
+        F.floor(F.log2("size") * 4).cast("long"),
+        F.pmod(F.xxhash64("_lang"), F.lit(128)),
+        F.pmod(F.xxhash64("_source"), F.lit(128)),
     ]
-    placed = hilbert_shards(rows, dims, [F.col("size"), F.col("_text"), F.col("doc_id"), F.col("text_crc32")], shards)
+    placed = hilbert_shards(rows, dims, [F.col("size"), F.col("_text"), F.col("doc_id"), F.col("text_crc32")], shards, bits=7)
     return placed.select(
         F.col("doc_id").alias(id_col), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert"
     )
