@@ -11,6 +11,7 @@ offset) that rows look up by their rank among the documents of their length.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -21,100 +22,49 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import ranked, written
-from .textkit import Rolling, mix
 
-_OTHER, _LETTER, _NUMBER, _SPACE, _BREAK = range(5)
-_CACHE = 600_000
-
-
-@lru_cache(1)
-def _classes() -> np.ndarray:
-    """Class of each code point; one past the last stands between documents."""
-    import regex
-
-    every = "".join(map(chr, range(0xD800))) + "\0" * 0x800 + "".join(map(chr, range(0xE000, 0x110000)))
-    out = np.zeros(0x110001, dtype=np.uint8)
-    for kind, pattern in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_SPACE, r"\p{White_Space}+")):
-        for m in regex.finditer(pattern, every):
-            out[m.start() : m.end()] = kind
-    out[0x110000] = _BREAK
-    return out
-
-
-@lru_cache(2)
-def _encoder(path: str):
-    """Ids of one pre-token's bytes, from the tokenizer file's own vocabulary."""
-    import tiktoken
-
-    vocab = json.loads(open(path, encoding="utf-8").read())["model"]["vocab"]
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    byte_of = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
-    ranks = {bytes(byte_of[c] for c in token): i for token, i in vocab.items() if all(c in byte_of for c in token) and token != "<|endoftext|>"}
-    return tiktoken.Encoding("file", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
-
-
-def _token_starts(cp: np.ndarray) -> np.ndarray:
-    """Where the byte-level pattern's pre-tokens start in a run of code points."""
-    kind = _classes()[cp]
-    n = len(cp)
-    start = np.ones(n + 1, dtype=bool)
-    start[1:n] = (kind[1:] != kind[:-1]) | (kind[1:] == _BREAK)
-    # The last white space before something else stands apart, and a plain space joins it.
-    last = np.flatnonzero((kind[:-1] == _SPACE) & (kind[1:] < _SPACE))
-    start[last] = True
-    start[last[cp[last] == 32] + 1] = False
-    # Contractions: an apostrophe that starts a pre-token of its own.
-    quote = np.flatnonzero((cp[:-1] == 39) & start[: n - 1] & (kind[1:] == _LETTER))
-    if len(quote):
-        padded = np.r_[cp, [0, 0]]
-        a, b = padded[quote + 1], padded[quote + 2]
-        one = np.isin(a, [ord(c) for c in "stmd"])
-        two = np.zeros(len(quote), dtype=bool)
-        for x, y in ("re", "ve", "ll"):
-            two |= (a == ord(x)) & (b == ord(y))
-        for rows, size in ((quote[one], 2), (quote[two & ~one], 3)):
-            start[rows + 1] = False
-            start[rows + size] = True
-    return np.flatnonzero(start[:n])
+#: Most chunks that a worker keeps.
+_CACHE = 1_200_000
+#: Where the byte-level pattern always starts a pre-token, so that texts can be cut without a change
+#: of ids: at a plain space between two characters that aren't white space, and between a letter
+#: and a mark.
+_CUT = re.compile(r"(?<=\S)(?= \S)|(?<=[A-Za-z])(?=[.,;:!?])")
 
 
 class Tokens:
-    """Token ids of many texts at once; each distinct pre-token is encoded once and kept."""
+    """Token ids of many texts, by ``tokenizers``.  Texts are cut into chunks where no token can
+    cross, and each distinct chunk is encoded once and kept.  Files whose pre-tokens could cross a
+    space, or whose special tokens hold one, are encoded as whole texts."""
 
     def __init__(self, path: str):
-        self.encode = _encoder(path)
-        self.known: dict[int, bytes] = {}
+        import os
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        split = spec.get("pre_tokenizer") or {}
+        plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not spec.get("normalizer")
+        self.cuts = plain and not any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec.get("added_tokens", []))
+        self.known: dict[str, bytes] = {}
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        if not texts:
-            return []
-        joined = np.frombuffer("\0".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).copy()
-        ends = np.cumsum([len(t) + 1 for t in texts]) - 1
-        joined[ends] = 0x110000
-        starts = _token_starts(joined)
-        stops = np.r_[starts[1:], len(joined)]
-        names, first, which = np.unique(Rolling(mix(joined.astype(np.uint64))).slices(starts, stops), return_index=True, return_inverse=True)
+        if not self.cuts:
+            return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         if len(self.known) > _CACHE:
             self.known.clear()
-        known, pieces = self.known, []
-        for h, s, e in zip(names.tolist(), starts[first].tolist(), stops[first].tolist()):
-            got = known.get(h)
-            if got is None:
-                if joined[s] == 0x110000:
-                    got = b""
-                else:
-                    text = joined[s:e].tobytes().decode("utf-32-le", "surrogatepass")
-                    got = np.array(self.encode(text.encode("utf-8", "replace")), dtype="<u4").tobytes()
-                known[h] = got
-            pieces.append(got)
-        flat = np.frombuffer(b"".join(pieces), dtype="<u4")
-        size = np.array([len(p) for p in pieces], dtype=np.int64) // 4
-        origin = np.cumsum(size) - size
-        lengths = size[which]
-        after = np.cumsum(lengths)
-        ids = flat[np.repeat(origin[which] - (after - lengths), lengths) + np.arange(after[-1])] if len(after) and after[-1] else flat[:0]
-        cuts = after[np.searchsorted(starts, ends)]
-        return np.split(ids, cuts[:-1])
+        known = self.known
+        parts = [_CUT.split(t) for t in texts]
+        new = list({c for p in parts for c in p if c not in known})
+        for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+            known[c] = np.array(e.ids, dtype="<u4").tobytes()
+        out = [np.frombuffer(b"".join(map(known.__getitem__, p)), dtype="<u4") for p in parts]
+        for c in new:
+            if len(c) > 100:
+                del known[c]
+        return out
 
 
 @lru_cache(1)
@@ -297,7 +247,7 @@ def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     """Tokenise, cut and pack; one row per piece: doc_id, piece, start, length, ids_crc32,
     sequence_id, offset.
 
-    Texts that spell special tokens are ordinary text.  Defined cases: a null or empty text is the
+    Special tokens in a text get their own ids, as ``tokenizers`` has it.  Defined cases: a null or empty text is the
     end id alone; null ids are kept; repeated rows are packed one by one; an empty table gives no
     piece; other columns are dropped.
     """
