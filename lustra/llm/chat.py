@@ -53,8 +53,21 @@ FILTERS: dict[str, Callable[[Any], Any]] = {
     "length": len,
     "string": str,
 }
+#: Most characters of a string that an expression may build; a template from elsewhere can't ask for more.
+LONGEST = 1 << 20
+
+
+def _times(a: Any, b: Any) -> Any:
+    n, text = (b, a) if isinstance(a, (str, list)) else (a, b)
+    if isinstance(text, (str, list)) and isinstance(n, int) and n * len(text) > LONGEST:
+        raise TemplateError(f"a value of over {LONGEST} characters")
+    if isinstance(a, int) and isinstance(b, int) and a.bit_length() + b.bit_length() > 4096:
+        raise TemplateError("too large a number")
+    return a * b
+
+
 _BINARY = {
-    "+": operator.add, "-": operator.sub, "*": operator.mul, "~": lambda a, b: str(a) + str(b), "==": operator.eq, "!=": operator.ne,
+    "+": operator.add, "-": operator.sub, "*": _times, "~": lambda a, b: str(a) + str(b), "==": operator.eq, "!=": operator.ne,
     "<": operator.lt, ">": operator.gt, "<=": operator.le, ">=": operator.ge, "in": lambda a, b: a in b,
 }
 _LEVELS = [["or"], ["and"], ["==", "!=", "<", ">", "<=", ">=", "in"], ["+", "-", "~"], ["*"]]
@@ -383,19 +396,23 @@ def read_back(text: str) -> list[tuple[str, str]]:
 _COLUMNS = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "formatted", "loss_spans"]
 
 
-def format_conversations(rows: DataFrame, template: str = TEMPLATE, with_text: bool = True) -> DataFrame:
+def format_conversations(rows: DataFrame, template: str = TEMPLATE, with_text: bool = True, reader: Callable[[str], list[tuple[str, str]]] | None = None) -> DataFrame:
     """Format each conv_id's rows (turn, role, text) in order of turn, and read the result back.
 
     Returns conv_id, n_turns, turns_sha256 (of role, newline, text, newline for each turn read
     back), loss_chars and loss_sha256 (of the unescaped text inside generation markers),
     formatted_chars, formatted, loss_spans (code point offsets).
 
+    ``reader`` is the inverse of another template than the built-in one; without it turns_sha256 is
+    null there, n_turns is the number of rows, and the loss text is taken as rendered.
+
     Defined cases: null texts and roles are empty; null turns come first; equal turns are ordered
     by role, then text, and repeated rows are turns of their own; rows without conv_id form one
     conversation; an empty table stays empty; other columns are ignored.  Each conversation is
     rendered on its own, so memory is bounded by the longest one.
     """
     compile_template(template)
+    reader = read_back if template == TEMPLATE and reader is None else reader
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         render = compile_template(template)
@@ -407,10 +424,10 @@ def format_conversations(rows: DataFrame, template: str = TEMPLATE, with_text: b
         def finish() -> None:
             nonlocal held
             text, marks = render({"messages": messages})
-            turns = read_back(text)
-            loss = "".join(unescape(text[a:b]) for a, b in marks)
-            digest = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode("utf-8", "replace")).hexdigest()
-            out.append((key, len(turns), digest, len(loss), hashlib.sha256(loss.encode("utf-8", "replace")).hexdigest(), len(text), text if with_text else None, [{"start": a, "end": b} for a, b in marks]))
+            turns = reader(text) if reader else None
+            loss = "".join(unescape(text[a:b]) if reader else text[a:b] for a, b in marks)
+            digest = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode("utf-8", "replace")).hexdigest() if reader else None
+            out.append((key, len(turns) if reader else len(messages), digest, len(loss), hashlib.sha256(loss.encode("utf-8", "replace")).hexdigest(), len(text), text if with_text else None, [{"start": a, "end": b} for a, b in marks]))
             held += len(text) if with_text else 300
 
         def flush() -> pa.RecordBatch:
