@@ -1,10 +1,14 @@
 """Main text of web pages by minimum cut.
 
-A page is read into text blocks.  A classifier prices each block as content and as boilerplate:
-fixed log odds of the elements and class names around it, plus a logistic regression on the block's
-own text, trained on blocks whose surroundings leave no doubt.  Prices become terminal capacities;
-blocks that are neighbours on the page, or children of one element, are joined by smoothness edges.
-The minimum cut labels all blocks at once.
+A page is read into text blocks.  A logistic regression prices each block as content and as
+boilerplate, by its own text (length, share of links, punctuation, place, depth) and by weak hints
+around it (elements, words in class names); no hint decides alone.  Prices become terminal
+capacities; blocks that are neighbours on the page, or children of one element, are joined by
+smoothness edges of the size of a doubtful block's price.  The minimum cut labels all blocks at once.
+
+The regression learns from blocks whose surroundings leave no doubt.  Each of them is shown twice,
+once without its hints, so that text weighs as much as markup where markup is silent or contradicts
+itself.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -23,39 +27,46 @@ from pyspark.sql import functions as F
 
 # Elements.
 BLOCK = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
-RAW = set("script style noscript template svg math iframe object canvas textarea select button audio video map noframes xmp".split())
+RAW = set("script style template svg iframe canvas textarea select button audio video noframes".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
     "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"thead", "tbody", "tr", "td", "th"}, "body": {"head"},
 }
 BARRIER = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "tfoot": {"table"}, "option": set(), "body": set()}
-# Log odds of content for elements and for words in class, id and role.
-ELEMENTS = {"article": 4.0, "main": 3.0, "nav": -9.0, "footer": -9.0, "aside": -9.0, "header": -5.0, "form": -9.0, "menu": -9.0, "dialog": -9.0, "head": -30.0, "title": -30.0, "fieldset": -6.0, "search": -9.0}
-GOOD = {"article": 3.0, "main": 2.0, "content": 2.0, "entry": 2.0, "post": 1.5, "story": 3.0, "body": 1.0, "text": 1.0, "prose": 2.0, "articlebody": 4.0}
-BAD = {
-    word: -8.0
-    for word in (
-        "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion promoted sidebar side nav navbar navigation menu breadcrumb breadcrumbs "
-        "footer masthead topbar toolbar comment comments commentlist disqus reply replies respond discussion cookie cookies consent gdpr notice notification alert popup modal overlay "
-        "newsletter subscribe subscription signup login share sharing social related recommended recommendations widget pagination pager tags tagcloud copyright legal disclaimer skip hidden "
-        "outbrain taboola toc search form complementary contentinfo navigation banner"
-    ).split()
-}
+# Elements that usually hold boilerplate, and words in class, id and role that hint at content and at boilerplate, strongly and weakly.
+FURNITURE = ("nav", "footer", "aside", "form", "menu", "dialog", "fieldset", "search")
+GOOD = ("article", "main", "content", "entry", "post", "story", "prose", "articlebody")
+STRONG = (
+    "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "promoted", "sidebar", "nav", "navbar", "navigation",
+    "menu", "breadcrumb", "breadcrumbs", "footer", "masthead", "comment", "comments", "commentlist", "disqus", "replies", "cookie", "cookies", "consent", "gdpr", "popup",
+    "newsletter", "subscribe", "subscription", "signup", "login", "pagination", "pager", "outbrain", "taboola", "complementary", "contentinfo",
+)
+WEAK = (
+    "banner", "side", "topbar", "toolbar", "reply", "respond", "discussion", "notice", "notification", "alert", "modal", "overlay", "widget", "share", "sharing", "social", "related",
+    "recommended", "recommendations", "tags", "tagcloud", "copyright", "legal", "disclaimer", "skip", "toc", "search", "form",
+)
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
 _NAME = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORD = re.compile(r"[a-z]+")
 _BLANK = re.compile(r"\s+")
+_RIGHTS = re.compile(r"©|\bcopyright\b|all rights reserved", re.I)
 _END_MARKS = re.compile(r"[.!?;:,…。！？]")
 
 
 @dataclass
 class Element:
+    """What an element and those above it hint at."""
+
     name: str
-    parent: "Element | None"
-    odds: float
-    hard: int  # of all elements above and this one: 1 in an article, -1 in boilerplate, 0 unknown
-    depth: int
+    parent: "Element | None" = None
+    content: bool = False  # inside an article
+    furniture: bool = False
+    strong: bool = False
+    weak: bool = False
+    good: bool = False
+    hidden: bool = False
+    depth: int = 0
 
 
 @dataclass
@@ -65,35 +76,28 @@ class Block:
     tag: str
     element: Element
     scope: Element
-    price: float = 0.0
     features: list[float] = field(default_factory=list)
 
 
 def _element(name: str, attributes: str, parent: Element | None) -> Element:
-    odds, hard = ELEMENTS.get(name, 0.0), 0
-    if name in ("article", "main"):
-        hard = 1
-    elif odds < 0:
-        hard = -1
-    if attributes:
-        for m in _NAME.finditer(attributes):
-            key, value = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "")
-            if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
-                odds, hard = odds - 9.0, -1
-            elif key in ("class", "id", "role"):
-                words = _WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
-                bad = min((BAD[w] for w in words if w in BAD), default=0.0)
-                if bad and name not in ("html", "body"):
-                    odds, hard = odds + bad, -1
-                elif not bad and hard >= 0:
-                    good = max((GOOD[w] for w in words if w in GOOD), default=0.0)
-                    odds += good
-                    hard = max(hard, int(good >= 3))
     if parent is None:
-        return Element(name, None, odds, hard, 0)
-    if parent.hard < 0 or hard < 0:
-        return Element(name, parent, min(parent.odds, 0) + min(odds, 0), -1, parent.depth + 1)
-    return Element(name, parent, max(parent.odds, odds), max(parent.hard, hard), parent.depth + 1)
+        return Element(name)
+    e = Element(name, parent, parent.content, parent.furniture, parent.strong, parent.weak, parent.good, parent.hidden, parent.depth + 1)
+    e.content |= name in ("article", "main")
+    # An article has a header of its own.
+    e.furniture |= name in FURNITURE or name == "header" and not parent.content
+    e.hidden |= name == "head"
+    for m in _NAME.finditer(attributes) if attributes else ():
+        key, value = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "")
+        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
+            e.hidden = True
+        elif key in ("class", "id", "role") and name not in ("html", "body"):
+            words = _WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
+            e.strong |= any(w in STRONG for w in words)
+            e.weak |= any(w in WEAK for w in words)
+            e.good |= any(w in GOOD for w in words)
+            e.content |= key == "role" and "main" in words
+    return e
 
 
 def read_blocks(source: str) -> list[Block]:
@@ -110,7 +114,7 @@ def read_blocks(source: str) -> list[Block]:
         nonlocal parts, link_chars, inline, links
         if parts:
             text = _BLANK.sub(" ", html.unescape("".join(parts))).strip()
-            if text:
+            if text and not (inline[-1] if inline else open_[-1]).hidden:
                 scope = open_[-1]
                 while scope.name in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "pre") and scope.parent is not None:
                     scope = scope.parent
@@ -149,9 +153,10 @@ def read_blocks(source: str) -> list[Block]:
             if name == "a":
                 links = max(0, links + (-1 if closing else 1))
             elif attributes and not closing:
-                e = _element(name, attributes, inline[-1] if inline else open_[-1])
-                if e.hard < 0 and (inline[-1] if inline else open_[-1]).hard >= 0:
-                    # Boilerplate inside running text stands as a block of its own.
+                around = inline[-1] if inline else open_[-1]
+                e = _element(name, attributes, around)
+                if (e.strong, e.hidden) != (around.strong, around.hidden):
+                    # Likely boilerplate inside running text stands as a block of its own.
                     end_block()
                     inline.append(e)
             elif closing and inline and inline[-1].name == name:
@@ -188,36 +193,49 @@ def read_blocks(source: str) -> list[Block]:
     return blocks
 
 
-N_FEATURES = 9
+N_TEXT, N_HINTS = 13, 6
+RIDGE = 0.01
+N_FEATURES = N_TEXT + N_HINTS
+#: Log odds that the regression starts from and is drawn to: of a block's text (constant, log words, links, punctuation, ends in a mark, paragraph, heading, list or cell, text around,
+#: depth, distance from the page's middle, repeated on the page, claims rights), and of hints (article, furniture, strong and weak words, good words, outside of the page's article).
+PRIOR = np.array([-2.0, 0.7, -3.0, 1.0, 0.5, 0.5, 0.3, -0.5, 0.1, 0.0, -0.5, -1.0, -1.5, 3.0, -4.0, -4.0, -1.5, 1.0, -3.0])
 
 
 def _describe(blocks: list[Block]) -> None:
+    seen = Counter(b.text for b in blocks)
+    has_main = any(b.element.content for b in blocks)
     for k, b in enumerate(blocks):
         n = len(b.text)
         words = b.text.count(" ") + 1
         marks = len(_END_MARKS.findall(b.text))
         around = sum(len(blocks[j].text) for j in (k - 1, k + 1) if 0 <= j < len(blocks))
+        e = b.element
         b.features = [
             1.0, min(8.0, math.log1p(words)), min(1.0, b.link_chars / max(1, n)), min(1.0, 8 * marks / max(1, n / 8)), float(b.text[-1] in ".!?…\"'"),
             float(b.tag == "p"), float(b.tag in ("h1", "h2", "h3", "h4", "h5", "h6")), float(b.tag in ("li", "td", "option")), min(10.0, math.log1p(around)),
+            min(20, e.depth) / 10, abs(2 * (k + 0.5) / len(blocks) - 1), float(seen[b.text] > 1), float(n < 200 and _RIGHTS.search(b.text) is not None),
+            float(e.content), float(e.furniture), float(e.strong), float(e.weak), float(e.good), float(has_main and not e.content),
         ]
 
 
 class Classifier:
-    """Logistic regression on a block's own text; without training it prices every block at 0."""
+    """Logistic regression with the prior's weights as its mean; without training the prior alone."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray):
-        self.weights = np.zeros(N_FEATURES)
+        self.weights = PRIOR.copy()
         if len(y) and 0 < y.sum() < len(y):
+            bare = x.copy()
+            bare[:, N_TEXT:] = 0
+            x, y = np.vstack([x, bare]), np.r_[y, y]
             share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
             for _ in range(30):
                 p = 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
-                grad = x.T @ (share * (p - y)) + 1e-3 * self.weights
-                hess = (x * (share * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(N_FEATURES)
+                grad = x.T @ (share * (p - y)) + RIDGE * (self.weights - PRIOR)
+                hess = (x * (share * p * (1 - p))[:, None]).T @ x + RIDGE * np.eye(N_FEATURES)
                 self.weights -= np.linalg.solve(hess, grad)
 
     def odds(self, x: np.ndarray) -> np.ndarray:
-        return np.clip(x @ self.weights, -1.5, 1.5)
+        return x @ self.weights
 
 
 def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,11 +245,11 @@ def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for source in batch.column(0):
             blocks = read_blocks(source.as_py() or "")
             _describe(blocks)
-            sure = [b for b in blocks if b.element.hard]
+            sure = [(b, good) for b in blocks if (good := b.element.content) != (b.element.furniture or b.element.strong) and not b.element.weak]
             step = max(1, len(sure) // 32)  # at most 63 blocks of a page
-            for b in sure[::step]:
+            for b, good in sure[::step]:
                 xs.append(b.features)
-                ys.append(int(b.element.hard > 0))
+                ys.append(int(good))
         if xs:
             yield pa.RecordBatch.from_arrays([pa.array(xs, pa.list_(pa.float64())), pa.array(ys, pa.int32())], names=["x", "y"])
 
@@ -276,55 +294,74 @@ def min_cut(prices: list[float], edges: list[tuple[int, int, float]]) -> list[bo
                 del around[j][k]
                 queue.append(j)
             around[k] = {}
-    free = [k for k in range(n) if label[k] is None]
-    if not free:
-        return [bool(x) for x in label]
-    # Residual capacities; -1 is the source, -2 the sink.
-    residual: dict[int, dict[int, float]] = {k: dict(around[k]) for k in free}
+    for part in _parts(label, around):
+        for k, side in _cut(part, price, around).items():
+            label[k] = side
+    return [bool(x) for x in label]
+
+
+def _parts(label: list[bool | None], around: list[dict[int, float]]) -> Iterator[list[int]]:
+    """Connected sets of the nodes without a label."""
+    seen = [x is not None for x in label]
+    for k in range(len(label)):
+        if not seen[k]:
+            seen[k] = True
+            part = [k]
+            for a in part:
+                for b in around[a]:
+                    if not seen[b]:
+                        seen[b] = True
+                        part.append(b)
+            yield part
+
+
+def _cut(part: list[int], price: list[float], around: list[dict[int, float]]) -> dict[int, bool]:
+    """Maximum flow by shortest augmenting paths, level by level.  -1 is the source, -2 the sink."""
+    residual: dict[int, dict[int, float]] = {k: dict(around[k]) for k in part}
     residual[-1], residual[-2] = {}, {}
-    for k in free:
+    for k in part:
         a, b = (-1, k) if price[k] > 0 else (k, -2)
         residual[a][b] = abs(price[k])
         residual[b].setdefault(a, 0.0)
     while True:
-        came = {-1: -1}
+        level = {-1: 0}
         queue = deque([-1])
-        while queue and -2 not in came:
+        while queue:
             a = queue.popleft()
             for b, c in residual[a].items():
-                if c > 1e-9 and b not in came:
-                    came[b] = a
+                if c > 1e-9 and b not in level:
+                    level[b] = level[a] + 1
                     queue.append(b)
-        if -2 not in came:
-            break
-        path, b = [], -2
-        while b != -1:
-            path.append((came[b], b))
-            b = came[b]
-        flow = min(residual[a][b] for a, b in path)
-        for a, b in path:
-            residual[a][b] -= flow
-            residual[b][a] = residual[b].get(a, 0.0) + flow
-    for k in free:
-        label[k] = k in came
-    return [bool(x) for x in label]
+        if -2 not in level:
+            return {k: k in level for k in part}
+        left = {a: list(residual[a]) for a in level}
+        path = [-1]
+        while path:
+            a = path[-1]
+            if a == -2:
+                flow = min(residual[x][y] for x, y in zip(path, path[1:]))
+                cut = 0
+                for k, (x, y) in enumerate(zip(path, path[1:])):
+                    residual[x][y] -= flow
+                    residual[y][x] = residual[y].get(x, 0.0) + flow
+                    if residual[x][y] <= 1e-9 and not cut:
+                        cut = k + 1
+                del path[cut:]
+                continue
+            while left[a] and not (residual[a].get(left[a][-1], 0.0) > 1e-9 and level.get(left[a][-1]) == level[a] + 1):
+                left[a].pop()
+            if left[a]:
+                path.append(left[a][-1])
+            else:
+                path.pop()
+                if path:
+                    left[path[-1]].pop()
 
 
-NEAR, SIBLING = 0.8, 0.6
+NEAR, SIBLING = 1.0, 1.5
 
 
-def main_text(source: str, classifier: Classifier) -> str:
-    """Blocks on the content side of the cut, one to a line."""
-    blocks = read_blocks(source)
-    if not blocks:
-        return ""
-    _describe(blocks)
-    odds = classifier.odds(np.array([b.features for b in blocks]))
-    has_main = any(b.element.hard > 0 for b in blocks)
-    prices = []
-    for b, o in zip(blocks, odds.tolist()):
-        price = b.element.odds + (o if b.element.hard == 0 else 0.3 * o)
-        prices.append(price - 6.0 if has_main and b.element.hard == 0 else price)
+def _edges(blocks: list[Block]) -> list[tuple[int, int, float]]:
     edges = []
     last: dict[int, int] = {}
     for k, b in enumerate(blocks):
@@ -335,7 +372,22 @@ def main_text(source: str, classifier: Classifier) -> str:
         if j is not None:
             edges.append((j, k, SIBLING))
         last[id(b.scope)] = k
-    return "\n".join(b.text for b, keep in zip(blocks, min_cut(prices, edges)) if keep)
+    return edges
+
+
+def label_blocks(blocks: list[Block], classifier: Classifier) -> tuple[list[float], list[bool]]:
+    """Each block's price (log odds of content) and its side of the cut (True: content)."""
+    if not blocks:
+        return [], []
+    _describe(blocks)
+    prices = classifier.odds(np.array([b.features for b in blocks])).tolist()
+    return prices, min_cut(prices, _edges(blocks))
+
+
+def main_text(source: str, classifier: Classifier) -> str:
+    """Blocks on the content side of the cut, one to a line."""
+    blocks = read_blocks(source)
+    return "\n".join(b.text for b, keep in zip(blocks, label_blocks(blocks, classifier)[1]) if keep)
 
 
 def extract(pages: DataFrame, classifier: Classifier, html_col: str = "html") -> DataFrame:
