@@ -103,26 +103,56 @@ def test_op2(spark, sf_dir, docs, empty):
     assert language_id.identify(docs, None).filter("lang_pred <> 'und'").count() == 0
 
 
-def test_op3(docs, empty):
-    every = sorted(texts_of(docs), key=lambda x: (x[0] is not None, x[0] or 0))
-    got = fingerprints.neighbour_fingerprints(docs, rows_per_range=7)
-    rows = {(r["doc_id"], r["edited_sha256"]): r for r in got.collect()}
-    assert got.count() == len(every)
-    for k in range(2, 20):
-        (i, a), (_, b) = every[k], every[k + 1]
-        a, b = a or "", b or ""
-        h = len(a) // 2
-        r = rows[i, hashlib.sha256((a[: len(a) - h] + b[:h]).encode()).hexdigest()]
-        assert r["n_chars"] == len(a) and 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
+def brute_sketch(text, width=5):
+    from lustra.llm.textkit import shingle_set
+
+    h = sorted(int(x) for x in shingle_set(text.encode()))
+    return [x for k, x in enumerate(h) if k < 16 or x < (1 << 64) // 8]
+
+
+def brute_resemblance(a, b):
+    if not a or not b:
+        return float(len(a) == len(b))
+    covered = min((1 << 64) - 1 if len(x) < 16 else max((1 << 64) // 8 - 1, x[15]) for x in (a, b))
+    a, b = ({x for x in s if x <= covered} for s in (a, b))
+    return len(a & b) / max(1, len(a | b))
+
+
+@pytest.mark.parametrize("per_range", [2000, 7, 1])
+def test_op3(spark, docs, empty, per_range):
+    # Rows of one id are ordered by a hash of the text, then the text.
+    hashed = {r["t"]: r["h"] for r in docs.selectExpr("coalesce(text, '') t", "xxhash64(coalesce(text, '')) h").collect()}
+    every = sorted(((i, t or "") for i, t in texts_of(docs)), key=lambda x: (x[0] is not None, x[0] or 0, hashed[x[1]], x[1]))
+    want = collections.Counter()
+    for (i, a), (_, b) in zip(every, every[1:] + every[:1]):
+        edited = a[: len(a) - len(a) // 2] + b[: len(a) // 2]
+        s, e, n = brute_sketch(a), brute_sketch(edited), brute_sketch(b)
+        code = lambda x: fingerprints.encode(np.array(x, dtype=np.uint64))
+        want[i, len(a), hashlib.sha256(edited.encode()).hexdigest(), code(s), code(e), round(brute_resemblance(s, e), 9), round(brute_resemblance(s, n), 9)] += 1
+    got = fingerprints.neighbour_fingerprints(docs, rows_per_range=per_range).collect()
+    assert collections.Counter((r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in got) == want
+    assert fingerprints.neighbour_fingerprints(empty).count() == 0
+
+
+def test_sketches(docs):
     prints = {}
     for r in fingerprints.fingerprint(docs).join(docs.select("doc_id", "text"), "doc_id").collect():
         assert prints.setdefault(r["text"] or "", r["fingerprint"]) == r["fingerprint"]
-    assert fingerprints.neighbour_fingerprints(empty).count() == 0
     a, b = (" ".join(map(str, range(x, x + 4000))).encode() for x in (0, 1000))
     x, y = fingerprints.sketch(a), fingerprints.sketch(b)
     assert abs(fingerprints.resemblance(x, y) - 0.6) < 0.08 and abs(fingerprints.containment(x, y) - 0.75) < 0.08
-    assert set(fingerprints.merge(x, y)) == set(x) | set(y)
     assert (fingerprints.decode(fingerprints.encode(x)) == x).all()
+    # Merging two sketches gives the sketch of both texts' shingles, whatever their lengths.
+    from lustra.llm.textkit import shingle_set
+
+    r = random.Random(4)
+    for k in range(200):
+        a, b = (" ".join(str(r.randrange(10**6)) for _ in range(r.choice([0, 3, 6, 12, 20, 60, 400]))).encode() for _ in "ab")
+        whole = np.union1d(shingle_set(a), shingle_set(b))
+        assert fingerprints.merge(fingerprints.sketch(a), fingerprints.sketch(b)).tolist() == [h for j, h in enumerate(whole.tolist()) if j < 16 or h < (1 << 64) // 8]
+    # A short text inside a longer one.
+    short, longer = b"a b c d e f g h", b"a b c d e f g h i j"
+    assert fingerprints.containment(fingerprints.sketch(short), fingerprints.sketch(longer)) == 1 and abs(fingerprints.resemblance(fingerprints.sketch(short), fingerprints.sketch(longer)) - 4 / 6) < 1e-9
 
 
 def test_op4(docs, empty):
@@ -133,6 +163,9 @@ def test_op4(docs, empty):
         wave = media.to_wave(payload)
         r = got[i, hashlib.sha256(wave).hexdigest()]
         assert (r["n_bytes"], r["payload_bytes"], r["tail_crc32"], r["media_bytes"]) == (len(b), len(payload), zlib.crc32(payload[-64:]), len(wave))
+        x = list(payload)
+        turns = sum((p >= 128) != (q >= 128) for p, q in zip(x, x[1:]))
+        assert r["feature"] == f"audio/wav;rate=8000;bits=8;samples={len(x)};sum={sum(x)};energy={sum(v * v for v in x)};crossings={turns};embedded=0"
         assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and bytes(r["media"]) == wave and r["detected_type"] == "audio/wav"
     assert media.media_features(empty).count() == 0
 
@@ -150,6 +183,40 @@ def test_sniffing():
     assert [(n, k) for _, n, k in found] == [(len(png), "image/png"), (len(gif), "image/gif"), (len(packed), "application/gzip")]
 
 
+def test_sniffing_is_linear_and_whole():
+    import io
+    import time
+    import zipfile
+
+    finder = media.automaton()
+    began = time.process_time()
+    assert media.sniff(b"%PDF-1 " * 150_000, finder) == []
+    assert media.sniff(b"PK\x03\x04" * 250_000, finder) == []
+    assert media.sniff(b"%PDF-1 %%EOF " * 80_000, finder)[0] == (0, 12, "application/pdf")
+    assert time.process_time() - began < 20
+    updated = b"%PDF-1.4 one %%EOF two %%EOF"
+    assert media.sniff(b"x" + updated + b"  " + updated, finder) == [(1, len(updated), "application/pdf"), (3 + len(updated), len(updated), "application/pdf")]
+
+    def archive(name, data):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
+            z.writestr(name, data)
+        return out.getvalue()
+
+    inner = archive("a", b"text")
+    outer = archive("b", inner)
+    found = media.sniff(b"junk" + outer + b"junk", finder)
+    assert found[0] == (4, len(outer), "application/zip") and (4 + outer.index(inner), len(inner), "application/zip") in found
+    import gzip
+
+    two = gzip.compress(b"one") + gzip.compress(b"two")
+    assert media.detect_type(two, finder) == "application/gzip"
+    frame = b"\xff\xfb\x90\x00" + b"\0" * (144 * 128000 // 44100 - 4)
+    mp3 = b"ID3\x03\0\0\0\0\0\0" + frame * 3
+    assert media.sniff(b"x" + mp3 + b"tail", finder) == [(1, len(mp3), "audio/mpeg")]
+    assert media.sniff(b"ID3\x03\0\0\0\0\0\0" + b"no frame", finder) == []
+
+
 def test_op5(spark, docs, empty):
     got = hilbert.shard_documents(docs, shards=16)
     rows = got.collect()
@@ -172,7 +239,6 @@ def test_op6(docs, empty):
     from tokenizers import Tokenizer
 
     tk = Tokenizer.from_file(PATH)
-    tk.encode_special_tokens = True
     got = packing.pack_documents(docs, PATH, capacity=128)
     rows = got.collect()
     want = collections.Counter()
@@ -201,9 +267,15 @@ def test_tokens_match():
     from tokenizers import Tokenizer
 
     tk = Tokenizer.from_file(PATH)
-    tk.encode_special_tokens = True
-    odd = ["", "  a", " 's it's we'll 'tis ''s don'T I'd\n\n  x\t\ty  ", "'re'll's", "'", "a 's", "\x1c a\x85b", "<|endoftext|> hi", "日本語　x", "😀😀 'm", "½²x 12३"]
-    assert [list(map(int, x)) for x in packing.Tokens(PATH).ids(odd)] == [e.ids for e in tk.encode_batch(odd, add_special_tokens=False)]
+    odd = ["", "  a", " 's it's we'll 'tis ''s don'T I'd\n\n  x\t\ty  ", "'re'll's", "'", "a 's", "\x1c a\x85b", "a <|endoftext|> b<|endoftext|>c. d", "日本語　x", "😀😀 'm", "½²x 12३", "x " * 50_000, "y" * 20_000]
+    r = random.Random(6)
+    parts = [" ", "  ", "\n", "\t", "a", "b", "'s", "'", "1", "½", "é", "日", "<|endoftext|>", "\u00a0", "\x1c", "\x85", "!", ".", "\u3000", "😀", "\u180e", "\u200b", "don't", "X", ";:"]
+    odd += ["".join(r.choice(parts) for _ in range(r.randint(0, 14))) for _ in range(10_000)]
+    tokens = packing.Tokens(PATH)
+    want = [e.ids for e in tk.encode_batch(odd, add_special_tokens=False)]
+    for _ in range(2):  # unknown and known chunks
+        assert [x.tolist() for x in tokens.ids(odd)] == want
+    assert 50256 in want[7]
 
 
 def test_op7(spark, sf_dir):
@@ -220,6 +292,18 @@ def test_op7(spark, sf_dir):
     assert extra["n_turns"] == 2 and extra["loss_chars"] == len(queries._SPELLED)
 
 
+def test_op7_other_templates(spark):
+    rows = [(1, 0, "user", "a", 9), (1, 1, "assistant", "b" * 2_000_000, 9), (None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted int")
+    template = "{% for m in messages %}{{ m.role ~ ': ' }}{% if m.role == 'assistant' %}{% generation %}{{ m.text }}{% endgeneration %}{% else %}{{ m.text }}{% endif %}\n{% endfor %}"
+    got = {r["conv_id"]: r for r in chat.format_conversations(df, template).collect()}
+    assert got[1]["formatted"] == "user: a\nassistant: " + "b" * 2_000_000 + "\n" and got[1]["turns_sha256"] is None
+    assert got[1]["n_turns"] == 2 and got[1]["loss_chars"] == 2_000_000 and got[None]["n_turns"] == 1
+    for bad in ("{{ 'x' * 999999999 }}", "{% set a = 'xx' %}{{ a * 999999999 }}"):
+        with pytest.raises(chat.TemplateError):
+            chat.compile_template(bad)({})
+
+
 def test_template_language():
     text, marks = chat.compile_template("{% set n = 1 + 2 %}{{ n }}{% if n == 3 and not false %}{% generation %}{{ 'a' ~ x.y[0]|upper }}{% endgeneration %}{% else %}no{% endif %}")({"x": {"y": ["b"]}})
     assert text == "3aB" and marks == [(1, 3)]
@@ -236,6 +320,50 @@ PAGE = """<html><head><title>t</title><script>var a="<p>no</p>"</script></head><
 <div id="comments"><p>Nice article, thank you for it.</p></div><form><label>Mail</label></form><footer>&copy; us</footer></body></html>"""
 
 
+def test_scratch_tables_belong_to_their_call(spark, docs):
+    import corpus_pipeline
+
+    lazy = mixing.mix(docs)
+    now = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    for _, stage in corpus_pipeline.STAGES[1:3]:
+        assert stage(spark, now, "").count() > 0
+    assert lazy.count() == docs.count()
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path, empty):
+    import corpus_pipeline
+
+    empty.write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_very_long_text(spark):
+    r = random.Random(9)
+    long = " ".join(str(r.randrange(10**7)) for _ in range(640_000))
+    df = spark.createDataFrame([(1, long, "en", "a"), (2, long[:-40], "en", "a"), (3, None, None, None)], "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in suffix_dedup.suffix_dedup(df, with_text=False).collect()}
+    assert got[2]["n_removed"] == len(long) - 40 and got[1]["n_bytes"] == len(long)
+    assert {r["component_id"] for r in ngram_join.linked_components(df).collect()} == {1, 3}
+    assert hilbert.shard_documents(df).count() == 3 and mixing.mix(df).count() == 3
+    assert {r["doc_id"]: r["n_bytes"] for r in media.media_features(df).collect()}[1] == len(long)
+    assert fingerprints.neighbour_fingerprints(df).count() == 3
+
+
+def test_equal_hashes_and_ids(spark):
+    """Texts whose 64-bit hashes agree in their upper halves, under null and equal ids."""
+    import corpus_pipeline
+
+    pair = [" ".join(f"{c}{n}" for c in "abcdefgh") for n in (78548, 88238)]
+    rows = [(i, t, "en", s, None) for i in (None, 5) for t in pair for s in ("x", "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_duplicate_stage(spark, df, "")
+    assert sorted(r["text"] for r in kept.collect()) == sorted(pair)
+    long = [f"{t} " * 40 for t in pair]
+    df = spark.createDataFrame([(None, long[0], "en", "x"), (None, pair[1], "en", "x"), (None, long[1], "en", "x")], "doc_id long, text string, lang string, source string")
+    got = {r["n_bytes"]: r["n_removed"] for r in suffix_dedup.suffix_dedup(df).collect()}
+    assert got[len(pair[1])] == 0
+
+
 def test_op8(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "old"), (2, "v", None, None), (3, None, "", None), (1, "u", PAGE, "old"), (4, "w", "<p>", None), (5, "x", "<div" + "<" * 500, None)], "page_id long, url string, html string, text string")
     got = [tuple(r) for r in html_extract.extract(df, html_extract.train(df)).select("page_id", "text", "n_chars").collect()]
