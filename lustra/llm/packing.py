@@ -11,8 +11,8 @@ offset) that rows look up by their rank among the documents of their length.
 from __future__ import annotations
 
 import json
-import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,19 +22,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import ranked, written
+from .textkit import Rolling, mix
 
 #: Most chunks that a worker keeps.
-_CACHE = 1_200_000
-#: Where the byte-level pattern always starts a pre-token, so that texts can be cut without a change
-#: of ids: at a plain space between two characters that aren't white space, and between a letter
-#: and a mark.
-_CUT = re.compile(r"(?<=\S)(?= \S)|(?<=[A-Za-z])(?=[.,;:!?])")
+_CACHE = 1_500_000
+_BREAK = 0x110000
+
+
+def _surely_not_white(cp: np.ndarray) -> np.ndarray:
+    return (cp > 32) & (cp != 0x85) & (cp != 0xA0) & ((cp < 0x1680) | (cp > 0x3000))
+
+
+# Characters that are letters or digits without doubt, and ASCII marks but for apostrophes and those of special tokens.
+_LETTER = np.zeros(0x250, dtype=bool)
+_LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x250)]] = True
+_MARK = np.zeros(128, dtype=bool)
+_MARK[[ord(c) for c in "!\"#$%&()*+,-./:;=?@[\\]^`{}~"]] = True
+
+
+def _chunk_starts(cp: np.ndarray) -> np.ndarray:
+    """Places where the byte-level pattern always starts a pre-token, so that a text can be cut there
+    without a change of ids: a plain space between two characters that aren't white space, a mark
+    after a letter or digit, and both sides of a break between texts."""
+    start = np.ones(len(cp), dtype=bool)
+    solid = _surely_not_white(cp)
+    start[1:] = (cp[1:] == _BREAK) | (cp[:-1] == _BREAK)
+    start[1:-1] |= (cp[1:-1] == 32) & solid[:-2] & solid[2:]
+    low = np.minimum(cp, 0x24F)
+    start[1:] |= _LETTER[low[:-1]] & (cp[:-1] < 0x250) & _MARK[np.minimum(cp[1:], 127)]
+    return np.flatnonzero(start)
 
 
 class Tokens:
     """Token ids of many texts, by ``tokenizers``.  Texts are cut into chunks where no token can
-    cross, and each distinct chunk is encoded once and kept.  Files whose pre-tokens could cross a
-    space, or whose special tokens hold one, are encoded as whole texts."""
+    cross, and each distinct chunk is encoded once and kept, under two 64-bit hashes that both have to
+    agree.  Files whose pre-tokens could cross a cut, or whose special tokens hold one, are encoded as
+    whole texts."""
 
     def __init__(self, path: str):
         import os
@@ -47,24 +70,50 @@ class Tokens:
             spec = json.load(f)
         split = spec.get("pre_tokenizer") or {}
         plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not spec.get("normalizer")
-        self.cuts = plain and not any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec.get("added_tokens", []))
-        self.known: dict[str, bytes] = {}
+        special = spec.get("added_tokens", [])
+        self.cuts = plain and not any(" " in t["content"] or len(_chunk_starts(_points(t["content"]))) > 1 or t["lstrip"] or t["rstrip"] or t["single_word"] for t in special)
+        self.known: dict[int, tuple[int, bytes]] = {}
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        if not self.cuts:
-            return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        if not self.cuts or not texts:
+            return self._whole(texts)
+        cp = _points("\0".join([*texts, ""]))
+        ends = np.cumsum([len(t) + 1 for t in texts]) - 1
+        cp[ends] = _BREAK
+        starts = _chunk_starts(cp)
+        stops = np.r_[starts[1:], len(cp)]
+        symbols = cp.astype(np.uint64)
+        name = Rolling(mix(symbols)).slices(starts, stops)
+        check = Rolling(mix(symbols ^ np.uint64(0x5851F42D4C957F2D))).slices(starts, stops)
+        names, first, which = np.unique(name, return_index=True, return_inverse=True)
+        checks = check[first]
+        if (check != checks[which]).any():
+            return self._whole(texts)
         if len(self.known) > _CACHE:
             self.known.clear()
         known = self.known
-        parts = [_CUT.split(t) for t in texts]
-        new = list({c for p in parts for c in p if c not in known})
-        for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            known[c] = np.array(e.ids, dtype="<u4").tobytes()
-        out = [np.frombuffer(b"".join(map(known.__getitem__, p)), dtype="<u4") for p in parts]
-        for c in new:
-            if len(c) > 100:
-                del known[c]
-        return out
+        pieces = [known.get(n) for n in names.tolist()]
+        new = [k for k, (got, c) in enumerate(zip(pieces, checks.tolist())) if got is None or got[0] != c]
+        spelled = [cp[starts[first[k]] : stops[first[k]]].tobytes().decode("utf-32-le") if cp[starts[first[k]]] != _BREAK else "" for k in new]
+        for k, text, e in zip(new, spelled, self.tokenizer.encode_batch_fast(spelled, add_special_tokens=False)):
+            pieces[k] = (int(checks[k]), array("I", e.ids).tobytes())
+            if len(text) <= 100:
+                known[int(names[k])] = pieces[k]
+        flat = [p for _, p in pieces]
+        size = np.array([len(p) for p in flat], dtype=np.int64) // 4
+        flat = np.frombuffer(b"".join(flat), dtype="<u4")
+        origin = np.cumsum(size) - size
+        lengths = size[which]
+        after = np.cumsum(lengths)
+        ids = flat[np.repeat(origin[which] - (after - lengths), lengths) + np.arange(after[-1])] if after[-1] else flat[:0]
+        return np.split(ids, after[np.searchsorted(starts, ends)][:-1])
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32).copy()
 
 
 @lru_cache(1)
@@ -103,7 +152,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 keys.append(key.as_py())
                 texts.append(text.as_py() or "")
                 held += len(texts[-1])
-                if held > 1_000_000:
+                if held > 2_000_000:
                     yield rows(keys, texts)
                     keys, texts, held = [], [], 0
             if keys:
