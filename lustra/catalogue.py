@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .functions import templates as tpl
 from .messy import duck, messy
-from .model import CleaningPlan, ColumnProfile, Expression, Member, TableProfile
+from .model import Classified, CleaningPlan, ColumnClass, ColumnProfile, Expression, Group, Member, TableProfile
 from .operators import capture, classify, consistency, profile, rowdiff, sample
-from .plans import answers, dryrun, guard
+from .pipeline import Engine
+from .plans import answers, dryrun, guard, materialize
 from .plans import compile as compiling
 from .plans.materialize import Cache
+from .sources.tables import Source, TableNotFound
+from .streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -103,7 +107,7 @@ _EXPRESSIONS: list[tuple[str, str, str, str, str, str]] = [
     ("clean_null_variant", "messy_orders", "order_id", "priority", tpl.null_variant("`priority`"), f"CASE WHEN NOT ({_d(_SENTINEL, 'priority')}) THEN priority END"),
     ("clean_trim", "messy_orders", "order_id", "priority", tpl.trimmed("`priority`"), "trim(priority)"),
     ("clean_casing", "messy_orders", "order_id", "priority", tpl.lowered("`priority`"), "lower(trim(priority))"),
-    ("layered_issues", "messy_orders", "order_id", "priority", tpl.lowered(tpl.trimmed(tpl.null_variant("`priority`"))), f"CASE WHEN NOT ({_d(_SENTINEL, 'priority')}) THEN lower(trim(priority)) END"),
+    ("layered_issues", "messy_orders", "order_id", "priority", compiling.deterministic(ColumnProfile("priority", "string", issues=["needs_trim", "null_variant", "inconsistent_casing"])).sql[0], f"CASE WHEN NOT ({_d(_SENTINEL, 'priority')}) THEN lower(trim(priority)) END"),
     ("answer_mdy", "messy_customer", "customer_id", "signup_date", tpl.parsed_date("trim(`signup_date`)", "%m/%d/%Y"), "try_strptime(trim(signup_date), '%m/%d/%Y')"),
     ("answer_dmy", "messy_customer", "customer_id", "signup_date", tpl.parsed_date("trim(`signup_date`)", "%d/%m/%Y"), "try_strptime(trim(signup_date), '%d/%m/%Y')"),
     ("answer_fraction", "messy_orders", "order_id", "discount_pct", tpl.fraction_answer("`discount_pct`", False), _d(_WHOLE, "discount_pct")),
@@ -187,21 +191,22 @@ def _long(spark: SparkSession, wide: DataFrame, names: list[str]) -> DataFrame:
 
 @_query(duck("messy_orders") + "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*)::BIGINT AS n_rows, count_if({c} IS NULL)::BIGINT AS n_nulls, CASE WHEN count(*) = 0 THEN 0.0 ELSE count_if({c} IS NULL)::DOUBLE / count(*)::DOUBLE END::DOUBLE AS null_pct FROM messy_orders" for c in _COLUMNS) + ")")
 def profile_nulls(spark: SparkSession, sf: str) -> DataFrame:
-    nulls = lambda c: F.count_if(F.col(c).isNull())
-    wide = messy(spark, sf, "messy_orders").agg(*[F.struct(F.count("*").alias("n_rows"), nulls(c).alias("n_nulls"), F.coalesce(F.try_divide(nulls(c).cast("double"), F.count("*").cast("double")), F.lit(0.0)).alias("null_pct")).alias(f"f{k}") for k, c in enumerate(_COLUMNS)])
-    return _long(spark, wide, _COLUMNS)
+    t = profile.full_table(messy(spark, sf, "messy_orders"), "messy_orders", "order_id")
+    return _frame(spark, [(c.name, t.rows, round(c.null_pct * t.rows), c.null_pct) for c in t.columns], "column_name string, n_rows long, n_nulls long, null_pct double")
 
 
 @_query("SELECT 'lineitem' AS table_name, count(*)::BIGINT AS n_rows FROM lineitem UNION ALL SELECT 'events', count(*)::BIGINT FROM events UNION ALL SELECT 'orders', count(*)::BIGINT FROM orders")
 def profile_rowcount(spark: SparkSession, sf: str) -> DataFrame:
-    one = lambda t: spark.read.parquet(f"{sf}/{t}.parquet").agg(F.lit(t).alias("table_name"), F.count("*").alias("n_rows"))
-    return one("lineitem").unionByName(one("events")).unionByName(one("orders"))
+    names = ("lineitem", "events", "orders")
+    return _frame(spark, [(t, profile.full_table(spark.read.parquet(f"{sf}/{t}.parquet"), t).rows) for t in names], "table_name string, n_rows long")
 
 
 @_query("SELECT count(DISTINCT event_type)::BIGINT AS d_event_type, count(DISTINCT user_id)::BIGINT AS d_user_id, count(DISTINCT user_id)::DOUBLE / count(*)::DOUBLE AS user_ratio FROM events")
 def profile_distinct(spark: SparkSession, sf: str) -> DataFrame:
-    e = spark.read.parquet(f"{sf}/events.parquet")
-    return e.agg(F.count_distinct("event_type").alias("d_event_type"), F.count_distinct("user_id").alias("d_user_id"), (F.count_distinct("user_id").cast("double") / F.count("*").cast("double")).alias("user_ratio"))
+    e = spark.read.parquet(f"{sf}/events.parquet").select("event_type", "user_id")
+    facts, n = profile.whole_facts(e, e.columns), profile.full_table(e, "events").rows
+    users = facts["user_id"]["exact"]
+    return _frame(spark, [(facts["event_type"]["exact"], users, users / n)], "d_event_type long, d_user_id long, user_ratio double")
 
 
 def _d_facts(c: str) -> str:
@@ -270,29 +275,31 @@ def date_format_evidence(spark: SparkSession, sf: str) -> DataFrame:
     return messy(spark, sf, "messy_orders").agg(*[facts[k].alias(k) for k in ("slash_share", "day_first", "month_first", "separator")])
 
 
+def _signature(spark: SparkSession, sf: str, column: str) -> str | None:
+    df = messy(spark, sf, "messy_customer").select(column)
+    facts = profile.whole_facts(df, [column])[column]
+    c = ColumnProfile(column, df.schema[column].dataType.simpleString())
+    c.issues = profile.issues_of(facts, c.declared_type, facts["exact"])
+    return profile.signature_of(c, facts)
+
+
 @_query(duck("messy_customer") + """, d AS (SELECT length(regexp_replace(phone_number, '[^0-9]', '', 'g')) AS n, (phone_number LIKE '+%')::INT::DOUBLE AS plus FROM messy_customer),
   m AS (SELECT n FROM d GROUP BY n ORDER BY count(*) DESC, n LIMIT 1)
   SELECT concat(CASE WHEN (SELECT avg(plus) FROM d) > 0.5 THEN 'intl' ELSE 'local' END, '_', n::VARCHAR, 'd') AS signature FROM m""")
 def phone_signature(spark: SparkSession, sf: str) -> DataFrame:
-    facts = profile.issue_facts(F.col("phone_number"))
-    got = messy(spark, sf, "messy_customer").agg(facts["digit_mode"].alias("n"), facts["plus_share"].alias("p"))
-    return got.select(F.concat(F.when(F.col("p") > 0.5, "intl").otherwise("local"), F.lit("_"), F.col("n").cast("string"), F.lit("d")).alias("signature"))
+    return _frame(spark, [(_signature(spark, sf, "phone_number"),)], "signature string")
 
 
 @_query(duck("messy_customer") + "SELECT CASE WHEN max(regexp_matches(rep_key, '[A-Za-z]')::INT) = 1 THEN 'alnum' ELSE 'numeric' END AS rep_key, CASE WHEN max(regexp_matches(nation_code, '[A-Za-z]')::INT) = 1 THEN 'alnum' ELSE 'numeric' END AS nation_code FROM messy_customer")
 def id_signature(spark: SparkSession, sf: str) -> DataFrame:
-    kind = lambda c: F.when(profile.issue_facts(F.col(c))["any_letter"] == 1, "alnum").otherwise("numeric").alias(c)
-    return messy(spark, sf, "messy_customer").agg(kind("rep_key"), kind("nation_code"))
+    return _frame(spark, [(_signature(spark, sf, "rep_key"), _signature(spark, sf, "nation_code"))], "rep_key string, nation_code string")
 
 
-@_query("SELECT 'signup_date' AS column_name, 'ambiguous' AS signature")
+@_query(duck("messy_customer") + r""", p AS (SELECT regexp_matches(trim(signup_date), '^[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{2,4}$') AS slash, TRY_CAST(split_part(trim(signup_date), '/', 1) AS INT) AS a, TRY_CAST(split_part(trim(signup_date), '/', 2) AS INT) AS b FROM messy_customer WHERE signup_date IS NOT NULL)
+  SELECT 'signup_date' AS column_name, CASE WHEN avg(slash::INT) >= 0.5 AND coalesce(bool_or(slash AND a > 12), FALSE) <> coalesce(bool_or(slash AND b > 12), FALSE)
+    THEN CASE WHEN bool_or(slash AND a > 12) THEN '%d/%m/%Y' ELSE '%m/%d/%Y' END WHEN avg(slash::INT) > 0.1 THEN 'ambiguous' END AS signature FROM p""")
 def date_signature(spark: SparkSession, sf: str) -> DataFrame:
-    df = messy(spark, sf, "messy_customer").select("signup_date")
-    facts = profile.whole_facts(df, df.columns)["signup_date"]
-    c = ColumnProfile("signup_date", df.schema["signup_date"].dataType.simpleString(), 0.0)
-    c.issues = profile.issues_of(facts, c.declared_type, facts["exact"])
-    c.signature = profile.signature_of(c, facts)
-    return _frame(spark, [(c.name, c.signature)], "column_name string, signature string")
+    return _frame(spark, [("signup_date", _signature(spark, sf, "signup_date"))], "column_name string, signature string")
 
 
 # Samples.
@@ -320,7 +327,10 @@ def sample_endpoints(spark: SparkSession, sf: str) -> DataFrame:
     return sample.endpoints(messy(spark, sf, "messy_orders"), "order_id", 20)
 
 
-@_query()
+@_query(duck("messy_orders") + f""", k AS (SELECT * FROM (SELECT order_id FROM messy_orders ORDER BY md5(order_id::VARCHAR) LIMIT 400)
+  {"".join(f" UNION SELECT * FROM (SELECT order_id FROM messy_orders WHERE {c} IS NULL ORDER BY md5(order_id::VARCHAR) LIMIT 10)" for c in _COLUMNS)}
+  {"".join(f" UNION SELECT * FROM (SELECT order_id FROM messy_orders ORDER BY {c} {d}, md5(order_id::VARCHAR) LIMIT 20)" for c in ("order_id", "customer_id") for d in ("ASC", "DESC"))})
+  SELECT {_RAW} FROM messy_orders WHERE order_id IN (SELECT order_id FROM k)""")
 def sample_stratified(spark: SparkSession, sf: str) -> DataFrame:
     df = messy(spark, sf, "messy_orders")
     return sample.stratified(df, profile.full_table(df, "messy_orders", "order_id"))
@@ -360,17 +370,19 @@ def capture_all_columns(spark: SparkSession, sf: str) -> DataFrame:
     return _frame(spark, [(c, v) for c, vs in got.items() for v in vs], "column_name string, value string")
 
 
-@_query(r"SELECT doc_id, regexp_matches(text, '\S+@\S+\.\S+') AS has_email, regexp_matches(text, '[+0-9][0-9\s\-()]{7,}') AS has_phone FROM documents WHERE regexp_matches(text, '\S+@\S+\.\S+') OR regexp_matches(text, '[+0-9][0-9\s\-()]{7,}')")
+@_query(duck("messy_customer") + f"""SELECT *, length(value) > 100 OR regexp_matches(value, '\\S+@\\S+\\.\\S+') OR (column_name <> 'signup_date' AND regexp_matches(value, '[+0-9][0-9\\s\\-()]{{7,}}')) AS private FROM (
+  SELECT * FROM (SELECT 'phone_number' AS column_name, value FROM (SELECT DISTINCT phone_number AS value FROM messy_customer WHERE {_d(_WHOLE, 'phone_number')} IS NULL ORDER BY value LIMIT 20))
+  UNION ALL SELECT * FROM (SELECT 'full_name', value FROM (SELECT DISTINCT full_name AS value FROM messy_customer WHERE {_d(_WHOLE, 'full_name')} IS NULL ORDER BY value LIMIT 20))
+  UNION ALL SELECT * FROM (SELECT 'signup_date', value FROM (SELECT DISTINCT signup_date AS value FROM messy_customer WHERE {_d(_WHOLE, 'signup_date')} IS NULL ORDER BY value LIMIT 20)))""")
 def pii_value_filter(spark: SparkSession, sf: str) -> DataFrame:
-    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.col("text").rlike(r"\S+@\S+\.\S+").alias("has_email"), F.col("text").rlike(r"[+0-9][0-9\s\-()]{7,}").alias("has_phone"))
-    return d.filter("has_email or has_phone")
+    got = capture.lost_values(messy(spark, sf, "messy_customer"), {"phone_number": (tpl.plain_double("`phone_number`"), "DOUBLE"), "full_name": (tpl.plain_double("`full_name`"), "DOUBLE"), "signup_date": (tpl.plain_double("`signup_date`"), "TIMESTAMP")})
+    return _frame(spark, [(c, v, capture.is_private(v, "TIMESTAMP" if c == "signup_date" else "DOUBLE")) for c, vs in got.items() for v in vs], "column_name string, value string, private boolean")
 
 
-@_query(duck("messy_orders") + "SELECT value, lower(trim(value)) IN ('tbd','na','n/a','n.a.','null','none','-','–','—','nan','#n/a','nil','','not available','missing') OR NOT regexp_matches(value, '[0-9]') AS expected_null FROM (SELECT DISTINCT order_value AS value FROM messy_orders)")
+@_query(duck("messy_orders") + "SELECT value, lower(trim(value)) IN ('tbd','na','n/a','n.a.','null','none','-','–','—','nan','#n/a','nil','','not available','missing') OR NOT regexp_matches(value, '[0-9]') AS expected_null FROM (SELECT DISTINCT order_value AS value FROM messy_orders ORDER BY value DESC LIMIT 200)")
 def expected_null(spark: SparkSession, sf: str) -> DataFrame:
-    v = F.col("value")
-    low = F.lower(F.trim(v)).isin(*capture.EXPECTED_NULLS)
-    return messy(spark, sf, "messy_orders").select(F.col("order_value").alias("value")).distinct().select("value", (low | ~v.rlike("[0-9]")).alias("expected_null"))
+    values = messy(spark, sf, "messy_orders").select(F.col("order_value").alias("value")).distinct().orderBy(F.desc("value")).limit(200).collect()
+    return _frame(spark, [(r["value"], capture.is_expected_null(r["value"])) for r in values], "value string, expected_null boolean")
 
 
 @_query("SELECT * FROM (VALUES ('plain', TRUE), ('loses', FALSE), ('unsafe', FALSE)) t(name, accepted)")
@@ -434,15 +446,10 @@ def dry_run_diff(spark: SparkSession, sf: str) -> DataFrame:
     return _frame(spark, [(c["column"], c["null_before"], c["null_after"]) for c in diff.columns], "column_name string, null_before long, null_after long")
 
 
-@_query(_BOTH + "SELECT * FROM (" + " UNION ALL ".join(f"""SELECT '{c}' AS column_name, greatest((SELECT count_if({c} IS NULL) FROM cleaned) - (SELECT count_if({c} IS NULL) FROM messy_orders) - (SELECT count_if({_d(_SENTINEL, f'{c}::VARCHAR')}) FROM messy_orders), 0)::DOUBLE / (SELECT count(*) FROM messy_orders)::DOUBLE AS rise""" for c in _COLUMNS) + ") WHERE rise > 0.1")
+@_query(_BOTH + "SELECT column_name FROM (" + " UNION ALL ".join(f"""SELECT '{c}' AS column_name, greatest((SELECT count_if({c} IS NULL) FROM cleaned) - (SELECT count_if({c} IS NULL) FROM messy_orders) - (SELECT count_if({_d(_SENTINEL, f'{c}::VARCHAR')}) FROM messy_orders), 0)::DOUBLE / (SELECT count(*) FROM messy_orders)::DOUBLE AS rise""" for c in _COLUMNS) + ") WHERE rise > 0.1")
 def null_spike_guard(spark: SparkSession, sf: str) -> DataFrame:
-    raw, clean = _cleaned(spark, sf)
-    aggs = lambda c, df: F.count_if(F.col(c).isNull())
-    b = raw.agg(F.count("*").alias("n"), *[F.struct(aggs(c, raw).alias("nulls"), F.count_if(F.expr(f"coalesce({tpl.is_sentinel(f'cast({c} as string)')}, false)")).alias("s")).alias(f"b{k}") for k, c in enumerate(_COLUMNS)])
-    a = clean.agg(*[aggs(c, clean).alias(f"a{k}") for k, c in enumerate(_COLUMNS)])
-    rise = lambda k: (F.greatest(F.col(f"a{k}") - F.col(f"b{k}.nulls") - F.col(f"b{k}.s"), F.lit(0)).cast("double") / F.col("n").cast("double"))
-    one = b.withColumn("_j", F.lit(1)).join(a.withColumn("_j", F.lit(1)), "_j").select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), rise(k).alias("rise")) for k, c in enumerate(_COLUMNS)])).alias("r")).select("r.*")
-    return one.filter("rise > 0.1")
+    diff = dryrun.dry_run(ORDERS_PLAN, messy(spark, sf, "messy_orders"))
+    return _frame(spark, [(m[1],) for w in diff.warnings if (m := re.match(r"column (\w+): nulls rise", w))], "column_name string")
 
 
 @_query("SELECT 'customer_id' AS column_name, 'column customer_id is missing' AS warning")
@@ -458,20 +465,23 @@ def type_diff(spark: SparkSession, sf: str) -> DataFrame:
     return _frame(spark, [(c, *t) for c, t in rowdiff.column_types(raw, clean).items()], "column_name string, type_before string, type_after string")
 
 
-@_query(_BOTH + "SELECT (SELECT count(*) FROM messy_orders)::BIGINT AS source_rows, (SELECT count(*) FROM cleaned)::BIGINT AS cache_rows, TRUE AS within_limit")
+@_query(_BOTH + "SELECT *, abs(cache_rows - source_rows)::DOUBLE / greatest(source_rows, 1) > 0.005 AS warned FROM (SELECT 'whole' AS name, (SELECT count(*) FROM messy_orders)::BIGINT AS source_rows, (SELECT count(*) FROM cleaned)::BIGINT AS cache_rows UNION ALL SELECT 'short', (SELECT count(*) FROM messy_orders)::BIGINT, (SELECT count(*) FROM cleaned WHERE order_id % 100 <> 0)::BIGINT)")
 def reconcile_counts(spark: SparkSession, sf: str) -> DataFrame:
     raw, clean = _cleaned(spark, sf)
-    both = raw.agg(F.count("*").alias("source_rows"), F.lit(1).alias("_j")).join(clean.agg(F.count("*").alias("cache_rows"), F.lit(1).alias("_j")), "_j").drop("_j")
-    off = F.abs(F.col("cache_rows") - F.col("source_rows")) / F.greatest(F.col("source_rows"), F.lit(1))
-    return both.withColumn("within_limit", off <= 0.005)
+    n = dryrun.null_counts(raw, []).first()["n"]
+    sides = {"whole": clean, "short": clean.filter("order_id % 100 <> 0")}
+    counts = {k: dryrun.null_counts(df, []).first()["n"] for k, df in sides.items()}
+    return _frame(spark, [(k, n, c, bool(materialize.reconcile(n, c))) for k, c in counts.items()], "name string, source_rows long, cache_rows long, warned boolean")
 
 
-@_query(_BOTH + " UNION ALL ".join(f"SELECT '{c}' AS column_name, ((SELECT count_if({c} IS NULL) FROM cleaned) - (SELECT count_if({c} IS NULL) FROM messy_orders))::BIGINT AS new_nulls" for c in _COLUMNS))
+@_query(_BOTH + ", b AS (SELECT m.order_id, " + ", ".join(f"((c.{c} IS NULL)::INT - (m.{c} IS NULL)::INT) AS {c}" for c in _COLUMNS[1:]) + " FROM messy_orders m JOIN cleaned c USING (order_id)) SELECT column_name FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS column_name, avg({c})::DOUBLE - avg({c}) FILTER (order_id % 8 <> 5)::DOUBLE AS more FROM b" for c in _COLUMNS[1:]) + ") WHERE more > 0.1")
 def post_load_null_check(spark: SparkSession, sf: str) -> DataFrame:
     raw, clean = _cleaned(spark, sf)
-    b, a = dryrun.null_counts(raw, _COLUMNS).drop("n"), dryrun.null_counts(clean, _COLUMNS).drop("n").toDF(*[f"a{k}" for k in range(len(_COLUMNS))])
-    both = b.withColumn("_j", F.lit(1)).join(a.withColumn("_j", F.lit(1)), "_j")
-    return both.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), (F.col(f"a{k}") - F.col(f"c{k}")).alias("new_nulls")) for k, c in enumerate(_COLUMNS)])).alias("r")).select("r.*")
+    # A sample without the values that turn to NULL foretells too little.
+    predicted = dryrun.dry_run(ORDERS_PLAN, raw.filter("order_id % 8 <> 5"))
+    before, after = (dryrun.null_counts(df, _COLUMNS).first() for df in (raw, clean))
+    found = materialize.unexpected_nulls(before, after, _COLUMNS, _COLUMNS, predicted)
+    return _frame(spark, [(re.match(r"column (\w+):", w)[1],) for w in found], "column_name string")
 
 
 _PAIR = duck("messy_orders") + f""", cleaned AS (SELECT order_id, customer_id, {_d_boolean('is_returned')} AS is_returned, CASE WHEN NOT ({_d(_SENTINEL, 'priority')}) THEN lower(trim(priority)) END AS priority, regexp_replace(trim(ticket_code), '^0+([0-9])', '\\1') AS ticket_code FROM messy_orders),
@@ -515,7 +525,8 @@ def duplicate_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query(duck("messy_customer") + "SELECT customer_id, tier FROM messy_customer WHERE is_active <> 'F' AND tier IS NOT NULL")
 def soft_delete_filter(spark: SparkSession, sf: str) -> DataFrame:
-    return messy(spark, sf, "messy_customer").filter("is_active <> 'F' and tier is not null").select("customer_id", "tier")
+    rows = messy(spark, sf, "messy_customer").withColumn("is_deleted", F.col("is_active") == "F")
+    return incremental.alive(rows, "is_deleted").filter("tier is not null").select("customer_id", "tier")
 
 
 @_query(duck("messy_part") + "SELECT product_id, card_code FROM messy_part WHERE regexp_full_match(card_code, '0[0-9]+')")
@@ -534,16 +545,49 @@ def union_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query("SELECT user_id, event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
 def upsert_latest(spark: SparkSession, sf: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy(F.col("ts").desc(), F.col("event_id").desc())
-    return spark.read.parquet(f"{sf}/events.parquet").select("user_id", "event_id", "ts").withColumn("r", F.row_number().over(w)).filter("r = 1").drop("r")
+    e = spark.read.parquet(f"{sf}/events.parquet").select("user_id", "event_id", "ts")
+    return incremental.latest(e, "user_id", "ts", [F.col("event_id").desc()])
+
+
+_CHANGES = """WITH cache AS (SELECT o_orderkey AS id, o_totalprice AS price, 1 AS upd, FALSE AS is_deleted FROM orders WHERE o_orderkey % 3 <> 0),
+  changes AS (SELECT o_orderkey AS id, o_totalprice + 1 AS price, CASE WHEN o_orderkey % 7 = 0 THEN 0 WHEN o_orderkey % 7 = 1 THEN 1 ELSE 2 END AS upd, o_orderkey % 10 = 0 AS is_deleted FROM orders WHERE o_orderkey % 5 = 0),
+  every AS (SELECT *, 0 AS new FROM cache UNION ALL SELECT *, 1 AS new FROM changes), last AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY upd DESC, new DESC) AS r FROM every) """
+
+
+def _changes(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    cache = o.filter("o_orderkey % 3 <> 0").selectExpr("o_orderkey AS id", "o_totalprice AS price", "1 AS upd", "false AS is_deleted")
+    at = "CASE WHEN o_orderkey % 7 = 0 THEN 0 WHEN o_orderkey % 7 = 1 THEN 1 ELSE 2 END AS upd"
+    return cache, o.filter("o_orderkey % 5 = 0").selectExpr("o_orderkey AS id", "o_totalprice + 1 AS price", at, "o_orderkey % 10 = 0 AS is_deleted")
+
+
+@_query(_CHANGES + "SELECT id, price, upd FROM last WHERE r = 1")
+def merge_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    return incremental.merged(*_changes(spark, sf), "id", "upd").select("id", "price", "upd")
+
+
+@_query(_CHANGES + "SELECT id, price, upd FROM last WHERE r = 1 AND NOT is_deleted")
+def merge_delete_aware(spark: SparkSession, sf: str) -> DataFrame:
+    return incremental.merged(*_changes(spark, sf), "id", "upd", "is_deleted").select("id", "price", "upd")
 
 
 # Loading.
 
 
+def _folder(spark: SparkSession) -> str:
+    """A folder of this call's own: in the shared one, or where that is unset and the master is local
+    in a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+    folder = f"{shared.rstrip('/')}/engine-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="lustra-engine-")
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
+
+
 def _cache(spark: SparkSession) -> Cache:
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return Cache(spark, f"{shared.rstrip('/')}/cache-{id(spark)}" if shared else tempfile.mkdtemp(prefix="lustra-cache-"))
+    return Cache(spark, _folder(spark))
 
 
 @_query(_BOTH + "SELECT * FROM cleaned")
@@ -553,12 +597,17 @@ def cold_start_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return cache.read("messy_orders")
 
 
-@_query(_BOTH + "SELECT * FROM cleaned")
+@_query("SELECT o_orderkey, lower(trim(o_orderpriority)) AS priority FROM orders")
 def resume_idempotent(spark: SparkSession, sf: str) -> DataFrame:
-    cache = _cache(spark)
-    for _ in range(2):
-        cache.load(ORDERS_PLAN, messy(spark, sf, "messy_orders"))
-    return cache.read("messy_orders")
+    engine, project = Engine(spark, _folder(spark)), "p"
+    plan = CleaningPlan("orders", [Expression("o_orderkey", ["o_orderkey"], ["`o_orderkey`"]), Expression("o_orderpriority", ["priority"], [tpl.lowered("`o_orderpriority`")])])
+    engine.state.put("projects", (project,), status="completed", source={"location": sf, "format": "parquet", "primary_keys": [], "options": []})
+    engine.state.write_memory(project, "Business_Logic", "cleaning_script_orders", plan.to_json())
+    for _ in range(2):  # cut off twice
+        engine.state.put("sync", (project, "orders"), status="in_progress")
+        if engine.resume() != ["orders"]:
+            raise RuntimeError("nothing was resumed")
+    return Cache(spark, f"{engine.folder}/cache/{project}").read("orders")
 
 
 @_query("SELECT * FROM (VALUES ('select', TRUE), ('drop', FALSE), ('two', FALSE), ('union', FALSE), ('other', FALSE), ('file', FALSE), ('typo', FALSE), ('blank', FALSE), ('subquery', FALSE), ('join', FALSE)) t(name, accepted)")
@@ -586,6 +635,138 @@ def majority_rules(spark: SparkSession, sf: str) -> DataFrame:
     return _frame(spark, [(tie, phone, rows)], "canonical_tie string, canonical_phone string, canonical_rows string")
 
 
+# The engine's steps on the driver tables.
+
+
+def _source(sf: str, **keys: str) -> Source:
+    return Source(sf, primary_keys=tuple(keys.items()))
+
+
+@_query("SELECT unnest(['benchmark','conversations','customer','documents','embeddings','events','labels','lineitem','nation','orders','pages','part','region','supplier']) AS table_name")
+def list_tables(spark: SparkSession, sf: str) -> DataFrame:
+    return _frame(spark, [(t,) for t in _source(sf).list_tables(spark)], "table_name string")
+
+
+@_query("SELECT 'region' AS name, (SELECT count(*) FROM region)::BIGINT AS n, TRUE AS found UNION ALL SELECT 'regio', 0, FALSE")
+def table_existence(spark: SparkSession, sf: str) -> DataFrame:
+    def rows(name: str) -> tuple:
+        try:
+            return name, profile.full_table(_source(sf).read(spark, name), name).rows, True
+        except TableNotFound:
+            return name, 0, False
+
+    return _frame(spark, [rows("region"), rows("regio")], "name string, n long, found boolean")
+
+
+@_query("SELECT least((SELECT count(*) FROM lineitem), 10000)::BIGINT AS n")
+def first_rows_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return sample.first_rows(spark.read.parquet(f"{sf}/lineitem.parquet")).agg(F.count("*").alias("n"))
+
+
+@_query("SELECT (count(*) > 0) AS some, count(*) <= 2 AS few FROM region WHERE r_regionkey < 2")
+def page_sample_fallback(spark: SparkSession, sf: str) -> DataFrame:
+    # So small a share of five rows is empty, so the first rows stand in.
+    got = sample.page_sample(spark.read.parquet(f"{sf}/region.parquet"), 1e-9, rows=2)
+    return got.agg((F.count("*") > 0).alias("some"), (F.count("*") <= 2).alias("few"))
+
+
+@_query("SELECT n_name AS name, n_nationkey::VARCHAR AS key_text FROM nation")
+def as_text_cast(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/nation.parquet").selectExpr("n_name AS name", f"{tpl.as_text('n_nationkey')} AS key_text")
+
+
+@_query(duck("messy_part") + r"SELECT avg(regexp_matches(price_eu, '[0-9],[0-9]{1,2}[^0-9]*$')::INT) > 0.5 AS european, bool_or(regexp_matches(card_code, '^0[0-9]+$')) AS leading_zero FROM messy_part")
+def column_flags(spark: SparkSession, sf: str) -> DataFrame:
+    got = profile.whole_facts(messy(spark, sf, "messy_part"), ["price_eu", "card_code"])
+    return _frame(spark, [(got["price_eu"]["european"] > 0.5, bool(got["card_code"]["leading_zero"]))], "european boolean, leading_zero boolean")
+
+
+@_query(duck("messy_orders") + f"SELECT 'order_value' AS column_name, count_if(order_value IS NOT NULL AND {_d_currency('order_value', _d_magnitude('order_value'))} IS NULL)::BIGINT AS lost FROM messy_orders UNION ALL SELECT 'discount_pct', count_if(discount_pct IS NOT NULL AND {_d_percent('discount_pct')} IS NULL)::BIGINT FROM messy_orders")
+def heal_columns(spark: SparkSession, sf: str) -> DataFrame:
+    df = messy(spark, sf, "messy_orders")
+    columns = [ColumnProfile("order_value", "string", issues=["currency_string"], flags={"magnitude": True, "parentheses": True}, sample_values=["$5", "$6"]), ColumnProfile("discount_pct", "string", issues=["percentage_string"], sample_values=["5%"])]
+    healed = capture.heal(df, [Classified(c, ColumnClass.CLEAN_DET) for c in columns])
+    lost = df.agg(*[F.count_if(F.expr(f"{tpl.as_text(e.column)} is not null and ({e.sql[0]}) is null")).alias(e.column) for e in healed]).first()
+    return _frame(spark, [(e.column, lost[e.column]) for e in healed], "column_name string, lost long")
+
+
+@_query(duck("messy_orders") + "SELECT count(*)::BIGINT AS rows_before, count_if(order_id % 2 = 0)::BIGINT AS rows_after, count(*) = count_if(order_id % 2 = 0) AS safe FROM messy_orders")
+def row_count_guard(spark: SparkSession, sf: str) -> DataFrame:
+    raw = messy(spark, sf, "messy_orders").select("order_id")
+    diff = dryrun.compare("messy_orders", raw, raw.filter("order_id % 2 = 0"))
+    return _frame(spark, [(diff.rows_before, diff.rows_after, diff.safe)], "rows_before long, rows_after long, safe boolean")
+
+
+@_query("SELECT n_nationkey AS key, n_nationkey % 2 = 0 AS was_nan, CASE WHEN n_nationkey % 2 <> 0 THEN n_nationkey + 0.5 END::DOUBLE AS value FROM nation")
+def json_safe_values(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf}/nation.parquet").selectExpr("n_nationkey AS key", "CASE WHEN n_nationkey % 2 = 0 THEN double('NaN') ELSE n_nationkey + 0.5D END AS value").collect()
+    return _frame(spark, [(r["key"], r["value"] != r["value"], rowdiff.json_value(r["value"])) for r in rows], "key int, was_nan boolean, value double")
+
+
+@_query(duck("messy_customer") + f"SELECT 'account_balance' AS column_name, 'split,keep,assume_same,custom' AS options FROM (SELECT count(DISTINCT regexp_extract(account_balance, '{_SYMBOLS}')) AS n FROM messy_customer) WHERE n > 1 UNION ALL SELECT 'signup_date', 'month_first,day_first,custom' FROM (SELECT max(TRY_CAST(split_part(signup_date, '/', 1) AS INT)) AS a, max(TRY_CAST(split_part(signup_date, '/', 2) AS INT)) AS b FROM messy_customer) WHERE a <= 12 AND b <= 12")
+def clarifications(spark: SparkSession, sf: str) -> DataFrame:
+    asked = answers.questions(classify.classify(_profiles(spark, sf)["messy_customer"]))
+    return _frame(spark, [(q["column"], ",".join(q["options"])) for q in asked], "column_name string, options string")
+
+
+@_query(duck("messy_customer") + "SELECT customer_id, try_strptime(trim(signup_date), '%d/%m/%Y') AS signup_date, account_balance FROM messy_customer")
+def answers_applied(spark: SparkSession, sf: str) -> DataFrame:
+    df, t = messy(spark, sf, "messy_customer"), _profiles(spark, sf)["messy_customer"]
+    given = {c: answers.apply_answer(t.column(c), a) for c, a in (("signup_date", "day_first"), ("account_balance", "keep"))}
+    keep = [Classified(t.column(c), ColumnClass.CLEAN_AMBIG) for c in given] + [Classified(t.column("customer_id"), ColumnClass.IDENTIFIER)]
+    return compiling.apply(compiling.compile_plan("messy_customer", df, keep, given), df).select("customer_id", "signup_date", "account_balance")
+
+
+@_query(duck("messy_orders") + f"SELECT order_id, CASE WHEN NOT ({_d(_SENTINEL, 'priority')}) THEN lower(trim(priority)) END AS priority, upper(is_returned) AS is_returned, {_d_percent('discount_pct')} AS discount_pct FROM messy_orders")
+def batched_resolver(spark: SparkSession, sf: str) -> DataFrame:
+    df = messy(spark, sf, "messy_orders")
+    columns = [ColumnProfile("priority", "string", issues=["needs_trim", "null_variant", "inconsistent_casing"]), ColumnProfile("is_returned", "string"), ColumnProfile("discount_pct", "string", issues=["percentage_string"])]
+    # One usable proposal, one that reaches outside, and a batch that fails.
+    offers = {"is_returned": "upper(`is_returned`)", "priority": "java_method('java.lang.System', 'exit')"}
+    healed = answers.resolve(df, columns, lambda part: {c["column"]: offers[c["column"]] for c in part}, batch=2)
+    return df.selectExpr("order_id", *[f"{e.sql[0]} AS {e.column}" for e in healed])
+
+
+@_query(duck("messy_customer") + r"SELECT customer_id, regexp_replace(trim(nation_code), '^0+([0-9])', '\1') AS nation_code, regexp_replace(phone_number, '[^0-9]', '', 'g') AS phone_number FROM messy_customer")
+def consistency_patch(spark: SparkSession, sf: str) -> DataFrame:
+    df = messy(spark, sf, "messy_customer")
+    member = lambda t, c, form, kind="string": Member(t, c, form, 1, declared_type=kind)
+    groups = [Group("id", "nation_code", "numeric", "", [member("nation", "nation_code", "numeric", "int"), member("messy_customer", "nation_code", "numeric")]), Group("phone", "phone", "local_10d", "", [member("a", "phone", "local_10d"), member("messy_customer", "phone_number", "local_formatted_10d")])]
+    patch = consistency.patcher(groups, "messy_customer")
+    done = [patch(compiling.passthrough(ColumnProfile(c, "string")), ColumnProfile(c, "string")) for c in ("nation_code", "phone_number")]
+    return df.selectExpr("customer_id", *[f"{e.sql[0]} AS {e.column}" for e in done])
+
+
+@_query("SELECT c_custkey, c_mktsegment FROM customer WHERE FALSE")
+def empty_source_load(spark: SparkSession, sf: str) -> DataFrame:
+    cache = _cache(spark)
+    plan = CleaningPlan("customer", [Expression(c, [c], [tpl.quoted(c)]) for c in ("c_custkey", "c_mktsegment")])
+    cache.load(plan, spark.read.parquet(f"{sf}/customer.parquet").filter("false"))
+    return cache.read("customer")
+
+
+@_query("SELECT n_name AS before, upper(substr(n_name, 1, 1)) || lower(substr(n_name, 2)) AS after FROM nation WHERE n_name <> upper(substr(n_name, 1, 1)) || lower(substr(n_name, 2))")
+def row_diff_keyless(spark: SparkSession, sf: str) -> DataFrame:
+    engine, project = Engine(spark, _folder(spark)), "p"
+    plan = CleaningPlan("nation", [Expression("n_name", ["n_name"], ["concat(upper(substr(`n_name`, 1, 1)), lower(substr(`n_name`, 2)))"])])
+    engine.state.put("projects", (project,), status="completed", source={"location": sf, "format": "parquet", "primary_keys": [], "options": []})
+    engine.state.write_memory(project, "Business_Logic", "cleaning_script_nation", plan.to_json())
+    engine.state.put("sync", (project, "nation"), status="in_progress")
+    engine.resume()
+    page = engine.diff(project, "nation")
+    return _frame(spark, [(r["before__n_name"], r["after__n_name"]) for r in page.rows], "before string, after string")
+
+
+@_query("SELECT 'region' AS table_name, 'cold_start_done' AS status, (SELECT count(*) FROM region)::BIGINT AS n")
+def lifecycle(spark: SparkSession, sf: str) -> DataFrame:
+    """Analyse one table, approve it and read its cache."""
+    engine = Engine(spark, _folder(spark))
+    spark.read.parquet(f"{sf}/region.parquet").write.parquet(f"{engine.folder}/source/region.parquet")
+    project = engine.analyze_project(Source(f"{engine.folder}/source", primary_keys=(("region", "r_regionkey"),)))
+    done = engine.approve(project)
+    return _frame(spark, [(t, s, Cache(spark, f"{engine.folder}/cache/{project}").read(t).count()) for t, s in done.items()], "table_name string, status string, n long")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

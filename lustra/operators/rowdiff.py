@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -28,11 +29,18 @@ def changed_rows(source: DataFrame, cache: DataFrame, key: str) -> DataFrame:
     return joined.select(*out, named.alias("changed_columns")).filter(F.size("changed_columns") > 0)
 
 
-def with_position(df: DataFrame, order: list[Column] | None = None) -> DataFrame:
-    """A position for tables without a key, by a stable order (default: the whole row)."""
+def with_position(df: DataFrame, order: list[Column] | None = None, path: str | None = None) -> DataFrame:
+    """A position for tables without a key, by a stable order (default: the whole row).  Partitions
+    are counted and numbered in two passes; with ``path`` the sorted rows are written there first, so
+    that both see the same partitions."""
     keys = order or [F.col(quoted(c)).cast("string") for c in df.columns] + [row_hash(df)]
     parts = df.withColumn("_k", F.struct(*[k.alias(f"k{n}") for n, k in enumerate(keys)])).repartitionByRange("_k").sortWithinPartitions("_k")
-    placed = parts.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
+    if path is not None:
+        parts.withColumn("_mid", F.monotonically_increasing_id()).drop("_k").write.parquet(path)
+        parts = df.sparkSession.read.parquet(path)
+        placed = parts.withColumn("_part", F.shiftright("_mid", 33)).withColumn("_at", F.col("_mid").bitwiseAND((1 << 33) - 1)).drop("_mid")
+    else:
+        placed = parts.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
     from pyspark.sql.window import Window
 
     counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
@@ -64,11 +72,22 @@ def column_types(source: DataFrame, cache: DataFrame) -> dict[str, tuple[str | N
     return {c: (a.get(c), b.get(c)) for c in dict.fromkeys([*a, *b])}
 
 
+def json_value(v):
+    """A value as JSON has it: numbers that aren't numbers are null, times and the rest are text."""
+    if v is None or isinstance(v, (bool, int, str)):
+        return v
+    if isinstance(v, float):
+        return v if math.isfinite(v) else None
+    if isinstance(v, (list, tuple)):
+        return [json_value(x) for x in v]
+    return str(v)
+
+
 def diff_page(source: DataFrame, cache: DataFrame, key: str, page: int = 1, page_size: int = 50) -> DiffPage:
     page, page_size = max(page, 1), page_size if page_size >= 1 else 50
     changed = changed_rows(source, cache, key)
     rows = changed.orderBy("_key").offset((page - 1) * page_size).limit(page_size).collect()
     types = column_types(source, cache)
     return DiffPage(
-        changed.count(), page, page_size, [r.asDict() for r in rows], types, [c for c, (_, b) in types.items() if b is None], [c for c, (a, _) in types.items() if a is None]
+        changed.count(), page, page_size, [{k: json_value(v) for k, v in r.asDict().items()} for r in rows], types, [c for c, (_, b) in types.items() if b is None], [c for c, (a, _) in types.items() if a is None]
     )

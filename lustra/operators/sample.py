@@ -45,21 +45,42 @@ def endpoints(df: DataFrame, primary_key: str, rows: int) -> DataFrame:
     return df.orderBy(k.asc(), row_hash(df)).limit(rows).union(df.orderBy(k.desc(), row_hash(df)).limit(rows))
 
 
-def page_sample(df: DataFrame, fraction: float = 0.01, seed: int = 42) -> DataFrame:
-    return df.sample(fraction=fraction, seed=seed)
+def first_rows(df: DataFrame, rows: int = DEFAULTS.first_rows) -> DataFrame:
+    """Some rows, as they come: no order, no full scan."""
+    return df.limit(rows)
+
+
+def page_sample(df: DataFrame, fraction: float = 0.01, seed: int = 42, rows: int = DEFAULTS.first_rows) -> DataFrame:
+    """A share of the rows, or the first rows where that share is empty."""
+    some = df.sample(fraction=fraction, seed=seed)
+    return some if some.head(1) else first_rows(df, rows)
 
 
 def stratified(df: DataFrame, profile: TableProfile, settings: Settings = DEFAULTS) -> DataFrame:
-    """Union of the strata, first occurrence wins, cut at the sample size.  Each stratum is a top-k
-    over the table, so nothing larger than the sample leaves the executors."""
+    """Union of the strata, first occurrence wins, cut at the sample size.
+
+    With a primary key each stratum is a top-k over the key and one column at most, and a last scan,
+    the only one that reads whole rows, fetches the rows of the keys found (at most the sum of the
+    strata's sizes, which is what is broadcast).  Without a key rows are told apart by their hash,
+    which reads whole rows for each stratum."""
     key = profile.primary_key
-    strata = [baseline(df, key, settings.baseline_rows)]
-    strata += [null_rows(df, c.name, key, settings.null_rows) for c in profile.columns if c.null_pct > 0]
     numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
-    strata += [boundaries(df, c, key, settings.boundary_rows) for c in numeric]
+    nulls = [c.name for c in profile.columns if c.null_pct > 0]
+
+    def strata(narrow) -> list[DataFrame]:
+        out = [baseline(narrow(), key, settings.baseline_rows)]
+        out += [null_rows(narrow(c), c, key, settings.null_rows) for c in nulls]
+        out += [boundaries(narrow(c), c, key, settings.boundary_rows) for c in numeric]
+        return out + ([endpoints(narrow(), key, settings.boundary_rows)] if key else [])
+
     if key:
-        strata.append(endpoints(df, key, settings.boundary_rows))
-    tagged = [s.withColumn("_rank", F.lit(k)).withColumn("_hash", row_hash(df)) for k, s in enumerate(strata)]
+        found = strata(lambda *c: df.select(*[quoted(x) for x in dict.fromkeys((key, *c))]))
+        keys = reduce(DataFrame.union, [s.select(F.col(quoted(key)).alias("_key"), F.lit(k).alias("_rank")) for k, s in enumerate(found)])
+        keys = keys.groupBy("_key").agg(F.min("_rank").alias("_rank"))
+        rows = df.join(F.broadcast(keys), F.col(quoted(key)).eqNullSafe(F.col("_key")))
+        rows = rows.withColumn("_hash", F.coalesce(F.md5(F.col("_key").cast("string")), F.lit("")))
+        return rows.orderBy("_rank", "_hash", row_hash(df)).limit(settings.sample_size).select(*[quoted(c) for c in df.columns])
+    tagged = [s.withColumn("_rank", F.lit(k)).withColumn("_hash", row_hash(df)) for k, s in enumerate(strata(lambda *c: df))]
     every = reduce(DataFrame.unionByName, tagged)
     first = every.groupBy("_hash").agg(F.min("_rank").alias("_rank"), F.first(F.struct(*[F.col(quoted(c)) for c in df.columns])).alias("_row"))
     return first.orderBy("_rank", "_hash").limit(settings.sample_size).select("_row.*")

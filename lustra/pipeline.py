@@ -11,7 +11,7 @@ from dataclasses import asdict
 from pyspark.sql import SparkSession
 
 from .config import DEFAULTS, Settings
-from .model import CleaningPlan, ColumnClass, QualityDiff, TableProfile
+from .model import CleaningPlan, ColumnClass, Expression, QualityDiff, TableProfile
 from .operators import classify, consistency, profile, rowdiff, sample
 from .operators.capture import Suggester
 from .plans import answers, dryrun, guard
@@ -31,10 +31,14 @@ class Engine:
     def __init__(self, spark: SparkSession, folder: str, gate: classify.Gate | None = None, suggest: Suggester | None = None, settings: Settings = DEFAULTS):
         self.spark, self.folder, self.settings, self.suggest = spark, folder.rstrip("/"), settings, suggest
         self.gate = classify.SchemaGate(gate)
-        self.state = State(f"{self.folder}/state")
+        self.state = State(f"{self.folder}/state", spark)
 
-    def _sample(self, source: Source, table: str, t: TableProfile):
-        return sample.stratified(source.read(self.spark, table), t, self.settings)
+    def _sample(self, project: str, source: Source, table: str, t: TableProfile, anew: bool = False):
+        """The table's sample, drawn at its analysis and kept: later steps see the same rows."""
+        path = f"{self.folder}/samples/{project}/{table}"
+        if anew:
+            sample.stratified(source.read(self.spark, table), t, self.settings).coalesce(1).write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)
 
     # Analysis
 
@@ -58,13 +62,10 @@ class Engine:
         try:
             df = source.read(self.spark, table)
             t = profile.full_table(df, table, source.primary_key(table), self.settings)
-            rows = self._sample(source, table, t).persist()
-            try:
-                profile.enrich(t, rows, self.settings)
-                overrides = self.gate.overrides(project, t)
-                self._compile(project, t, rows, overrides)
-            finally:
-                rows.unpersist()
+            rows = self._sample(project, source, table, t, anew=True)
+            profile.enrich(t, rows, self.settings)
+            self._compile(project, t, rows, self.gate.overrides(project, t))
+            self.state.log(project, "analysis", table, rows=t.rows, columns=len(t.columns))
         except Exception as e:
             log.exception("analysis of %s", table)
             self.state.put("tables", (project, table), status="failed", error=str(e)[:500])
@@ -93,7 +94,7 @@ class Engine:
             before = self.state.get("tables", (project, table))
             try:
                 t = profiles[table]
-                rows = self._sample(source, table, t)
+                rows = self._sample(project, source, table, t)
                 overrides = {k: ColumnClass(v) for k, v in json.loads(before["plan"])["overrides"].items()}
                 _, diff = self._compile(project, t, rows, overrides, patch=consistency.patcher(groups, table))
                 if not diff.safe:
@@ -140,18 +141,19 @@ class Engine:
             t = TableProfile.from_json(entry["profile"])
             plan = CleaningPlan.from_json(entry["plan"])
             self.state.put("tables", (project, table), status="cold_start_running")
-            overrides = {c: e for c, a in given.items() if (e := answers.apply_answer(t.column(c), a, self.settings.mode == "parity"))}
+            overrides = {c: e for c, a in given.items() if (e := answers.apply_answer(t.column(c), a, self.settings.mode == "parity", self.settings))}
             plan.expressions = [overrides.get(e.column, e) for e in plan.expressions]
             if any(e.source == "deterministic_fallback" for e in overrides.values()):
                 raise NotReady("an answered column fell back")
             guard.validate(self.spark, compiling.assemble(plan), table)
-            diff = dryrun.dry_run(plan, self._sample(source, table, t), self.settings)
+            diff = dryrun.dry_run(plan, self._sample(project, source, table, t), self.settings)
             if not diff.safe:
                 raise NotReady("; ".join(diff.warnings))
             self.state.write_memory(project, "Business_Logic", f"cleaning_script_{table}", plan.to_json())
             return self._load(project, source, table, plan, diff)
         except Exception as e:
             self.state.put("tables", (project, table), status="failed", error=str(e)[:500])
+            self.state.log(project, "approval", table, error=str(e)[:500])
             return "failed"
 
     def _load(self, project: str, source: Source, table: str, plan: CleaningPlan, diff: QualityDiff | None) -> str:
@@ -188,6 +190,9 @@ class Engine:
         after = Cache(self.spark, f"{self.folder}/cache/{project}").read(table)
         key = source.primary_key(table)
         if key is None:
-            order = [c for c in before.columns if c in after.columns]
-            raise NotReady(f"a row diff needs a primary key; columns in both: {order}")
+            # Rows are paired by position: the locked plan, a projection, is laid over the numbered source.
+            locked = CleaningPlan.from_json(self.state.read_memory(project, "Business_Logic", f"cleaning_script_{table}"))
+            numbered = rowdiff.with_position(before, path=f"{self.folder}/numbered/{project}/{table}-{uuid.uuid4().hex}")
+            locked.expressions.append(Expression("_position", ["_position"], ["`_position`"]))
+            return rowdiff.diff_page(numbered, compiling.apply(locked, numbered), "_position", page, page_size)
         return rowdiff.diff_page(before, after, key, page, page_size)

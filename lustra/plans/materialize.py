@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..config import DEFAULTS, Settings
 from ..model import CleaningPlan, QualityDiff
+from ..sources.files import Files
 from . import compile as compiling
 from .dryrun import null_counts
 
@@ -25,31 +26,19 @@ class LoadReport:
 
 
 class Cache:
-    """``<root>/<table>/v=<n>`` holds each version, ``<root>/<table>/CURRENT.json`` names the live
-    one.  A version is complete before the pointer moves; readers see the old or the new one."""
+    """``<root>/<table>/v=<n>-<id>`` holds each version, ``<root>/<table>/CURRENT.json`` names the live
+    one.  A version is complete before the pointer is renamed over the old one; readers see the old
+    or the new one.  Loads at the same time write apart, and the last pointer wins."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def _fs(self, path: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+        self.spark, self.root, self.files = spark, root.rstrip("/"), Files(spark)
 
     def pointer(self, table: str) -> dict | None:
-        fs, p = self._fs(f"{self.root}/{table}/CURRENT.json")
-        if not fs.exists(p):
-            return None
-        return json.loads(self.spark.read.text(p.toString(), wholetext=True).first()[0])
+        text = self.files.read(f"{self.root}/{table}/CURRENT.json")
+        return json.loads(text) if text is not None else None
 
     def _point(self, table: str, value: dict) -> None:
-        fs, p = self._fs(f"{self.root}/{table}/CURRENT.json")
-        _, aside = self._fs(f"{self.root}/{table}/.CURRENT.{uuid.uuid4().hex}")
-        out = fs.create(aside, True)
-        out.write(bytearray(json.dumps(value).encode()))
-        out.close()
-        if not fs.rename(aside, p):
-            fs.delete(p, False)
-            fs.rename(aside, p)
+        self.files.replace(f"{self.root}/{table}/CURRENT.json", json.dumps(value))
 
     def read(self, table: str) -> DataFrame:
         live = self.pointer(table)
@@ -67,8 +56,8 @@ class Cache:
         table = plan.table
         live = self.pointer(table)
         version = (live["version"] if live else 0) + 1
-        path = f"{self.root}/{table}/v={version}"
-        compiling.apply(plan, source).write.mode("overwrite").parquet(path)
+        path = f"{self.root}/{table}/v={version}-{uuid.uuid4().hex[:12]}"
+        compiling.apply(plan, source).write.parquet(path)
         cache = self.spark.read.parquet(path)
         before = null_counts(source, source.columns).first()
         after = null_counts(cache, cache.columns).first()

@@ -177,14 +177,19 @@ def test_lifecycle(spark, sales, tmp_path):
     assert engine.status(project)["status"] == "ready"
     with pytest.raises(NotReady):
         engine.diff(project, "sales")
-    assert engine.approve(project, ["sales"], {"sales": {"order_date": "month_first"}})["sales"] in ("cold_start_done", "failed")
+    assert engine.approve(project, ["sales"], {"sales": {"order_date": "whatever you like"}}) == {"sales": "failed"}
+    assert "fell back" in engine.table_detail(project, "sales")["error"] and engine.state.debug_log(project)[-1]["stage"] == "approval"
+    engine.state.put("tables", (project, "sales"), status="analyzed")
+    assert engine.approve(project, ["sales"]) == {"sales": "cold_start_done"}
+    page = engine.diff(project, "sales")
+    assert page.total_changed > 0 and page.rows
     assert engine.approve(project, ["tiny"]) == {"tiny": "cold_start_done"}
     engine.state.put("sync", ("p", "tiny"), status="in_progress")
     assert engine.resume() == ["tiny"]
 
 
-def test_state(tmp_path):
-    s = State(str(tmp_path))
+def test_state(spark, tmp_path):
+    s = State(str(tmp_path), spark)
     s.write_memory("p", "d", "t", "one")
     s.write_memory("p", "d", "t", "two")
     assert s.read_memory("p", "d", "t") == "two" and s.read_memory("p", "d", "x") is None
@@ -196,9 +201,37 @@ def test_stream_and_merge(spark, tmp_path):
     plan = CleaningPlan("t", [Expression("id", ["id"], ["`id`"]), Expression("amount", ["amount"], [tpl.currency("`amount`")])])
     incremental.append_only(spark, plan, str(tmp_path / "in"), df.schema, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == [(1, 5.0), (2, None)]
-    old = spark.createDataFrame([(1, 1, None), (2, 1, None)], "id int, at int, gone int")
-    new = spark.createDataFrame([(1, 2, None), (2, 2, 1)], "id int, at int, gone int")
+    old = spark.createDataFrame([(1, 1, None), (2, 1, None)], "id int, at int, gone timestamp")
+    new = spark.createDataFrame([(1, 2, None)], "id int, at int, gone timestamp").union(spark.sql("SELECT 2, 2, timestamp'2020-01-01'"))
     assert [r["id"] for r in incremental.merged(old, new, "id", "at", "gone").collect()] == [1]
+    for kind, no, yes in (("boolean", False, True), ("int", 0, 1), ("string", "no", "Yes")):
+        old = spark.createDataFrame([(1, 1, no), (2, 1, no), (3, 1, None), (None, 1, no)], f"id int, at int, is_deleted {kind}")
+        new = spark.createDataFrame([(2, 1, yes), (4, 1, no)], old.schema)
+        assert sorted(r["id"] or 0 for r in incremental.merged(old, new, "id", "at", "is_deleted").collect()) == [0, 1, 3, 4]
+
+
+def test_guard_allows_and_denies(spark):
+    for bad in ("explode(sequence(1, 9))", "randstr(5)", "current_timestamp()", "current_timestamp", "row_number() over (order by a)", "my_udf(a)", "uuid()"):
+        assert not guard.safe_expression(spark, bad)
+        with pytest.raises(guard.InvalidSql):
+            guard.validate(spark, f"SELECT {bad} AS a FROM t", "t")
+    flags = tpl.Flags(magnitude=True, parentheses=True)
+    for good in (tpl.currency("`a`", flags), tpl.percentage("`a`"), tpl.date("`a`", "%d/%m/%Y", more=True), tpl.boolean("`a`"), tpl.currency_code("`a`"), tpl.identifier("`a`", True), tpl.currency("`a`", tpl.Flags(european=True))):
+        assert guard.safe_expression(spark, good)
+
+
+def test_one_wide_scan(spark, tmp_path):
+    from lustra.operators import profile, sample
+
+    rows = [(k, k % 7, float(k % 11), None if k % 5 else "x", f"wide {k}") for k in range(3000)]
+    spark.createDataFrame(rows, "id int, a int, b double, c string, d string").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    got = sample.stratified(df, profile.full_table(df, "t", "id"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    scans = [line for line in plan.splitlines() if "Relation" in line]
+    whole = [x for x in got._jdf.queryExecution().executedPlan().toString().splitlines() if "ReadSchema" in x and "d:string" in x and "FileScan" in x]
+    assert len(scans) > 5 and len(set(whole)) <= 1
+    assert got.count() == got.distinct().count() and {0, 2999} <= {r["id"] for r in got.collect()}
 
 
 def test_issues_of_rare_values(spark, tmp_path):
