@@ -12,6 +12,7 @@ import public_tokenizers
 import pytest
 from lustra.llm import chat, fingerprints, hilbert, html_extract, language_id, media, mixing, ngram_join, packing, queries, suffix_dedup
 from lustra.llm.suffix_array import suffix_array
+from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _id long, g string, rank int"
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -235,6 +236,63 @@ def test_op5(spark, docs, empty):
     assert len(set(walk)) == 512 and all(sum(abs(p - q) for p, q in zip(a, b)) == 1 for a, b in zip(walk, walk[1:]))
 
 
+def hilbert_number(x, bits):
+    """Skilling's transform on plain integers."""
+    x, n = list(x), len(x)
+    q = 1 << (bits - 1)
+    while q > 1:
+        for k in range(n):
+            if x[k] & q:
+                x[0] ^= q - 1
+            else:
+                t = (x[0] ^ x[k]) & (q - 1)
+                x[0] ^= t
+                x[k] ^= t
+        q >>= 1
+    for k in range(1, n):
+        x[k] ^= x[k - 1]
+    t, q = 0, 1 << (bits - 1)
+    while q > 1:
+        if x[-1] & q:
+            t ^= q - 1
+        q >>= 1
+    x = [v ^ t for v in x]
+    return sum((x[k] >> b & 1) << (b * n + n - 1 - k) for b in range(bits) for k in range(n))
+
+
+def test_op5_against_brute_force(docs):
+    import math
+
+    rows = docs.selectExpr("doc_id", "octet_length(coalesce(text, '')) + 1 AS size", "crc32(coalesce(text, '')) AS crc", "xxhash64(coalesce(text, '')) AS h", "concat('=', lang) AS lang", "concat('=', source) AS source").collect()
+    least = {}
+    for r in rows:
+        for c in ("lang", "source"):
+            if r[c] is not None:
+                least[r["h"], c] = min(least.get((r["h"], c), r[c]), r[c])
+    spread = {r["t"]: r["p"] for r in docs.sparkSession.createDataFrame([(x,) for x in {"", *least.values()}], "t string").selectExpr("t", "pmod(xxhash64(t), 128L) AS p").collect()}
+    order = []
+    for r in rows:
+        cell = [math.floor(math.log2(r["size"]) * 4), *(spread[least.get((r["h"], c), "")] for c in ("lang", "source"))]
+        order.append((hilbert_number(cell, 7), r["size"], r["h"], r["doc_id"] is not None, r["doc_id"] or 0, r["crc"]))
+    order.sort()
+    n, slots, want = len(order), collections.Counter(), []
+    for rank, (index, size, _, has, i, crc) in enumerate(order):
+        shard = rank * 16 // n
+        want.append((i if has else None, size, crc, shard, slots[shard], index))
+        slots[shard] += 1
+    got = [(r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["slot"], r["hilbert"]) for r in hilbert.shard_documents(docs).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_op5_prunes(spark, sf_dir):
+    """Shards cover small parts of the dimensions, where shards of the table's own order cover them all."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    at = hilbert.shard_documents(docs).join(docs.select("doc_id", "lang", "source"), "doc_id")
+    whole = docs.select("lang").distinct().count() * docs.select("source").distinct().count()
+    pairs = [r["n"] for r in at.groupBy("shard").agg(F.count_distinct("lang", "source").alias("n")).collect()]
+    assert sum(pairs) < 0.5 * 16 * whole
+
+
 def test_op6(docs, empty):
     from tokenizers import Tokenizer
 
