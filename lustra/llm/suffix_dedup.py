@@ -9,14 +9,17 @@ sorted on both sides of the seed with suffix arrays built by the linear grouping
 and a window repeats if another context agrees with it on both sides.  All bytes take part:
 candidates are exact, nothing is sampled or capped.
 
-Seeds with more than ``hot`` different contexts are not sorted in one task; their windows are
-counted one by one with partial aggregation, which gives the same answer.
+A seed with more than ``hot`` different contexts is too much for one task.  Its runs are cut into
+bands of offsets (the last time to single windows), and each band goes to a group of its own, keyed
+by the bytes that all windows of the band share.  Equal windows stay in one group, and the narrower
+runs are treated as the first ones were: equal ones settled by hash, the rest sorted.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -77,12 +80,27 @@ def _seeds(window: int, seed: int):
     return run
 
 
-def _contexts(window: int, seed: int):
-    """The bytes left and right of each wanted seed; of hot seeds the hash of each window."""
+def _narrower(data: bytes, loc: int, window: int, seed: int, width: int) -> Iterator[tuple[int, int, int]]:
+    """A run cut into bands of ``width`` offsets: group, context and loc of each narrower run."""
+    start, count, offset = loc >> 16, (loc >> 8) & 255, loc & 255
+    roll = Rolling(BYTE[np.frombuffer(data, dtype=np.uint8, count=count - 1 + window, offset=start)])
+    low = offset - count + 1
+    band = np.arange(low // width, offset // width + 1)
+    first, last = band * width, np.minimum(band * width + width - 1, window - seed)
+    least, most = np.maximum(first, low), np.minimum(last, offset)
+    tag = lambda x: x.astype(np.uint64) << np.uint64(32)
+    group = mix(roll.slices(offset - first, offset - last + window) ^ tag(band))
+    context = mix(roll.slices(offset - most, offset - least + window) ^ tag(most))
+    narrow = ((start + offset - most) << 16) | ((most - least + 1) << 8) | most
+    return zip(group.view(np.int64).tolist(), context.view(np.int64).tolist(), narrow.tolist())
+
+
+def _contexts(window: int, seed: int, width: int):
+    """The bytes left and right of each wanted seed; of hot seeds the narrower runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["g", "_id", "_h", "loc", "left", "right", "w"]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64()]
+        names = ["g", "c", "_id", "_h", "loc", "left", "right"]
+        types = [pa.int64()] * 5 + [pa.binary()] * 2
         rows: list[tuple] = []
         held = 0
 
@@ -96,12 +114,10 @@ def _contexts(window: int, seed: int):
                     loc = x["loc"]
                     start, count, offset = loc >> 16, (loc >> 8) & 255, loc & 255
                     if x["hot"]:
-                        roll = Rolling(BYTE[np.frombuffer(data, dtype=np.uint8, count=count - 1 + window, offset=start)])
-                        for k, w in enumerate(roll.windows(window).view(np.int64).tolist()):
-                            rows.append((x["g"], i, h, start + k, None, None, w))
+                        rows += ((g, c, i, h, at, None, None) for g, c, at in _narrower(data, loc, window, seed, width))
                     else:
                         s = start + offset
-                        rows.append((x["g"], i, h, loc, data[start:s], data[s + seed : start + count - 1 + window], None))
+                        rows.append((x["g"], None, i, h, loc, data[start:s], data[s + seed : start + count - 1 + window]))
                         held += count + window
                     if len(rows) >= 20_000 or held > 8 << 20:
                         yield flush()
@@ -248,27 +264,30 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     seeds = keyed.mapInArrow(_seeds(window, seed), "g long, c long, _id long, _h long, loc long")
     shared = written(seeds.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g"), "seeds")
     runs = written(seeds.join(shared, "g"), "runs")
-    states = written(runs.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("_id", "_h", "loc")).alias("at")), "contexts")
-    mixed = written(states.groupBy("g").agg(F.count("*").alias("m"), F.min("n").alias("least")).filter("m > 1 and least = 1").select("g", (F.col("m") > hot).alias("hot")), "mixed")
-
+    own = [shared, runs]
+    found = []
     start = F.shiftright("loc", 16)
     span = F.shiftright("loc", 8).bitwiseAND(255)
-    spans = runs.join(states.filter("n > 1").select("g", "c"), ["g", "c"]).select("_id", "_h", start.alias("start"), (start + span - 1 + window).alias("end"))
-
-    need = states.join(mixed, "g").groupBy("at._id", "at._h").agg(F.collect_list(F.struct("g", "at.loc", "hot")).alias("_need"))
-    context = keyed.join(need, ["_id", "_h"]).select("_id", "_h", "_text", "_need").mapInArrow(_contexts(window, seed), "g long, _id long, _h long, loc long, left binary, right binary, w long")
-    context = context_table = written(context, "context")
-    twice = None
-    if mixed.filter("hot").head(1):
-        each = context.filter("w is not null")
-        twice = written(each.groupBy("w").agg(F.count("*").alias("n")).filter("n > 1").select("w"), "windows")
-        spans = spans.unionByName(each.join(twice, "w").select("_id", "_h", F.col("loc").alias("start"), (F.col("loc") + window).alias("end")))
-        context = context.filter("w is null")
-    ordered = context.drop("w").repartition("g").sortWithinPartitions("g")
-    spans = spans.unionByName(ordered.mapInArrow(_repeats(window, seed), "_id long, _h long, start long, end long"))
-    found = written(spans.groupBy("_id", "_h").agg(F.collect_list(F.struct("start", "end")).alias("_spans")), "spans")
-    discard(shared, runs, states, mixed, context_table, *([twice] if twice is not None else []))
-    return found
+    for width in (16, 1, 0):
+        states = written(runs.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("_id", "_h", "loc")).alias("at")), "contexts")
+        hot_seed = F.lit(width > 0) & (F.col("m") > hot)
+        mixed = written(states.groupBy("g").agg(F.count("*").alias("m"), F.min("n").alias("least")).filter("m > 1 and least = 1").select("g", hot_seed.alias("hot")), "mixed")
+        equal = runs.join(states.filter("n > 1").select("g", "c"), ["g", "c"])
+        found.append(equal.select("_id", "_h", start.alias("start"), (start + span - 1 + window).alias("end")))
+
+        need = states.join(mixed, "g").groupBy("at._id", "at._h").agg(F.collect_list(F.struct("g", "at.loc", "hot")).alias("_need"))
+        texts = keyed.join(need, ["_id", "_h"]).select("_id", "_h", "_text", "_need")
+        context = written(texts.mapInArrow(_contexts(window, seed, width), "g long, c long, _id long, _h long, loc long, left binary, right binary"), "context")
+        ordered = context.filter("left is not null").drop("c").repartition("g").sortWithinPartitions("g")
+        found.append(ordered.mapInArrow(_repeats(window, seed), "_id long, _h long, start long, end long"))
+        own += [states, mixed, context]
+        if not mixed.filter("hot").head(1):
+            break
+        runs = context.filter("left is null")
+    spans = reduce(DataFrame.unionByName, found)
+    result = written(spans.groupBy("_id", "_h").agg(F.collect_list(F.struct("start", "end")).alias("_spans")), "spans")
+    discard(*own)
+    return result
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 200, seed: int = 50, hot: int = 16384, with_text: bool = True) -> DataFrame:

@@ -60,7 +60,7 @@ def test_suffix_array():
         assert suffix_array(s) == sorted(range(len(s)), key=lambda i: s[i:])
 
 
-@pytest.mark.parametrize("hot", [16384, 2])
+@pytest.mark.parametrize("hot", [16384, 8, 2])
 def test_op1(docs, empty, hot):
     every = texts_of(docs)
     count = collections.Counter()
