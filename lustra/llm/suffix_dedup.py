@@ -59,7 +59,21 @@ def _runs(data: bytes, window: int, seed: int) -> tuple[np.ndarray, ...]:
     return g.view(np.int64), context.view(np.int64), start, count, offset
 
 
+def _once_a_row(row: np.ndarray, g: np.ndarray, c: np.ndarray, loc: np.ndarray) -> tuple:
+    """Equal runs of one row as one: row, seed, context and loc of the first, locs of the others."""
+    order = np.lexsort((c, g, row))
+    row, g, c, loc = row[order], g[order], c[order], loc[order]
+    new = np.r_[True, (row[1:] != row[:-1]) | (g[1:] != g[:-1]) | (c[1:] != c[:-1])]
+    first = np.flatnonzero(new)
+    ends = np.cumsum(~new)[np.r_[first[1:] - 1, len(new) - 1]]
+    others = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(loc[~new]), mask=pa.array(np.diff(np.r_[0, ends]) == 0))
+    return row[first], g[first], c[first], loc[first], others
+
+
 def _seeds(window: int, seed: int):
+    """The runs of each row.  Runs of equal seed and context in one row, as of a line that it
+    repeats, come as one row with the list ``more`` of the other locs."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, hashes, texts = (batch.column(k) for k in range(3))
@@ -71,10 +85,11 @@ def _seeds(window: int, seed: int):
                     rows.append((i, len(got[0])))
                 if sum(k for _, k in rows) > 200_000 or i == len(texts) - 1:
                     if parts:
-                        take = pa.array(np.repeat([r for r, _ in rows], [k for _, k in rows]))
+                        take = np.repeat([r for r, _ in rows], [k for _, k in rows])
                         g, c, start, count, offset = (np.concatenate(x) for x in zip(*parts))
-                        loc = (start << 16) | (count << 8) | offset
-                        yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(c), ids.take(take), hashes.take(take), pa.array(loc)], names=["g", "c", "_id", "_h", "loc"])
+                        take, g, c, loc, more = _once_a_row(take, g, c, (start << 16) | (count << 8) | offset)
+                        take = pa.array(take)
+                        yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(c), ids.take(take), hashes.take(take), pa.array(loc), more], names=["g", "c", "_id", "_h", "loc", "more"])
                     parts, rows = [], []
 
     return run
@@ -261,19 +276,22 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if not 0 < window - seed < 255 or seed < 8:
         raise ValueError("window - seed must be 1..254 and seed at least 8")
     keyed = docs.select(*_keyed(docs, id_col, text_col))
-    seeds = keyed.mapInArrow(_seeds(window, seed), "g long, c long, _id long, _h long, loc long")
-    shared = written(seeds.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g"), "seeds")
+    seeds = keyed.mapInArrow(_seeds(window, seed), "g long, c long, _id long, _h long, loc long, more array<long>")
+    others = F.coalesce("more", F.array().cast("array<long>"))
+    number = F.sum(1 + F.size(others)).alias("n")
+    shared = written(seeds.groupBy("g").agg(number).filter("n > 1").select("g"), "seeds")
     runs = written(seeds.join(shared, "g"), "runs")
     own = [shared, runs]
     found = []
     start = F.shiftright("loc", 16)
     span = F.shiftright("loc", 8).bitwiseAND(255)
     for width in (16, 1, 0):
-        states = written(runs.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("_id", "_h", "loc")).alias("at")), "contexts")
+        states = written(runs.groupBy("g", "c").agg(number, F.min(F.struct("_id", "_h", "loc")).alias("at")), "contexts")
         hot_seed = F.lit(width > 0) & (F.col("m") > hot)
         mixed = written(states.groupBy("g").agg(F.count("*").alias("m"), F.min("n").alias("least")).filter("m > 1 and least = 1").select("g", hot_seed.alias("hot")), "mixed")
         equal = runs.join(states.filter("n > 1").select("g", "c"), ["g", "c"])
-        found.append(equal.select("_id", "_h", start.alias("start"), (start + span - 1 + window).alias("end")))
+        each = equal.select("_id", "_h", F.explode(F.concat(F.array("loc"), others)).alias("loc"))
+        found.append(each.select("_id", "_h", start.alias("start"), (start + span - 1 + window).alias("end")))
 
         need = states.join(mixed, "g").groupBy("at._id", "at._h").agg(F.collect_list(F.struct("g", "at.loc", "hot")).alias("_need"))
         texts = keyed.join(need, ["_id", "_h"]).select("_id", "_h", "_text", "_need")
@@ -283,7 +301,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         own += [states, mixed, context]
         if not mixed.filter("hot").head(1):
             break
-        runs = context.filter("left is null")
+        runs = context.filter("left is null").withColumn("more", F.lit(None).cast("array<long>"))
     spans = reduce(DataFrame.unionByName, found)
     result = written(spans.groupBy("_id", "_h").agg(F.collect_list(F.struct("start", "end")).alias("_spans")), "spans")
     discard(*own)
