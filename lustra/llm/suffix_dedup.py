@@ -61,12 +61,20 @@ def _runs(data: bytes, window: int, seed: int) -> tuple[np.ndarray, ...]:
 
 def _once_a_row(row: np.ndarray, g: np.ndarray, c: np.ndarray, loc: np.ndarray) -> tuple:
     """Equal runs of one row as one: row, seed, context and loc of the first, locs of the others."""
-    order = np.lexsort((c, g, row))
+    key = c.view(np.uint64) ^ mix(row.astype(np.uint64))
+    ordered = np.sort(key)
+    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    if not len(twice):
+        return row, g, c, loc, pa.nulls(len(row), pa.list_(pa.int64()))
+    maybe = twice[np.minimum(np.searchsorted(twice, key), len(twice) - 1)] == key
+    # Single runs first, then those that may be equal, sorted.
+    single, equal = np.flatnonzero(~maybe), np.flatnonzero(maybe)
+    order = np.r_[single, equal[np.lexsort((c[equal], g[equal], row[equal]))]]
     row, g, c, loc = row[order], g[order], c[order], loc[order]
     new = np.r_[True, (row[1:] != row[:-1]) | (g[1:] != g[:-1]) | (c[1:] != c[:-1])]
     first = np.flatnonzero(new)
-    ends = np.cumsum(~new)[np.r_[first[1:] - 1, len(new) - 1]]
-    others = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(loc[~new]), mask=pa.array(np.diff(np.r_[0, ends]) == 0))
+    ends = np.r_[0, np.cumsum(~new)[np.r_[first[1:] - 1, len(new) - 1]]]
+    others = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(loc[~new]), mask=pa.array(np.diff(ends) == 0))
     return row[first], g[first], c[first], loc[first], others
 
 

@@ -83,6 +83,18 @@ def test_op1(docs, empty, hot):
     assert suffix_dedup.suffix_dedup(empty).count() == 0
 
 
+def test_equal_runs_of_a_row():
+    r = np.random.default_rng(3)
+    for n, kinds in ((1, 1), (50, 2), (500, 4), (500, 10**6), (64, 1)):
+        row, g, c = np.sort(r.integers(0, 5, n)), r.integers(0, kinds, n), r.integers(0, kinds, n)
+        expected = collections.defaultdict(list)
+        for k, key in enumerate(zip(row.tolist(), g.tolist(), c.tolist())):
+            expected[key].append(k)
+        *parts, more = suffix_dedup._once_a_row(row, g, c, np.arange(n))
+        got = {tuple(k): [at, *(rest or [])] for *k, at, rest in zip(*(x.tolist() for x in parts), more.to_pylist())}
+        assert len(got) == len(parts[0]) and {k: sorted(v) for k, v in got.items()} == expected
+
+
 def test_op1_texts(docs, empty):
     out = suffix_dedup.deduplicated(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
