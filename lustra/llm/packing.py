@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import json
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,8 +23,8 @@ from pyspark.sql import functions as F
 from .scratch import ranked, written
 from .textkit import Rolling, mix
 
-#: Most chunks that a worker keeps.
-_CACHE = 1_500_000
+#: Most token ids that a worker keeps for the chunks it has met; a chunk takes 28 bytes besides.
+_KEPT = 3_000_000
 _BREAK = 0x110000
 
 
@@ -72,7 +71,14 @@ class Tokens:
         plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not spec.get("normalizer")
         special = spec.get("added_tokens", [])
         self.cuts = plain and not any(" " in t["content"] or len(_chunk_starts(_points(t["content"]))) > 1 or t["lstrip"] or t["rstrip"] or t["single_word"] for t in special)
-        self.known: dict[int, tuple[int, bytes]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """The chunks kept are columns in the order of their names, as an object for each one would
+        take ten times the memory."""
+        self.names = self.checks = np.zeros(0, dtype=np.uint64)
+        self.at = self.size = np.zeros(0, dtype=np.int64)
+        self.flat = np.zeros(0, dtype="<u4")
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -92,20 +98,28 @@ class Tokens:
         checks = check[first]
         if (check != checks[which]).any():
             return self._whole(texts)
-        if len(self.known) > _CACHE:
-            self.known.clear()
-        known = self.known
-        pieces = [known.get(n) for n in names.tolist()]
-        new = [k for k, (got, c) in enumerate(zip(pieces, checks.tolist())) if got is None or got[0] != c]
-        spelled = [cp[starts[first[k]] : stops[first[k]]].tobytes().decode("utf-32-le") if cp[starts[first[k]]] != _BREAK else "" for k in new]
-        for k, text, e in zip(new, spelled, self.tokenizer.encode_batch_fast(spelled, add_special_tokens=False)):
-            pieces[k] = (int(checks[k]), array("I", e.ids).tobytes())
-            if len(text) <= 100:
-                known[int(names[k])] = pieces[k]
-        flat = [p for _, p in pieces]
-        size = np.array([len(p) for p in flat], dtype=np.int64) // 4
-        flat = np.frombuffer(b"".join(flat), dtype="<u4")
-        origin = np.cumsum(size) - size
+        if len(self.flat) > _KEPT:
+            self._forget()
+        place = np.searchsorted(self.names, names)
+        same = place < len(self.names)
+        same[same] = self.names[place[same]] == names[same]
+        hit = same.copy()
+        hit[same] = self.checks[place[same]] == checks[same]
+        origin, size = np.zeros(len(names), dtype=np.int64), np.zeros(len(names), dtype=np.int64)
+        origin[hit], size[hit] = self.at[place[hit]], self.size[place[hit]]
+        # Chunks to keep come first.
+        new = np.flatnonzero(~hit)
+        keep = ~same[new] & (stops[first[new]] - starts[first[new]] <= 100)
+        new = np.r_[new[keep], new[~keep]]
+        begin, end = starts[first[new]].tolist(), stops[first[new]].tolist()
+        spelled = ["" if cp[x] == _BREAK else cp[x:y].tobytes().decode("utf-32-le") for x, y in zip(begin, end)]
+        fresh = [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(spelled, add_special_tokens=False)]
+        size[new] = [len(x) for x in fresh]
+        origin[new] = len(self.flat) + np.cumsum(size[new]) - size[new]
+        flat = np.concatenate([self.flat, *fresh])
+        kept = np.sort(new[: int(keep.sum())])
+        self.names, self.checks, self.at, self.size = (np.insert(old, place[kept], x[kept]) for old, x in ((self.names, names), (self.checks, checks), (self.at, origin), (self.size, size)))
+        self.flat = flat[: len(self.flat) + int(size[kept].sum())]
         lengths = size[which]
         after = np.cumsum(lengths)
         ids = flat[np.repeat(origin[which] - (after - lengths), lengths) + np.arange(after[-1])] if after[-1] else flat[:0]
@@ -152,7 +166,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 keys.append(key.as_py())
                 texts.append(text.as_py() or "")
                 held += len(texts[-1])
-                if held > 2_000_000:
+                if held > 1_000_000:
                     yield rows(keys, texts)
                     keys, texts, held = [], [], 0
             if keys:
