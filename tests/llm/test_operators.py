@@ -333,7 +333,7 @@ def test_op6(docs, empty):
     assert packing.pack_documents(empty, PATH).count() == 0
 
 
-def test_tokens_match():
+def test_tokens_match(monkeypatch):
     from tokenizers import Tokenizer
 
     tk = Tokenizer.from_file(PATH)
@@ -346,6 +346,8 @@ def test_tokens_match():
     for _ in range(2):  # unknown and known chunks
         assert [x.tolist() for x in tokens.ids(odd)] == want
     assert 50256 in want[7]
+    monkeypatch.setattr(packing, "_KEPT", 1000)  # forgotten again and again
+    assert [x.tolist() for k in range(0, len(odd), 500) for x in tokens.ids(odd[k : k + 500])] == want
 
 
 def test_op7(spark, sf_dir):
