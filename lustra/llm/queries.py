@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, hilbert, html_extract, language_id, line_dedup, media, mixing, ngram_join, packing, suffix_dedup
+from . import chat, divergence, fingerprints, hilbert, html_extract, language_id, line_dedup, media, mixing, ngram_join, packing, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +72,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"))
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -105,6 +109,40 @@ SELECT doc_id, size, source_size, target,
 """
 
 
+OP12_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents
+), t AS (
+  SELECT r, lang, source, unnest(ts) AS term FROM d
+), k AS (
+  SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 30
+), g AS (
+  SELECT DISTINCT lang, source FROM d
+), c AS (
+  SELECT t.lang, t.source, t.term, count(*) AS n FROM t JOIN k ON t.lang = k.lang AND t.term = k.term GROUP BY ALL
+), e AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM g JOIN k ON g.lang = k.lang
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), p AS (
+  SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER w + 5 * count(*) OVER w) AS p FROM e WINDOW w AS (PARTITION BY lang, source)
+), s AS (
+  SELECT lang, term, sum(n) AS n FROM e GROUP BY lang, term
+), q AS (
+  SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER w + 5 * count(*) OVER w) AS q FROM s WINDOW w AS (PARTITION BY lang)
+), f AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), v AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL
+  SELECT p.lang, p.source, 'term', p.term, p.p - q.q FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE p.n > 0 AND p.p > q.q
+)
+SELECT lang, source, part, item, value::BIGINT AS value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank
+FROM v QUALIFY part = 'pair' OR rank <= 50
+"""
+
+
 OP13_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
@@ -124,8 +162,8 @@ FROM m GROUP BY r, doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_fingerprints, op4_media, op5_hilbert, op6_packing, op7_chat, op8_html_extract, op9_ngram_join, op10_mixing, op13_line_dedup)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_fingerprints, op4_media, op5_hilbert, op6_packing, op7_chat, op8_html_extract, op9_ngram_join, op10_mixing, op12_divergence, op13_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mixing": OP10_SQL, "op13_line_dedup": OP13_SQL}
+    return {"op10_mixing": OP10_SQL, "op12_divergence": OP12_SQL, "op13_line_dedup": OP13_SQL}
