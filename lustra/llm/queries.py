@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, divergence, fingerprints, hilbert, html_extract, language_id, line_dedup, media, mixing, ngram_join, packing, suffix_dedup
+from . import alignment, chat, divergence, fingerprints, hilbert, html_extract, language_id, line_dedup, media, mixing, ngram_join, packing, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +72,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align_documents(table(spark, sf_dir, "documents"), a, b, with_groups=False)
+
+
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(table(spark, sf_dir, "documents"))
 
@@ -162,7 +167,7 @@ FROM m GROUP BY r, doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_fingerprints, op4_media, op5_hilbert, op6_packing, op7_chat, op8_html_extract, op9_ngram_join, op10_mixing, op12_divergence, op13_line_dedup)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_fingerprints, op4_media, op5_hilbert, op6_packing, op7_chat, op8_html_extract, op9_ngram_join, op10_mixing, op11_alignment, op12_divergence, op13_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
