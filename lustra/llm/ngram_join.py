@@ -27,14 +27,21 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import discard, written
 from .textkit import shingle_sets
 
-#: Most sets in a block that is compared in one task.
+#: Most sets, and most shingles in them, in a block that is compared in one task.  A larger set is a
+#: block of its own.
 BLOCK = 256
+SHINGLES = 1 << 20
+
+
+def _blocks(block: int) -> Column:
+    """How many blocks sets of n shingles make."""
+    return F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / SHINGLES)).cast("long")
 
 
 def _need(n: str) -> str:
@@ -47,7 +54,7 @@ def _least_partner(n: str) -> str:
 
 
 def _sid(tokens: np.ndarray) -> int:
-    """A 64-bit name of a set; 0: the empty set."""
+    """A 64-bit name of a set; 0: the empty set.  Two unlike sets may share one with a chance of 2**-64."""
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True) if len(tokens) else 0
 
 
@@ -230,7 +237,7 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     discard(able)
     # Groups by the least shared shingle, each dealt to as many blocks as it needs.
     own = near.select("sid", "n", F.array_min("toks").alias("tok"))
-    parts = own.groupBy("tok").agg(F.ceil(F.count("*") / block).alias("parts"))
+    parts = own.groupBy("tok").agg(_blocks(block).alias("parts"))
     dealt = written(own.join(parts, "tok"), "dealt")
     sets = texts.select("sid", "_text").join(dealt.select("sid", "tok", "n", "parts"), "sid").select("sid", "tok", "n", "_text", "parts")
     sets = written(sets.mapInArrow(_full_sets(width), _SETS), "sets")
@@ -239,7 +246,7 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     # Blocks of the matrix hold sets of one group and of like size.
     kind = [F.col("tok"), F.floor(F.log("n") * 20).alias("step")]
-    sizes = dealt.groupBy(*kind).agg(F.ceil(F.count("*") / block).alias("mb"))
+    sizes = dealt.groupBy(*kind).agg(_blocks(block).alias("mb"))
     place = dealt.select("sid", *kind).join(sizes, ["tok", "step"])
     place = place.select("sid", F.xxhash64("tok", "step", F.pmod(F.xxhash64("sid"), F.col("mb"))).alias("blk"))
     placed = written(near.join(group, "sid").join(place, "sid").select("sid", "n", "reach", "grp", "blk", "toks"), "placed")
@@ -317,7 +324,7 @@ def _grouped(sets: DataFrame, block: int) -> DataFrame:
             discard(group, level)
             group = joined
         heads = solved.filter("tokens is not null")
-        parts = heads.groupBy("tok").agg(F.ceil(F.count("*") / block).alias("parts"))
+        parts = heads.select("tok", F.size("tokens").alias("n")).groupBy("tok").agg(_blocks(block).alias("parts"))
         left = heads.join(group.select("sid", F.col("grp").alias("grp0")), "sid").select("sid", "tok", "tokens", "grp0").join(parts, "tok")
         left = written(left.select("sid", "tok", "tokens", "grp0", "parts"), "level")
         discard(solved)
@@ -351,14 +358,14 @@ def _across(placed: DataFrame, sets: DataFrame, block: int) -> DataFrame | None:
     opened = written(found.groupBy("sid", "blk").agg(F.first("n").alias("n"), F.first("grp").alias("own")), "opened")
     # The full bound: shared shingles of the short list with the block's union.
     every = opened.join(active.select("sid", "toks"), "sid").select("sid", "blk", "n", "own", F.explode("toks").alias("tok")).join(matrix.select("tok", "blk"), ["tok", "blk"])
-    asked = every.groupBy("sid", "blk").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("own").alias("own")).filter(f"c >= {need}").select("sid", "blk", "own")
+    asked = every.groupBy("sid", "blk").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("own").alias("own")).filter(f"c >= {need}").select("sid", "blk", "n", "own")
     asked = written(asked, "asked")
     discard(matrix, opened)
     if not asked.head(1):
         discard(active, asked)
         return None
-    # A block is compared with up to `block` questions in one task; it is sent to as many tasks as its questions need.
-    parts = written(asked.groupBy("blk").agg(F.ceil(F.count("*") / block).alias("qb")), "parts")
+    # A block is compared with as many questions as a block may hold in one task; it is sent to as many tasks as its questions need.
+    parts = written(asked.groupBy("blk").agg(_blocks(block).alias("qb")), "parts")
     inside = active.select("sid", "blk", F.col("grp").alias("own")).join(parts, "blk").withColumn("qk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("qb") - 1))).select("sid", "blk", "qk", "own", F.lit(True).alias("inside"))
     asking = asked.join(parts, "blk").select("sid", "blk", F.pmod(F.xxhash64("sid"), F.col("qb")).alias("qk"), "own", F.lit(False).alias("inside"))
     both = inside.union(asking).join(sets.select("sid", "tokens"), "sid")

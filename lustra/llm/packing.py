@@ -11,6 +11,7 @@ offset) that rows look up by their rank among the documents of their length.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -21,42 +22,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import ranked, written
-from .textkit import Rolling, mix
 
-#: Most token ids that a worker keeps for the chunks it has met; a chunk takes 28 bytes besides.
-_KEPT = 3_000_000
-_BREAK = 0x110000
-
-
-def _surely_not_white(cp: np.ndarray) -> np.ndarray:
-    return (cp > 32) & (cp != 0x85) & (cp != 0xA0) & ((cp < 0x1680) | (cp > 0x3000))
-
-
-# Characters that are letters or digits without doubt, and ASCII marks but for apostrophes and those of special tokens.
-_LETTER = np.zeros(0x250, dtype=bool)
-_LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x250)]] = True
-_MARK = np.zeros(128, dtype=bool)
-_MARK[[ord(c) for c in "!\"#$%&()*+,-./:;=?@[\\]^`{}~"]] = True
-
-
-def _chunk_starts(cp: np.ndarray) -> np.ndarray:
-    """Places where the byte-level pattern always starts a pre-token, so that a text can be cut there
-    without a change of ids: a plain space between two characters that aren't white space, a mark
-    after a letter or digit, and both sides of a break between texts."""
-    start = np.ones(len(cp), dtype=bool)
-    solid = _surely_not_white(cp)
-    start[1:] = (cp[1:] == _BREAK) | (cp[:-1] == _BREAK)
-    start[1:-1] |= (cp[1:-1] == 32) & solid[:-2] & solid[2:]
-    low = np.minimum(cp, 0x24F)
-    start[1:] |= _LETTER[low[:-1]] & (cp[:-1] < 0x250) & _MARK[np.minimum(cp[1:], 127)]
-    return np.flatnonzero(start)
+#: Most chunks, and most token ids for them, that a worker keeps.
+_CHUNKS, _KEPT = 300_000, 3_000_000
+#: A place where the byte-level pattern always starts a pre-token: a plain space between two characters
+#: that aren't white space.  A text can be cut there without a change of ids.
+_CUT = re.compile(r" (?<=\S )(?=\S)")
 
 
 class Tokens:
     """Token ids of many texts, by ``tokenizers``.  Texts are cut into chunks where no token can
-    cross, and each distinct chunk is encoded once and kept, under two 64-bit hashes that both have to
-    agree.  Files whose pre-tokens could cross a cut, or whose special tokens hold one, are encoded as
-    whole texts."""
+    cross, and each distinct chunk is encoded once and kept under its own text.  Files whose pre-tokens
+    could cross a cut, or whose added tokens hold a space, are encoded as whole texts."""
 
     def __init__(self, path: str):
         import os
@@ -69,65 +46,50 @@ class Tokens:
             spec = json.load(f)
         split = spec.get("pre_tokenizer") or {}
         plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not spec.get("normalizer")
-        special = spec.get("added_tokens", [])
-        self.cuts = plain and not any(" " in t["content"] or len(_chunk_starts(_points(t["content"]))) > 1 or t["lstrip"] or t["rstrip"] or t["single_word"] for t in special)
+        added = spec.get("added_tokens", [])
+        self.cuts = plain and not any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"] for t in added)
         self._forget()
 
     def _forget(self) -> None:
-        """The chunks kept are columns in the order of their names, as an object for each one would
-        take ten times the memory."""
-        self.names = self.checks = np.zeros(0, dtype=np.uint64)
+        # A chunk after a cut is known without the space before it, a text's first one apart.
+        self.first: dict[str, int] = {}
+        self.later: dict[str, int] = {}
         self.at = self.size = np.zeros(0, dtype=np.int64)
         self.flat = np.zeros(0, dtype="<u4")
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _learn(self, known: dict[str, int], parts: list[str], before: str) -> None:
+        new = [p for p in dict.fromkeys(parts) if p not in known]
+        known.update(zip(new, range(len(self.size), len(self.size) + len(new))))
+        ids = [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast([before + p for p in new], add_special_tokens=False)]
+        size = np.array([len(x) for x in ids], dtype=np.int64)
+        self.at = np.append(self.at, len(self.flat) + np.cumsum(size) - size)
+        self.size = np.append(self.size, size)
+        self.flat = np.concatenate([self.flat, *ids])
+
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         if not self.cuts or not texts:
             return self._whole(texts)
-        cp = _points("\0".join([*texts, ""]))
-        ends = np.cumsum([len(t) + 1 for t in texts]) - 1
-        cp[ends] = _BREAK
-        starts = _chunk_starts(cp)
-        stops = np.r_[starts[1:], len(cp)]
-        symbols = cp.astype(np.uint64)
-        name = Rolling(mix(symbols)).slices(starts, stops)
-        check = Rolling(mix(symbols ^ np.uint64(0x5851F42D4C957F2D))).slices(starts, stops)
-        names, first, which = np.unique(name, return_index=True, return_inverse=True)
-        checks = check[first]
-        if (check != checks[which]).any():
-            return self._whole(texts)
-        if len(self.flat) > _KEPT:
+        if len(self.size) > _CHUNKS or len(self.flat) > _KEPT:
             self._forget()
-        place = np.searchsorted(self.names, names)
-        same = place < len(self.names)
-        same[same] = self.names[place[same]] == names[same]
-        hit = same.copy()
-        hit[same] = self.checks[place[same]] == checks[same]
-        origin, size = np.zeros(len(names), dtype=np.int64), np.zeros(len(names), dtype=np.int64)
-        origin[hit], size[hit] = self.at[place[hit]], self.size[place[hit]]
-        # Chunks to keep come first.
-        new = np.flatnonzero(~hit)
-        keep = ~same[new] & (stops[first[new]] - starts[first[new]] <= 100)
-        new = np.r_[new[keep], new[~keep]]
-        begin, end = starts[first[new]].tolist(), stops[first[new]].tolist()
-        spelled = ["" if cp[x] == _BREAK else cp[x:y].tobytes().decode("utf-32-le") for x, y in zip(begin, end)]
-        fresh = [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(spelled, add_special_tokens=False)]
-        size[new] = [len(x) for x in fresh]
-        origin[new] = len(self.flat) + np.cumsum(size[new]) - size[new]
-        flat = np.concatenate([self.flat, *fresh])
-        kept = np.sort(new[: int(keep.sum())])
-        self.names, self.checks, self.at, self.size = (np.insert(old, place[kept], x[kept]) for old, x in ((self.names, names), (self.checks, checks), (self.at, origin), (self.size, size)))
-        self.flat = flat[: len(self.flat) + int(size[kept].sum())]
-        lengths = size[which]
-        after = np.cumsum(lengths)
-        ids = flat[np.repeat(origin[which] - (after - lengths), lengths) + np.arange(after[-1])] if after[-1] else flat[:0]
-        return np.split(ids, after[np.searchsorted(starts, ends)][:-1])
-
-
-def _points(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32).copy()
+        heads, rest, count = [], [], []
+        for text in texts:
+            head, *more = _CUT.split(text)
+            heads.append(head)
+            rest += more
+            count.append(len(more))
+        self._learn(self.first, heads, "")
+        self._learn(self.later, rest, " ")
+        ends = np.cumsum(count)
+        which = np.insert(
+            np.fromiter(map(self.later.__getitem__, rest), dtype=np.int64, count=len(rest)), ends - count, np.fromiter(map(self.first.__getitem__, heads), dtype=np.int64, count=len(heads))
+        )
+        size = self.size[which]
+        after = np.cumsum(size)
+        ids = self.flat[np.repeat(self.at[which] - (after - size), size) + np.arange(after[-1])]
+        return np.split(ids, after[ends + np.arange(len(texts))][:-1])
 
 
 @lru_cache(1)

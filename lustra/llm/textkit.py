@@ -78,12 +78,35 @@ def _edges(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+def _place_value(key: np.ndarray) -> np.ndarray:
+    return mix((key.astype(np.uint64) + _U(1)) * _U(_BASE))
+
+
+_NEAR = _place_value(np.arange(64 * 256))
+_LOWER = np.arange(256)
+_LOWER[65:91] = np.arange(97, 123)
+
+
+def _hashed(x: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each word of an array of bytes, A-Z lowered: the sum of values drawn for each byte at
+    its place in the word.  Unlike a polynomial modulo 2**64, no words are equal by construction."""
+    if not len(start):
+        return np.zeros(0, dtype=np.uint64)
+    size = end - start
+    first = np.cumsum(size) - size
+    key = (np.arange(int(size.sum())) - np.repeat(first, size)) << 8 | _LOWER[x[~SPACE[x]]]
+    if int(size.max()) <= 64:
+        value = _NEAR[key]
+    else:
+        value, near = np.empty(len(key), dtype=np.uint64), key < len(_NEAR)
+        value[near], value[~near] = _NEAR[key[near]], _place_value(key[~near])
+    return mix(np.add.reduceat(value, first))
+
+
 def words(data: bytes) -> np.ndarray:
     """Hash of each word ``[^\\x20\\x09-\\x0D]+`` with A-Z lowered, in order."""
     x = np.frombuffer(data, dtype=np.uint8)
-    if not len(x):
-        return np.zeros(0, dtype=np.uint64)
-    return Rolling(FOLDED[x]).slices(*_edges(x))
+    return _hashed(x, *_edges(x))
 
 
 def shingles(word: np.ndarray, width: int = 5) -> np.ndarray:
@@ -92,7 +115,7 @@ def shingles(word: np.ndarray, width: int = 5) -> np.ndarray:
     if n == 0:
         return np.zeros(0, dtype=np.uint64)
     if n < width:
-        return Rolling(word).slices(np.array([0]), np.array([n]))
+        return mix(shingles(word, n) + _U(n))
     h = np.zeros(n - width + 1, dtype=np.uint64)
     for j in range(width):
         h = h * _U(_BASE) + word[j : n - width + 1 + j]
@@ -121,11 +144,8 @@ def shingle_sets(texts: list[bytes], width: int = 5, chunk: int = 1 << 16) -> It
             size += len(texts[stop]) + 1
             stop += 1
         x = np.frombuffer(b" ".join(texts[at:stop]), dtype=np.uint8)
-        if len(x):
-            start, end = _edges(x)
-            word = Rolling(FOLDED[x]).slices(start, end)
-        else:
-            start = word = np.zeros(0, dtype=np.uint64)
+        start, end = _edges(x)
+        word = _hashed(x, start, end)
         every = shingles(word, width) if len(word) >= width else word
         bound = np.searchsorted(start, np.cumsum([len(t) + 1 for t in texts[at:stop]])).tolist()
         first = 0
