@@ -16,6 +16,9 @@ import shutil
 import tempfile
 import uuid
 import weakref
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +28,7 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: list[str] = []
 _folders: dict[str, str] = {}
 _path_of: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_passing: ContextVar[list[str] | None] = ContextVar("passing", default=None)
 
 
 @atexit.register
@@ -76,9 +80,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
         spark.conf.set(_CLEANUP, before)
     table = spark.read.schema(df.schema).parquet(path)
     _path_of[table] = path
+    passing = _passing.get()
+    if passing is not None:
+        passing.append(path)
     return table
 
 
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables that :func:`written` makes inside are deleted at the end.  What reads them has to be
+    written itself by then."""
+    paths: list[str] = []
+    before = _passing.set(paths)
+    try:
+        yield
+    finally:
+        _passing.reset(before)
+        for path in paths:
+            remove(spark, path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder, if it is there."""
     files, where = _hadoop(spark, path)
