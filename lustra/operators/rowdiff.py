@@ -16,10 +16,11 @@ def _text(side: str, c: str) -> Column:
     return F.col(f"{side}.{quoted(c)}").cast("string")
 
 
-def changed_rows(source: DataFrame, cache: DataFrame, key: str) -> DataFrame:
+def changed_rows(source: DataFrame, cache: DataFrame, key: str, place: bool = False) -> DataFrame:
     """_key, before__c, after__c and chg__c for each shared column, and changed_columns; only rows
-    in which some text differs.  An inner equi-join on the key; Spark picks how."""
-    shared = [c for c in source.columns if c in cache.columns]
+    in which some text differs.  An inner equi-join on the key; Spark picks how.  With ``place`` the
+    key is a row's place and no column of the table."""
+    shared = [c for c in source.columns if c in cache.columns and not (place and c == key)]
     differs = {c: ~_text("s", c).eqNullSafe(_text("c", c)) for c in shared}
     joined = source.alias("s").join(cache.alias("c"), F.col(f"s.{quoted(key)}") == F.col(f"c.{quoted(key)}"))
     named = F.array_compact(F.array(*[F.when(d, F.lit(c)) for c, d in differs.items()]))
@@ -83,11 +84,15 @@ def json_value(v):
     return str(v)
 
 
+def page_of(rows: list, total: int, source: DataFrame, cache: DataFrame, page: int, page_size: int) -> DiffPage:
+    types = column_types(source, cache)
+    plain = [{k: json_value(v) for k, v in r.asDict().items() if k != "_place"} for r in rows]
+    return DiffPage(total, page, page_size, plain, types, [c for c, (_, b) in types.items() if b is None], [c for c, (a, _) in types.items() if a is None])
+
+
 def diff_page(source: DataFrame, cache: DataFrame, key: str, page: int = 1, page_size: int = 50) -> DiffPage:
+    """A page straight from the two tables, for one look: each page is a join of its own."""
     page, page_size = max(page, 1), page_size if page_size >= 1 else 50
     changed = changed_rows(source, cache, key)
     rows = changed.orderBy("_key").offset((page - 1) * page_size).limit(page_size).collect()
-    types = column_types(source, cache)
-    return DiffPage(
-        changed.count(), page, page_size, [{k: json_value(v) for k, v in r.asDict().items()} for r in rows], types, [c for c, (_, b) in types.items() if b is None], [c for c, (a, _) in types.items() if a is None]
-    )
+    return page_of(rows, changed.count(), source, cache, page, page_size)

@@ -11,13 +11,14 @@ from dataclasses import asdict
 from pyspark.sql import SparkSession
 
 from .config import DEFAULTS, Settings
-from .model import CleaningPlan, ColumnClass, Expression, QualityDiff, TableProfile
+from .model import CleaningPlan, ColumnClass, QualityDiff, TableProfile
 from .operators import classify, consistency, profile, rowdiff, sample
 from .operators.capture import Suggester
-from .plans import answers, dryrun, guard
+from .plans import answers, diffindex, dryrun, guard
 from .plans import compile as compiling
 from .plans.materialize import Cache
 from .plans.state import State
+from .sources import snapshot as snapshots
 from .sources.tables import Source
 
 log = logging.getLogger("lustra")
@@ -37,9 +38,22 @@ class Engine:
         """The table's sample, drawn at its analysis and kept: later steps see the same rows."""
         path = f"{self.folder}/samples/{project}/{table}"
         if anew:
-            sample.stratified(source.read(self.spark, table), t, self.settings).coalesce(1).write.mode("overwrite").parquet(path)
+            rows = self._snapshot(project, source, table).read(self.spark)
+            sample.stratified(rows, t, self.settings).coalesce(1).write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)
 
+    def _snapshot(self, project: str, source: Source, table: str, anew: bool = False) -> snapshots.Snapshot:
+        """The table as pinned at its analysis: sample, dry run, load and diff see the same rows."""
+        entry = self.state.get("tables", (project, table)) or {}
+        if entry.get("snapshot") and not anew:
+            return snapshots.Snapshot.of(entry["snapshot"])
+        taken = snapshots.take(self.spark, source, table, snapshots.fresh(f"{self.folder}/snapshots/{project}/{table}"))
+        self.state.put("tables", (project, table), snapshot=asdict(taken))
+        loaded = (self.state.get("sync", (project, table)) or {}).get("snapshot")
+        if entry.get("snapshot") and entry["snapshot"] != loaded:
+            snapshots.drop(self.spark, snapshots.Snapshot.of(entry["snapshot"]))
+        return taken
+
     # Analysis
 
     def analyze_project(self, source: Source, project: str | None = None) -> str:
@@ -60,7 +74,7 @@ class Engine:
 
     def _analyze_table(self, project: str, source: Source, table: str) -> None:
         try:
-            df = source.read(self.spark, table)
+            df = self._snapshot(project, source, table, anew=True).read(self.spark)
             t = profile.full_table(df, table, source.primary_key(table), self.settings)
             rows = self._sample(project, source, table, t, anew=True)
             profile.enrich(t, rows, self.settings)
@@ -91,7 +105,7 @@ class Engine:
         profiles = {k: TableProfile.from_json(e["profile"]) for k, e in done.items()}
         groups = consistency.find_groups(profiles)
         for table in sorted({t for g in groups for t in g.to_patch}):
-            before = self.state.get("tables", (project, table))
+            before = {k: v for k, v in self.state.get("tables", (project, table)).items() if k != "key"}
             try:
                 t = profiles[table]
                 rows = self._sample(project, source, table, t)
@@ -104,6 +118,10 @@ class Engine:
                 self.state.put("tables", (project, table), **before)
         self.state.put("projects", (project,), cross_table=consistency.summary(groups))
 
+    def _source(self, project: str) -> Source:
+        p = self.state.get("projects", (project,))
+        return Source(**{k: tuple(map(tuple, v)) if isinstance(v, list) else v for k, v in p["source"].items()})
+
     # Review
 
     def status(self, project: str) -> dict:
@@ -127,8 +145,8 @@ class Engine:
         p = self.state.get("projects", (project,))
         if p is None or p["status"] not in ("ready", "completed"):
             raise NotReady(f"project is {p and p['status']}")
-        source = Source(**{k: tuple(map(tuple, v)) if isinstance(v, list) else v for k, v in p["source"].items()})
-        every = [e["key"][1] for e in self.state.all("tables") if e["key"][0] == project and e["status"] in ("analyzed", "cold_start_done")]
+        source = self._source(project)
+        every = [e["key"][1] for e in self.state.all("tables") if e["key"][0] == project and e.get("status") in ("analyzed", "cold_start_done")]
         self.state.put("projects", (project,), status="approving")
         out = {t: self._approve_table(project, source, t, (given or {}).get(t, {})) for t in tables or every}
         bad = [t for t, s in out.items() if s != "cold_start_done"]
@@ -158,10 +176,17 @@ class Engine:
 
     def _load(self, project: str, source: Source, table: str, plan: CleaningPlan, diff: QualityDiff | None) -> str:
         self.state.put("sync", (project, table), status="in_progress")
-        report = Cache(self.spark, f"{self.folder}/cache/{project}").load(plan, source.read(self.spark, table), diff, self.settings)
+        pinned = self._snapshot(project, source, table)
+        columns = {c.lower() for e in plan.expressions for c in (e.column, *e.names)}
+        row = None if source.primary_key(table) else next(n for n in (f"_row{k or ''}" for k in range(len(columns) + 1)) if n not in columns)
+        rows = pinned.numbered(self.spark, row) if row else pinned.read(self.spark)
+        report = self._cache(project).load(plan, rows, diff, self.settings, row)
         for w in report.warnings:
             self.state.write_memory(project, "Audit_Log", f"load_{table}", w)
-        self.state.put("sync", (project, table), status="completed", last_row_count=report.cache_rows, warnings=report.warnings)
+        before = (self.state.get("sync", (project, table)) or {}).get("snapshot")
+        self.state.put("sync", (project, table), status="completed", last_row_count=report.cache_rows, warnings=report.warnings, snapshot=asdict(pinned))
+        if before and before["folder"] != pinned.folder:
+            snapshots.drop(self.spark, snapshots.Snapshot.of(before))
         self.state.put("tables", (project, table), status="cold_start_done", error=None)
         return "cold_start_done"
 
@@ -175,24 +200,32 @@ class Engine:
             locked = self.state.read_memory(project, "Business_Logic", f"cleaning_script_{table}")
             p = self.state.get("projects", (project,))
             if locked and p:
-                source = Source(**{k: tuple(map(tuple, v)) if isinstance(v, list) else v for k, v in p["source"].items()})
-                self._load(project, source, table, CleaningPlan.from_json(locked), None)
+                self._load(project, self._source(project), table, CleaningPlan.from_json(locked), None)
                 out.append(table)
         return out
 
-    def diff(self, project: str, table: str, page: int = 1, page_size: int = 50) -> rowdiff.DiffPage:
+    def _cache(self, project: str) -> Cache:
+        return Cache(self.spark, f"{self.folder}/cache/{project}")
+
+    def diff_index(self, project: str, table: str) -> diffindex.DiffIndex:
+        """The changed rows of the live version, compared with the rows that it was loaded from; written
+        at the first call.  Tables without a key are paired by the rows' places, which the cache
+        carries."""
         entry = self.table_detail(project, table)
         if entry["status"] != "cold_start_done":
             raise NotReady(f"table is {entry['status']}")
-        p = self.state.get("projects", (project,))
-        source = Source(**{k: tuple(map(tuple, v)) if isinstance(v, list) else v for k, v in p["source"].items()})
-        before = source.read(self.spark, table)
-        after = Cache(self.spark, f"{self.folder}/cache/{project}").read(table)
-        key = source.primary_key(table)
-        if key is None:
-            # Rows are paired by position: the locked plan, a projection, is laid over the numbered source.
-            locked = CleaningPlan.from_json(self.state.read_memory(project, "Business_Logic", f"cleaning_script_{table}"))
-            numbered = rowdiff.with_position(before, path=f"{self.folder}/numbered/{project}/{table}-{uuid.uuid4().hex}")
-            locked.expressions.append(Expression("_position", ["_position"], ["`_position`"]))
-            return rowdiff.diff_page(numbered, compiling.apply(locked, numbered), "_position", page, page_size)
-        return rowdiff.diff_page(before, after, key, page, page_size)
+        source, cache = self._source(project), self._cache(project)
+        live = cache.pointer(table)
+        index = diffindex.DiffIndex(self.spark, f"{cache.root}/{table}/diff/{live['path'].rsplit('/', 1)[1]}")
+        if not index.load():
+            pinned = snapshots.Snapshot.of(self.state.get("sync", (project, table))["snapshot"])
+            row = live.get("row")
+            before = pinned.numbered(self.spark, row) if row else pinned.read(self.spark)
+            index.build(rowdiff.changed_rows(before, cache.read(table, rows=True), row or source.primary_key(table), bool(row)))
+        return index
+
+    def diff(self, project: str, table: str, page: int = 1, page_size: int = 50) -> rowdiff.DiffPage:
+        page, page_size = max(page, 1), page_size if page_size >= 1 else 50
+        index = self.diff_index(project, table)
+        pinned = snapshots.Snapshot.of(self.state.get("sync", (project, table))["snapshot"])
+        return rowdiff.page_of(index.page(page, page_size), index.total, pinned.empty(self.spark), self._cache(project).read(table), page, page_size)

@@ -57,8 +57,9 @@ def assemble(plan: CleaningPlan) -> str:
     return select_sql(plan.items, plan.table)
 
 
-def apply(plan: CleaningPlan, df: DataFrame) -> DataFrame:
-    return df.selectExpr(*[f"{s} AS {tpl.quoted(n)}" for n, s in plan.items])
+def apply(plan: CleaningPlan, df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The plan's columns, and the columns ``keep`` as they are."""
+    return df.selectExpr(*[f"{s} AS {tpl.quoted(n)}" for n, s in plan.items], *map(tpl.quoted, keep))
 
 
 def audit(plan: CleaningPlan, classified: list[Classified]) -> str:

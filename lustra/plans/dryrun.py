@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
@@ -11,8 +11,13 @@ from ..model import CleaningPlan, QualityDiff
 from . import compile as compiling
 
 
+def null_facts(columns: list[str]) -> list[Column]:
+    """n, the number of rows, and c0, c1, ...: nulls of each column."""
+    return [F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(tpl.quoted(c)).isNull()).alias(f"c{k}") for k, c in enumerate(columns)]]
+
+
 def null_counts(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.agg(F.count("*").alias("n"), *[F.count_if(F.col(tpl.quoted(c)).isNull()).alias(f"c{k}") for k, c in enumerate(columns)])
+    return df.agg(*null_facts(columns))
 
 
 def compare(table: str, before: DataFrame, after: DataFrame, expressions: dict[str, str] | None = None, may_vanish: set[str] = frozenset(), settings: Settings = DEFAULTS) -> QualityDiff:

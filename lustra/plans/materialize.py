@@ -6,13 +6,13 @@ import json
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 from ..config import DEFAULTS, Settings
 from ..model import CleaningPlan, QualityDiff
 from ..sources.files import Files
 from . import compile as compiling
-from .dryrun import null_counts
+from .dryrun import null_facts
 
 
 @dataclass
@@ -23,6 +23,7 @@ class LoadReport:
     cache_rows: int
     path: str
     warnings: list[str] = field(default_factory=list)
+    nulls: dict[str, tuple[int | None, int | None]] = field(default_factory=dict)  # by column: in the source, in the cache
 
 
 class Cache:
@@ -40,32 +41,64 @@ class Cache:
     def _point(self, table: str, value: dict) -> None:
         self.files.replace(f"{self.root}/{table}/CURRENT.json", json.dumps(value))
 
-    def read(self, table: str) -> DataFrame:
+    def read(self, table: str, rows: bool = False) -> DataFrame:
+        """The live version; with ``rows`` also the column of the rows' places, if it has one."""
         live = self.pointer(table)
         if live is None:
             raise LookupError(f"{table} has no clean cache")
-        return self.spark.read.parquet(live["path"])
+        df = self.spark.read.parquet(live["path"])
+        return df if rows or not live.get("row") else df.drop(live["row"])
 
     def register(self, table: str) -> None:
         """View clean_cache_<table> on the live version."""
         self.read(table).createOrReplaceTempView(f"clean_cache_{table}")
 
-    def load(self, plan: CleaningPlan, source: DataFrame, predicted: QualityDiff | None = None, settings: Settings = DEFAULTS) -> LoadReport:
-        """Write a new version with the plan's own schema, check it and make it live.  Running it
-        again, after a crash or not, gives the same table."""
-        table = plan.table
+    def _claim(self, table: str) -> int:
+        """A version number of this load's own, whoever loads at the same time."""
         live = self.pointer(table)
         version = (live["version"] if live else 0) + 1
+        while not self.files.claim(f"{self.root}/{table}/versions/{version}"):
+            version += 1
+        return version
+
+    def load(self, plan: CleaningPlan, source: DataFrame, predicted: QualityDiff | None = None, settings: Settings = DEFAULTS, row: str | None = None) -> LoadReport:
+        """Write a new version with the plan's own schema, check it and make it live.  Running it
+        again, after a crash or not, gives the same table.  ``row`` is a column of ``source`` with
+        the rows' places, kept beside the cleaned columns.
+
+        Rows and nulls of both sides are counted by the write itself: one pass over the source, and
+        both counts are of the rows that were written."""
+        table, keep = plan.table, (row,) if row else ()
+        columns = [c for c in source.columns if c not in keep]
+        seen, made = Observation(), Observation()
+        cleaned = compiling.apply(plan, source.observe(seen, *null_facts(columns)), keep)
+        outcome = [c for c in cleaned.columns if c not in keep]
+        version = self._claim(table)
         path = f"{self.root}/{table}/v={version}-{uuid.uuid4().hex[:12]}"
-        compiling.apply(plan, source).write.parquet(path)
-        cache = self.spark.read.parquet(path)
-        before = null_counts(source, source.columns).first()
-        after = null_counts(cache, cache.columns).first()
+        cleaned.observe(made, *null_facts(outcome)).write.parquet(path)
+        before, after = ({k: v or 0 for k, v in o.get.items()} or dict.fromkeys(["n", *[f"c{k}" for k in range(len(cs))]], 0) for o, cs in ((seen, columns), (made, outcome)))
         warnings = reconcile(before["n"], after["n"], settings)
         if predicted is not None:
-            warnings += unexpected_nulls(before, after, source.columns, cache.columns, predicted, settings)
-        self._point(table, {"version": version, "path": path, "rows": after["n"]})
-        return LoadReport(table, "completed", before["n"], after["n"], path, warnings)
+            warnings += unexpected_nulls(before, after, columns, outcome, predicted, settings)
+        self._point(table, {"version": version, "path": path, "rows": after["n"], "row": row})
+        nulls = {c: (before[f"c{k}"], None) for k, c in enumerate(columns)}
+        nulls |= {c: (nulls.get(c, (None,))[0], after[f"c{k}"]) for k, c in enumerate(outcome)}
+        return LoadReport(table, "completed", before["n"], after["n"], path, warnings, nulls)
+
+    def prune(self, table: str, keep: int = 2) -> list[str]:
+        """Delete all but the live version and the ``keep - 1`` before it; names of what went.  Not for
+        tables that someone is loading."""
+        live = self.pointer(table)
+        if live is None:
+            return []
+        number = lambda n: int(n[2:].split("-")[0])
+        older = [n for n in self.files.names(f"{self.root}/{table}") if n.startswith("v=") and not live["path"].endswith(f"/{n}")]
+        stay = sorted((n for n in older if number(n) < live["version"]), key=number)[max(len(older) - keep + 1, 0) :] if keep > 1 else []
+        gone = [n for n in older if n not in stay]
+        for name in gone:
+            for path in (name, f"diff/{name}.json", f"diff/{name}"):
+                self.files.remove(f"{self.root}/{table}/{path}")
+        return gone
 
 
 def reconcile(source_rows: int, cache_rows: int, settings: Settings = DEFAULTS) -> list[str]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -46,3 +47,19 @@ class Files:
         fs, p = self._at(path)
         found = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
         return sorted(n for n in found if not n.startswith("."))
+
+    def claim(self, path: str) -> bool:
+        """Make an empty file; False if it is there already.  Of several callers one gets True."""
+        fs, p = self._at(path)
+        try:
+            fs.create(p, False).close()
+            return True
+        except Py4JJavaError:
+            if fs.exists(p):
+                return False
+            raise
+
+    def remove(self, path: str) -> None:
+        """Delete a file or folder, if it is there."""
+        fs, p = self._at(path)
+        fs.delete(p, True)
