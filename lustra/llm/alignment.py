@@ -22,11 +22,13 @@ from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
-from .scratch import written
+from .scratch import discard, written
 
 #: Most chunks, and most tokens in them, that a worker keeps; most transitions.
 CHUNKS, TOKENS, TRANSITIONS = 300_000, 3_000_000, 200_000
@@ -34,6 +36,8 @@ CHUNKS, TOKENS, TRANSITIONS = 300_000, 3_000_000, 200_000
 STRIDE = 1_000_000
 #: Most pairs of ids in a broadcast table (17 bytes each).  More pairs make more tables, one pass each.
 TABLE = 1 << 21
+#: Pairs that are counted, and handed on, at a time.
+PAIRS = 1 << 20
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
@@ -115,82 +119,109 @@ class Transducer:
         self.memo[key] = after
         return after
 
-    def align(self, a: list[int], b: list[int]) -> tuple[list[tuple[list[int], list[int]]], list[tuple[int, int]]] | None:
-        """Groups (ids of a, ids of b) and links (id of a, id of b), in order; None if the bytes differ."""
+    def align(self, a: list[int], b: list[int]) -> tuple[list[tuple[int, int]], list[int]] | None:
+        """Where groups end (places in a and b), and links (id of a << 32 | id of b), in order; None if
+        the bytes differ."""
+        first, known = self.spelled[0], self.memo.get
         groups, links = [], []
         i = j = 0
-        while i < len(a):
-            first = i, j
-            lead, rest = 0, self.spelled[0][a[i]]
-            i += 1
-            if not rest:
-                return None
-            while rest:
-                if lead == 0:
-                    if j == len(b):
-                        return None
-                    links.append((a[i - 1], b[j]))
-                    after = self.step(0, rest, b[j])
-                    j += 1
-                else:
-                    if i == len(a):
-                        return None
-                    links.append((a[i], b[j - 1]))
-                    after = self.step(1, rest, a[i])
-                    i += 1
-                if after is None:
+        try:
+            while i < len(a):
+                lead, of_a = 0, a[i]
+                rest = first[of_a]
+                i += 1
+                if not rest:
                     return None
-                lead, rest = after
-            groups.append((a[first[0] : i], b[first[1] : j]))
+                while rest:
+                    if lead:
+                        token = of_a = a[i]
+                        i += 1
+                    else:
+                        token = of_b = b[j]
+                        j += 1
+                    links.append(of_a << 32 | of_b)
+                    after = known((lead, rest, token)) or self.step(lead, rest, token)
+                    if after is None:
+                        return None
+                    lead, rest = after
+                groups.append((i, j))
+        except IndexError:  # one side ends before the other
+            return None
         return (groups, links) if j == len(b) else None
 
 
+def spelled_groups(a: list[int], b: list[int], ends: list[tuple[int, int]]) -> str:
+    """``a1,a2|b1;a3|b2,b3``"""
+    out = []
+    x = y = 0
+    for i, j in ends:
+        if i - x == 1 == j - y:
+            out.append(f"{a[x]}|{b[y]}")
+        else:
+            out.append(f"{','.join(map(str, a[x:i]))}|{','.join(map(str, b[y:j]))}")
+        x, y = i, j
+    return ";".join(out)
+
+
 class Aligner:
     """Alignments of texts, chunk by chunk.  ``figures`` has a row for each chunk that is kept:
-    tokens of a and b, groups, links, bad (1 if the bytes differ), best and sum (see ``table``)."""
+    tokens of a and b, groups, links and bad (1 if the bytes differ)."""
 
-    def __init__(self, a: str, b: str, table: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None):
+    def __init__(self, a: str, b: str):
         self.sides = tokenizer(a), tokenizer(b)
         self.cuts = all(s.cuts for s in self.sides)
         self.transducer = Transducer(*(s.spelled for s in self.sides))
-        self.table = table
-        self.forget()
-
-    def forget(self) -> None:
         self.number: dict[str, int] = {}
         self.groups: list[bytes] = []
-        self.figures = np.zeros((1024, 7), dtype=np.int64)
+        self.figures = np.zeros((1024, 5), dtype=np.int64)
         self.pairs: list[np.ndarray] = []
+        self.seen = np.zeros(1024, dtype=np.int64)
         self.tokens = 0
 
+    def forget(self) -> None:
+        """Keep the chunks that were met more than once since the last time, at most half as many as
+        there may be; numbers change."""
+        often = np.flatnonzero(self.seen > 1)
+        if len(often) > CHUNKS // 2:
+            often = np.sort(often[np.argsort(-self.seen[often], kind="stable")[: CHUNKS // 2]])
+        if 2 * int(self.figures[often, :2].sum()) > TOKENS:
+            often = often[:0]
+        names = list(self.number)
+        self.number = {names[k]: n for n, k in enumerate(often.tolist())}
+        self.groups = [self.groups[k] for k in often.tolist()]
+        self.pairs = [self.pairs[k].copy() for k in often.tolist()]
+        self.figures = np.concatenate([self.figures[often], np.zeros((1024, 5), dtype=np.int64)])
+        self.seen = np.zeros(len(self.figures), dtype=np.int64)
+        self.tokens = int(self.figures[:, :2].sum())
+
     @property
     def full(self) -> bool:
         return len(self.number) > CHUNKS or self.tokens > TOKENS
 
     def _learn(self, parts: list[str]) -> None:
         new = [p for p in dict.fromkeys(parts) if p not in self.number]
-        while len(self.number) + len(new) > len(self.figures):
+        if not new:
+            return
+        start = len(self.number)
+        self.number.update(zip(new, range(start, start + len(new))))
+        while len(self.number) > len(self.figures):
             self.figures = np.concatenate([self.figures, np.zeros_like(self.figures)])
+            self.seen = np.concatenate([self.seen, np.zeros_like(self.seen)])
+        rows, flat, sizes, align, spelled = [], [], [], self.transducer.align, self.sides[0].spelled
         for part, a, b in zip(new, *(s.encode(new) for s in self.sides)):
-            k = self.number[part] = len(self.number)
-            spelled = [b"".join(s.spelled[t] for t in ids) for s, ids in zip(self.sides, (a, b))]
-            whole = (" " + part).encode("utf-8", "replace")
-            found = self.transducer.align(a, b) if spelled == [whole, whole] else None
+            # The transducer compares b's bytes with a's.
+            whole = b"".join([spelled[t] for t in a]) == (" " + part).encode("utf-8", "replace")
+            found = align(a, b) if whole else None
             groups, links = found or ([], [])
-            pairs = np.array(links, dtype=np.int64).reshape(-1, 2)
-            self.pairs.append(pairs[:, 0] << 32 | pairs[:, 1])
-            self.groups.append(";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups).encode())
-            self.figures[k, :5] = len(a), len(b), len(groups), len(links), found is None
-            self.tokens += len(a) + len(b)
-        if self.table is not None and new:
-            keys, counts, best = self.table
-            mine = self.pairs[-len(new) :]
-            flat = np.concatenate(mine)
-            owner = np.repeat(np.arange(len(self.number) - len(new), len(self.number)), [len(x) for x in mine])
-            at = np.minimum(np.searchsorted(keys, flat), max(len(keys) - 1, 0))
-            hit = keys[at] == flat if len(keys) else np.zeros(len(flat), dtype=bool)
-            np.add.at(self.figures[:, 5], owner[hit], best[at[hit]])
-            np.add.at(self.figures[:, 6], owner[hit], counts[at[hit]])
+            flat += links
+            sizes.append(len(links))
+            self.groups.append(spelled_groups(a, b, groups).encode())
+            rows.append((len(a), len(b), len(groups), len(links), found is None))
+        figures = self.figures[start : start + len(new)]
+        figures[:] = rows
+        self.tokens += int(figures[:, :2].sum())
+        pairs = np.array(flat, dtype=np.int64)
+        self.pairs += np.split(pairs, np.cumsum(sizes)[:-1])
 
     def read(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The numbers of each text's chunks."""
@@ -203,6 +234,7 @@ class Aligner:
             nonlocal held
             self._learn(parts)
             done.append(np.fromiter(map(self.number.__getitem__, parts), dtype=np.int64, count=len(parts)))
+            self.seen += np.bincount(done[-1], minlength=len(self.seen))
             parts.clear()
             held = 0
 
@@ -225,9 +257,9 @@ class Aligner:
 
 
 @lru_cache(1)
-def _aligner(a: str, b: str, shared) -> Aligner:
-    """Kept by a worker over the tasks of one pass."""
-    return Aligner(a, b, shared and tuple(np.frombuffer(x, t) for x, t in zip(shared.value, (np.int64, np.int64, np.int8))))
+def _aligner(a: str, b: str) -> Aligner:
+    """Kept by a worker over its tasks."""
+    return Aligner(a, b)
 
 
 def _groups_of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
@@ -247,41 +279,79 @@ def _groups_of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list,
             yield keys, texts
 
 
-def _read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+_FIGURES = ["n_a", "n_b", "n_groups", "n_links"]
+_LINKS = ["link_a", "link_b", "link_n"]
 
 
-def pair_counts(docs: DataFrame, a: str, b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """a, b, n: how many links hold the pair of ids.  A worker counts its chunks, and the pairs in them
-    whenever it forgets the chunks."""
+def aligned(docs: DataFrame, a: str, b: str, id_col: str = "doc_id", text_col: str = "text", with_groups: bool = True) -> DataFrame:
+    """doc_id, n_a, n_b, n_groups, n_links, groups_sha256, groups (if asked for), and a text's linked
+    pairs of ids with the number of its links that hold them: link_a, link_b, link_n."""
+    kind = docs.select(f"`{id_col}`").schema[0].dataType
+    extra = ["groups"] if with_groups else []
+    id_type = to_arrow_type(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = _aligner(a, b, None)
-        seen = np.zeros(0, dtype=np.int64)
-
-        def counted() -> pa.RecordBatch:
-            used = np.flatnonzero(seen)
-            flat = np.concatenate([np.zeros(0, dtype=np.int64), *(aligner.pairs[k] for k in used)])
-            times = np.repeat(seen[used], [len(aligner.pairs[k]) for k in used])
-            order = np.argsort(flat, kind="stable")
-            flat, times = flat[order], times[order]
-            first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]]) if len(flat) else np.zeros(0, dtype=np.int64)
-            sums = np.add.reduceat(times, first) if len(first) else times
-            return pa.RecordBatch.from_arrays([pa.array(flat[first] >> 32), pa.array(flat[first] & 0xFFFFFFFF), pa.array(sums)], names=["a", "b", "n"])
-
-        for _, texts in _groups_of_texts(batches):
+        aligner = _aligner(a, b)
+
+        def rows(keys: list, figures: list, texts: list[bytes], pairs: list[np.ndarray], times: list[np.ndarray]) -> pa.RecordBatch:
+            ends = pa.array(np.cumsum([0, *map(len, pairs)]), pa.int32())
+            flat = np.concatenate(pairs)
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (flat >> 32, flat & 0xFFFFFFFF, np.concatenate(times))]
+            digests = pa.array([hashlib.sha256(t).hexdigest() if t else "" for t in texts], pa.string())
+            spelled = [pa.array([t.decode() for t in texts], pa.string())] if with_groups else []
+            return pa.RecordBatch.from_arrays([pa.array(keys, id_type), *map(pa.array, np.array(figures).T), digests, *spelled, *lists], names=["doc_id", *_FIGURES, "groups_sha256", *extra, *_LINKS])
+
+        nothing = np.zeros(0, dtype=np.int64)
+        for keys, texts in _groups_of_texts(batches):
             if aligner.full:
-                yield counted()
                 aligner.forget()
-                seen = np.zeros(0, dtype=np.int64)
-            valid = [k for k in aligner.read(texts) if not aligner.figures[k, 4].any()]
-            more = np.bincount(np.concatenate([np.zeros(0, dtype=np.int64), *valid]), minlength=len(aligner.number))
-            more[: len(seen)] += seen
-            seen = more
-        yield counted()
+            out: list[tuple] = []
+            held = 0
+            for key, chunks in zip(keys, aligner.read(texts)):
+                figures, groups, pairs, times = aligner.figures[chunks].sum(axis=0), b"", nothing, nothing
+                if len(chunks) and not figures[4]:
+                    mine = chunks.tolist()
+                    groups = b";".join(map(aligner.groups.__getitem__, mine))
+                    pairs, times = np.unique(np.concatenate(list(map(aligner.pairs.__getitem__, mine))), return_counts=True)
+                out.append((key, figures[:4] if groups else np.zeros(4, dtype=np.int64), groups, pairs, times))
+                held += len(pairs)
+                if held > PAIRS:
+                    yield rows(*zip(*out))
+                    out, held = [], 0
+            if out:
+                yield rows(*zip(*out))
+
+    schema = f"doc_id {kind.simpleString()}, " + "".join(f"{n} long, " for n in _FIGURES) + "groups_sha256 string, " + ("groups string, " if with_groups else "") + ", ".join(f"{n} array<int>" for n in _LINKS)
+    read = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return read.mapInArrow(run, schema)
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows with some million pairs at a time: the rows, where each one's pairs end, keys and times.
+    The last three columns are those of :data:`_LINKS`."""
+    ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False))])
+    at = 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(ends, ends[at] + PAIRS, "right")) - 1)
+        part = batch.slice(at, stop - at)
+        a, b, times = (part.column(part.num_columns - k).flatten().to_numpy().astype(np.int64) for k in (3, 2, 1))
+        yield part, ends[at : stop + 1] - ends[at], a << 32 | b, times
+        at = stop
+
+
+def pair_counts(found: DataFrame) -> DataFrame:
+    """pair (id of a << 32 | id of b), n: how many links of all texts of :func:`aligned` hold it."""
 
-    found = _read(docs, id_col, text_col).mapInArrow(run, "a long, b long, n long")
-    return found.groupBy("a", "b").agg(F.sum("n").alias("n"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, keys, times in _slices(batch):
+                order = np.argsort(keys, kind="stable")
+                keys, times = keys[order], times[order]
+                first = np.flatnonzero(np.diff(keys, prepend=-1))
+                if len(first):
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[first]), pa.array(np.add.reduceat(times, first))], names=["pair", "n"])
+
+    return found.select(*_LINKS).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
 def align_documents(docs: DataFrame, a: str, b: str, id_col: str = "doc_id", text_col: str = "text", with_groups: bool = True, table: int = TABLE) -> DataFrame:
@@ -289,59 +359,48 @@ def align_documents(docs: DataFrame, a: str, b: str, id_col: str = "doc_id", tex
     among the most frequent ones of its b id), count_sum (of the pairs' counts over all documents, for
     each link), groups_sha256 and, if asked for, groups: ``a1,a2|b1;a3|b2,b3`` in decimal ids.
 
-    ``a`` and ``b`` are files for :func:`tokenizer`; both read a space and the text.  The table of pair
-    counts is at most the product of the vocabularies; it is broadcast in parts of at most ``table``
-    pairs, with a pass over the texts for each, whose sums are added up.
+    ``a`` and ``b`` are files for :func:`tokenizer`; both read a space and the text.  Texts are
+    aligned once, and their pairs written.  The table of pair counts is at most the product of the
+    vocabularies; it is broadcast in parts of at most ``table`` pairs, with a pass over the written
+    pairs for each, whose sums are added up.
 
     Defined cases: texts that are null or empty, or whose tokens don't spell the space and the text
     in both vocabularies, have zeros and empty strings; null ids are kept; repeated rows count and
     come back as often as they came; an empty table gives no row; other columns are dropped.
     """
     spark = docs.sparkSession
-    counts = written(pair_counts(docs, a, b, id_col, text_col), "pairs")
+    found = written(aligned(docs, a, b, id_col, text_col, with_groups), "aligned")
+    counts = written(pair_counts(found), "pairs")
     tables = max(1, -(-counts.count() // table))
-    best = (F.col("n") == F.max("n").over(Window.partitionBy("b"))).cast("byte").alias("best")
-    ranked = written(counts.select(F.shiftleft("a", 32).bitwiseOR(F.col("b")).alias("pair"), "n", best, F.pmod(F.xxhash64("a", "b"), F.lit(tables)).alias("part")), "ranked")
-    id_type = docs.select(f"`{id_col}`").schema[0].dataType
-    names = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
-    schema = f"doc_id {id_type.simpleString()}, " + ", ".join(f"{n} long" for n in names) + ", groups_sha256 string" + (", groups string" if with_groups else "")
+    of_b = F.col("pair").bitwiseAND(0xFFFFFFFF)
+    best = (F.col("n") == F.max("n").over(Window.partitionBy(of_b))).cast("byte").alias("best")
+    ranked = written(counts.select("pair", "n", best, F.pmod(F.xxhash64("pair"), F.lit(tables)).alias("part")), "ranked")
+    discard(counts)
+
+    names = [c for c in found.columns if c not in _LINKS]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.schema if f.name in names) + ", n_best long, count_sum long"
 
     def one(part: int) -> DataFrame:
         rows = ranked.filter(F.col("part") == part).orderBy("pair").select("pair", "n", "best").toArrow().combine_chunks()
         shared = spark.sparkContext.broadcast([np.ascontiguousarray(c.to_numpy()).tobytes() for c in rows.columns])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            aligner = _aligner(a, b, shared)
-            for keys, texts in _groups_of_texts(batches):
-                if aligner.full:
-                    aligner.forget()
-                sums, digests, spelled = np.zeros((len(keys), 6), dtype=np.int64), [], []
-                for k, chunks in enumerate(aligner.read(texts)):
-                    figures = aligner.figures[chunks].sum(axis=0)
-                    groups = b""
-                    if len(chunks) and not figures[4]:
-                        sums[k] = figures[[0, 1, 2, 3, 5, 6]]
-                        groups = b";".join(map(aligner.groups.__getitem__, chunks.tolist()))
-                    digests.append(hashlib.sha256(groups).hexdigest() if groups else "")
-                    spelled.append(groups.decode() if with_groups else None)
-                out = [pa.array(keys, pa_type), *(pa.array(c) for c in sums.T.copy()), pa.array(digests, pa.string())]
-                yield pa.RecordBatch.from_arrays(out + [pa.array(spelled, pa.string())] * with_groups, names=["doc_id", *names, "groups_sha256"] + ["groups"] * with_groups)
-
-        pa_type = _arrow_type(id_type)
-        return _read(docs, id_col, text_col).mapInArrow(run, schema)
+            pairs, counts, tops = (np.frombuffer(x, t) for x, t in zip(shared.value, (np.int64, np.int64, np.int8)))
+            for batch in batches:
+                for rows, ends, keys, times in _slices(batch):
+                    at = np.minimum(np.searchsorted(pairs, keys), max(len(pairs) - 1, 0))
+                    times = np.where(pairs[at] == keys, times, 0) if len(pairs) else times[:0]
+                    sums = [np.concatenate([[0], np.cumsum(x[at] * times)])[ends] for x in (tops, counts)] if len(pairs) else [np.zeros(len(ends), dtype=np.int64)] * 2
+                    yield pa.RecordBatch.from_arrays([*rows.columns[: len(names)], *(pa.array(np.diff(s)) for s in sums)], names=[*names, "n_best", "count_sum"])
+
+        return found.mapInArrow(run, schema)
 
     parts = [one(k).withColumn("_part", F.lit(k)) for k in range(tables)]
+    discard(ranked)
     out = parts[0].drop("_part")
     if tables > 1:
         # Rows with the same id and groups have the same sums in each pass.
-        same = [F.col(c) for c in out.columns if c not in ("n_best", "count_sum")]
-        both = reduce(DataFrame.unionByName, parts).groupBy(*same).agg(F.count_if(F.col("_part") == 0).alias("_times"), F.sum("n_best").alias("_best"), F.sum("count_sum").alias("_sum"))
-        each = both.select("*", F.call_function("div", F.col("_best"), F.col("_times")).alias("n_best"), F.call_function("div", F.col("_sum"), F.col("_times")).alias("count_sum"))
-        out = each.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*out.columns)
-    return out.withColumnRenamed("doc_id", id_col)
-
-
-def _arrow_type(kind) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(kind)
+        both = reduce(DataFrame.unionByName, parts).groupBy(*names).agg(F.count_if(F.col("_part") == 0).alias("_times"), F.sum("n_best").alias("_best"), F.sum("count_sum").alias("_sum"))
+        out = both.select("*", *[F.call_function("div", F.col(c), F.col("_times")).alias(n) for c, n in (("_best", "n_best"), ("_sum", "count_sum"))])
+        out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
+    return out.select(F.col("doc_id").alias(id_col), *_FIGURES, "n_best", "count_sum", "groups_sha256", *(["groups"] if with_groups else []))

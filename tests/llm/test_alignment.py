@@ -7,9 +7,11 @@ import itertools
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from lustra.llm import alignment, queries
+from pyspark.sql.types import LongType
 from tokenizers import Tokenizer
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -111,44 +113,51 @@ def test_kept_chunks_change_nothing(expected, monkeypatch):
         assert sorted(spelled) == sorted(r[8] for r in expected)
 
 
-def test_forgetting_in_tasks(spark, expected, monkeypatch):
-    # Tasks run in workers, so the generators are called here.
-    monkeypatch.setattr(alignment, "CHUNKS", 20)
-    monkeypatch.setattr(alignment, "STRIDE", 50)
+def test_forgetting_and_small_slices(expected, monkeypatch):
+    """Chunks that a worker forgets, and pairs in many slices."""
+    for name, value in (("CHUNKS", 20), ("TOKENS", 200), ("STRIDE", 50), ("PAIRS", 5)):
+        monkeypatch.setattr(alignment, name, value)
     alignment._aligner.cache_clear()
-    captured = {}
+    steps = []
+
+    class Frame:  # tasks run in workers, so their functions are called here
+        schema = [type("Field", (), {"dataType": LongType()})]
 
-    class Frame:
         def mapInArrow(self, run, schema):
-            captured["run"] = run
+            steps.append(run)
             return self
 
-        def groupBy(self, *_):
+        def select(self, *_):
             return self
 
-        agg = groupBy
-
-    monkeypatch.setattr(alignment, "_read", lambda *_: Frame())
-    monkeypatch.setattr(alignment.F, "sum", lambda _: type("C", (), {"alias": lambda *_: None})())
-    import pyarrow as pa
+        groupBy = agg = select
 
-    alignment.pair_counts(None, A, B)
-    batches = [pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows()]), pa.array([t for _, t in rows()])], names=["doc_id", "text"])]
+    docs = Frame()
+    alignment.aligned(docs, A, B)
+    alignment.pair_counts(docs)
+    given = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows()]), pa.array([t for _, t in rows()])], names=["doc_id", "text"])
+    parts = list(steps[0](iter([given])))
+    assert len(parts) > 50
+    got = [(r["doc_id"], r["n_a"], r["n_b"], r["n_groups"], r["n_links"], r["groups_sha256"], r["groups"]) for p in parts for r in p.to_pylist()]
+    assert sorted(got, key=repr) == sorted((r[:5] + r[7:] for r in expected), key=repr)
     counts = collections.Counter()
-    parts = list(captured["run"](iter(batches)))
-    for batch in parts:
-        for x, y, n in zip(*(c.to_pylist() for c in batch.columns)):
-            counts[x, y] += n
+    for batch in steps[1](iter([p.select(alignment._LINKS) for p in parts])):
+        for pair, n in zip(*(c.to_pylist() for c in batch.columns)):
+            counts[pair] += n
     alignment._aligner.cache_clear()
-    assert len(parts) > 3 and sum(n * n for n in counts.values()) == sum(r[6] for r in expected)
+    assert sum(n * n for n in counts.values()) == sum(r[6] for r in expected)
 
 
 def test_transducer():
     t = alignment.Transducer([b"ab", b"c", b"", b"abc"], [b"a", b"bc", b"abcabc", b"x"])
-    assert t.align([0, 1], [0, 1]) == ([([0, 1], [0, 1])], [(0, 0), (0, 1), (1, 1)])
-    assert t.align([3, 0, 1], [2]) == ([([3, 0, 1], [2])], [(3, 2), (0, 2), (1, 2)])
-    assert t.align([], []) == ([], [])
-    assert [t.align(*x) for x in (([0], [3]), ([2], []), ([0], []), ([], [0]), ([0], [0]), ([1], [1, 0]))] == [None] * 6
+    link = lambda *pairs: [a << 32 | b for a, b in pairs]
+    for _ in range(2):
+        assert t.align([0, 1], [0, 1]) == ([(2, 2)], link((0, 0), (0, 1), (1, 1)))
+        assert t.align([3, 0, 1], [2]) == ([(3, 1)], link((3, 2), (0, 2), (1, 2)))
+        assert t.align([3, 3], [0, 1, 2]) is None
+        assert t.align([], []) == ([], [])
+        assert [t.align(*x) for x in (([0], [3]), ([2], []), ([0], []), ([], [0]), ([0], [0]), ([1], [1, 0]))] == [None] * 6
+    assert alignment.spelled_groups([5, 6, 7, 8], [1, 2, 3], [(1, 1), (3, 2), (4, 3)]) == "5|1;6,7|2;8|3"
 
 
 def test_empty_table(spark):
