@@ -343,7 +343,7 @@ def sample_stratified(spark: SparkSession, sf: str) -> DataFrame:
   SELECT value, place::INT AS place FROM p WHERE place <= 10""")
 def diverse_sample_values(spark: SparkSession, sf: str) -> DataFrame:
     v = messy(spark, sf, "messy_orders").filter("priority is not null").groupBy(F.col("priority").alias("value")).agg(F.min(F.md5("priority")).alias("pos")).withColumn("name", F.lit("priority"))
-    return sample.value_ranks(v).filter("place <= 10").select("value", F.col("place").cast("int").alias("place"))
+    return sample.value_ranks(v, 10).select("value", F.col("place").cast("int").alias("place"))
 
 
 # Captures.

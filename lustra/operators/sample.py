@@ -3,8 +3,6 @@ and both ends of the key."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +10,7 @@ from pyspark.sql import types as T
 from ..config import DEFAULTS, Settings
 from ..functions.templates import quoted
 from ..model import TableProfile
+from .topk import Top, tops
 
 
 def row_hash(df: DataFrame) -> Column:
@@ -56,58 +55,80 @@ def page_sample(df: DataFrame, fraction: float = 0.01, seed: int = 42, rows: int
     return some if some.head(1) else first_rows(df, rows)
 
 
+def _short(md5: Column) -> Column:
+    """The first 60 bits of a hash, which order as the hash does."""
+    return F.conv(F.substring(md5, 1, 15), 16, 10).cast("long")
+
+
+def _any_hash(df: DataFrame) -> Column:
+    """A quick hash of the row, to tell rows of one key apart."""
+    plain = lambda t: not any(x in t.simpleString() for x in ("map<", "variant"))
+    return F.xxhash64(F.lit(len(df.columns)), *[F.col(quoted(f.name)) if plain(f.dataType) else F.to_json(F.struct(F.col(quoted(f.name)))) for f in df.schema.fields])
+
+
+def strata(df: DataFrame, profile: TableProfile, settings: Settings = DEFAULTS) -> list[Top]:
+    """Baseline, rows with nulls, numeric extremes and, with a key, its ends."""
+    key = profile.primary_key
+    own = F.coalesce(F.md5(F.col(quoted(key)).cast("string")), F.lit("")) if key else row_hash(df)
+    ties = ((F.coalesce(_short(own), F.lit(-1).cast("long")), False), (_any_hash(df), False))
+    out = [Top(settings.baseline_rows, ties)]
+    out += [Top(settings.null_rows, ties, F.col(quoted(c.name)).isNull()) for c in profile.columns if c.null_pct > 0]
+    for f in df.schema.fields:
+        if isinstance(f.dataType, T.NumericType):
+            n = F.col(quoted(f.name)).try_cast("double")
+            out += [Top(settings.boundary_rows, ((n, falling), *ties), n.isNotNull()) for falling in (False, True)]
+    if key:
+        k = F.col(quoted(key))
+        out += [Top(settings.boundary_rows, ((k, falling), *ties), k.isNotNull()) for falling in (False, True)]
+    return out
+
+
 def stratified(df: DataFrame, profile: TableProfile, settings: Settings = DEFAULTS) -> DataFrame:
     """Union of the strata, first occurrence wins, cut at the sample size.
 
-    With a primary key each stratum is a top-k over the key and one column at most, and a last scan,
-    the only one that reads whole rows, fetches the rows of the keys found (at most the sum of the
-    strata's sizes, which is what is broadcast).  Without a key rows are told apart by their hash,
-    which reads whole rows for each stratum."""
+    One scan, with a key or without one: tasks keep the first rows of each stratum, and what they
+    kept is merged once.  Rows are told apart by key and content, without a key by content alone."""
+    found = tops(df, strata(df, profile, settings))
     key = profile.primary_key
-    numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
-    nulls = [c.name for c in profile.columns if c.null_pct > 0]
+    own = F.coalesce(F.md5(F.col(quoted(key)).cast("string")), F.lit("")) if key else row_hash(df)
+    row = F.struct(*[F.col(quoted(c)) for c in df.columns]).alias("_row")
+    marked = found.select("_rank", own.alias("_hash"), row_hash(df).alias("_whole"), row)
+    first = marked.groupBy("_hash", "_whole").agg(F.min("_rank").alias("_rank"), F.first("_row").alias("_row"))
+    return first.orderBy("_rank", "_hash", "_whole").limit(settings.sample_size).select("_row.*")
 
-    def strata(narrow) -> list[DataFrame]:
-        out = [baseline(narrow(), key, settings.baseline_rows)]
-        out += [null_rows(narrow(c), c, key, settings.null_rows) for c in nulls]
-        out += [boundaries(narrow(c), c, key, settings.boundary_rows) for c in numeric]
-        return out + ([endpoints(narrow(), key, settings.boundary_rows)] if key else [])
 
-    if key:
-        found = strata(lambda *c: df.select(*[quoted(x) for x in dict.fromkeys((key, *c))]))
-        keys = reduce(DataFrame.union, [s.select(F.col(quoted(key)).alias("_key"), F.lit(k).alias("_rank")) for k, s in enumerate(found)])
-        keys = keys.groupBy("_key").agg(F.min("_rank").alias("_rank"))
-        rows = df.join(F.broadcast(keys), F.col(quoted(key)).eqNullSafe(F.col("_key")))
-        rows = rows.withColumn("_hash", F.coalesce(F.md5(F.col("_key").cast("string")), F.lit("")))
-        return rows.orderBy("_rank", "_hash", row_hash(df)).limit(settings.sample_size).select(*[quoted(c) for c in df.columns])
-    tagged = [s.withColumn("_rank", F.lit(k)).withColumn("_hash", row_hash(df)) for k, s in enumerate(strata(lambda *c: df))]
-    every = reduce(DataFrame.unionByName, tagged)
-    first = every.groupBy("_hash").agg(F.min("_rank").alias("_rank"), F.first(F.struct(*[F.col(quoted(c)) for c in df.columns])).alias("_row"))
-    return first.orderBy("_rank", "_hash").limit(settings.sample_size).select("_row.*")
-
-
-def value_ranks(values: DataFrame) -> DataFrame:
-    """(name, value, pos) with each value's place: longest, shortest, then those with punctuation,
-    then by first appearance."""
-    from pyspark.sql.window import Window
-
-    w = Window.partitionBy("name")
+def value_ranks(values: DataFrame, n: int = 10) -> DataFrame:
+    """(name, value, place) of the ``n`` first of each name's values (name, value, pos): longest,
+    shortest, then those with punctuation, then by ``pos``.
+
+    The longest and the shortest are two minima; of the others a name's first are kept in bounded
+    lists, so that no task needs all values of a name."""
     odd = F.when(F.col("value").rlike("[^A-Za-z0-9]"), 0).otherwise(1)
-    long = F.row_number().over(w.orderBy(F.length("value").desc(), "pos"))
-    short = F.row_number().over(w.orderBy(F.length("value"), "pos"))
-    tier = F.when(long == 1, 0).when(short == 1, 1).otherwise(2)
-    ranked = values.withColumn("tier", tier).withColumn("odd", F.when(F.col("tier") < 2, 0).otherwise(odd))
-    return ranked.withColumn("place", F.row_number().over(w.orderBy("tier", "odd", "pos")))
+    size = F.length("value")
+    ends = values.groupBy("name").agg(F.min(F.struct((-size).alias("by"), "pos", "value")).alias("long"), F.min(F.struct(size.alias("by"), "pos", "value")).alias("short"))
+    # Long and short may be one value, which then is the longest, and the next short one comes second.
+    second = values.join(ends.select("name", F.col("long.value").alias("_long")), "name").filter("value <> _long")
+    short = second.groupBy("name").agg(F.min(F.struct(size.alias("by"), "pos", "value")).alias("short"))
+    ends = ends.select("name", F.col("long.value").alias("_long")).join(short.select("name", F.col("short.value").alias("_short")), "name", "left")
+    names = [r["name"] for r in ends.select("name").collect()]  # columns of a table
+    rest = tops(values, [Top(n + 2, ((odd, False), (F.col("pos"), False), (F.col("value"), False)), F.col("name") == name) for name in names]) if names else values.withColumn("_rank", F.lit(0))
+    rest = rest.join(ends, "name").filter("value <> _long and not value <=> _short").select("name", F.struct(F.lit(2).alias("tier"), odd.alias("odd"), "pos", "value").alias("at"))
+    lead = ends.select("name", F.explode(F.array(F.struct(F.lit(0).alias("tier"), F.col("_long").alias("value")), F.struct(F.lit(1).alias("tier"), F.col("_short").alias("value")))).alias("x"))
+    lead = lead.filter("x.value is not null").select("name", F.struct(F.col("x.tier").alias("tier"), F.lit(0).alias("odd"), F.lit("").alias("pos"), F.col("x.value").alias("value")).alias("at"))
+    # At most n + 4 rows of each name.
+    listed = rest.unionByName(lead).groupBy("name").agg(F.array_sort(F.collect_list("at")).alias("at"))
+    placed = listed.select("name", F.posexplode("at").alias("place", "at")).select("name", "at.value", (F.col("place") + 1).alias("place"))
+    return placed.filter(F.col("place") <= n)
 
 
 def diverse_values(sample: DataFrame, columns: list[str], n: int) -> dict[str, list[str]]:
-    """A few telling values of each column; the sample is small, so this is one short job."""
+    """A few telling values of each column."""
     if not columns:
         return {}
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(quoted(c)).cast("string").alias("value")) for c in columns]))
     values = sample.select(pairs.alias("p")).select("p.*").filter("value is not null")
     values = values.groupBy("name", "value").agg(F.min(F.md5("value")).alias("pos"))
     out: dict[str, list[str]] = {}
-    for r in value_ranks(values).filter(F.col("place") <= n).orderBy("name", "place").collect():
+    for r in value_ranks(values, n).orderBy("name", "place").collect():
         out.setdefault(r["name"], []).append(r["value"])
     return out

@@ -220,18 +220,52 @@ def test_guard_allows_and_denies(spark):
         assert guard.safe_expression(spark, good)
 
 
-def test_one_wide_scan(spark, tmp_path):
-    from lustra.operators import profile, sample
-
-    rows = [(k, k % 7, float(k % 11), None if k % 5 else "x", f"wide {k}") for k in range(3000)]
-    spark.createDataFrame(rows, "id int, a int, b double, c string, d string").write.parquet(str(tmp_path / "t"))
+@pytest.mark.parametrize("key", ["id", None])
+def test_sample_in_one_scan(spark, tmp_path, key):
+    rows = [(k, k % 7, float("nan") if k == 77 else float(k % 11), None if k % 5 else "x", f"wide {k}", {"m": k}) for k in range(3000)]
+    schema = "id int, a int, b double, c string, d string, e map<string,int>"
+    spark.createDataFrame(rows + rows[:50], schema).repartition(5).write.parquet(str(tmp_path / "t"))
     df = spark.read.parquet(str(tmp_path / "t"))
-    got = sample.stratified(df, profile.full_table(df, "t", "id"))
+    t = profile.full_table(df, "t", key)
+    got = sample.stratified(df, t)
     plan = got._jdf.queryExecution().optimizedPlan().toString()
-    scans = [line for line in plan.splitlines() if "Relation" in line]
-    whole = [x for x in got._jdf.queryExecution().executedPlan().toString().splitlines() if "ReadSchema" in x and "d:string" in x and "FileScan" in x]
-    assert len(scans) > 5 and len(set(whole)) <= 1
-    assert got.count() == got.distinct().count() and {0, 2999} <= {r["id"] for r in got.collect()}
+    assert len([line for line in plan.splitlines() if "Relation" in line]) == 1
+    found = [r["id"] for r in got.collect()]
+    assert len(found) == len(set(found)) <= 1000
+    own = {k: hashlib.md5(str(k).encode()).hexdigest() for k in range(3000)}
+    if key:
+        wanted = set(sorted(own, key=own.get)[:400]) | {*range(20), *range(2980, 3000)} | set(sorted((k for k in own if k % 5), key=own.get)[:10])
+        for first in (lambda k: (k % 7, own[k]), lambda k: (-(k % 7), own[k]), lambda k: (k == 77, k % 11, own[k]), lambda k: (k != 77, -(k % 11), own[k])):
+            wanted |= set(sorted(own, key=first)[:21])  # rows repeated in full take places of their own
+        assert set(found) <= wanted and len(found) > len(wanted) - 60
+    assert {0, 2999, 77} <= set(found)
+    again = {r["id"] for r in sample.stratified(df.repartition(11), t).collect()}
+    assert again == set(found)
+
+
+def test_tops(spark):
+    from lustra.operators.topk import Top, tops
+    from pyspark.sql import functions as F
+
+    rows = [(k, f"s{k * 37 % 1000:03}", [None, 1.5, float("nan"), float("inf"), -2.0][k % 5]) for k in range(1000)]
+    df = spark.createDataFrame(rows, "k int, s string, d double").repartition(7)
+    wanted = [Top(5, ((F.col("s"), True),)), Top(3, ((F.col("d"), True), (F.col("k"), False)), F.col("d").isNotNull()), Top(4, ((F.col("d"), False), (F.col("k"), True)), F.col("d").isNotNull()), Top(9, ((F.col("k"), False),), F.lit(False)), Top(2000, ((F.col("k"), False),), F.col("k") % 2 == 0)]
+    got = {}
+    for r in tops(df, wanted).collect():
+        got.setdefault(r["_rank"], []).append(r["k"])
+    assert {k: sorted(v) for k, v in got.items()} == {0: sorted(sorted(range(1000), key=lambda k: rows[k][1])[-5:]), 1: [2, 7, 12], 2: [984, 989, 994, 999], 4: list(range(0, 1000, 2))}
+    assert tops(df.filter("false"), wanted).count() == 0
+
+
+def test_diverse_values(spark):
+    values = ["a", "bb", "ccc", "dd", "a-b", "x y", "eee", "f", ""]
+    df = spark.createDataFrame([(v, "one") for v in values * 3] + [(None, "one")], "v string, w string")
+    own = lambda v: hashlib.md5(v.encode()).hexdigest()
+    longest = min((v for v in values if len(v) == 3), key=own)
+    rest = sorted((v for v in values if v not in (longest, "")), key=lambda v: (v.isalnum(), own(v)))
+    got = sample.diverse_values(df, ["v", "w"], 6)
+    assert got == {"v": [longest, "", *rest][:6], "w": ["one"]}
+    assert "Window" not in sample.value_ranks(spark.createDataFrame([("n", v, own(v)) for v in values], "name string, value string, pos string"))._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_issues_of_rare_values(spark, tmp_path):
