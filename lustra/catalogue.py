@@ -163,7 +163,12 @@ _CLEAN = f"""SELECT order_id, customer_id, {_d_currency('order_value', _d_magnit
   {_d_date('order_date', '%d/%m/%Y')} AS order_date, {_d_boolean('is_returned')} AS is_returned,
   CASE WHEN NOT ({_d(_SENTINEL, 'priority')}) THEN lower(trim(priority)) END AS priority, regexp_replace(trim(ticket_code), '^0+([0-9])', '\\1') AS ticket_code FROM messy_orders"""
 _BOTH = duck("messy_orders") + f", cleaned AS ({_CLEAN}) "
-_COLUMNS = ["order_id", "customer_id", "order_value", "discount_pct", "order_date", "is_returned", "priority", "ticket_code"]
+COLUMNS = ["order_id", "customer_id", "order_value", "discount_pct", "order_date", "is_returned", "priority", "ticket_code"]
+
+
+def sql_of_cleaned() -> str:
+    """WITH messy_orders and cleaned: the orders before and after the whole plan."""
+    return _BOTH
 
 
 def _cleaned(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -180,7 +185,7 @@ def clean_orders(spark: SparkSession, sf: str) -> DataFrame:
 # Profiles.
 
 
-def _frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+def frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
@@ -189,16 +194,16 @@ def _long(spark: SparkSession, wide: DataFrame, names: list[str]) -> DataFrame:
     return wide.select(F.explode(F.array(*[F.struct(F.lit(n).alias("column_name"), F.col(f"f{k}").alias("x")) for k, n in enumerate(names)])).alias("r")).select("r.column_name", "r.x.*")
 
 
-@_query(duck("messy_orders") + "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*)::BIGINT AS n_rows, count_if({c} IS NULL)::BIGINT AS n_nulls, CASE WHEN count(*) = 0 THEN 0.0 ELSE count_if({c} IS NULL)::DOUBLE / count(*)::DOUBLE END::DOUBLE AS null_pct FROM messy_orders" for c in _COLUMNS) + ")")
+@_query(duck("messy_orders") + "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*)::BIGINT AS n_rows, count_if({c} IS NULL)::BIGINT AS n_nulls, CASE WHEN count(*) = 0 THEN 0.0 ELSE count_if({c} IS NULL)::DOUBLE / count(*)::DOUBLE END::DOUBLE AS null_pct FROM messy_orders" for c in COLUMNS) + ")")
 def profile_nulls(spark: SparkSession, sf: str) -> DataFrame:
     t = profile.full_table(messy(spark, sf, "messy_orders"), "messy_orders", "order_id")
-    return _frame(spark, [(c.name, t.rows, round(c.null_pct * t.rows), c.null_pct) for c in t.columns], "column_name string, n_rows long, n_nulls long, null_pct double")
+    return frame(spark, [(c.name, t.rows, round(c.null_pct * t.rows), c.null_pct) for c in t.columns], "column_name string, n_rows long, n_nulls long, null_pct double")
 
 
 @_query("SELECT 'lineitem' AS table_name, count(*)::BIGINT AS n_rows FROM lineitem UNION ALL SELECT 'events', count(*)::BIGINT FROM events UNION ALL SELECT 'orders', count(*)::BIGINT FROM orders")
 def profile_rowcount(spark: SparkSession, sf: str) -> DataFrame:
     names = ("lineitem", "events", "orders")
-    return _frame(spark, [(t, profile.full_table(spark.read.parquet(f"{sf}/{t}.parquet"), t).rows) for t in names], "table_name string, n_rows long")
+    return frame(spark, [(t, profile.full_table(spark.read.parquet(f"{sf}/{t}.parquet"), t).rows) for t in names], "table_name string, n_rows long")
 
 
 @_query("SELECT count(DISTINCT event_type)::BIGINT AS d_event_type, count(DISTINCT user_id)::BIGINT AS d_user_id, count(DISTINCT user_id)::DOUBLE / count(*)::DOUBLE AS user_ratio FROM events")
@@ -206,7 +211,7 @@ def profile_distinct(spark: SparkSession, sf: str) -> DataFrame:
     e = spark.read.parquet(f"{sf}/events.parquet").select("event_type", "user_id")
     facts, n = profile.whole_facts(e, e.columns), profile.full_table(e, "events").rows
     users = facts["user_id"]["exact"]
-    return _frame(spark, [(facts["event_type"]["exact"], users, users / n)], "d_event_type long, d_user_id long, user_ratio double")
+    return frame(spark, [(facts["event_type"]["exact"], users, users / n)], "d_event_type long, d_user_id long, user_ratio double")
 
 
 def _d_facts(c: str) -> str:
@@ -254,7 +259,7 @@ def _d_issues(c: str) -> str:
 def detect_issues(spark: SparkSession, sf: str) -> DataFrame:
     facts = profile.whole_facts(messy(spark, sf, "messy_orders"), _TEXTS)
     rows = [(c, ",".join(sorted(profile.issues_of(facts[c], "string", facts[c]["exact"])))) for c in _TEXTS]
-    return _frame(spark, rows, "column_name string, issues string")
+    return frame(spark, rows, "column_name string, issues string")
 
 
 @_query(duck("messy_orders") + f"SELECT avg(CASE WHEN priority IS NOT NULL THEN ({_d(_SENTINEL, 'priority')})::INT::DOUBLE END) AS sentinel_pct FROM messy_orders")
@@ -287,24 +292,24 @@ def _signature(spark: SparkSession, sf: str, column: str) -> str | None:
   m AS (SELECT n FROM d GROUP BY n ORDER BY count(*) DESC, n LIMIT 1)
   SELECT concat(CASE WHEN (SELECT avg(plus) FROM d) > 0.5 THEN 'intl' ELSE 'local' END, '_', n::VARCHAR, 'd') AS signature FROM m""")
 def phone_signature(spark: SparkSession, sf: str) -> DataFrame:
-    return _frame(spark, [(_signature(spark, sf, "phone_number"),)], "signature string")
+    return frame(spark, [(_signature(spark, sf, "phone_number"),)], "signature string")
 
 
 @_query(duck("messy_customer") + "SELECT CASE WHEN max(regexp_matches(rep_key, '[A-Za-z]')::INT) = 1 THEN 'alnum' ELSE 'numeric' END AS rep_key, CASE WHEN max(regexp_matches(nation_code, '[A-Za-z]')::INT) = 1 THEN 'alnum' ELSE 'numeric' END AS nation_code FROM messy_customer")
 def id_signature(spark: SparkSession, sf: str) -> DataFrame:
-    return _frame(spark, [(_signature(spark, sf, "rep_key"), _signature(spark, sf, "nation_code"))], "rep_key string, nation_code string")
+    return frame(spark, [(_signature(spark, sf, "rep_key"), _signature(spark, sf, "nation_code"))], "rep_key string, nation_code string")
 
 
 @_query(duck("messy_customer") + r""", p AS (SELECT regexp_matches(trim(signup_date), '^[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{2,4}$') AS slash, TRY_CAST(split_part(trim(signup_date), '/', 1) AS INT) AS a, TRY_CAST(split_part(trim(signup_date), '/', 2) AS INT) AS b FROM messy_customer WHERE signup_date IS NOT NULL)
   SELECT 'signup_date' AS column_name, CASE WHEN avg(slash::INT) >= 0.5 AND coalesce(bool_or(slash AND a > 12), FALSE) <> coalesce(bool_or(slash AND b > 12), FALSE)
     THEN CASE WHEN bool_or(slash AND a > 12) THEN '%d/%m/%Y' ELSE '%m/%d/%Y' END WHEN avg(slash::INT) > 0.1 THEN 'ambiguous' END AS signature FROM p""")
 def date_signature(spark: SparkSession, sf: str) -> DataFrame:
-    return _frame(spark, [("signup_date", _signature(spark, sf, "signup_date"))], "column_name string, signature string")
+    return frame(spark, [("signup_date", _signature(spark, sf, "signup_date"))], "column_name string, signature string")
 
 
 # Samples.
 
-_RAW = ", ".join(_COLUMNS)
+_RAW = ", ".join(COLUMNS)
 
 
 @_query(duck("messy_orders") + f"SELECT {_RAW} FROM messy_orders ORDER BY md5(order_id::VARCHAR), order_id LIMIT 400")
@@ -328,7 +333,7 @@ def sample_endpoints(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @_query(duck("messy_orders") + f""", k AS (SELECT * FROM (SELECT order_id FROM messy_orders ORDER BY md5(order_id::VARCHAR) LIMIT 400)
-  {"".join(f" UNION SELECT * FROM (SELECT order_id FROM messy_orders WHERE {c} IS NULL ORDER BY md5(order_id::VARCHAR) LIMIT 10)" for c in _COLUMNS)}
+  {"".join(f" UNION SELECT * FROM (SELECT order_id FROM messy_orders WHERE {c} IS NULL ORDER BY md5(order_id::VARCHAR) LIMIT 10)" for c in COLUMNS)}
   {"".join(f" UNION SELECT * FROM (SELECT order_id FROM messy_orders ORDER BY {c} {d}, md5(order_id::VARCHAR) LIMIT 20)" for c in ("order_id", "customer_id") for d in ("ASC", "DESC"))})
   SELECT {_RAW} FROM messy_orders WHERE order_id IN (SELECT order_id FROM k)""")
 def sample_stratified(spark: SparkSession, sf: str) -> DataFrame:
@@ -352,13 +357,13 @@ def diverse_sample_values(spark: SparkSession, sf: str) -> DataFrame:
 @_query(duck("messy_orders") + f"SELECT 'order_date' AS column_name, value FROM (SELECT DISTINCT order_date AS value FROM messy_orders WHERE order_date IS NOT NULL AND {_d(_WHOLE, 'order_date')} IS NULL ORDER BY value LIMIT 20)")
 def exception_capture(spark: SparkSession, sf: str) -> DataFrame:
     got = capture.lost_values(messy(spark, sf, "messy_orders"), {"order_date": (tpl.plain_double("`order_date`"), "DOUBLE")})
-    return _frame(spark, [(c, v) for c, vs in got.items() for v in vs], "column_name string, value string")
+    return frame(spark, [(c, v) for c, vs in got.items() for v in vs], "column_name string, value string")
 
 
 @_query(duck("messy_orders") + "SELECT 'is_returned' AS column_name, value FROM (SELECT DISTINCT is_returned AS value FROM messy_orders WHERE lower(trim(is_returned)) NOT IN ('y','yes','true','1','t','n','no','false','0','f') ORDER BY value LIMIT 20)")
 def exception_capture_boolean(spark: SparkSession, sf: str) -> DataFrame:
     got = capture.lost_values(messy(spark, sf, "messy_orders"), {"is_returned": (tpl.plain_boolean("`is_returned`"), "BOOLEAN")})
-    return _frame(spark, [(c, v) for c, vs in got.items() for v in vs], "column_name string, value string")
+    return frame(spark, [(c, v) for c, vs in got.items() for v in vs], "column_name string, value string")
 
 
 @_query(duck("messy_orders") + f"""SELECT * FROM (SELECT 'discount_pct' AS column_name, value FROM (SELECT DISTINCT discount_pct AS value FROM messy_orders WHERE {_d(_WHOLE, 'discount_pct')} IS NULL AND discount_pct IS NOT NULL ORDER BY value LIMIT 20))
@@ -367,7 +372,7 @@ def exception_capture_boolean(spark: SparkSession, sf: str) -> DataFrame:
 def capture_all_columns(spark: SparkSession, sf: str) -> DataFrame:
     bases = {c: (tpl.plain_double(f"`{c}`"), "DOUBLE") for c in ("discount_pct", "order_value")} | {"is_returned": (tpl.plain_boolean("`is_returned`"), "BOOLEAN")}
     got = capture.lost_values(messy(spark, sf, "messy_orders"), bases)
-    return _frame(spark, [(c, v) for c, vs in got.items() for v in vs], "column_name string, value string")
+    return frame(spark, [(c, v) for c, vs in got.items() for v in vs], "column_name string, value string")
 
 
 @_query(duck("messy_customer") + f"""SELECT *, length(value) > 100 OR regexp_matches(value, '\\S+@\\S+\\.\\S+') OR (column_name <> 'signup_date' AND regexp_matches(value, '[+0-9][0-9\\s\\-()]{{7,}}')) AS private FROM (
@@ -376,13 +381,13 @@ def capture_all_columns(spark: SparkSession, sf: str) -> DataFrame:
   UNION ALL SELECT * FROM (SELECT 'signup_date', value FROM (SELECT DISTINCT signup_date AS value FROM messy_customer WHERE {_d(_WHOLE, 'signup_date')} IS NULL ORDER BY value LIMIT 20)))""")
 def pii_value_filter(spark: SparkSession, sf: str) -> DataFrame:
     got = capture.lost_values(messy(spark, sf, "messy_customer"), {"phone_number": (tpl.plain_double("`phone_number`"), "DOUBLE"), "full_name": (tpl.plain_double("`full_name`"), "DOUBLE"), "signup_date": (tpl.plain_double("`signup_date`"), "TIMESTAMP")})
-    return _frame(spark, [(c, v, capture.is_private(v, "TIMESTAMP" if c == "signup_date" else "DOUBLE")) for c, vs in got.items() for v in vs], "column_name string, value string, private boolean")
+    return frame(spark, [(c, v, capture.is_private(v, "TIMESTAMP" if c == "signup_date" else "DOUBLE")) for c, vs in got.items() for v in vs], "column_name string, value string, private boolean")
 
 
 @_query(duck("messy_orders") + "SELECT value, lower(trim(value)) IN ('tbd','na','n/a','n.a.','null','none','-','–','—','nan','#n/a','nil','','not available','missing') OR NOT regexp_matches(value, '[0-9]') AS expected_null FROM (SELECT DISTINCT order_value AS value FROM messy_orders ORDER BY value DESC LIMIT 200)")
 def expected_null(spark: SparkSession, sf: str) -> DataFrame:
     values = messy(spark, sf, "messy_orders").select(F.col("order_value").alias("value")).distinct().orderBy(F.desc("value")).limit(200).collect()
-    return _frame(spark, [(r["value"], capture.is_expected_null(r["value"])) for r in values], "value string, expected_null boolean")
+    return frame(spark, [(r["value"], capture.is_expected_null(r["value"])) for r in values], "value string, expected_null boolean")
 
 
 @_query("SELECT * FROM (VALUES ('plain', TRUE), ('loses', FALSE), ('unsafe', FALSE)) t(name, accepted)")
@@ -390,7 +395,7 @@ def verify_expression(spark: SparkSession, sf: str) -> DataFrame:
     values = ["72 hours", "n/a", "3.5 h"]
     df = spark.range(1)
     tried = {"plain": "try_cast(regexp_extract(`x`, '[0-9.]+', 0) as double)", "loses": "try_cast(`x` as double)", "unsafe": "java_method('java.lang.System', 'exit')"}
-    return _frame(spark, [(k, capture.verified(df, "x", e, values)) for k, e in tried.items()], "name string, accepted boolean")
+    return frame(spark, [(k, capture.verified(df, "x", e, values)) for k, e in tried.items()], "name string, accepted boolean")
 
 
 # Consistency and classes.
@@ -416,53 +421,53 @@ def _profiles(spark: SparkSession, sf: str) -> dict[str, TableProfile]:
 @_query("SELECT 'id' AS kind, 'customer_id' AS label, 'numeric' AS canonical, 2 AS patched")
 def cross_table_groups(spark: SparkSession, sf: str) -> DataFrame:
     groups = consistency.find_groups(_profiles(spark, sf))
-    return _frame(spark, [(g.kind, g.label, g.canonical, len(g.to_patch)) for g in groups], "kind string, label string, canonical string, patched int")
+    return frame(spark, [(g.kind, g.label, g.canonical, len(g.to_patch)) for g in groups], "kind string, label string, canonical string, patched int")
 
 
 @_query("SELECT * FROM (VALUES ('a', 'delete_aware'), ('b', 'upsert'), ('c', 'full_resync'), ('d', 'append_only')) t(table_name, sync_mode)")
 def sync_mode(spark: SparkSession, sf: str) -> DataFrame:
     cases = {"a": (["id", "updated_at", "deleted_at"], 5, "id"), "b": (["id", "updated_at"], 5, "id"), "c": (["id"], 5, "id"), "d": (["id", "created_at"], 50_000, "id")}
-    return _frame(spark, [(t, profile.sync_mode(*c)[0]) for t, c in cases.items()], "table_name string, sync_mode string")
+    return frame(spark, [(t, profile.sync_mode(*c)[0]) for t, c in cases.items()], "table_name string, sync_mode string")
 
 
 @_query("SELECT * FROM (VALUES ('customer_id','IDENTIFIER'),('full_name','PII'),('phone_number','PII'),('signup_date','CLEAN_AMBIG'),('account_balance','CLEAN_AMBIG'),('is_active','OBSERVE'),('rep_key','IDENTIFIER'),('nation_code','IDENTIFIER'),('tier','CLEAN_DET')) t(column_name, class)")
 def classify_columns(spark: SparkSession, sf: str) -> DataFrame:
     t = _profiles(spark, sf)["messy_customer"]
-    return _frame(spark, [(c.column.name, c.kind.value) for c in classify.classify(t)], "column_name string, class string")
+    return frame(spark, [(c.column.name, c.kind.value) for c in classify.classify(t)], "column_name string, class string")
 
 
 @_query("SELECT unnest(['signup_date','account_balance','is_active','tier']) AS column_name")
 def needs_sample(spark: SparkSession, sf: str) -> DataFrame:
     t = profile.full_table(messy(spark, sf, "messy_customer"), "messy_customer", "customer_id")
-    return _frame(spark, [(c,) for c in classify.needs_values(t)], "column_name string")
+    return frame(spark, [(c,) for c in classify.needs_values(t)], "column_name string")
 
 
 # Quality.
 
 
-@_query(_BOTH + " UNION ALL ".join(f"SELECT '{c}' AS column_name, (SELECT count_if({c} IS NULL) FROM messy_orders)::BIGINT AS null_before, (SELECT count_if({c} IS NULL) FROM cleaned)::BIGINT AS null_after" for c in _COLUMNS))
+@_query(_BOTH + " UNION ALL ".join(f"SELECT '{c}' AS column_name, (SELECT count_if({c} IS NULL) FROM messy_orders)::BIGINT AS null_before, (SELECT count_if({c} IS NULL) FROM cleaned)::BIGINT AS null_after" for c in COLUMNS))
 def dry_run_diff(spark: SparkSession, sf: str) -> DataFrame:
     diff = dryrun.dry_run(ORDERS_PLAN, messy(spark, sf, "messy_orders"))
-    return _frame(spark, [(c["column"], c["null_before"], c["null_after"]) for c in diff.columns], "column_name string, null_before long, null_after long")
+    return frame(spark, [(c["column"], c["null_before"], c["null_after"]) for c in diff.columns], "column_name string, null_before long, null_after long")
 
 
-@_query(_BOTH + "SELECT column_name FROM (" + " UNION ALL ".join(f"""SELECT '{c}' AS column_name, greatest((SELECT count_if({c} IS NULL) FROM cleaned) - (SELECT count_if({c} IS NULL) FROM messy_orders) - (SELECT count_if({_d(_SENTINEL, f'{c}::VARCHAR')}) FROM messy_orders), 0)::DOUBLE / (SELECT count(*) FROM messy_orders)::DOUBLE AS rise""" for c in _COLUMNS) + ") WHERE rise > 0.1")
+@_query(_BOTH + "SELECT column_name FROM (" + " UNION ALL ".join(f"""SELECT '{c}' AS column_name, greatest((SELECT count_if({c} IS NULL) FROM cleaned) - (SELECT count_if({c} IS NULL) FROM messy_orders) - (SELECT count_if({_d(_SENTINEL, f'{c}::VARCHAR')}) FROM messy_orders), 0)::DOUBLE / (SELECT count(*) FROM messy_orders)::DOUBLE AS rise""" for c in COLUMNS) + ") WHERE rise > 0.1")
 def null_spike_guard(spark: SparkSession, sf: str) -> DataFrame:
     diff = dryrun.dry_run(ORDERS_PLAN, messy(spark, sf, "messy_orders"))
-    return _frame(spark, [(m[1],) for w in diff.warnings if (m := re.match(r"column (\w+): nulls rise", w))], "column_name string")
+    return frame(spark, [(m[1],) for w in diff.warnings if (m := re.match(r"column (\w+): nulls rise", w))], "column_name string")
 
 
 @_query("SELECT 'customer_id' AS column_name, 'column customer_id is missing' AS warning")
 def missing_columns(spark: SparkSession, sf: str) -> DataFrame:
     raw, clean = _cleaned(spark, sf)
     diff = dryrun.compare("messy_orders", raw.select("order_id", "customer_id"), clean.select("order_id"))
-    return _frame(spark, [("customer_id", w) for w in diff.warnings], "column_name string, warning string")
+    return frame(spark, [("customer_id", w) for w in diff.warnings], "column_name string, warning string")
 
 
 @_query("SELECT * FROM (VALUES ('order_id','bigint','bigint'),('customer_id','bigint','bigint'),('order_value','string','double'),('discount_pct','string','double'),('order_date','string','timestamp_ntz'),('is_returned','string','boolean'),('priority','string','string'),('ticket_code','string','string')) t(column_name, type_before, type_after)")
 def type_diff(spark: SparkSession, sf: str) -> DataFrame:
     raw, clean = _cleaned(spark, sf)
-    return _frame(spark, [(c, *t) for c, t in rowdiff.column_types(raw, clean).items()], "column_name string, type_before string, type_after string")
+    return frame(spark, [(c, *t) for c, t in rowdiff.column_types(raw, clean).items()], "column_name string, type_before string, type_after string")
 
 
 @_query(_BOTH + "SELECT *, abs(cache_rows - source_rows)::DOUBLE / greatest(source_rows, 1) > 0.005 AS warned FROM (SELECT 'whole' AS name, (SELECT count(*) FROM messy_orders)::BIGINT AS source_rows, (SELECT count(*) FROM cleaned)::BIGINT AS cache_rows UNION ALL SELECT 'short', (SELECT count(*) FROM messy_orders)::BIGINT, (SELECT count(*) FROM cleaned WHERE order_id % 100 <> 0)::BIGINT)")
@@ -471,17 +476,17 @@ def reconcile_counts(spark: SparkSession, sf: str) -> DataFrame:
     n = dryrun.null_counts(raw, []).first()["n"]
     sides = {"whole": clean, "short": clean.filter("order_id % 100 <> 0")}
     counts = {k: dryrun.null_counts(df, []).first()["n"] for k, df in sides.items()}
-    return _frame(spark, [(k, n, c, bool(materialize.reconcile(n, c))) for k, c in counts.items()], "name string, source_rows long, cache_rows long, warned boolean")
+    return frame(spark, [(k, n, c, bool(materialize.reconcile(n, c))) for k, c in counts.items()], "name string, source_rows long, cache_rows long, warned boolean")
 
 
-@_query(_BOTH + ", b AS (SELECT m.order_id, " + ", ".join(f"((c.{c} IS NULL)::INT - (m.{c} IS NULL)::INT) AS {c}" for c in _COLUMNS[1:]) + " FROM messy_orders m JOIN cleaned c USING (order_id)) SELECT column_name FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS column_name, avg({c})::DOUBLE - avg({c}) FILTER (order_id % 8 <> 5)::DOUBLE AS more FROM b" for c in _COLUMNS[1:]) + ") WHERE more > 0.1")
+@_query(_BOTH + ", b AS (SELECT m.order_id, " + ", ".join(f"((c.{c} IS NULL)::INT - (m.{c} IS NULL)::INT) AS {c}" for c in COLUMNS[1:]) + " FROM messy_orders m JOIN cleaned c USING (order_id)) SELECT column_name FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS column_name, avg({c})::DOUBLE - avg({c}) FILTER (order_id % 8 <> 5)::DOUBLE AS more FROM b" for c in COLUMNS[1:]) + ") WHERE more > 0.1")
 def post_load_null_check(spark: SparkSession, sf: str) -> DataFrame:
     raw, clean = _cleaned(spark, sf)
     # A sample without the values that turn to NULL foretells too little.
     predicted = dryrun.dry_run(ORDERS_PLAN, raw.filter("order_id % 8 <> 5"))
-    before, after = (dryrun.null_counts(df, _COLUMNS).first() for df in (raw, clean))
-    found = materialize.unexpected_nulls(before, after, _COLUMNS, _COLUMNS, predicted)
-    return _frame(spark, [(re.match(r"column (\w+):", w)[1],) for w in found], "column_name string")
+    before, after = (dryrun.null_counts(df, COLUMNS).first() for df in (raw, clean))
+    found = materialize.unexpected_nulls(before, after, COLUMNS, COLUMNS, predicted)
+    return frame(spark, [(re.match(r"column (\w+):", w)[1],) for w in found], "column_name string")
 
 
 _PAIR = duck("messy_orders") + f""", cleaned AS (SELECT order_id, customer_id, {_d_boolean('is_returned')} AS is_returned, CASE WHEN NOT ({_d(_SENTINEL, 'priority')}) THEN lower(trim(priority)) END AS priority, regexp_replace(trim(ticket_code), '^0+([0-9])', '\\1') AS ticket_code FROM messy_orders),
@@ -574,7 +579,7 @@ def merge_delete_aware(spark: SparkSession, sf: str) -> DataFrame:
 # Loading.
 
 
-def _folder(spark: SparkSession) -> str:
+def folder_of(spark: SparkSession) -> str:
     """A folder of this call's own: in the shared one, or where that is unset and the master is local
     in a temporary one."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -587,7 +592,7 @@ def _folder(spark: SparkSession) -> str:
 
 
 def _cache(spark: SparkSession) -> Cache:
-    return Cache(spark, _folder(spark))
+    return Cache(spark, folder_of(spark))
 
 
 @_query(_BOTH + "SELECT * FROM cleaned")
@@ -599,7 +604,7 @@ def cold_start_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query("SELECT o_orderkey, lower(trim(o_orderpriority)) AS priority FROM orders")
 def resume_idempotent(spark: SparkSession, sf: str) -> DataFrame:
-    engine, project = Engine(spark, _folder(spark)), "p"
+    engine, project = Engine(spark, folder_of(spark)), "p"
     plan = CleaningPlan("orders", [Expression("o_orderkey", ["o_orderkey"], ["`o_orderkey`"]), Expression("o_orderpriority", ["priority"], [tpl.lowered("`o_orderpriority`")])])
     engine.state.put("projects", (project,), status="completed", source={"location": sf, "format": "parquet", "primary_keys": [], "options": []})
     engine.state.write_memory(project, "Business_Logic", "cleaning_script_orders", plan.to_json())
@@ -624,7 +629,7 @@ def validate_sql(spark: SparkSession, sf: str) -> DataFrame:
         except guard.InvalidSql:
             return False
 
-    return _frame(spark, [(k, accepted(s)) for k, s in cases.items()], "name string, accepted boolean")
+    return frame(spark, [(k, accepted(s)) for k, s in cases.items()], "name string, accepted boolean")
 
 
 @_query("SELECT 'native_timestamp' AS canonical_tie, 'intl_12d' AS canonical_phone, 'local_10d' AS canonical_rows")
@@ -632,7 +637,7 @@ def majority_rules(spark: SparkSession, sf: str) -> DataFrame:
     tie = consistency.majority([Member("a", "d", "ambiguous", 10), Member("b", "d", "native_timestamp", 10)], lambda f: f == "native_timestamp")
     phone = consistency.majority([Member("a", "p", "local_10d", 5), Member("b", "p", "intl_12d", 5)], lambda f: f.startswith("intl"))
     rows = consistency.majority([Member("a", "p", "local_10d", 50), Member("b", "p", "intl_12d", 5)], lambda f: f.startswith("intl"))
-    return _frame(spark, [(tie, phone, rows)], "canonical_tie string, canonical_phone string, canonical_rows string")
+    return frame(spark, [(tie, phone, rows)], "canonical_tie string, canonical_phone string, canonical_rows string")
 
 
 # The engine's steps on the driver tables.
@@ -644,7 +649,7 @@ def _source(sf: str, **keys: str) -> Source:
 
 @_query("SELECT unnest(['benchmark','conversations','customer','documents','embeddings','events','labels','lineitem','nation','orders','pages','part','region','supplier']) AS table_name")
 def list_tables(spark: SparkSession, sf: str) -> DataFrame:
-    return _frame(spark, [(t,) for t in _source(sf).list_tables(spark)], "table_name string")
+    return frame(spark, [(t,) for t in _source(sf).list_tables(spark)], "table_name string")
 
 
 @_query("SELECT 'region' AS name, (SELECT count(*) FROM region)::BIGINT AS n, TRUE AS found UNION ALL SELECT 'regio', 0, FALSE")
@@ -655,7 +660,7 @@ def table_existence(spark: SparkSession, sf: str) -> DataFrame:
         except TableNotFound:
             return name, 0, False
 
-    return _frame(spark, [rows("region"), rows("regio")], "name string, n long, found boolean")
+    return frame(spark, [rows("region"), rows("regio")], "name string, n long, found boolean")
 
 
 @_query("SELECT least((SELECT count(*) FROM lineitem), 10000)::BIGINT AS n")
@@ -678,7 +683,7 @@ def as_text_cast(spark: SparkSession, sf: str) -> DataFrame:
 @_query(duck("messy_part") + r"SELECT avg(regexp_matches(price_eu, '[0-9],[0-9]{1,2}[^0-9]*$')::INT) > 0.5 AS european, bool_or(regexp_matches(card_code, '^0[0-9]+$')) AS leading_zero FROM messy_part")
 def column_flags(spark: SparkSession, sf: str) -> DataFrame:
     got = profile.whole_facts(messy(spark, sf, "messy_part"), ["price_eu", "card_code"])
-    return _frame(spark, [(got["price_eu"]["european"] > 0.5, bool(got["card_code"]["leading_zero"]))], "european boolean, leading_zero boolean")
+    return frame(spark, [(got["price_eu"]["european"] > 0.5, bool(got["card_code"]["leading_zero"]))], "european boolean, leading_zero boolean")
 
 
 @_query(duck("messy_orders") + f"SELECT 'order_value' AS column_name, count_if(order_value IS NOT NULL AND {_d_currency('order_value', _d_magnitude('order_value'))} IS NULL)::BIGINT AS lost FROM messy_orders UNION ALL SELECT 'discount_pct', count_if(discount_pct IS NOT NULL AND {_d_percent('discount_pct')} IS NULL)::BIGINT FROM messy_orders")
@@ -687,26 +692,26 @@ def heal_columns(spark: SparkSession, sf: str) -> DataFrame:
     columns = [ColumnProfile("order_value", "string", issues=["currency_string"], flags={"magnitude": True, "parentheses": True}, sample_values=["$5", "$6"]), ColumnProfile("discount_pct", "string", issues=["percentage_string"], sample_values=["5%"])]
     healed = capture.heal(df, [Classified(c, ColumnClass.CLEAN_DET) for c in columns])
     lost = df.agg(*[F.count_if(F.expr(f"{tpl.as_text(e.column)} is not null and ({e.sql[0]}) is null")).alias(e.column) for e in healed]).first()
-    return _frame(spark, [(e.column, lost[e.column]) for e in healed], "column_name string, lost long")
+    return frame(spark, [(e.column, lost[e.column]) for e in healed], "column_name string, lost long")
 
 
 @_query(duck("messy_orders") + "SELECT count(*)::BIGINT AS rows_before, count_if(order_id % 2 = 0)::BIGINT AS rows_after, count(*) = count_if(order_id % 2 = 0) AS safe FROM messy_orders")
 def row_count_guard(spark: SparkSession, sf: str) -> DataFrame:
     raw = messy(spark, sf, "messy_orders").select("order_id")
     diff = dryrun.compare("messy_orders", raw, raw.filter("order_id % 2 = 0"))
-    return _frame(spark, [(diff.rows_before, diff.rows_after, diff.safe)], "rows_before long, rows_after long, safe boolean")
+    return frame(spark, [(diff.rows_before, diff.rows_after, diff.safe)], "rows_before long, rows_after long, safe boolean")
 
 
 @_query("SELECT n_nationkey AS key, n_nationkey % 2 = 0 AS was_nan, CASE WHEN n_nationkey % 2 <> 0 THEN n_nationkey + 0.5 END::DOUBLE AS value FROM nation")
 def json_safe_values(spark: SparkSession, sf: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf}/nation.parquet").selectExpr("n_nationkey AS key", "CASE WHEN n_nationkey % 2 = 0 THEN double('NaN') ELSE n_nationkey + 0.5D END AS value").collect()
-    return _frame(spark, [(r["key"], r["value"] != r["value"], rowdiff.json_value(r["value"])) for r in rows], "key int, was_nan boolean, value double")
+    return frame(spark, [(r["key"], r["value"] != r["value"], rowdiff.json_value(r["value"])) for r in rows], "key int, was_nan boolean, value double")
 
 
 @_query(duck("messy_customer") + f"SELECT 'account_balance' AS column_name, 'split,keep,assume_same,custom' AS options FROM (SELECT count(DISTINCT regexp_extract(account_balance, '{_SYMBOLS}')) AS n FROM messy_customer) WHERE n > 1 UNION ALL SELECT 'signup_date', 'month_first,day_first,custom' FROM (SELECT max(TRY_CAST(split_part(signup_date, '/', 1) AS INT)) AS a, max(TRY_CAST(split_part(signup_date, '/', 2) AS INT)) AS b FROM messy_customer) WHERE a <= 12 AND b <= 12")
 def clarifications(spark: SparkSession, sf: str) -> DataFrame:
     asked = answers.questions(classify.classify(_profiles(spark, sf)["messy_customer"]))
-    return _frame(spark, [(q["column"], ",".join(q["options"])) for q in asked], "column_name string, options string")
+    return frame(spark, [(q["column"], ",".join(q["options"])) for q in asked], "column_name string, options string")
 
 
 @_query(duck("messy_customer") + "SELECT customer_id, try_strptime(trim(signup_date), '%d/%m/%Y') AS signup_date, account_balance FROM messy_customer")
@@ -747,24 +752,24 @@ def empty_source_load(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query("SELECT n_name AS before, upper(substr(n_name, 1, 1)) || lower(substr(n_name, 2)) AS after FROM nation WHERE n_name <> upper(substr(n_name, 1, 1)) || lower(substr(n_name, 2))")
 def row_diff_keyless(spark: SparkSession, sf: str) -> DataFrame:
-    engine, project = Engine(spark, _folder(spark)), "p"
+    engine, project = Engine(spark, folder_of(spark)), "p"
     plan = CleaningPlan("nation", [Expression("n_name", ["n_name"], ["concat(upper(substr(`n_name`, 1, 1)), lower(substr(`n_name`, 2)))"])])
     engine.state.put("projects", (project,), status="completed", source={"location": sf, "format": "parquet", "primary_keys": [], "options": []})
     engine.state.write_memory(project, "Business_Logic", "cleaning_script_nation", plan.to_json())
     engine.state.put("sync", (project, "nation"), status="in_progress")
     engine.resume()
     page = engine.diff(project, "nation")
-    return _frame(spark, [(r["before__n_name"], r["after__n_name"]) for r in page.rows], "before string, after string")
+    return frame(spark, [(r["before__n_name"], r["after__n_name"]) for r in page.rows], "before string, after string")
 
 
 @_query("SELECT 'region' AS table_name, 'cold_start_done' AS status, (SELECT count(*) FROM region)::BIGINT AS n")
 def lifecycle(spark: SparkSession, sf: str) -> DataFrame:
     """Analyse one table, approve it and read its cache."""
-    engine = Engine(spark, _folder(spark))
+    engine = Engine(spark, folder_of(spark))
     spark.read.parquet(f"{sf}/region.parquet").write.parquet(f"{engine.folder}/source/region.parquet")
     project = engine.analyze_project(Source(f"{engine.folder}/source", primary_keys=(("region", "r_regionkey"),)))
     done = engine.approve(project)
-    return _frame(spark, [(t, s, Cache(spark, f"{engine.folder}/cache/{project}").read(t).count()) for t, s in done.items()], "table_name string, status string, n long")
+    return frame(spark, [(t, s, Cache(spark, f"{engine.folder}/cache/{project}").read(t).count()) for t, s in done.items()], "table_name string, status string, n long")
 
 
 def queries() -> dict[str, Query]:

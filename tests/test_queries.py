@@ -2,9 +2,9 @@
 
 import compare
 import pytest
-from lustra import catalogue
+from lustra import catalogue, scenarios
 
-QUERIES, ORACLES = catalogue.queries(), catalogue.oracle_sql()
+QUERIES, ORACLES = catalogue.queries() | scenarios.queries(), catalogue.oracle_sql() | scenarios.oracle_sql()
 
 
 @pytest.fixture(scope="module")
