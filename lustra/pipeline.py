@@ -62,6 +62,8 @@ class Engine:
         project = project or uuid.uuid4().hex
         self.state.put("projects", (project,), status="analyzing", source=asdict(source), error=None)
         try:
+            source = source.with_keys(self.spark)
+            self.state.put("projects", (project,), source=asdict(source))
             tables = source.list_tables(self.spark)
         except Exception as e:
             self.state.put("projects", (project,), status="failed", error=str(e)[:500])
