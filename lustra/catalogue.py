@@ -225,6 +225,11 @@ def _d_facts(c: str) -> str:
       {share(f"regexp_full_match(regexp_replace({v}, '[,%]|{_SYMBOLS}', '', 'g'), {num})")} AS numeric_like_ratio FROM messy_orders"""
 
 
+def sql_of_ratios(c: str, ratios: tuple[str, ...]) -> str:
+    """Rows, nulls and shares of one column of messy_orders."""
+    return f"SELECT column_name, (SELECT count(*) FROM messy_orders)::BIGINT AS n_rows, (SELECT count_if({c} IS NULL) FROM messy_orders)::BIGINT AS n_nulls, {', '.join(f'{r}_ratio' for r in ratios)}, TRUE AS close FROM ({_d_facts(c)})"
+
+
 _TEXTS = ["order_value", "discount_pct", "order_date", "is_returned", "priority", "ticket_code"]
 
 

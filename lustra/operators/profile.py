@@ -59,28 +59,45 @@ def _share(cond: Column, of: Column) -> Column:
     return F.coalesce(F.avg(F.when(of.isNotNull(), cond.cast("double"))), F.lit(0.0))
 
 
+def conditions(raw: Column) -> dict[str, Column]:
+    """What a value's text looks like."""
+    text = raw.cast("string")
+    v = stripped(raw)
+    low = F.lower(v)
+    unsigned = F.regexp_replace(v, "[,%]|" + tpl.SYMBOL_CLASS, "")
+    return {
+        "currency_symbol": v.rlike(tpl.SYMBOL_CLASS),
+        "percent_sign": v.endswith("%"),
+        "null_variant": low.isin(*tpl.SENTINELS),
+        "needs_trim": text != v,
+        "date_like": v.rlike(_DATE_LIKE),
+        "numeric_like": unsigned.rlike(_NUMERIC),
+        "bare": v.rlike(_NUMERIC),
+        "true": low.isin(*tpl.TRUE_WORDS),
+        "false": low.isin(*tpl.FALSE_WORDS),
+    }
+
+
 def issue_facts(raw: Column) -> dict[str, Column]:
     """Aggregates of one column's text, by name.  Nulls don't count.  Those on distinct values keep
     sets, so use them on samples only; the ratios are fit for whole tables."""
     text = raw.cast("string")
     v = stripped(raw)
     low = F.lower(v)
-    symbol = v.rlike(tpl.SYMBOL_CLASS)
-    percent = v.endswith("%")
-    bare = v.rlike(_NUMERIC)
-    unsigned = F.regexp_replace(v, "[,%]|" + tpl.SYMBOL_CLASS, "")
-    truthy, falsy = low.isin(*tpl.TRUE_WORDS), low.isin(*tpl.FALSE_WORDS)
+    says = conditions(raw)
+    symbol, percent, bare = says["currency_symbol"], says["percent_sign"], says["bare"]
+    truthy, falsy = says["true"], says["false"]
     first = F.regexp_extract(v, _SLASH_DATE, 1)
     slash = v.rlike(_SLASH_DATE)
     return {
         "values": F.count(text),
         "currency_symbol_ratio": _share(symbol, text),
         "percent_sign_ratio": _share(percent, text),
-        "null_variant_ratio": _share(low.isin(*tpl.SENTINELS), text),
-        "needs_trim_ratio": _share(text != v, text),
+        "null_variant_ratio": _share(says["null_variant"], text),
+        "needs_trim_ratio": _share(says["needs_trim"], text),
         "mixed_percent_format": (F.coalesce(F.max(percent.cast("int")), F.lit(0)) * F.coalesce(F.max(bare.cast("int")), F.lit(0))).cast("double"),
-        "date_like_ratio": _share(v.rlike(_DATE_LIKE), text),
-        "numeric_like_ratio": _share(unsigned.rlike(_NUMERIC), text),
+        "date_like_ratio": _share(says["date_like"], text),
+        "numeric_like_ratio": _share(says["numeric_like"], text),
         "exact": F.size(F.collect_set(text)),
         "distinct_values": F.size(F.collect_set(v)),
         "distinct_folded": F.size(F.collect_set(low)),

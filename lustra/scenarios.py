@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalogue import COLUMNS, ORDERS_PLAN, Query, folder_of, frame, sql_of_cleaned
+from .catalogue import COLUMNS, ORDERS_PLAN, Query, folder_of, frame, sql_of_cleaned, sql_of_ratios
 from .messy import messy
 from .model import CleaningPlan, Expression
-from .operators import profile, sample
+from .operators import profile, profilestate, sample
 from .pipeline import Engine
 from .plans.materialize import Cache
+from .sources import snapshot as snapshots
 from .sources.tables import Source
 
 QUERIES: dict[str, Query] = {}
@@ -97,6 +98,30 @@ def one_pass_load(spark: SparkSession, sf: str) -> DataFrame:
     return frame(spark, [(c, report.source_rows, report.cache_rows, *n) for c, n in report.nulls.items()], "column_name string, n_source long, n_cache long, null_source long, null_cache long")
 
 
+# Profiles that add up.
+
+_HALVES = {"a": "order_id % 10 < 7", "b": "order_id % 10 >= 7"}
+_TEXT_RATIOS = ("currency_symbol", "percent_sign", "null_variant", "needs_trim", "date_like", "numeric_like")
+
+
+@_query(sql_of_cleaned() + " UNION ALL ".join(sql_of_ratios(c, _TEXT_RATIOS) for c in COLUMNS[2:]))
+def profile_after_append(spark: SparkSession, sf: str) -> DataFrame:
+    """The orders come in two files; the second is measured alone and merged with the first one's facts.
+    Distinct values are estimated: told is whether they are within three standard errors."""
+    at = folder_of(spark)
+    source, state = Source(f"{at}/source"), profilestate.ProfileState(spark, f"{at}/state")
+    orders = messy(spark, sf, "messy_orders")
+    for part, condition in _HALVES.items():
+        orders.filter(condition).coalesce(1).write.mode("append").parquet(f"{at}/source/orders.parquet")
+        done = state.update(snapshots.take(spark, source, "orders", f"{at}/snapshot-{part}"))
+        if done.measured != 1:
+            raise RuntimeError(f"{done.measured} files were read for {part}")
+    got = profilestate.summary(profilestate.merged(state.read()))
+    exact = {r["name"]: r["n"] for r in orders.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("v")) for c in COLUMNS[2:]])).alias("x")).groupBy("x.name").agg(F.count_distinct("x.v").alias("n")).collect()}
+    rows = [(r["name"], r["rows"], r["nulls"], *[r[f"{c}_ratio"] for c in _TEXT_RATIOS], abs(r["distinct_values"] - exact[r["name"]]) <= 3 * 0.01625 * exact[r["name"]] + 1) for r in got.collect() if r["name"] in exact]
+    return frame(spark, rows, "column_name string, n_rows long, n_nulls long, " + ", ".join(f"{c}_ratio double" for c in _TEXT_RATIOS) + ", close boolean")
+
+
 # Samples.
 
 _LINE = """, l AS (SELECT l_orderkey, l_linenumber, l_returnflag, l_shipdate_text, md5(concat('{"l_orderkey":', l_orderkey::VARCHAR, ',"l_linenumber":', l_linenumber::VARCHAR, ',"l_returnflag":', CASE WHEN l_returnflag IS NULL THEN 'null' ELSE concat('"', l_returnflag, '"') END, ',"l_shipdate_text":"', l_shipdate_text, '"}')) AS h

@@ -64,7 +64,10 @@ class Snapshot:
 
     def read(self, spark: SparkSession) -> DataFrame:
         """The rows, lazily; files that came later don't count."""
-        paths = self.check(spark)
+        return self.only(spark, self.check(spark))
+
+    def only(self, spark: SparkSession, paths: list[str]) -> DataFrame:
+        """The rows of some of the files."""
         if not paths:
             return self.empty(spark)
         reader = spark.read.format(self.format).options(**dict(self.options)).schema(self.empty(spark).schema)
