@@ -16,6 +16,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_left
 from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -46,7 +47,8 @@ WEAK = (
     "banner", "side", "topbar", "toolbar", "reply", "respond", "discussion", "notice", "notification", "alert", "modal", "overlay", "widget", "share", "sharing", "social", "related",
     "recommended", "recommendations", "tags", "tagcloud", "copyright", "legal", "disclaimer", "skip", "toc", "search", "form",
 )
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
+_OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+_SPECIAL = re.compile("[>\"']")
 _NAME = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORD = re.compile(r"[a-z]+")
 _BLANK = re.compile(r"\s+")
@@ -54,6 +56,10 @@ _RIGHTS = re.compile(r"©|\bcopyright\b|all rights reserved", re.I)
 _END_MARKS = re.compile(r"[.!?;:,…。！？]")
 
 
+#: Words in front of or after others in a class name that take back what they say: no-sidebar, comments-closed.
+TAKEN_BACK = {"no", "not", "has", "with", "without"}, {"closed", "open", "enabled", "disabled"}
+
+
 @dataclass
 class Element:
     """What an element and those above it hint at."""
@@ -67,6 +73,10 @@ class Element:
     good: bool = False
     hidden: bool = False
     depth: int = 0
+    scope: "Element | None" = None  # the box around a paragraph, heading or item
+    own: tuple[bool, bool] = (False, False)  # strong and weak words of its own
+    chars: int = 0  # of text in it
+    titled: bool = False  # it holds the page's first heading
 
 
 @dataclass
@@ -79,69 +89,165 @@ class Block:
     features: list[float] = field(default_factory=list)
 
 
+_ITEMS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "pre"}
+
+
 def _element(name: str, attributes: str, parent: Element | None) -> Element:
     if parent is None:
         return Element(name)
     e = Element(name, parent, parent.content, parent.furniture, parent.strong, parent.weak, parent.good, parent.hidden, parent.depth + 1)
+    e.scope = (parent.scope or parent) if name in _ITEMS else e
     e.content |= name in ("article", "main")
     # An article has a header of its own.
     e.furniture |= name in FURNITURE or name == "header" and not parent.content
     e.hidden |= name == "head"
+    strong = weak = False
     for m in _NAME.finditer(attributes) if attributes else ():
         key, value = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "")
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
             e.hidden = True
         elif key in ("class", "id", "role") and name not in ("html", "body"):
-            words = _WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
-            e.strong |= any(w in STRONG for w in words)
-            e.weak |= any(w in WEAK for w in words)
-            e.good |= any(w in GOOD for w in words)
-            e.content |= key == "role" and "main" in words
+            for token in re.sub(r"([a-z])([A-Z])", r"\1-\2", value).split():
+                words = _WORD.findall(token.lower())
+                e.good |= any(w in GOOD for w in words)
+                e.content |= key == "role" and "main" in words
+                if words and words[0] not in TAKEN_BACK[0] and words[-1] not in TAKEN_BACK[1]:
+                    strong |= any(w in STRONG for w in words)
+                    weak |= any(w in WEAK for w in words)
+    e.own, e.strong, e.weak = (strong, weak), e.strong or strong, e.weak or weak
     return e
 
 
+def _weigh(elements: list[Element], blocks: list[Block]) -> None:
+    """Take class words back from boxes around the page: an element that holds the first heading and
+    more than half of the text is no sidebar, whatever its class says.  What it said to the elements
+    inside goes as well."""
+    for b in blocks:
+        b.element.chars += len(b.text)
+    title = next((b.element for b in blocks if b.tag == "h1"), None)
+    while title is not None and not title.titled:
+        title.titled, title = True, title.parent
+    for e in reversed(elements):
+        if e.parent is not None:
+            e.parent.chars += e.chars
+    whole = sum(len(b.text) for b in blocks)
+    for e in elements:  # parents come first
+        if e.parent is not None:
+            around = e.titled and 2 * e.chars > whole
+            e.strong, e.weak = (above or mine and not around for above, mine in zip((e.parent.strong, e.parent.weak), e.own))
+
+
+def _tags(source: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """Start, end, name, whether it closes, and attributes of each tag; comments and declarations have
+    no name, and a CDATA section the name ``[`` and its text as attributes.
+
+    A tag ends at the first > outside of quotes, or at the first one at all if quotes don't close.
+    Where quoted parts lead is kept by place, so that no stretch is searched from many starts."""
+    special = [m.start() for m in _SPECIAL.finditer(source)]
+    marks = {c: [k for k in special if source[k] == c] for c in ">\"'"}
+    ends: dict[int, int] = {}
+    last_section = source.rfind("]]>")
+
+    def following(c: str, at: int) -> int:
+        k = bisect_left(marks[c], at)
+        return marks[c][k] if k < len(marks[c]) else -1
+
+    def unquoted(at: int) -> int:
+        path = []
+        end = -1
+        while True:
+            k = bisect_left(special, at)
+            if k == len(special):
+                break
+            at = special[k]
+            if at in ends:
+                end = ends[at]
+                break
+            path.append(at)
+            if source[at] == ">":
+                end = at
+                break
+            at = following(source[at], at + 1) + 1
+            if not at:
+                break
+        for k in path:
+            ends[k] = end
+        return end
+
+    at = source.find("<")
+    while at >= 0:
+        stop, name, closing, attributes = -1, "", False, ""
+        if source.startswith("<!--", at):
+            end = source.find("-->", at + 4)
+            stop = end + 3 if end >= 0 else len(source)
+        elif at < last_section and source.startswith("<![CDATA[", at) and (end := source.find("]]>", at + 9)) >= 0:
+            stop, name, attributes = end + 3, "[", source[at + 9 : end]
+        elif source.startswith(("<!", "<?"), at):
+            stop = following(">", at) + 1 or -1
+        elif (first := following(">", at)) >= 0 and (m := _OPEN.match(source, at, first + 1)):
+            end = unquoted(m.end())
+            end = end if end >= 0 else following(">", m.end())
+            if end >= 0:
+                stop, name, closing, attributes = end + 1, m[2].lower(), bool(m[1]), source[m.end() : end]
+        if stop >= 0:
+            yield at, stop, name, closing, attributes
+            at = source.find("<", stop)
+        else:
+            at = source.find("<", at + 1)
+
+
 def read_blocks(source: str) -> list[Block]:
     """Blocks of text in page order, with what stands around them."""
     root = _element("", "", None)
     open_: list[Element] = [root]
+    elements = [root]
+    names: Counter[str] = Counter()  # of open elements
     blocks: list[Block] = []
     parts: list[str] = []
     links = 0  # depth of open <a>
     link_chars = 0
     inline: list[Element] = []  # open inline elements that say something about their text
+    raw_ends: dict[str, list[tuple[int, int]]] = {}
 
     def end_block() -> None:
-        nonlocal parts, link_chars, inline, links
+        nonlocal parts, link_chars
         if parts:
             text = _BLANK.sub(" ", html.unescape("".join(parts))).strip()
-            if text and not (inline[-1] if inline else open_[-1]).hidden:
-                scope = open_[-1]
-                while scope.name in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "pre") and scope.parent is not None:
-                    scope = scope.parent
-                blocks.append(Block(text, link_chars, open_[-1].name, inline[-1] if inline else open_[-1], scope))
+            around = inline[-1] if inline else open_[-1]
+            if text and not around.hidden:
+                blocks.append(Block(text, link_chars, open_[-1].name, around, open_[-1].scope or open_[-1]))
             parts = []
         link_chars = 0
 
-    at, skip = 0, None
-    for m in _TAG.finditer(source):
-        if m.start() < at:
+    def cut(k: int) -> None:
+        names.subtract(e.name for e in open_[k:])
+        del open_[k:]
+
+    def raw_end(name: str, at: int) -> int | None:
+        if name not in raw_ends:
+            raw_ends[name] = [m.span() for m in re.finditer(rf"</{re.escape(name)}\s*>", source, re.I)]
+        k = bisect_left(raw_ends[name], (at,))
+        return raw_ends[name][k][1] if k < len(raw_ends[name]) else None
+
+    at = 0
+    for start, stop, name, closing, attributes in _tags(source):
+        if start < at:
             continue
-        if m.start() > at:
-            text = source[at : m.start()]
+        if start > at:
+            text = source[at:start]
             parts.append(text)
             if links:
                 link_chars += len(text.strip())
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
+        at = stop
         if not name:
-            if m[0].startswith("<![CDATA["):
-                parts.append(html.escape(m[0][9:-3]))
             continue
-        closing, attributes = bool(m[1] or m[4]), m[3] or m[6] or ""
+        if name == "[":
+            parts.append(html.escape(attributes))
+            continue
         if name in RAW:
             if not closing and not attributes.rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
-                at = end.end() if end else (len(source) if name in ("script", "style", "textarea") else at)
+                end = raw_end(name, at)
+                at = end if end is not None else (len(source) if name in ("script", "style", "textarea") else at)
             if name in ("svg", "math", "button", "select"):
                 parts.append(" ")
             continue
@@ -159,37 +265,40 @@ def read_blocks(source: str) -> list[Block]:
                     # Likely boilerplate inside running text stands as a block of its own.
                     end_block()
                     inline.append(e)
+                    elements.append(e)
             elif closing and inline and inline[-1].name == name:
                 end_block()
                 inline.pop()
             continue
         end_block()
-        inline = []
+        inline.clear()
         links = 0
         if closing:
-            if name == "p" and not any(e.name == "p" for e in open_):
-                continue
-            for k in range(len(open_) - 1, 0, -1):
-                if open_[k].name == name:
-                    del open_[k:]
-                    break
+            if names[name] > 0:
+                k = len(open_) - 1
+                while open_[k].name != name:
+                    k -= 1
+                cut(k)
             continue
         # What a start tag closes by itself.
-        if any(e.name == "p" for e in open_[-1:]):
-            open_.pop()
-        if name in CLOSES:
+        if open_[-1].name == "p":
+            cut(len(open_) - 1)
+        if name in CLOSES and any(names[n] > 0 for n in CLOSES[name]):
             for k in range(len(open_) - 1, 0, -1):
                 if open_[k].name in BARRIER[name]:
                     break
                 if open_[k].name in CLOSES[name]:
-                    del open_[k:]
+                    cut(k)
                     if name not in ("tr", "tbody", "tfoot"):
                         break
         if name not in VOID:
             open_.append(_element(name, attributes, open_[-1]))
+            elements.append(open_[-1])
+            names[name] += 1
     if at < len(source):
         parts.append(source[at:])
     end_block()
+    _weigh(elements, blocks)
     return blocks
 
 

@@ -10,10 +10,12 @@ media embedded in other bytes.  Also a lossless container for arbitrary bytes: a
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 import zlib
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -50,8 +52,11 @@ class Marks:
     the first)."""
 
     def __init__(self, data: bytes, ends: dict[str, list[int]], pdfs: list[int]):
-        self.ends, self.pdfs = ends, pdfs
+        self.data, self.ends, self.pdfs = memoryview(data), ends, pdfs
         self.next_gzip: dict[int, int] = {}
+        self.chains: dict[str, dict[int, tuple]] = {}
+        self.roads: dict[str, Road] = {}
+        self.sums: list[int] = [0]
         # The start of the archive that each end record stands for.
         self.zips: dict[int, int] = {}
         for end in ends.get("zip", []):
@@ -65,6 +70,116 @@ class Marks:
         k = bisect_left(ends, at)
         return ends[k] if k < len(ends) else None
 
+    def chain(self, name: str, at: int, step: Callable[[int], tuple[int | None, tuple]], join: Callable[[tuple, tuple], tuple] | None = None) -> tuple:
+        """What the parts that follow each other from ``at`` come to.  ``step`` gives the place of the next
+        part, or None at the end, and what this one says; ``join`` adds that to what the rest comes
+        to.  Each place is looked at once for all starts."""
+        known = self.chains.setdefault(name, {})
+        path: list[tuple[int, tuple]] = []
+        place: int | None = at
+        while place is not None and place not in known:
+            after, says = step(place)
+            path.append((place, says))
+            place = after
+        if place is not None:
+            end = known[place]
+        else:
+            place, end = path.pop()
+            known[place] = end
+        for place, says in reversed(path):
+            end = join(says, end) if join else end
+            known[place] = end
+        return end
+
+    def road(self, name: str, step: Callable[[int], int | None]) -> Road:
+        return self.roads.setdefault(name, Road(step))
+
+    def checksum(self, start: int, stop: int) -> int:
+        """CRC-32 of data[start:stop].  Long ranges are taken from running sums at every 4096 bytes, so
+        that ranges which overlap cost no repeated pass."""
+        if stop - start <= 1 << 16:
+            return zlib.crc32(self.data[start:stop])
+        while len(self.sums) <= stop >> 12:
+            k = len(self.sums)
+            self.sums.append(zlib.crc32(self.data[(k - 1) << 12 : k << 12], self.sums[-1]))
+        one, both = (zlib.crc32(self.data[p >> 12 << 12 : p], self.sums[p >> 12]) for p in (start, stop))
+        return both ^ _shifted(one, stop - start)
+
+
+def _times(matrix: list[int], vector: int) -> int:
+    out = k = 0
+    while vector:
+        if vector & 1:
+            out ^= matrix[k]
+        vector >>= 1
+        k += 1
+    return out
+
+
+@lru_cache(1)
+def _zeros() -> list[list[int]]:
+    """What 1, 2, 4, ... zero bytes do to a CRC-32, as matrices over its bits."""
+    bit = [0xEDB88320] + [1 << k for k in range(31)]
+    for _ in range(3):
+        bit = [_times(bit, row) for row in bit]
+    out = [bit]
+    for _ in range(40):
+        out.append([_times(out[-1], row) for row in out[-1]])
+    return out
+
+
+def _shifted(crc: int, size: int) -> int:
+    """The part that a sum has in the sum of ``size`` more bytes."""
+    for k, matrix in enumerate(_zeros()):
+        if size >> k & 1:
+            crc = _times(matrix, crc)
+    return crc
+
+
+class Road:
+    """Places that lead to one another, always onwards: the place reached after some steps, or whether a
+    place lies on the way, in logarithmic time.  Each place keeps its depth and a jump (skew-binary
+    numbers)."""
+
+    def __init__(self, step: Callable[[int], int | None]):
+        self.step = step
+        self.depth: dict[int, int] = {}
+        self.next: dict[int, int | None] = {}
+        self.jump: dict[int, int] = {}
+
+    def _enter(self, at: int) -> None:
+        path = []
+        place: int | None = at
+        while place is not None and place not in self.depth:
+            path.append(place)
+            self.next[place] = place = self.step(place)
+        for place in reversed(path):
+            after = self.next[place]
+            if after is None:
+                self.depth[place], self.jump[place] = 0, place
+                continue
+            self.depth[place] = self.depth[after] + 1
+            far = self.jump[after]
+            even = self.depth[after] - self.depth[far] == self.depth[far] - self.depth[self.jump[far]]
+            self.jump[place] = self.jump[far] if even else after
+
+    def passes(self, at: int, goal: int) -> bool:
+        """Whether the way from ``at`` leads through ``goal``."""
+        self._enter(at)
+        while at < goal and self.next[at] is not None:
+            at = self.jump[at] if self.jump[at] <= goal else self.next[at]
+        return at == goal
+
+    def after(self, at: int, steps: int) -> int | None:
+        """The place ``steps`` further on; None if the way ends before."""
+        self._enter(at)
+        depth = self.depth[at] - steps
+        if depth < 0:
+            return None
+        while self.depth[at] > depth:
+            at = self.jump[at] if self.depth[self.jump[at]] >= depth else self.next[at]
+        return at
+
 
 def _riff(b: bytes, at: int, marks: Marks) -> tuple[str, int] | None:
     if at + 12 > len(b):
@@ -73,60 +188,73 @@ def _riff(b: bytes, at: int, marks: Marks) -> tuple[str, int] | None:
     kind = {b"WAVE": "audio/wav", b"AVI ": "video/avi", b"WEBP": "image/webp"}.get(b[at + 8 : at + 12])
     if kind is None or size < 12 or at + size > len(b):
         return None
-    p, seen = at + 12, set()
-    while p + 8 <= at + size:
-        seen.add(b[p : p + 4])
-        step = 8 + struct.unpack_from("<I", b, p + 4)[0]
-        p += step + step % 2
-    if p != at + size or kind == "audio/wav" and not {b"fmt ", b"data"} <= seen:
+
+    def step(p: int) -> int | None:
+        if p + 8 > len(b):
+            return None
+        size = struct.unpack_from("<I", b, p + 4)[0]
+        return p + 8 + size + size % 2
+
+    def chunk(p: int) -> tuple[int | None, tuple]:
+        # Where the next format and data chunks are.
+        name = b[p : p + 4]
+        return step(p), (p if name == b"fmt " else math.inf, p if name == b"data" else math.inf)
+
+    if not marks.road("riff", step).passes(at + 12, at + size):
+        return None
+    if kind == "audio/wav" and max(marks.chain("riff", at + 12, chunk, lambda x, y: (min(x[0], y[0]), min(x[1], y[1])))) >= at + size:
         return None
     return kind, size
 
 
 def _png(b: bytes, at: int, marks: Marks) -> tuple[str, int] | None:
-    p, first = at + 8, True
-    while p + 12 <= len(b):
+    def step(p: int) -> tuple[int | None, tuple]:
+        if p + 12 > len(b):
+            return None, (None,)
         size, kind = struct.unpack_from(">I4s", b, p)
-        if p + 12 + size > len(b) or first and kind != b"IHDR":
-            return None
-        if zlib.crc32(b[p + 4 : p + 8 + size]) != struct.unpack_from(">I", b, p + 8 + size)[0]:
-            return None
-        p += 12 + size
-        first = False
-        if kind == b"IEND":
-            return "image/png", p - at
-    return None
+        if p + 12 + size > len(b) or marks.checksum(p + 4, p + 8 + size) != struct.unpack_from(">I", b, p + 8 + size)[0]:
+            return None, (None,)
+        return (None, (p + 12 + size,)) if kind == b"IEND" else (p + 12 + size, ())
+
+    if b[at + 12 : at + 16] != b"IHDR":
+        return None
+    end = marks.chain("png", at + 8, step)[0]
+    return None if end is None else ("image/png", end - at)
 
 
 def _gif(b: bytes, at: int, marks: Marks) -> tuple[str, int] | None:
-    if at + 13 > len(b):
-        return None
-    p = at + 13 + (3 * (2 << (b[at + 10] & 7)) if b[at + 10] & 128 else 0)
-    while p < len(b):
-        lead = b[p]
+    def data(p: int) -> tuple[int | None, tuple]:
+        """The end of a row of sub-blocks."""
+        return (p + 1 + b[p], ()) if p < len(b) and b[p] else (None, (p + 1,))
+
+    def step(p: int) -> tuple[int | None, tuple]:
+        lead = b[p] if p < len(b) else None
         if lead == 0x3B:
-            return "image/gif", p + 1 - at
+            return None, (p + 1,)
         if lead == 0x21:
             p += 2
         elif lead == 0x2C and p + 10 < len(b):
             p += 11 + (3 * (2 << (b[p + 9] & 7)) if b[p + 9] & 128 else 0)
         else:
-            return None
-        while p < len(b) and b[p]:
-            p += 1 + b[p]
-        p += 1
-    return None
+            return None, (None,)
+        return marks.chain("gif data", p, data)[0], ()
+
+    if at + 13 > len(b):
+        return None
+    p = at + 13 + (3 * (2 << (b[at + 10] & 7)) if b[at + 10] & 128 else 0)
+    end = marks.chain("gif", p, step)[0]
+    return None if end is None else ("image/gif", end - at)
 
 
 def _jpeg(b: bytes, at: int, marks: Marks) -> tuple[str, int] | None:
-    p = at + 2
-    while p + 4 <= len(b) and b[p] == 0xFF:
-        mark = b[p + 1]
-        p += 2 + struct.unpack_from(">H", b, p + 2)[0]
-        if mark == 0xDA:
-            end = marks.first("jpeg", p)
-            return ("image/jpeg", end + 2 - at) if end is not None else None
-    return None
+    def step(p: int) -> tuple[int | None, tuple]:
+        if p + 4 > len(b) or b[p] != 0xFF:
+            return None, (None,)
+        after = p + 2 + struct.unpack_from(">H", b, p + 2)[0]
+        return (None, (marks.first("jpeg", after),)) if b[p + 1] == 0xDA else (after, ())
+
+    end = marks.chain("jpeg", at + 2, step)[0]
+    return None if end is None else ("image/jpeg", end + 2 - at)
 
 
 def _bmp(b: bytes, at: int, marks: Marks) -> tuple[str, int] | None:
@@ -166,33 +294,37 @@ def _flac(b: bytes, at: int, marks: Marks) -> tuple[str, int] | None:
 
 
 def _ogg(b: bytes, at: int, marks: Marks) -> tuple[str, int] | None:
-    p = at
-    while p + 27 <= len(b) and b[p : p + 5] == b"OggS\0":
+    def step(p: int) -> tuple[int | None, tuple]:
+        if p + 27 > len(b) or b[p : p + 5] != b"OggS\0":
+            return None, (None,)
         table = b[p + 27 : p + 27 + b[p + 26]]
-        if p + 27 + len(table) + sum(table) > len(b):
-            return None
-        last = b[p + 5] & 4
-        p += 27 + len(table) + sum(table)
-        if last:
-            return "application/ogg", p - at
-    return None
+        end = p + 27 + len(table) + sum(table)
+        if end > len(b):
+            return None, (None,)
+        return (None, (end,)) if b[p + 5] & 4 else (end, ())
+
+    end = marks.chain("ogg", at, step)[0]
+    return None if end is None else ("application/ogg", end - at)
 
 
 def _id3(b: bytes, at: int, marks: Marks) -> tuple[str, int] | None:
     """The tag, then layer III frames one after the other; their headers give their lengths."""
-    if at + 12 > len(b) or any(x & 128 for x in b[at + 6 : at + 10]) or b[at + 3] not in (2, 3, 4):
-        return None
-    p = first = at + 10 + sum(x << s for x, s in zip(b[at + 6 : at + 10], (21, 14, 7, 0)))
-    while p + 4 <= len(b) and b[p] == 0xFF and b[p + 1] & 0xE6 == 0xE2:
+
+    def step(p: int) -> tuple[int | None, tuple]:
+        if p + 4 > len(b) or b[p] != 0xFF or b[p + 1] & 0xE6 != 0xE2:
+            return None, (p,)
         version, rate, sample = b[p + 1] >> 3 & 3, b[p + 2] >> 4, b[p + 2] >> 2 & 3
         if version == 1 or rate in (0, 15) or sample == 3:
-            break
+            return None, (p,)
         hertz = MP3_SAMPLES[sample] >> (0 if version == 3 else 1 if version == 2 else 2)
         size = (144 if version == 3 else 72) * 1000 * MP3_RATES[version != 3][rate] // hertz + (b[p + 2] >> 1 & 1)
-        if p + size > len(b):
-            break
-        p += size
-    return ("audio/mpeg", p - at) if p > first else None
+        return (None, (p,)) if p + size > len(b) else (p + size, ())
+
+    if at + 12 > len(b) or any(x & 128 for x in b[at + 6 : at + 10]) or b[at + 3] not in (2, 3, 4):
+        return None
+    first = at + 10 + sum(x << s for x, s in zip(b[at + 6 : at + 10], (21, 14, 7, 0)))
+    end = marks.chain("mp3", first, step)[0]
+    return ("audio/mpeg", end - at) if end > first else None
 
 
 def _gzip(b: bytes, at: int, marks: Marks) -> tuple[str, int] | None:
@@ -215,25 +347,30 @@ def _gzip(b: bytes, at: int, marks: Marks) -> tuple[str, int] | None:
 
 
 def _midi(b: bytes, at: int, marks: Marks) -> tuple[str, int] | None:
+    def step(p: int) -> int | None:
+        return p + 8 + struct.unpack_from(">I", b, p + 4)[0] if b[p : p + 4] == b"MTrk" and p + 8 <= len(b) else None
+
     if at + 14 > len(b) or struct.unpack_from(">I", b, at + 4)[0] != 6:
         return None
-    p = at + 14
-    for _ in range(struct.unpack_from(">H", b, at + 10)[0]):
-        if b[p : p + 4] != b"MTrk" or p + 8 > len(b):
-            return None
-        p += 8 + struct.unpack_from(">I", b, p + 4)[0]
-    return ("audio/midi", p - at) if p <= len(b) else None
+    end = marks.road("midi", step).after(at + 14, struct.unpack_from(">H", b, at + 10)[0])
+    return ("audio/midi", end - at) if end is not None and end <= len(b) else None
 
 
 def _mp4(b: bytes, at: int, marks: Marks) -> tuple[str, int] | None:
-    p, boxes = at, set()
-    while p + 8 <= len(b):
+    def step(p: int) -> tuple[int | None, tuple]:
+        if p + 8 > len(b):
+            return None, (p, False, frozenset())
         size, kind = struct.unpack_from(">I4s", b, p)
         if size < 8 or p + size > len(b) or not kind.isalnum():
-            break
-        boxes.add(kind)
-        p += size
-    return ("video/mp4", p - at) if b"ftyp" in boxes and len(boxes) > 1 else None
+            return None, (p, False, frozenset())
+        return p + size, (kind == b"ftyp", kind)
+
+    def join(box: tuple, rest: tuple) -> tuple:
+        # The end, whether there is a file type, and up to two kinds of boxes.
+        return rest[0], box[0] or rest[1], rest[2] if len(rest[2]) > 1 else rest[2] | {box[1]}
+
+    end, typed, kinds = marks.chain("mp4", at, step, join)
+    return ("video/mp4", end - at) if typed and len(kinds) > 1 else None
 
 
 _CHECKS = {

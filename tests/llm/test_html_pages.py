@@ -123,6 +123,32 @@ def test_nothing_else_is_dropped():
         assert got.count(text) == inner.count(text)
 
 
+def test_wrappers_lose_nothing():
+    """Class words of boxes around the page, also where comments outweigh the article."""
+    c = html_extract.Classifier(np.zeros((0, html_extract.N_FEATURES)), np.zeros(0))
+    paras = PROSE[:3]
+    ps = "".join(f"<p>{p}</p>" for p in paras)
+    want = "\n".join(["A river and its towns", *paras])
+    for kind in ("no-sidebar", "has-sidebar", "comments-closed", "nav-fixed", "withSidebar has-comments", "ads-enabled", "page sidebar nav comments"):
+        for inner in (f"<div><h1>A river and its towns</h1>{ps}</div>", f"<article><h1>A river and its towns</h1>{ps}</article>"):
+            assert html_extract.main_text(f'<html><body><div class="{kind}">{inner}</div></body></html>', c) == want
+            talk = "".join(f"<p>{p}</p>" for p in PROSE[4:])
+            got = html_extract.main_text(f'<body><div class="{kind}">{inner}<div class="comments">{talk}</div></div></body>', c)
+            assert not set(got.split("\n")) & set(PROSE[4:]) and "article" not in inner or got == want
+    # A heading in a small box takes nothing back.
+    got = html_extract.main_text(f'<div class="sidebar"><h1>Shop</h1><p><a href=x>Buy this</a></p></div><div class="content">{ps}</div>', c)
+    assert "Buy" not in got and paras[0] in got
+
+
+def test_tags():
+    cases = {
+        "<a title='x>y'>t</a>": "t", "<a title=\"x>t": "t", "a < b <3 c": "a < b <3 c", "<![CDATA[1 < 2]]>": "1 < 2", "<![CDATA[x>t": "t", "<!-- a > b -->t<!-- u": "t", "<?php x ?>t": "t",
+        "t<b": "t<b", "x</>y": "x</>y", "<svg>a</svg>b<svg>c": "b c", "<script>a<b></script>t": "t", "<style>x": "", "<td>a<td>b": "a\nb",
+    }
+    for source, want in cases.items():
+        assert "\n".join(b.text for b in html_extract.read_blocks(source)) == want, source
+
+
 def test_long_page_and_ties():
     c = fitted([h for h, _ in pages(24)])
     many = "".join(f"<div><p>Paragraph {k} of a very long page, with words enough to count as text.</p></div><ul><li><a href=x>Link {k}</a></li></ul>" for k in range(20_000))
