@@ -5,19 +5,21 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..config import DEFAULTS, Settings, fallback
 from ..functions import templates as tpl
 from ..model import Classified, ColumnClass, ColumnProfile, Expression
 from ..plans import guard
+from . import patterns
 from .classify import name_words
 
 # Words in names that tell a column's type; texts that are null on purpose.
-DURATION_WORDS = set("hrs hours hr mins minutes min secs seconds sec days duration".split())
-DATE_WORDS = set("date at on time timestamp datetime".split())
-AMOUNT_WORDS = set("amount price cost revenue balance fee total salary rate".split())
+DURATION_WORDS = ("hrs", "hours", "hr", "mins", "minutes", "min", "secs", "seconds", "sec", "days", "duration")
+DATE_WORDS = ("date", "at", "on", "time", "timestamp", "datetime")
+AMOUNT_WORDS = ("amount", "price", "cost", "revenue", "balance", "fee", "total", "salary", "rate")
 BOOLEAN_WORDS = ("is_", "has_", "flag", "active", "enabled", "verified")
 EXPECTED_NULLS = ("tbd", "na", "n/a", "n.a.", "null", "none", "-", "–", "—", "nan", "#n/a", "nil", "", "not available", "missing")
 
@@ -42,11 +44,11 @@ def target_type(c: ColumnProfile, values: list[str], settings: Settings = DEFAUL
     if _NATIVE.search(c.declared_type.lower()):
         return None
     words = name_words(c.name)
-    if words & DURATION_WORDS:
+    if words & set(DURATION_WORDS):
         return "DOUBLE"
-    if words & DATE_WORDS:
+    if words & set(DATE_WORDS):
         return "TIMESTAMP"
-    if words & AMOUNT_WORDS:
+    if words & set(AMOUNT_WORDS):
         return "DOUBLE"
     if _boolean_name(c.name, settings.mode == "parity"):
         return "BOOLEAN"
@@ -97,8 +99,6 @@ def lost_values(df: DataFrame, bases: dict[str, tuple[str, str]], limit: int = D
         lost = f"lower(trim({text})) not in ({known})" if target == "BOOLEAN" else f"({sql}) is null"
         entries.append(F.when(F.expr(f"{text} is not null and {lost}"), F.struct(F.lit(name).alias("name"), F.expr(text).alias("value"))))
     rows = df.select(F.explode(F.array_compact(F.array(*entries))).alias("x")).select("x.*").distinct()
-    from pyspark.sql.window import Window
-
     first = rows.withColumn("k", F.row_number().over(Window.partitionBy("name").orderBy("value"))).filter(F.col("k") <= limit)
     out: dict[str, list[str]] = {name: [] for name in bases}
     for r in first.orderBy("name", "k").collect():
@@ -106,6 +106,27 @@ def lost_values(df: DataFrame, bases: dict[str, tuple[str, str]], limit: int = D
     return out
 
 
+#: Most patterns of a column's unread values; with more of them no expression is looked for.
+PATTERNS = 50
+
+
+def lost_patterns(df: DataFrame, bases: dict[str, tuple[str, str]]) -> dict[str, list[str]]:
+    """For each column one unread value of each pattern (:func:`patterns.pattern`), over all values; none
+    where there are more than ``PATTERNS``.  One job for all columns."""
+    if not bases:
+        return {}
+    entries = [F.when(F.expr(f"{tpl.as_text(n)} is not null and ({sql}) is null"), F.struct(F.lit(n).alias("name"), F.expr(tpl.as_text(n)).alias("value"))) for n, (sql, _) in bases.items()]
+    rows = df.select(F.explode(F.array_compact(F.array(*entries))).alias("x")).select("x.*")
+    form = F.lower(F.trim(F.regexp_replace("value", r"\s+", " ")))
+    form = F.regexp_replace(F.regexp_replace(form, ",[0-9]{3}(?![0-9])", ",#"), "[0-9]+", "9")
+    each = rows.groupBy("name", form.alias("form")).agg(F.min("value").alias("value"))
+    listed = each.withColumn("k", F.row_number().over(Window.partitionBy("name").orderBy("form"))).filter(F.col("k") <= PATTERNS + 1)
+    out: dict[str, list[str]] = {n: [] for n in bases}
+    for r in listed.orderBy("name", "k").collect():
+        out[r["name"]].append(r["value"])
+    return {n: v if len(v) <= PATTERNS else [] for n, v in out.items()}
+
+
 def is_private(value: str, target: str) -> bool:
     """Too long, or shaped like an address or a phone number."""
     if len(value) > 100 or re.search(_EMAIL, value):
@@ -134,6 +155,24 @@ def verified(df: DataFrame, column: str, sql: str, values: list[str], target: st
     return all(r["out"] is not None for r in got if not is_expected_null(r["v"]))
 
 
+def reads_alike(df: DataFrame, column: str, sql: str, values: list[str]) -> bool:
+    """Whether the expression gives each value's own number."""
+    table = df.sparkSession.createDataFrame([(v,) for v in values], f"{tpl.quoted(column)} string")
+    got = table.select(F.col(tpl.quoted(column)).alias("v"), F.expr(sql).alias("out")).collect()
+    return all(r["out"] == patterns.read(r["v"]) for r in got if not is_expected_null(r["v"]))
+
+
+def expected_null(value: Column) -> Column:
+    """:func:`is_expected_null` for a whole column."""
+    return F.lower(F.trim(value)).isin(*EXPECTED_NULLS) | ~value.rlike("[0-9]")
+
+
+def private(value: Column, target: str) -> Column:
+    """:func:`is_private` for a whole column."""
+    shown = F.trim(value).rlike(_DATE) if target == "TIMESTAMP" else F.lit(False)
+    return (F.length(value) > 100) | value.rlike(_EMAIL) | (~shown & value.rlike(_PHONE))
+
+
 def heal(df: DataFrame, classified: list[Classified], suggest: Suggester | None = None, settings: Settings = DEFAULTS) -> list[Expression]:
     """One expression for each column that may be cleaned; what can't be read leads to a patch, if
     somebody suggests one that passes, or to the deterministic expression."""
@@ -149,6 +188,8 @@ def heal(df: DataFrame, classified: list[Classified], suggest: Suggester | None
         counts = {n: got[f"n{k}"] for k, n in enumerate(targets)}
     few = {n for n in targets if counts[n] < settings.min_values}
     lost = lost_values(df, {n: t for n, t in targets.items() if n not in few}, settings.exception_limit)
+    unread = {n: targets[n] for n, v in lost.items() if v and targets[n][1] == "DOUBLE" and settings.mode == "full"}
+    shapes = {n: [v for v in vs if not is_expected_null(v)] for n, vs in lost_patterns(df, unread).items()}
     out = []
     for c in live:
         p = c.column
@@ -174,8 +215,13 @@ def heal(df: DataFrame, classified: list[Classified], suggest: Suggester | None
                     patch = suggest({"column": name, "target": target, "base": sql, "values": open_})
                 except Exception:
                     patch = None
+            examples = shapes.get(name, [])
+            derived = patterns.propose(name, sql, [v for v in examples if not is_private(v, target)])
             if patch and verified(df, name, patch, open_, target):
                 sql, source = patch, "suggested"
+            elif derived and verified(df, name, derived, open_, target) and reads_alike(df, name, derived, open_ + examples):
+                sql = derived
+                notes.append(f"unread values are read by pattern: {', '.join(sorted({patterns.pattern(v) for v in examples}))}")
             else:
                 if not all(is_expected_null(v) for v in open_):
                     fallback(settings, f"{name}: unread values")

@@ -11,14 +11,20 @@ from ..model import Classified, ColumnClass, ColumnProfile, TableProfile
 
 # Words in column names that mark personal data, affixes of identifiers and types
 # that hold structure.
-PII_WORDS = set(
-    "name fname lname firstname lastname fullname surname middlename initials email mail phone mobile cell tel fax whatsapp address addr street road avenue lane "
-    "locality city town district state province country zip postal postcode pincode ssn sin passport license licence nid national dob birthdate birthday birth "
-    "gender sex ethnicity race religion caste ip ipaddress mac imei deviceid useragent session cookie password pwd secret token apikey pin".split()
-)
-ID_ENDINGS = tuple("_id _key _ref _fk _pk _uuid _hash _no _num _number _code".split())
-ID_BEGINNINGS = tuple("id_ fk_ pk_ uuid_".split())
-STRUCTURED = tuple("json jsonb array bytea binary blob xml hstore inet cidr macaddr tsvector tsquery bit varbit struct map variant".split())
+PII_WORDS = (
+    "name", "fname", "lname", "firstname", "lastname", "fullname", "surname", "middlename", "initials",
+    "email", "mail", "phone", "mobile", "cell", "tel", "fax", "whatsapp",
+    "address", "addr", "street", "road", "avenue", "lane", "locality", "city", "town", "district", "state", "province", "country", "zip", "postal", "postcode", "pincode",
+    "ssn", "sin", "passport", "license", "licence", "nid", "national",
+    "dob", "birthdate", "birthday", "birth", "gender", "sex", "ethnicity", "race", "religion", "caste",
+    "ip", "ipaddress", "mac", "imei", "deviceid", "useragent", "session", "cookie",
+    "password", "pwd", "secret", "token", "apikey", "pin",
+)
+ID_ENDINGS = ("_id", "_key", "_ref", "_fk", "_pk", "_uuid", "_hash", "_no", "_num", "_number", "_code")
+ID_BEGINNINGS = ("id_", "fk_", "pk_", "uuid_")
+STRUCTURED = (
+    "json", "jsonb", "array", "bytea", "binary", "blob", "xml", "hstore", "inet", "cidr", "macaddr", "tsvector", "tsquery", "bit", "varbit", "struct", "map", "variant",
+)
 TEXT_TYPES = ("varchar", "text", "character varying", "char", "string")
 SKIPPED = {ColumnClass.PII, ColumnClass.IDENTIFIER, ColumnClass.STRUCTURAL}
 
@@ -42,7 +48,7 @@ def is_structured(declared: str) -> bool:
 
 def by_schema(c: ColumnProfile) -> Classified | None:
     """A class that needs no values; None: values decide."""
-    if name_words(c.name) & PII_WORDS:
+    if name_words(c.name) & set(PII_WORDS):
         return Classified(c, ColumnClass.PII, ["personal data by name"])
     if is_identifier(c):
         return Classified(c, ColumnClass.IDENTIFIER, ["key or identifier by name"])

@@ -90,10 +90,10 @@ class Engine:
         classified = classify.classify(t, overrides, self.settings)
         plan = compiling.compile_plan(t.table, rows, classified, given, self.suggest, patch, self.settings)
         try:
-            guard.validate(self.spark, compiling.assemble(plan), t.table)
+            guard.validate(self.spark, compiling.assemble(plan), t.table, rows.schema)
         except guard.InvalidSql:
             plan = compiling.compile_plan(t.table, rows, classified, given, None, patch, self.settings)
-            guard.validate(self.spark, compiling.assemble(plan), t.table)
+            guard.validate(self.spark, compiling.assemble(plan), t.table, rows.schema)
         plan.overrides = {k: v.value for k, v in overrides.items()}
         diff = dryrun.dry_run(plan, rows, self.settings)
         self.state.put(
@@ -165,8 +165,9 @@ class Engine:
             plan.expressions = [overrides.get(e.column, e) for e in plan.expressions]
             if any(e.source == "deterministic_fallback" for e in overrides.values()):
                 raise NotReady("an answered column fell back")
-            guard.validate(self.spark, compiling.assemble(plan), table)
-            diff = dryrun.dry_run(plan, self._sample(project, source, table, t), self.settings)
+            rows = self._sample(project, source, table, t)
+            guard.validate(self.spark, compiling.assemble(plan), table, rows.schema)
+            diff = dryrun.dry_run(plan, rows, self.settings)
             if not diff.safe:
                 raise NotReady("; ".join(diff.warnings))
             self.state.write_memory(project, "Business_Logic", f"cleaning_script_{table}", plan.to_json())

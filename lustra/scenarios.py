@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalogue import COLUMNS, ORDERS_PLAN, Query, folder_of, frame, sql_of_cleaned, sql_of_ratios
-from .messy import messy
-from .model import CleaningPlan, Expression
-from .operators import profile, profilestate, sample
+from .messy import duck, messy
+from .model import Classified, CleaningPlan, ColumnClass, Expression, Member
+from .operators import capture, consistency, profile, profilestate, sample
 from .pipeline import Engine
+from .plans import guard
 from .plans.materialize import Cache
 from .sources import snapshot as snapshots
 from .sources.tables import Source
@@ -137,6 +138,97 @@ def sample_keyless(spark: SparkSession, sf: str) -> DataFrame:
     return sample.stratified(df, profile.full_table(df, "lineitem"))
 
 
+# Values that a cast loses.
+
+_WAIT = """SELECT p_partkey AS product_id, CASE p_partkey % 4 WHEN 0 THEN concat(CAST(p_size AS STRING), ' hours') WHEN 1 THEN concat(CAST(p_size AS STRING), ',5 h')
+  WHEN 2 THEN concat('0.', lpad(CAST(p_size AS STRING), 2, '0'), '  Hrs') ELSE 'n/a' END AS wait_hours,
+  CASE p_partkey % 2 WHEN 0 THEN concat(CAST(p_size AS STRING), ' kg') ELSE concat(CAST(p_size AS STRING), ' g') END AS net_amount FROM {0}"""
+
+
+@_query(f"""WITH w AS ({_WAIT.format('part')}) SELECT product_id, CASE WHEN wait_hours <> 'n/a' THEN replace(regexp_extract(wait_hours, '[0-9]+([.,][0-9]+)?'), ',', '.')::DOUBLE END AS wait_hours,
+  TRY_CAST(net_amount AS DOUBLE) AS net_amount FROM w""")
+def pattern_patches(spark: SparkSession, sf: str) -> DataFrame:
+    """Hours in several spellings are read by pattern; amounts in kilograms and grams are not, as the
+    number alone would lose the unit."""
+    df = spark.sql(_WAIT.format("{t}"), t=spark.read.parquet(f"{sf}/part.parquet"))
+    t = profile.full_table(df, "stock", "product_id")
+    columns = [Classified(c, ColumnClass.CLEAN_DET) for c in profile.enrich(t, df).columns if c.name != "product_id"]
+    healed = capture.heal(df, columns)
+    return df.selectExpr("product_id", *[f"{e.sql[0]} AS {e.column}" for e in healed])
+
+
+_LOST = f"lower(trim(order_value)) IN ({', '.join(repr(v) for v in capture.EXPECTED_NULLS)}) OR NOT regexp_matches(order_value, '[0-9]')"
+
+
+@_query(duck("messy_orders") + f"SELECT value, {_LOST.replace('order_value', 'value')} AS expected_null FROM (SELECT DISTINCT order_value AS value FROM messy_orders)")
+def expected_nulls(spark: SparkSession, sf: str) -> DataFrame:
+    """All distinct values of a column."""
+    values = messy(spark, sf, "messy_orders").select(F.col("order_value").alias("value")).distinct()
+    return values.select("value", capture.expected_null(F.col("value")).alias("expected_null"))
+
+
+@_query(duck("messy_customer") + r"""SELECT column_name, value, length(value) > 100 OR regexp_matches(value, '\S+@\S+\.\S+')
+    OR (NOT (column_name = 'signup_date' AND regexp_matches(trim(value), '^[0-9]{1,4}[-/.][0-9]{1,2}[-/.][0-9]{1,4}$')) AND regexp_matches(value, '[+0-9][0-9\s\-()]{7,}')) AS private
+  FROM (SELECT 'phone_number' AS column_name, phone_number AS value FROM messy_customer UNION SELECT 'full_name', full_name FROM messy_customer UNION SELECT 'signup_date', signup_date FROM messy_customer)""")
+def private_values(spark: SparkSession, sf: str) -> DataFrame:
+    """All distinct values of three columns."""
+    df = messy(spark, sf, "messy_customer")
+    parts = [df.select(F.lit(c).alias("column_name"), F.col(c).alias("value")).distinct().withColumn("private", capture.private(F.col("value"), "TIMESTAMP" if c == "signup_date" else "DOUBLE")) for c in ("phone_number", "full_name", "signup_date")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@_query(duck("messy_orders") + f""", lost AS (SELECT DISTINCT discount_pct AS v FROM messy_orders WHERE TRY_CAST(discount_pct AS DOUBLE) IS NULL AND discount_pct IS NOT NULL ORDER BY v LIMIT 20)
+  SELECT name, bool_and(x IS NOT NULL OR {_LOST.replace('order_value', 'v')}) AS accepted FROM (
+    SELECT 'cast' AS name, v, TRY_CAST(v AS DOUBLE) AS x FROM lost UNION ALL SELECT 'digits', v, TRY_CAST(regexp_replace(v, '[^0-9.]', '', 'g') AS DOUBLE) FROM lost) GROUP BY name UNION ALL SELECT 'outside', FALSE""")
+def verified_patches(spark: SparkSession, sf: str) -> DataFrame:
+    """Which expressions read all of a column's lost values, and are safe."""
+    df = messy(spark, sf, "messy_orders")
+    lost = capture.lost_values(df, {"discount_pct": ("try_cast(`discount_pct` as double)", "DOUBLE")})["discount_pct"]
+    tried = {"cast": "try_cast(`discount_pct` as double)", "digits": "try_cast(regexp_replace(`discount_pct`, '[^0-9.]', '') as double)", "outside": "java_method('java.lang.System', 'exit')"}
+    return frame(spark, [(k, capture.verified(df, "discount_pct", e, lost)) for k, e in tried.items()], "name string, accepted boolean")
+
+
+# Plans and classes.
+
+_TABLES = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey", "events": "event_id"}
+
+
+@_query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, CASE WHEN count(*) < 10000 THEN 'full_resync' ELSE 'append_only' END AS sync_mode, CASE WHEN count(*) >= 10000 THEN '{k}' END AS tracking FROM {t}" for t, k in _TABLES.items()))
+def sync_modes(spark: SparkSession, sf: str) -> DataFrame:
+    found = [profile.full_table(spark.read.parquet(f"{sf}/{t}.parquet"), t, k) for t, k in _TABLES.items()]
+    return frame(spark, [(t.table, t.sync_mode, t.tracking_column) for t in found], "table_name string, sync_mode string, tracking string")
+
+
+@_query("""SELECT table_name, column_name, kind, CASE kind WHEN 'year' THEN data_type LIKE 'TIMESTAMP%' WHEN 'trim' THEN TRUE ELSE FALSE END AS accepted
+  FROM information_schema.columns, (SELECT unnest(['year', 'trim', 'limit', 'distinct', 'where', 'max', 'other', 'missing']) AS kind) WHERE table_name IN ('customer', 'orders', 'part')""")
+def guarded_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """Cleaning SQL over each column of three tables, with the tables' own types."""
+    rows = []
+    for table in ("customer", "orders", "part"):
+        schema = spark.read.parquet(f"{sf}/{table}.parquet").schema
+        for f in schema.fields:
+            c = f"`{f.name}`"
+            tried = {
+                "year": f"SELECT year({c}) AS x FROM {table}", "trim": f"SELECT trim(cast({c} as string)) AS x FROM {table}", "limit": f"SELECT {c} FROM {table} LIMIT 1000", "distinct": f"SELECT DISTINCT {c} FROM {table}",
+                "where": f"SELECT {c} FROM {table} WHERE {c} IS NOT NULL", "max": f"SELECT max({c}) AS x FROM {table}", "other": f"SELECT {c} FROM region", "missing": f"SELECT {c}, nothing FROM {table}",
+            }
+            if not f.dataType.simpleString().startswith("timestamp"):
+                tried["year"] = f"SELECT date_trunc('YEAR', element_at({c}, 1)) AS x FROM {table}"
+            rows += [(table, f.name, k, guard.accepts(spark, sql, table, schema)) for k, sql in tried.items()]
+    return frame(spark, rows, "table_name string, column_name string, kind string, accepted boolean")
+
+
+@_query(duck("messy_customer") + """SELECT 'phone' AS label, CASE WHEN count_if(phone_number LIKE '+%') >= count_if(phone_number NOT LIKE '+%') THEN 'intl' ELSE 'local' END AS canonical FROM messy_customer
+  UNION ALL SELECT 'segment', (SELECT c_mktsegment FROM customer GROUP BY c_mktsegment ORDER BY count(*) DESC, c_mktsegment LIMIT 1)""")
+def majority_forms(spark: SparkSession, sf: str) -> DataFrame:
+    """The form that most rows have; ties go to the preferred one, then to the first."""
+    forms = F.when(F.col("phone_number").startswith("+"), "intl").otherwise("local")
+    phones = messy(spark, sf, "messy_customer").groupBy(forms.alias("form")).agg(F.count("*").alias("n")).orderBy("form").collect()
+    segments = spark.read.parquet(f"{sf}/customer.parquet").groupBy(F.col("c_mktsegment").alias("form")).agg(F.count("*").alias("n")).orderBy("form").collect()
+    said = [(label, consistency.majority([Member(label, label, r["form"], r["n"]) for r in rows], lambda f: f == "intl")) for label, rows in (("phone", phones), ("segment", segments))]
+    return frame(spark, said, "label string, canonical string")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -123,7 +123,7 @@ def test_dry_run_warns(spark, sales):
 
 
 def test_capture_and_patch(spark):
-    df = spark.createDataFrame([(f"{k} hours",) for k in range(15)] + [("n/a",), ("someone@x.org",)], "duration string")
+    df = spark.createDataFrame([(f"{k} hours",) for k in range(15)] + [("n/a",), ("someone@x.org",), ("3 of 4 hours",)], "duration string")
     c = ColumnProfile("duration", "string", sample_values=["1 hours"])
     found = [classify.Classified(c, ColumnClass.CLEAN_DET)]
     seen = []
@@ -143,6 +143,51 @@ def test_capture_and_patch(spark):
     assert capture.target_type(ColumnProfile("code", "string"), ["0042"], Settings(mode="parity")) == "DOUBLE"
 
 
+@pytest.mark.parametrize(
+    "values,read",
+    [
+        (["72 hours", "1,5 h", "0.35 hrs", "n/a", " 7  Hours "], [72.0, 1.5, 0.35, None, 7.0]),
+        (["5 kg", "5 g"], None),
+        (["1h 30m", "2h 5m"], None),
+        (["1,500 h", "2 h"], None),
+        (["1,500,000 h", "12,345,678.5 h"], [1500000.0, 12345678.5]),
+        (["(3 d)", "-4 d", "+5.5 d"], [3.0, -4.0, 5.5]),
+        (["3-4 h"], None),
+        (["'3' h", "'4' h"], [3.0, 4.0]),
+    ],
+)
+def test_patterns_without_a_model(spark, values, read):
+    df = spark.createDataFrame([(v,) for v in values * 12], "duration string")
+    e = capture.heal(df, [classify.Classified(ColumnProfile("duration", "string", sample_values=values), ColumnClass.CLEAN_DET)])[0]
+    if read is None:
+        assert e.source == "deterministic_fallback"
+    else:
+        assert e.source == "deterministic" and (len(values) == 1 or "pattern" in e.note)
+        got = {r["duration"]: r["x"] for r in df.selectExpr("duration", f"{e.sql[0]} AS x").distinct().collect()}
+        assert got == dict(zip(values, read))
+        assert capture.heal(df, [classify.Classified(ColumnProfile("duration", "string", sample_values=values), ColumnClass.CLEAN_DET)], settings=Settings(mode="parity"))[0].source == "deterministic_fallback"
+
+
+def test_patterns_come_from_all_values(spark):
+    rows = [(f"{k} hours",) for k in range(100)] + [("2 of 3 hours",)]
+    df = spark.createDataFrame(rows, "duration string")
+    c = classify.Classified(ColumnProfile("duration", "string", sample_values=["1 hours"]), ColumnClass.CLEAN_DET)
+    assert capture.heal(df, [c])[0].source == "deterministic_fallback"
+    many = spark.createDataFrame([(f"{chr(97 + k % 26) * (1 + k // 26)} {k}",) for k in range(200)], "duration string")
+    assert capture.lost_patterns(many, {"duration": ("try_cast(duration as double)", "DOUBLE")}) == {"duration": []}
+
+
+def test_guard_after_analysis(spark):
+    schema = spark.createDataFrame([], "a string, b int, `c d` date").schema
+    for good in ("SELECT a, upper(a) AS x, `c d` FROM t", "SELECT b + 1 AS b FROM T;", "SELECT year(`c d`) AS y FROM t"):
+        assert guard.accepts(spark, good, "t", schema)
+    for bad in ("SELECT a FROM t LIMIT 1000", "SELECT DISTINCT a FROM t", "SELECT a FROM t WHERE false", "SELECT max(a) AS a FROM t", "SELECT a FROM t ORDER BY a", "SELECT a FROM t GROUP BY a", "SELECT a FROM t HAVING true"):
+        assert not guard.accepts(spark, bad, "t") and not guard.accepts(spark, bad, "t", schema)
+    for bad in ("SELECT z FROM t", "SELECT element_at(b, 1) AS x FROM t", "SELECT date_add(b, 1) AS x FROM t", "SELECT to_date(b) + a AS x FROM t"):
+        assert not guard.accepts(spark, bad, "t", schema)
+    assert guard.accepts(spark, "SELECT a FROM `odd name`", "odd name", schema) and spark.catalog.listTables() == [t for t in spark.catalog.listTables() if t.name != "odd name"]
+
+
 def test_consistency(spark):
     col = lambda name, form, kind="string": ColumnProfile(name, kind, signature=form)
     tables = {"a": TableProfile("a", 100, [col("customer_id", "numeric", "int")]), "b": TableProfile("b", 10, [col("customer_id", "numeric")]), "c": TableProfile("c", 5, [col("agent_id", "numeric")])}
