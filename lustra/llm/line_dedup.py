@@ -3,7 +3,7 @@ counted for each hash, lines over the threshold are dropped, and the rest is put
 position.
 
 All of it is DataFrame functions.  Only hashes and positions are shuffled by line; texts move once, in
-the last join, to meet the list of their dropped positions.  A document is a row; rows are told apart
+the last join, to meet the list of their dropped positions.  Lines of very many documents are salted.  A document is a row; rows are told apart
 by a 128-bit hash of id and text, and rows that are equal in both share their fate.
 """
 
@@ -14,8 +14,12 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import written
+
 #: What is stripped at both ends of a line: [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
+#: From this share of all counted lines on a line is spread over so many partitions.
+SHARE, SALTS = 1 / 1000, 64
 
 
 def line_key(line: Column) -> Column:
@@ -56,8 +60,16 @@ def dropped_positions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     lines = rows.select("_row", "_id", F.posexplode(F.split("_text", "\n", -1)).alias("_at", "line"))
     long = lines.filter(F.length(F.trim("line", F.lit(BLANKS))) >= least)
     placed = long.select("_row", "_id", "_at", F.unhex(_hash(line_key(F.col("line")))).alias("_key"))
-    # A very common line makes one large partition here; AQE splits it, as only an aggregate by row follows.
-    hit = placed.join(shared_lines(docs, id_col, text_col, least, documents), "_key").filter(~F.col("_id").eqNullSafe(F.col("_last")))
+    shared = written(shared_lines(docs, id_col, text_col, least, documents), "shared")
+    # A line of very many documents is dealt to SALTS partitions by row.  At most 1 / SHARE lines can have
+    # that share of all counts, whatever the input's size.
+    held = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = shared.filter(F.col("n") > held * SHARE).select(F.col("_key").alias("_hot"))
+    dealt = placed.join(F.broadcast(hot), F.col("_key") == F.col("_hot"), "left")
+    dealt = dealt.withColumn("_salt", F.when(F.col("_hot").isNotNull(), F.pmod(F.hash("_row"), F.lit(SALTS))).otherwise(F.lit(0)))
+    every = F.when(F.col("n") > held * SHARE, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    keys = shared.withColumn("_salt", F.explode(every))
+    hit = dealt.join(keys, ["_key", "_salt"]).filter(~F.col("_id").eqNullSafe(F.col("_last")))
     return hit.groupBy("_row").agg(F.array_sort(F.collect_set("_at")).alias("_gone"))
 
 

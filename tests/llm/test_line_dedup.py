@@ -60,6 +60,15 @@ def test_against_brute_force(spark):
     assert sorted(((r["doc_id"], r["text"]) for r in few.collect()), key=repr) == sorted(((r[0], r[4]) for r in brute(given, 1, 2)), key=repr)
 
 
+@pytest.mark.parametrize("share", [2.0, 0.0])
+def test_hot_lines(spark, monkeypatch, share):
+    """No line is spread, or every one."""
+    monkeypatch.setattr(line_dedup, "SHARE", share)
+    given = rows()
+    got = line_dedup.dedup_lines(spark.createDataFrame(given, "doc_id long, text string").repartition(3))
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr) == sorted(((r[0], r[4]) for r in brute(given)), key=repr)
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, _lines int, _dropped int")
     got = line_dedup.dedup_lines(docs)
