@@ -10,6 +10,8 @@ from pyspark.sql import types as T
 from ..config import DEFAULTS, Settings
 from ..functions.templates import quoted
 from ..model import TableProfile
+from ..sources.blocks import block_sample
+from ..sources.snapshot import Snapshot
 from .topk import Top, tops
 
 
@@ -44,14 +46,18 @@ def endpoints(df: DataFrame, primary_key: str, rows: int) -> DataFrame:
     return df.orderBy(k.asc(), row_hash(df)).limit(rows).union(df.orderBy(k.desc(), row_hash(df)).limit(rows))
 
 
-def first_rows(df: DataFrame, rows: int = DEFAULTS.first_rows) -> DataFrame:
-    """Some rows, as they come: no order, no full scan."""
-    return df.limit(rows)
+def first_rows(df: DataFrame, rows: int = DEFAULTS.first_rows, key: str | None = None) -> DataFrame:
+    """The first rows by the key, if one is given; else some rows, as they come: no order, no full
+    scan."""
+    return (df.orderBy(quoted(key)) if key else df).limit(rows)
 
 
-def page_sample(df: DataFrame, fraction: float = 0.01, seed: int = 42, rows: int = DEFAULTS.first_rows) -> DataFrame:
-    """A share of the rows, or the first rows where that share is empty."""
-    some = df.sample(fraction=fraction, seed=seed)
+def page_sample(df: DataFrame, fraction: float = 0.01, seed: int = 42, rows: int = DEFAULTS.first_rows, snapshot: Snapshot | None = None) -> DataFrame:
+    """A share of the rows, or the first rows where that share is empty.  With the table's snapshot whole
+    blocks are drawn, and only these are read; else rows are drawn from a full scan."""
+    some = block_sample(df.sparkSession, snapshot, fraction, seed) if snapshot is not None else None
+    if some is None:
+        some = df.sample(fraction=fraction, seed=seed)
     return some if some.head(1) else first_rows(df, rows)
 
 

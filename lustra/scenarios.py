@@ -138,6 +138,17 @@ def sample_keyless(spark: SparkSession, sf: str) -> DataFrame:
     return sample.stratified(df, profile.full_table(df, "lineitem"))
 
 
+@_query("SELECT l_orderkey // 500 AS block, count(*)::BIGINT AS n, sum(l_linenumber)::BIGINT AS lines FROM lineitem GROUP BY ALL")
+def block_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """A sample by row groups with a share of 1: each block once, with all its rows."""
+    at = folder_of(spark)
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber")
+    block = F.floor(F.col("l_orderkey") / 500)
+    lines.repartition(16, block).write.option("parquet.block.size", 1 << 16).parquet(f"{at}/source/lines.parquet")
+    shot = snapshots.take(spark, Source(f"{at}/source"), "lines", f"{at}/snapshot")
+    return sample.page_sample(shot.read(spark), 1.0, snapshot=shot).groupBy(block.alias("block")).agg(F.count("*").alias("n"), F.sum("l_linenumber").alias("lines"))
+
+
 # Values that a cast loses.
 
 _WAIT = """SELECT p_partkey AS product_id, CASE p_partkey % 4 WHEN 0 THEN concat(CAST(p_size AS STRING), ' hours') WHEN 1 THEN concat(CAST(p_size AS STRING), ',5 h')
