@@ -16,7 +16,6 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import re
 from collections.abc import Iterator
 from functools import lru_cache, reduce
 
@@ -28,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
+from .chunks import CUT, Numbers, ids_after_cuts, token_sizes
 from .scratch import discard, written
 
 #: Most chunks, and most tokens in them, that a worker keeps; most transitions.
@@ -39,8 +39,6 @@ TABLE = 1 << 21
 #: Pairs that are counted, and handed on, at a time.
 PAIRS = 1 << 20
 
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-
 
 def _byte_of_letter() -> dict[str, int]:
     """Byte-level spelling: printable bytes stand for themselves, the others for letters from 256 on."""
@@ -67,8 +65,14 @@ class ByteLevel:
         letters = _byte_of_letter()
         self.spelled = [bytes(letters[c] for c in self.tokenizer.id_to_token(k)) if all(c in letters for c in self.tokenizer.id_to_token(k)) else self.tokenizer.id_to_token(k).encode() for k in range(self.tokenizer.get_vocab_size())]
 
+        self.sizes = token_sizes(self.tokenizer) if self.cuts else None
+
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        if not self.cuts:
+            return [e.ids for e in self.tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        ids, counts = ids_after_cuts(self.tokenizer, self.sizes, texts)
+        ends, ids = np.cumsum(counts).tolist(), ids.tolist()
+        return [ids[a:b] for a, b in zip([0, *ends], ends)]
 
 
 class Pieces:
@@ -171,7 +175,7 @@ class Aligner:
         self.sides = tokenizer(a), tokenizer(b)
         self.cuts = all(s.cuts for s in self.sides)
         self.transducer = Transducer(*(s.spelled for s in self.sides))
-        self.number: dict[str, int] = {}
+        self.number = Numbers()
         self.groups: list[bytes] = []
         self.figures = np.zeros((1024, 5), dtype=np.int64)
         self.pairs: list[np.ndarray] = []
@@ -187,7 +191,7 @@ class Aligner:
         if 2 * int(self.figures[often, :2].sum()) > TOKENS:
             often = often[:0]
         names = list(self.number)
-        self.number = {names[k]: n for n, k in enumerate(often.tolist())}
+        self.number = Numbers({names[k]: n for n, k in enumerate(often.tolist())})
         self.groups = [self.groups[k] for k in often.tolist()]
         self.pairs = [self.pairs[k].copy() for k in often.tolist()]
         self.figures = np.concatenate([self.figures[often], np.zeros((1024, 5), dtype=np.int64)])
@@ -198,12 +202,8 @@ class Aligner:
     def full(self) -> bool:
         return len(self.number) > CHUNKS or self.tokens > TOKENS
 
-    def _learn(self, parts: list[str]) -> None:
-        new = [p for p in dict.fromkeys(parts) if p not in self.number]
-        if not new:
-            return
-        start = len(self.number)
-        self.number.update(zip(new, range(start, start + len(new))))
+    def _learn(self, new: list[str]) -> None:
+        start = len(self.number) - len(new)
         while len(self.number) > len(self.figures):
             self.figures = np.concatenate([self.figures, np.zeros_like(self.figures)])
             self.seen = np.concatenate([self.seen, np.zeros_like(self.seen)])
@@ -232,8 +232,9 @@ class Aligner:
 
         def learnt() -> None:
             nonlocal held
-            self._learn(parts)
-            done.append(np.fromiter(map(self.number.__getitem__, parts), dtype=np.int64, count=len(parts)))
+            done.append(self.number.of(parts, len(self.number)))
+            if self.number.new:
+                self._learn(self.number.new)
             self.seen += np.bincount(done[-1], minlength=len(self.seen))
             parts.clear()
             held = 0
@@ -241,9 +242,9 @@ class Aligner:
         for text in texts:
             at = size = 0
             while at < len(text):
-                cut = _CUT.search(text, at + STRIDE) if self.cuts else None
+                cut = CUT.search(text, at + STRIDE) if self.cuts else None
                 stop, after = cut.span() if cut else (len(text), len(text))
-                more = _CUT.split(text[at:stop]) if self.cuts else [text]
+                more = CUT.split(text[at:stop]) if self.cuts else [text]
                 parts += more
                 size, held, at = size + len(more), held + stop - at, after
                 if held > STRIDE:

@@ -53,7 +53,8 @@ FILTERS: dict[str, Callable[[Any], Any]] = {
     "length": len,
     "string": str,
 }
-#: Most characters of a string that an expression may build; a template from elsewhere can't ask for more.
+#: Most characters that an expression may add to a string, or build by repeating one.  Texts themselves may be
+#: of any length; a template from elsewhere can't make them grow by doubling.
 LONGEST = 1 << 20
 
 
@@ -66,8 +67,19 @@ def _times(a: Any, b: Any) -> Any:
     return a * b
 
 
+def _plus(a: Any, b: Any) -> Any:
+    if isinstance(a, (str, list)) and isinstance(b, (str, list)) and min(len(a), len(b)) > LONGEST:
+        raise TemplateError(f"two values of over {LONGEST} characters put together")
+    return a + b
+
+
+def _join(a: Any, b: Any) -> str:
+    """Both as text; what isn't there is empty, as where it is printed."""
+    return _plus(*("" if x is None else str(x) for x in (a, b)))
+
+
 _BINARY = {
-    "+": operator.add, "-": operator.sub, "*": _times, "~": lambda a, b: str(a) + str(b), "==": operator.eq, "!=": operator.ne,
+    "+": _plus, "-": operator.sub, "*": _times, "~": _join, "==": operator.eq, "!=": operator.ne,
     "<": operator.lt, ">": operator.gt, "<=": operator.le, ">=": operator.ge, "in": lambda a, b: a in b,
 }
 _LEVELS = [["or"], ["and"], ["==", "!=", "<", ">", "<=", ">=", "in"], ["+", "-", "~"], ["*"]]
@@ -220,9 +232,14 @@ class _Out:
 
 
 def parse(source: str) -> list[tuple]:
-    """The syntax tree: ("text", s), ("print", e), ("if", [(e, body)...], body), ("for", name, e,
+    """The syntax tree.  A tag that isn't closed is an error.  What ``set`` puts down in a loop holds for the
+    rounds that follow, and ends with the loop.  Nodes: ("text", s), ("print", e), ("if", [(e, body)...], body), ("for", name, e,
     body), ("set", name, e), ("generation", body)."""
-    tokens = [t for t in re.split(r"(\{\{.*?\}\}|\{%.*?%\})", source, flags=re.S) if t]
+    parts = re.split(r"(\{\{.*?\}\}|\{%.*?%\})", source, flags=re.S)
+    for t in parts[::2]:
+        if "{{" in t or "{%" in t:
+            raise TemplateError(f"unclosed tag in {t[:80]!r}")
+    tokens = [t for t in parts if t]
     at = 0
 
     def body(stops: tuple[str, ...]) -> tuple[list[tuple], str]:
@@ -233,7 +250,7 @@ def parse(source: str) -> list[tuple]:
             at += 1
             if t.startswith("{{"):
                 tree = _fold(_Parser(t[2:-2]).whole())
-                nodes.append(("text", str(tree[1])) if tree[0] == "const" else ("print", tree))
+                nodes.append(("text", "" if tree[1] is None else str(tree[1])) if tree[0] == "const" else ("print", tree))
             elif t.startswith("{%"):
                 inner = t[2:-2].strip().strip("-").strip()
                 word, _, rest = inner.partition(" ")

@@ -21,13 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .chunks import CUT, Numbers, ids_after_cuts, token_sizes
 from .scratch import ranked, written
 
 #: Most chunks, and most token ids for them, that a worker keeps.
-_CHUNKS, _KEPT = 300_000, 3_000_000
-#: A place where the byte-level pattern always starts a pre-token: a plain space between two characters
-#: that aren't white space.  A text can be cut there without a change of ids.
-_CUT = re.compile(r" (?<=\S )(?=\S)")
+_CHUNKS, _KEPT = 600_000, 4_000_000
 
 
 class Tokens:
@@ -48,26 +46,48 @@ class Tokens:
         plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not spec.get("normalizer")
         added = spec.get("added_tokens", [])
         self.cuts = plain and not any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"] for t in added)
-        self._forget()
-
-    def _forget(self) -> None:
+        self.sizes = token_sizes(self.tokenizer) if self.cuts else None
         # A chunk after a cut is known without the space before it, a text's first one apart.
-        self.first: dict[str, int] = {}
-        self.later: dict[str, int] = {}
-        self.at = self.size = np.zeros(0, dtype=np.int64)
+        self.first, self.later = Numbers(), Numbers()
+        self.at = self.size = self.seen = np.zeros(0, dtype=np.int64)
         self.flat = np.zeros(0, dtype="<u4")
 
+    def _forget(self) -> None:
+        """Keep the chunks that were met more than once since the last time, at most half as many as
+        there may be; numbers change."""
+        often = np.flatnonzero(self.seen > 1)
+        if len(often) > _CHUNKS // 2:
+            often = np.sort(often[np.argsort(-self.seen[often], kind="stable")[: _CHUNKS // 2]])
+        if 2 * int(self.size[often].sum()) > _KEPT:
+            often = often[:0]
+        number = np.full(len(self.seen), -1, dtype=np.int64)
+        number[often] = np.arange(len(often))
+        number = number.tolist()
+        self.first, self.later = (Numbers({c: number[k] for c, k in known.items() if number[k] >= 0}) for known in (self.first, self.later))
+        size, at = self.size[often], self.at[often]
+        after = np.cumsum(size)
+        self.flat = self.flat[np.repeat(at - (after - size), size) + np.arange(int(size.sum()))]
+        self.at, self.size, self.seen = after - size, size, np.zeros(len(often), dtype=np.int64)
+
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _learn(self, known: dict[str, int], parts: list[str], before: str) -> None:
-        new = [p for p in dict.fromkeys(parts) if p not in known]
-        known.update(zip(new, range(len(self.size), len(self.size) + len(new))))
-        ids = [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast([before + p for p in new], add_special_tokens=False)]
-        size = np.array([len(x) for x in ids], dtype=np.int64)
+    def _numbers(self, known: Numbers, parts: list[str], first: bool) -> np.ndarray:
+        out = known.of(parts, len(self.size))
+        if known.new:
+            self._learn(known.new, first)
+        return out
+
+    def _learn(self, new: list[str], first: bool) -> None:
+        if first:
+            each = self._whole(new)
+            ids, size = np.concatenate(each), np.array([len(x) for x in each], dtype=np.int64)
+        else:
+            ids, size = ids_after_cuts(self.tokenizer, self.sizes, new)
         self.at = np.append(self.at, len(self.flat) + np.cumsum(size) - size)
         self.size = np.append(self.size, size)
-        self.flat = np.concatenate([self.flat, *ids])
+        self.seen = np.append(self.seen, np.zeros(len(new), dtype=np.int64))
+        self.flat = np.concatenate([self.flat, ids.astype("<u4")])
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         if not self.cuts or not texts:
@@ -76,16 +96,14 @@ class Tokens:
             self._forget()
         heads, rest, count = [], [], []
         for text in texts:
-            head, *more = _CUT.split(text)
+            head, *more = CUT.split(text)
             heads.append(head)
             rest += more
             count.append(len(more))
-        self._learn(self.first, heads, "")
-        self._learn(self.later, rest, " ")
         ends = np.cumsum(count)
-        which = np.insert(
-            np.fromiter(map(self.later.__getitem__, rest), dtype=np.int64, count=len(rest)), ends - count, np.fromiter(map(self.first.__getitem__, heads), dtype=np.int64, count=len(heads))
-        )
+        before = self._numbers(self.first, heads, True)
+        which = np.insert(self._numbers(self.later, rest, False), ends - count, before)
+        self.seen += np.bincount(which, minlength=len(self.seen))
         size = self.size[which]
         after = np.cumsum(size)
         ids = self.flat[np.repeat(self.at[which] - (after - size), size) + np.arange(after[-1])]

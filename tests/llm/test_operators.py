@@ -329,7 +329,7 @@ def test_op6(docs, empty):
             assert o == end
             end += n
         assert end <= 128
-    assert len(bins) <= 1.1 * sum(r["length"] for r in rows) / 128 + 1
+    assert len(bins) <= 1.01 * sum(r["length"] for r in rows) / 128 + 1
     assert packing.pack_documents(empty, PATH).count() == 0
 
 
