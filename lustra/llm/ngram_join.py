@@ -9,11 +9,15 @@ the result gives each document the least id that links lead to.  Equal sets coun
    set of which more than a fifth of all shingles are in no other remaining set.
 2. Groups: the remaining sets are parted by their least shared shingle.  Groups are dealt to blocks
    of bounded size, the sets of a block are compared, and linked sets become one component.  Within
-   a group components are merged through one representative each, level by level.
-3. Matrix: for each block, the union of its sets' short lists, and bounds of its sets' sizes and of
-   the partner's size that their shared shingles allow.  A set has to share K shingles with
-   a block's union before the block is opened; the K - 1 shingles found in most blocks don't open
-   one by themselves, and shingles of one component only don't count.
+   a group components are merged through one representative each, level by level, and groups of
+   several blocks are dealt once more by another hash, so that what lay in different blocks meets.
+3. Matrix: sets are dealt to blocks again, those of a large component to blocks of their own.  For
+   each block, the union of its sets' short lists, and bounds of its sets' sizes and of the partner's
+   size that their shared shingles allow.  A set has to share K shingles with a block's union before
+   the block is opened; the K - 1 shingles found in most blocks don't open one by themselves, and
+   shingles of one component only don't count.  A block of one component isn't asked by it.
+   Shingles that lie in the same blocks are one class, counted together: near copies, which have
+   most shingles in common, meet a block once for each class and not for each shingle.
 4. Opened blocks are compared member by member, and the links found connect components.
 
 Every bound is a necessary condition, so no link is lost; nothing is sampled or capped.
@@ -29,6 +33,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .scratch import discard, written
 from .textkit import shingle_sets
@@ -177,6 +182,14 @@ def _block_groups(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"sid": pdf.sid, "grp": pdf.sid.to_numpy()[top], "tok": pdf.tok, "tokens": [t if m else None for t, m in zip(pdf.tokens, more)]})
 
 
+def _between(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links between the components of one block's sets, as pairs of components."""
+    if pdf.grp.nunique() == 1:
+        return pd.DataFrame(columns=["a", "b"], dtype="int64")
+    both = pdf[["tokens"]].assign(own=pdf.grp)
+    return _open(pd.concat([both.assign(inside=True), both.assign(inside=False)]))
+
+
 def _open(pdf: pd.DataFrame) -> pd.DataFrame:
     """Links between questions and the members of a block, as pairs of components."""
     left, right = pdf[pdf.inside], pdf[~pdf.inside]
@@ -243,20 +256,13 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     sets = written(sets.mapInArrow(_full_sets(width), _SETS), "sets")
     discard(texts)
     group = _grouped(sets, block)
-
-    # Blocks of the matrix hold sets of one group and of like size.
-    kind = [F.col("tok"), F.floor(F.log("n") * 20).alias("step")]
-    sizes = dealt.groupBy(*kind).agg(_blocks(block).alias("mb"))
-    place = dealt.select("sid", *kind).join(sizes, ["tok", "step"])
-    place = place.select("sid", F.xxhash64("tok", "step", F.pmod(F.xxhash64("sid"), F.col("mb"))).alias("blk"))
-    placed = written(near.join(group, "sid").join(place, "sid").select("sid", "n", "reach", "grp", "blk", "toks"), "placed")
+    group = _merged(group, _dealt_again(sets, group))
+    place = _places(dealt, group, block)
+    placed = written(near.join(place, "sid").select("sid", "n", "reach", "grp", "blk", "toks"), "placed")
     discard(near, dealt)
     joined = _across(placed, sets, block)
     discard(placed, sets)
-    if joined is not None:
-        merged = written(group.join(joined, group["grp"] == joined["node"], "left").select("sid", F.coalesce("root", "grp").alias("grp")), "group")
-        discard(group, joined)
-        group = merged
+    group = _merged(group, joined)
 
     # Names: the least id of each set, of each component; a set that is linked with none has its own.
     whole = rows.filter("n > 0").groupBy("sid").agg(F.min("_id").alias("low")).join(group, "sid", "left").select("sid", F.coalesce("grp", "sid").alias("grp"), F.col("grp").isNotNull().alias("g"), "low")
@@ -335,32 +341,74 @@ def _grouped(sets: DataFrame, block: int) -> DataFrame:
         level, before = left, count
 
 
+def _dealt_again(sets: DataFrame, group: DataFrame) -> DataFrame | None:
+    """Components of components, by the links that groups of several blocks show when they are dealt
+    by another hash."""
+    again = sets.filter("parts > 1").join(group, "sid").withColumn("salt", F.pmod(F.xxhash64("sid", F.lit(1)), F.col("parts")))
+    found = written(again.groupBy("tok", "salt").applyInPandas(_between, "a long, b long").distinct(), "again")
+    joined = components(found, "links") if found.head(1) else None
+    discard(found)
+    return joined
+
+
+def _merged(group: DataFrame, joined: DataFrame | None) -> DataFrame:
+    """sid, grp: components by what was found to join them."""
+    if joined is None:
+        return group
+    merged = written(group.join(joined, group["grp"] == joined["node"], "left").select("sid", F.coalesce("root", "grp").alias("grp")), "group")
+    discard(group, joined)
+    return merged
+
+
+def _places(dealt: DataFrame, group: DataFrame, block: int) -> DataFrame:
+    """sid, grp, blk: blocks of the matrix hold sets of like size, of one group or of one component
+    that would fill a good part of a block.  Blocks of one component have the higher numbers, so that
+    the others ask them and not they the others."""
+    large = group.groupBy("grp").agg(F.count("*").alias("m")).filter(F.col("m") * 4 >= block)
+    whole = F.col("m").isNotNull()
+    home = dealt.join(group, "sid").join(large, "grp", "left")
+    home = home.select("sid", "grp", "n", whole.alias("whole"), F.when(whole, F.col("grp")).otherwise(F.col("tok")).alias("of"), F.floor(F.log("n") * 20).alias("step"))
+    kind = ["whole", "of", "step"]
+    sizes = home.groupBy(*kind).agg(_blocks(block).alias("mb"))
+    number = F.shiftrightunsigned(F.xxhash64(*kind, F.pmod(F.xxhash64("sid"), F.col("mb"))), 1)
+    return home.join(sizes, kind).select("sid", "grp", F.when(F.col("whole"), number).otherwise(-1 - number).alias("blk"))
+
+
 def _across(placed: DataFrame, sets: DataFrame, block: int) -> DataFrame | None:
     """Components of components, by all sets that may be linked to another block."""
     need = _need(_least_partner("n"))
     # Shingles that several components have; sets that have enough of them.
     each = placed.select("sid", "grp", F.explode("toks").alias("tok"))
-    spread = each.groupBy("tok").agg(F.min("grp").alias("x"), F.max("grp").alias("y"), F.count("*").alias("g")).filter("x < y").select("tok", "g")
+    spread = each.groupBy("tok").agg(F.min("grp").alias("x"), F.max("grp").alias("y")).filter("x < y").select("tok")
     spread = written(spread, "spread")
-    lists = each.join(spread, "tok").groupBy("sid").agg(F.collect_list(F.struct((-F.col("g")).alias("g"), "tok")).alias("toks"))
+    lists = each.join(spread, "tok").groupBy("sid").agg(F.collect_list("tok").alias("toks"))
     active = placed.drop("toks").join(lists, "sid").filter(f"size(toks) >= {need}")
-    # By falling spread the first K - 1 of a set's shingles needn't open a block.
-    active = written(active.withColumn("toks", F.array_sort("toks")["tok"]), "active")
+    active = written(active, "active")
     discard(spread)
     if not active.head(1):
         return None
-    spans = active.groupBy("blk").agg(F.min("n").alias("bmin"), F.max("n").alias("bmax"), F.max("reach").alias("breach"))
-    matrix = written(active.select(F.explode("toks").alias("tok"), "blk").distinct().join(spans, "blk"), "matrix")
-    opening = F.expr(f"slice(toks, cast({need} as int), size(toks))")
-    asks = active.select("sid", "n", "grp", "reach", F.col("blk").alias("own"), F.explode(opening).alias("tok"))
+    # Classes of shingles, named by two hashes of their blocks.
+    held = written(active.select(F.explode("toks").alias("tok"), "blk").distinct(), "held")
+    named = [F.bit_xor(F.xxhash64("blk", F.lit(k))).alias(f"c{k}") for k in range(2)]
+    classes = written(held.groupBy("tok").agg(F.count("*").alias("wide"), *named), "classes")
+    spans = active.groupBy("blk").agg(F.min("n").alias("bmin"), F.max("n").alias("bmax"), F.max("reach").alias("breach"), F.min("grp").alias("gmin"), F.max("grp").alias("gmax"))
+    matrix = written(held.join(classes, "tok").select("c0", "c1", "blk").distinct().join(spans, "blk"), "matrix")
+    # By falling spread, the classes of the first K - 1 of a set's shingles needn't open a block.
+    asks = active.select("sid", "n", "grp", "reach", F.col("blk").alias("own"), F.explode("toks").alias("tok")).join(classes, "tok")
+    asks = asks.groupBy("sid", "n", "grp", "reach", "own", "wide", "c0", "c1").agg(F.count("*").alias("w"))
+    so_far = F.sum("w").over(Window.partitionBy("sid").orderBy(F.desc("wide"), "c0", "c1"))
+    asks = written(asks.withColumn("opens", so_far >= F.expr(need)), "asks")
+    discard(held, classes)
     # Of two blocks the one of lower number asks (and each asks itself), if sizes and reach of both allow for a link.
-    found = asks.join(matrix, "tok").filter("own <= blk and bmin <= reach and n <= breach and 5 * bmax >= 4 * n and 5 * n >= 4 * bmin")
-    opened = written(found.groupBy("sid", "blk").agg(F.first("n").alias("n"), F.first("grp").alias("own")), "opened")
+    may = "own <= blk and (gmin <> grp or gmax <> grp) and bmin <= reach and n <= breach and 5 * bmax >= 4 * n and 5 * n >= 4 * bmin"
+    found = asks.filter("opens").join(matrix, ["c0", "c1"]).filter(may)
+    opened = written(found.groupBy("sid", "blk").agg(F.sum("w").alias("c"), F.first("n").alias("n"), F.first("grp").alias("own")), "opened")
     # The full bound: shared shingles of the short list with the block's union.
-    every = opened.join(active.select("sid", "toks"), "sid").select("sid", "blk", "n", "own", F.explode("toks").alias("tok")).join(matrix.select("tok", "blk"), ["tok", "blk"])
-    asked = every.groupBy("sid", "blk").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("own").alias("own")).filter(f"c >= {need}").select("sid", "blk", "n", "own")
+    closed = opened.filter(f"c < {need}").join(asks.filter("not opens").select("sid", "c0", "c1", "w"), "sid").join(matrix.select("c0", "c1", "blk"), ["c0", "c1", "blk"])
+    more = closed.groupBy("sid", "blk").agg((F.sum("w") + F.first("c")).alias("c"), F.first("n").alias("n"), F.first("own").alias("own"))
+    asked = opened.unionByName(more).filter(f"c >= {need}").select("sid", "blk", "n", "own")
     asked = written(asked, "asked")
-    discard(matrix, opened)
+    discard(matrix, opened, asks)
     if not asked.head(1):
         discard(active, asked)
         return None
