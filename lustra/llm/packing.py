@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import CUT, Numbers, ids_after_cuts, token_sizes
+from .chunks import Numbers, cut, ids_after_cuts, token_sizes
 from .scratch import ranked, written
 
 #: Most chunks, and most token ids for them, that a worker keeps.
@@ -94,20 +94,21 @@ class Tokens:
             return self._whole(texts)
         if len(self.size) > _CHUNKS or len(self.flat) > _KEPT:
             self._forget()
-        heads, rest, count = [], [], []
-        for text in texts:
-            head, *more = CUT.split(text)
-            heads.append(head)
-            rest += more
-            count.append(len(more))
+        order, heads, rest, count = cut(texts)
         ends = np.cumsum(count)
         before = self._numbers(self.first, heads, True)
-        which = np.insert(self._numbers(self.later, rest, False), ends - count, before)
+        # Each distinct chunk of these texts is looked up once.
+        distinct = rest.dictionary_encode()
+        later = self._numbers(self.later, distinct.dictionary.to_numpy(zero_copy_only=False).tolist(), False)[distinct.indices.to_numpy()]
+        which = np.insert(later, ends - count, before)
         self.seen += np.bincount(which, minlength=len(self.seen))
         size = self.size[which]
         after = np.cumsum(size)
         ids = self.flat[np.repeat(self.at[which] - (after - size), size) + np.arange(after[-1])]
-        return np.split(ids, after[ends + np.arange(len(texts))][:-1])
+        out: list = [None] * len(texts)
+        for k, x in zip(order.tolist(), np.split(ids, after[ends + np.arange(len(texts))][:-1])):
+            out[k] = x
+        return out
 
 
 @lru_cache(1)

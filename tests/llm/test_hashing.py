@@ -8,7 +8,7 @@ import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
-from lustra.llm import fingerprints, ngram_join, packing, textkit
+from lustra.llm import chunks, fingerprints, ngram_join, packing, textkit
 from tokenizers import Tokenizer
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -126,3 +126,25 @@ def test_a_component_does_not_ask_its_own_blocks(spark, monkeypatch):
     # 10 blocks of copies, asked by 12 texts; each copy asked half of them before, shingle by shingle.
     assert 12 <= made["opened"] < 400
     assert made["matrix"] < 100
+
+
+def test_cut():
+    r = random.Random(6)
+    spaces = [c for c in map(chr, range(0x110000)) if c.isspace()]
+    texts = ["", " ", "a", "a b", " a b", "a b ", "a  b c", "a\n b c", "é\u3000 b c"]
+    texts += ["".join(r.choice(["a", "é", " ", r.choice(spaces)]) for _ in range(r.randint(0, 9))) for _ in range(5000)]
+    order, heads, rest, count = chunks.cut(texts)
+    assert sorted(order) == list(range(len(texts)))
+    ends = np.cumsum(count)
+    got = {k: [head, *rest[end - n : end].to_pylist()] for k, head, n, end in zip(order, heads, count, ends)}
+    assert got == {k: chunks.CUT.split(t) for k, t in enumerate(texts)}
+
+
+def test_chunks_are_looked_up_once(monkeypatch):
+    looked, of = [], packing.Numbers.of
+    monkeypatch.setattr(packing.Numbers, "of", lambda self, parts, start: looked.extend(parts) or of(self, parts, start))
+    texts = ["to be or not to be that is  the question " * 300, " be to", "", "to be or not " * 200 + "x"]
+    got = packing.Tokens(PATH).ids(texts)
+    plain = Tokenizer.from_file(PATH)
+    assert [x.tolist() for x in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(looked) < 30
