@@ -104,30 +104,48 @@ def test_thousands_near_the_threshold(spark, monkeypatch, block, shingles):
     assert got == {k: find(k) for k in range(len(texts))}
 
 
-def test_a_component_does_not_ask_its_own_blocks(spark, monkeypatch):
+@pytest.fixture(scope="module")
+def copies(spark):
+    """300 copies that are all linked, and 12 texts that share most shingles with these and, at one
+    end, with another of the 12; none of them is linked."""
     r = random.Random(4)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
     base = [word() for _ in range(120)]
     texts = [base[: -1 - k % 4] + [word() for _ in range(1 + k % 4)] for k in range(300)]
-    # 12 more share most shingles with these and, at one end, with another of the 12; none is linked.
     ends = [[word() for _ in range(14)] for _ in range(12)]
     texts += [ends[k // 2] + base[14:-14] + ends[6 + (k + 1) // 2 % 6] for k in range(12)]
-    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string").repartition(5)
-    made, write = collections.defaultdict(int), ngram_join.written
+    return spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+
+
+@pytest.fixture
+def made(monkeypatch):
+    """Rows of the join's tables, in blocks of at most 32 sets."""
+    rows, write, linked = collections.defaultdict(int), ngram_join.written, ngram_join.linked_components
 
     def written(df, name):
         table = write(df, name)
-        made[name] += table.count()
+        rows[name] += table.count()
         return table
 
     monkeypatch.setattr(ngram_join, "written", written)
-    got = {x["doc_id"]: x["component_id"] for x in ngram_join.linked_components(docs, block=32).collect()}
+    monkeypatch.setattr(ngram_join, "linked_components", lambda docs: linked(docs, block=32))
+    return rows
+
+
+def test_a_component_does_not_ask_its_own_blocks(copies, made):
+    got = {x["doc_id"]: x["component_id"] for x in ngram_join.linked_components(copies).collect()}
     assert got == {k: k if k >= 300 else 0 for k in range(312)}
     # 10 blocks of copies, asked by 12 texts; each copy asked half of them before, shingle by shingle.
     assert 12 <= made["opened"] < 400
     assert made["matrix"] < 100
 
 
+def test_the_stage_does_not_ask_them_either(spark, copies, made):
+    kept = corpus_pipeline.near_duplicate_stage(spark, copies, "")
+    assert sorted(x["doc_id"] for x in kept.collect()) == [0, *range(300, 312)]
+    assert 12 <= made["opened"] < 400
+
+
 def test_cut():
     r = random.Random(6)
     spaces = [c for c in map(chr, range(0x110000)) if c.isspace()]
